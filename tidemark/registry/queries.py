@@ -68,3 +68,63 @@ def _scn_query(sid: str) -> QueryFn:
 
 for _sid in _SCN_ARGS:
     register(f"scn_{int(_sid[1:]):02d}", scenario_sql(_sid))(_scn_query(_sid))
+
+
+# ------------------------------------------------------------ master, reports
+
+def _master_parts(spark, sf_dir):
+    from tidemark.operators.bridge import telemetry_bridge
+    from tidemark.plans import master as M
+    src = roles(spark, sf_dir)
+    frames = scenario_frames(src)
+    members = M.memberships(frames, telemetry_bridge(src, ("webid",)))
+    return src, frames, members, M
+
+
+@register("master_account", Q.master_sql(S10_WINDOW))
+def q_master_account(spark, sf_dir):
+    src, frames, _, M = _master_parts(spark, sf_dir)
+    return M.master_account(src, frames, OR)
+
+
+@register("mart_counts", Q.mart_counts_sql(S10_WINDOW))
+def q_mart_counts(spark, sf_dir):
+    src, frames, _, M = _master_parts(spark, sf_dir)
+    return M.mart_counts(frames, M.master_account(src, frames, OR))
+
+
+@register("alerts_by_stage", Q.alerts_by_stage_sql(S10_WINDOW))
+def q_alerts_by_stage(spark, sf_dir):
+    _, frames, members, M = _master_parts(spark, sf_dir)
+    return M.alerts_by_stage(frames, members)
+
+
+@register("csm_worklist", Q.csm_worklist_sql(S10_WINDOW))
+def q_csm_worklist(spark, sf_dir):
+    src, _, members, M = _master_parts(spark, sf_dir)
+    return M.csm_worklist(src, members, OR)
+
+
+@register("latest_contract", Q.LATEST_CONTRACT)
+def q_latest_contract(spark, sf_dir):
+    from tidemark.plans.master import latest_contract
+    return latest_contract(roles(spark, sf_dir))
+
+
+@register("bridge_coverage", Q.BRIDGE_COVERAGE)
+def q_bridge_coverage(spark, sf_dir):
+    from tidemark.operators.bridge import bridge_coverage
+    return bridge_coverage(roles(spark, sf_dir))
+
+
+@register("bridge_orphans", Q.BRIDGE_ORPHANS)
+def q_bridge_orphans(spark, sf_dir):
+    from tidemark.operators.bridge import bridge_orphans
+    return bridge_orphans(roles(spark, sf_dir))
+
+
+@register("rpt_03_enriched_s06", Q.ENRICHED_S6)
+def q_enriched_s06(spark, sf_dir):
+    from tidemark.plans.master import enrich_telemetry
+    src = roles(spark, sf_dir)
+    return enrich_telemetry(S.scn_06(src, EV), src)
