@@ -1,5 +1,6 @@
 """Registered queries (Spark) and their DuckDB oracle SQL, keyed alike."""
 
-from tidemark.registry.queries import QUERIES, ORACLE_SQL
+from tidemark.registry.queries import ORACLE_SQL, QUERIES
+from tidemark.registry import jobs as _jobs  # noqa: F401  (registers supporting jobs)
 
 __all__ = ["QUERIES", "ORACLE_SQL"]

@@ -171,3 +171,16 @@ def roles(spark: SparkSession, sf_dir: str) -> Sources:
                    license_customer=license_customer, license_key=license_key,
                    license_usage=license_usage, account=account, contract=contract,
                    opportunity=opportunity, onboarding=onboarding, user=user)
+
+
+def arr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily ARR snapshots for the concept examples: one per order
+    (account, order day, order key as snapshot id, total price as ARR);
+    priority 5-LOW orders play the excluded 'Test' customers."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(_crm_id("001", F.col("o_custkey")).alias("account_id"),
+                    F.col("o_orderdate").cast("date").alias("snapshot_date"),
+                    F.col("o_orderkey").alias("snapshot_id"),
+                    F.col("o_totalprice").alias("arr"),
+                    F.when(F.col("o_orderpriority") == "5-LOW", "Test").otherwise("Customer")
+                    .alias("customer_type"))
