@@ -52,7 +52,21 @@ def _crm_id(prefix: str, key) -> F.Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 15, "0"))
 
 
+_ROLE_CACHE: dict[tuple[str, str], Sources] = {}
+
+
 def roles(spark: SparkSession, sf_dir: str) -> Sources:
+    """Role DataFrames for ``sf_dir``. They are lazy, immutable plans, so one
+    set is built per Spark application and folder and shared by all queries
+    (building them costs thousands of driver↔JVM calls; running them is
+    unaffected)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLE_CACHE:
+        _ROLE_CACHE[key] = _build_roles(spark, sf_dir)
+    return _ROLE_CACHE[key]
+
+
+def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
     t = lambda n: read_table(spark, sf_dir, n)
     customer, orders, lineitem, events, nation = (t("customer"), t("orders"), t("lineitem"),
                                                  t("events"), t("nation"))
