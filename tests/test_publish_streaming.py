@@ -67,3 +67,14 @@ def test_staging_normalisers(spark):
     df = spark.createDataFrame([("1",), ("TRUE",), ("n",), ("maybe",), ("  ",)], "v string")
     got = [tuple(r) for r in df.select(to_bool("v"), blank_to_null("v")).collect()]
     assert got == [(True, "1"), (True, "TRUE"), (False, "n"), (None, "maybe"), (None, None)]
+
+
+def test_run_all_counts_match_marts(spark, scratch):
+    from tidemark.plans.refresh import default_builders, run_all
+    from tidemark.sources.testmap import ORDERS_AS_OF
+    src = roles(spark, SMOKE)
+    report = {r.scenario: r.rows for r in
+              run_all(spark, src, ORDERS_AS_OF, scratch, default_builders(ORDERS_AS_OF, EVENTS_AS_OF)).collect()}
+    assert report["S6"] == S.scn_06(src, EVENTS_AS_OF).count()
+    assert spark.read.parquet(f"{scratch}/MTM_MASTER_ACCOUNT").count() == report["MASTER"]
+    assert spark.read.parquet(f"{scratch}/_lineage").filter("kind = 'depends_on'").count() > 16
