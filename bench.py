@@ -20,6 +20,7 @@ from tidemark.registry import QUERIES  # noqa: E402
 from tidemark.session import get_session  # noqa: E402
 
 HEADLINE = [f"scn_{i:02d}" for i in range(1, 17)] + [
+    "scn_14_reference_shape", "scn_16_reference_shape",
     "master_account", "alerts_by_stage", "bridge_coverage", "latest_contract", "date_dim",
     "event_daily_rollup", "arr_by_account_month", "profile_inventory"]
 

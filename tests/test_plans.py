@@ -58,3 +58,12 @@ def test_pre_aggregation_before_join(src):
     HashAggregate over usage sits below the join, not above it."""
     p = plan(S.scn_16(src))
     assert p.count("HashAggregate") >= 4
+
+
+def test_reference_shape_equals_preaggregated(src):
+    """Differential test: the source's join-then-GROUP BY shape and the
+    pre-aggregated operators give the same rows (duplicates respected)."""
+    from tidemark.plans.reference_shape import scn_14_joined, scn_16_joined
+    for a, b in ((S.scn_14(src, ORDERS_AS_OF), scn_14_joined(src, ORDERS_AS_OF)),
+                 (S.scn_16(src), scn_16_joined(src))):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -37,8 +37,9 @@ def latest_contract(src: Sources, status: str = V.CONTRACT_ACTIVATED) -> DataFra
             .select("account_id", "contract_id", "status", "customer_signed_date"))
 
 
-def memberships(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
-    """Long form (sfdc_account_id, scenario), one row per account and scenario."""
+def membership_rows(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
+    """(sfdc_account_id, scenario) per mart row, duplicates kept — enough for
+    flag aggregation, which is duplicate-insensitive (one shuffle less)."""
     parts = []
     b = bridge.select(c("telemetry_account_id").alias("_tk"), c("sfdc_account_id").alias("_sid"))
     for sid, df in frames.items():
@@ -49,7 +50,12 @@ def memberships(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
             ids = df.select("sfdc_account_id")
         parts.append(ids.filter(c("sfdc_account_id").isNotNull())
                      .select("sfdc_account_id", F.lit(sid).alias("scenario")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def memberships(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
+    """Long form (sfdc_account_id, scenario), one row per account and scenario."""
+    return membership_rows(frames, bridge).distinct()
 
 
 def scenario_flags(members: DataFrame, scenario_ids=V.SCENARIO_IDS) -> DataFrame:
@@ -74,7 +80,7 @@ def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
     cust = src.license_customer.filter(not_deleted()).select(
         c("salesforceid").alias("_lid"), c("customerid").alias("licensing_customer_id"),
         c("webid").alias("platform_web_id"))
-    flags = scenario_flags(memberships(frames, telemetry_bridge(src, ("webid",))))
+    flags = scenario_flags(membership_rows(frames, telemetry_bridge(src, ("webid",))))
     j = (acct.join(users, c("_uid") == c("customer_success_associate_c"), "left")
          .join(contract, c("_kid") == c("id"), "left")
          .join(cust, c("_lid") == c("id"), "left")
@@ -107,15 +113,29 @@ def mart_counts(frames: dict[str, DataFrame], master: DataFrame | None = None) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def alerts_by_stage(frames: dict[str, DataFrame], members: DataFrame) -> DataFrame:
+def alerts_by_stage(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
     """RPT-02: alert rows and distinct CRM accounts per stage and scenario,
-    with stage subtotals and a grand total (``rollup``)."""
+    with stage subtotals and a grand total (``rollup``).
+
+    Each mart is read once: its rows are reduced to (scenario, key, n) — one
+    shuffle, partial on the map side — and that result feeds both the row
+    counts and, through the bridge for telemetry-grain marts, the accounts.
+    """
+    keyed = reduce(DataFrame.unionByName, [
+        df.select(F.lit(sid).alias("scenario"),
+                  c("telemetry_account_id" if sid in V.TELEMETRY_GRAIN else "sfdc_account_id").alias("key"))
+        for sid, df in frames.items()])
+    per_key = keyed.groupBy("scenario", "key").agg(F.count(F.lit(1)).alias("n"))
+    tele = F.col("scenario").isin(*V.TELEMETRY_GRAIN)
+    b = bridge.select(c("telemetry_account_id").alias("_tk"), c("sfdc_account_id").alias("_sid"))
+    rows = per_key.select("scenario", F.lit(None).cast("string").alias("sfdc_account_id"),
+                          c("n").alias("is_row"))
+    crm = per_key.filter(~tele).select("scenario", c("key").alias("sfdc_account_id"),
+                                       F.lit(0).cast("long").alias("is_row"))
+    via_bridge = (per_key.filter(tele).join(b, c("key") == c("_tk"))
+                  .select("scenario", c("_sid").alias("sfdc_account_id"), F.lit(0).cast("long").alias("is_row")))
     stage = F.create_map(*[x for sid in V.SCENARIO_IDS for x in (F.lit(sid), F.lit(V.STAGE_OF[sid]))])
-    rows = reduce(DataFrame.unionByName, [
-        df.select(F.lit(sid).alias("scenario"), F.lit(None).cast("string").alias("sfdc_account_id"),
-                  F.lit(1).alias("is_row")) for sid, df in frames.items()])
-    accts = members.select("scenario", "sfdc_account_id", F.lit(0).alias("is_row"))
-    long = rows.unionByName(accts).withColumn("stage", stage[c("scenario")])
+    long = rows.unionByName(crm).unionByName(via_bridge).withColumn("stage", stage[c("scenario")])
     return (long.rollup("stage", "scenario")
             .agg(F.sum("is_row").cast("long").alias("alert_rows"),
                  F.count_distinct("sfdc_account_id").alias("accounts")))

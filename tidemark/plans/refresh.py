@@ -68,8 +68,8 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     master = M.master_account(src, marts, as_of)
     counts["MASTER"], line = observed_write(master, f"{out_dir}/{V.MASTER_TABLE}", "MASTER")
     print(line)
-    members = M.memberships(marts, telemetry_bridge(src, ("webid",)))
-    observed_write(M.alerts_by_stage(marts, members), f"{out_dir}/ALERTS_BY_STAGE", "ALERTS")
+    observed_write(M.alerts_by_stage(marts, telemetry_bridge(src, ("webid",))),
+                   f"{out_dir}/ALERTS_BY_STAGE", "ALERTS")
     written = dict(marts, MASTER=spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}"))
     lineage(spark, written, DEPENDS_ON).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
     return spark.createDataFrame(sorted(counts.items()), "scenario string, rows long")

@@ -72,12 +72,12 @@ for _sid in _SCN_ARGS:
 
 # ------------------------------------------------------------ master, reports
 
-def _master_parts(spark, sf_dir):
+def _master_parts(spark, sf_dir, with_members: bool = False):
     from tidemark.operators.bridge import telemetry_bridge
     from tidemark.plans import master as M
     src = roles(spark, sf_dir)
     frames = scenario_frames(src)
-    members = M.memberships(frames, telemetry_bridge(src, ("webid",)))
+    members = M.memberships(frames, telemetry_bridge(src, ("webid",))) if with_members else None
     return src, frames, members, M
 
 
@@ -95,13 +95,15 @@ def q_mart_counts(spark, sf_dir):
 
 @register("alerts_by_stage", Q.alerts_by_stage_sql(S10_WINDOW))
 def q_alerts_by_stage(spark, sf_dir):
-    _, frames, members, M = _master_parts(spark, sf_dir)
-    return M.alerts_by_stage(frames, members)
+    from tidemark.operators.bridge import telemetry_bridge
+    from tidemark.plans import master as M
+    src = roles(spark, sf_dir)
+    return M.alerts_by_stage(scenario_frames(src), telemetry_bridge(src, ("webid",)))
 
 
 @register("csm_worklist", Q.csm_worklist_sql(S10_WINDOW))
 def q_csm_worklist(spark, sf_dir):
-    src, _, members, M = _master_parts(spark, sf_dir)
+    src, _, members, M = _master_parts(spark, sf_dir, with_members=True)
     return M.csm_worklist(src, members, OR)
 
 
@@ -128,3 +130,17 @@ def q_enriched_s06(spark, sf_dir):
     from tidemark.plans.master import enrich_telemetry
     src = roles(spark, sf_dir)
     return enrich_telemetry(S.scn_06(src, EV), src)
+
+
+# --------------------------------------------- source-shaped S14 / S16 (bench)
+
+@register("scn_14_reference_shape", Q.SCENARIO_SQL["S14"])
+def q_scn_14_joined(spark, sf_dir):
+    from tidemark.plans.reference_shape import scn_14_joined
+    return scn_14_joined(roles(spark, sf_dir), OR)
+
+
+@register("scn_16_reference_shape", Q.SCENARIO_SQL["S16"])
+def q_scn_16_joined(spark, sf_dir):
+    from tidemark.plans.reference_shape import scn_16_joined
+    return scn_16_joined(roles(spark, sf_dir))
