@@ -104,3 +104,13 @@ def year_end(d) -> Column:
 def feed_as_of(df: DataFrame, date_col: str) -> Column:
     """Latest date of a feed as a scalar subquery column (stays in one plan)."""
     return df.select(F.max(to_day(date_col))).scalar()
+
+
+def feed_as_of_value(df: DataFrame, date_col: str):
+    """Latest date of a feed as a Python date (one small aggregate job).
+
+    Use it once per refresh when the result feeds a window filter: a literal
+    bound prunes date partitions and reaches the Parquet scan, where the
+    scalar-subquery form (``feed_as_of``) cannot.
+    """
+    return df.agg(F.max(to_day(date_col)).alias("d")).first()["d"]

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import vocabulary as V
+from tidemark.functions.dates import feed_as_of_value
 from tidemark.operators.bridge import telemetry_bridge
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
@@ -36,16 +37,19 @@ DEPENDS_ON = {
 }
 
 
-def default_builders(as_of, events_as_of=None) -> dict[str, Callable[[Sources], DataFrame]]:
+def default_builders(as_of, events_as_of=None, usage_ref=None) -> dict[str, Callable[[Sources], DataFrame]]:
     """Scenario builders with one ``as_of`` (telemetry scenarios may use their
-    own, e.g. the last complete event day)."""
+    own, e.g. the last complete event day). ``usage_ref`` is S10's reference
+    day; ``run_all`` resolves it once to a literal (see ``feed_as_of_value``)."""
     ev = events_as_of or as_of
     return {
         "S1": lambda s: S.scn_01(s, as_of), "S2": lambda s: S.scn_02(s, as_of),
         "S3": lambda s: S.scn_03(s), "S4": lambda s: S.scn_04(s, as_of),
         "S5": lambda s: S.scn_05(s), "S6": lambda s: S.scn_06(s, ev),
         "S7": lambda s: S.scn_07(s, ev), "S8": lambda s: S.scn_08(s),
-        "S9": lambda s: S.scn_09(s, ev), "S10": lambda s: S.scn_10(s),
+        "S9": lambda s: S.scn_09(s, ev),
+        "S10": lambda s: S.scn_10(s, usage_ref if usage_ref is not None
+                                  else feed_as_of_value(s.license_usage, "lastvalidateddate")),
         "S11": lambda s: S.scn_11(s, as_of), "S12": lambda s: S.scn_12(s, as_of),
         "S13": lambda s: S.scn_13(s, ev), "S14": lambda s: S.scn_14(s, as_of),
         "S15": lambda s: S.scn_15(s, as_of), "S16": lambda s: S.scn_16(s),
