@@ -18,7 +18,8 @@ from tidemark.functions.dates import feed_as_of_value
 from tidemark.operators.bridge import telemetry_bridge
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
-from tidemark.publish.publish import lineage, observed_write
+from tidemark.plans.telemetry import Telemetry, telemetry_profiles
+from tidemark.publish.publish import lineage, observed_write, write_mart
 from tidemark.sources.registry import Sources
 
 # Declared dependencies (what each mart reads), for OPS-02.
@@ -37,33 +38,49 @@ DEPENDS_ON = {
 }
 
 
-def default_builders(as_of, events_as_of=None, usage_ref=None) -> dict[str, Callable[[Sources], DataFrame]]:
+def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry | None = None
+                     ) -> dict[str, Callable[[Sources], DataFrame]]:
     """Scenario builders with one ``as_of`` (telemetry scenarios may use their
     own, e.g. the last complete event day). ``usage_ref`` is S10's reference
-    day; ``run_all`` resolves it once to a literal (see ``feed_as_of_value``)."""
+    day; ``run_all`` resolves it once to a literal (see ``feed_as_of_value``).
+    With ``tel`` every scenario reads the shared telemetry profiles instead of
+    the event logs."""
     ev = events_as_of or as_of
     return {
         "S1": lambda s: S.scn_01(s, as_of), "S2": lambda s: S.scn_02(s, as_of),
-        "S3": lambda s: S.scn_03(s), "S4": lambda s: S.scn_04(s, as_of),
-        "S5": lambda s: S.scn_05(s), "S6": lambda s: S.scn_06(s, ev),
-        "S7": lambda s: S.scn_07(s, ev), "S8": lambda s: S.scn_08(s),
-        "S9": lambda s: S.scn_09(s, ev),
+        "S3": lambda s: S.scn_03(s, tel=tel), "S4": lambda s: S.scn_04(s, as_of, tel=tel),
+        "S5": lambda s: S.scn_05(s, tel=tel), "S6": lambda s: S.scn_06(s, ev, tel=tel),
+        "S7": lambda s: S.scn_07(s, ev, tel=tel), "S8": lambda s: S.scn_08(s, tel=tel),
+        "S9": lambda s: S.scn_09(s, ev, tel=tel),
         "S10": lambda s: S.scn_10(s, usage_ref if usage_ref is not None
                                   else feed_as_of_value(s.license_usage, "lastvalidateddate")),
-        "S11": lambda s: S.scn_11(s, as_of), "S12": lambda s: S.scn_12(s, as_of),
-        "S13": lambda s: S.scn_13(s, ev), "S14": lambda s: S.scn_14(s, as_of),
-        "S15": lambda s: S.scn_15(s, as_of), "S16": lambda s: S.scn_16(s),
+        "S11": lambda s: S.scn_11(s, as_of), "S12": lambda s: S.scn_12(s, as_of, tel=tel),
+        "S13": lambda s: S.scn_13(s, ev, tel=tel), "S14": lambda s: S.scn_14(s, as_of, tel=tel),
+        "S15": lambda s: S.scn_15(s, as_of), "S16": lambda s: S.scn_16(s, tel=tel),
     }
 
 
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
-            builders: dict[str, Callable[[Sources], DataFrame]] | None = None) -> DataFrame:
+            builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
+            events_as_of=None, usage_ref=None, share_telemetry: bool = True) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
+    With ``share_telemetry`` the RC and IL logs are each reduced once to
+    per-account profiles, written to ``<out_dir>/_profiles`` and read back
+    (lineage cut there), and every scenario reads the profiles.
+
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
     """
-    builders = builders or default_builders(as_of)
+    if builders is None:
+        tel = None
+        if share_telemetry:
+            prof = telemetry_profiles(src)
+            write_mart(prof.rc, f"{out_dir}/_profiles/rc")
+            write_mart(prof.il, f"{out_dir}/_profiles/il")
+            tel = Telemetry(rc=spark.read.parquet(f"{out_dir}/_profiles/rc"),
+                            il=spark.read.parquet(f"{out_dir}/_profiles/il"))
+        builders = default_builders(as_of, events_as_of, usage_ref, tel)
     counts: dict[str, int] = {}
     for sid in V.SCENARIO_IDS:
         counts[sid], line = observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)

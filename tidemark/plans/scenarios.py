@@ -15,11 +15,15 @@ Shape rules, applied throughout:
 * a candidate set that is small by construction (accounts renewing soon,
   closed-lost opportunities) is semi-joined into the big facts first, so only
   their rows are aggregated; whether that join is broadcast is left to AQE,
-  which measures the side at run time.
+  which measures the side at run time;
+* with ``tel=`` (per-account telemetry profiles, ``plans.telemetry``) the
+  event logs are not read at all — a full refresh reads each log once.
 """
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,9 @@ from tidemark.operators.kernels import (distinct, distinct_entities, dormancy, e
                                         started_not_completed, window_retention, count_if)
 from tidemark.sources.registry import Sources
 
+if TYPE_CHECKING:
+    from tidemark.plans.telemetry import Telemetry
+
 c = F.col
 
 # Default ordering of each mart (applied when reading or exporting, not at
@@ -113,31 +120,38 @@ def scn_02(src: Sources, as_of, min_days: int = 2) -> DataFrame:
         day_diff("dateassigned", as_of).alias("days_since_assigned"), "csm_id")
 
 
-def scn_03(src: Sources, home_event: str = V.RC_HOME) -> DataFrame:
+def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = None) -> DataFrame:
     """S3 logs in but never reached the RC home page. Grain: telemetry account."""
     logins = src.login.groupBy("account_id").agg(F.max("date").alias("last_login_date"),
                                                  F.count_distinct("date").alias("total_login_days"))
-    out = never_did(logins, "account_id", src.rc_events.filter(named(home_event)), "account_id")
+    if tel is not None and home_event == V.RC_HOME:
+        did = tel.rc.filter(c("rc_home") == 1).select(c("account_id").alias("_did"))
+        out = logins.join(did, c("account_id") == c("_did"), "left_anti")
+    else:
+        out = never_did(logins, "account_id", src.rc_events.filter(named(home_event)), "account_id")
     return out.select(c("account_id").alias("telemetry_account_id"), "last_login_date",
                       "total_login_days", F.lit(0).alias("ever_reached_rc"))
 
 
-def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk") -> DataFrame:
+def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk",
+              tel: Telemetry | None = None) -> DataFrame:
     """Per telemetry account: one 0/1 flag per named RC event."""
+    if tel is not None:
+        return tel.rc.select(c("account_id").alias(key_alias), *flags)
     names = list(flags.values())
     m = milestones(src.rc_events.filter(c("tracked_event_name").isin(names)), "account_id",
                    {col: ever(named(n)) for col, n in flags.items()})
     return m.withColumnRenamed("account_id", key_alias)
 
 
-def scn_04(src: Sources, as_of, min_days: int = 3) -> DataFrame:
+def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None) -> DataFrame:
     """S4 first product use > N days ago, upload page never reached. Grain: licensing customer."""
     use = src.license_usage.groupBy("customerid").agg(
         F.min("lastvalidateddate").alias("first_product_use"),
         F.max("lastvalidateddate").alias("last_product_use"))
     use = use.filter(older_than("first_product_use", as_of, min_days))
     rc = _rc_flags(src, {"clicked_upload": V.RC_UPLOAD_CLICKED,
-                         "reached_upload_page": V.RC_UPLOAD_PAGE})
+                         "reached_upload_page": V.RC_UPLOAD_PAGE}, tel=tel)
     cu = _live_customers(src)
     j = (cu.join(use, "customerid")
          .join(rc, telemetry_key("webid") == c("_rk"), "left")
@@ -154,14 +168,14 @@ def scn_04(src: Sources, as_of, min_days: int = 3) -> DataFrame:
 
 # ------------------------------------------------------------------ adoption
 
-def scn_05(src: Sources, min_active_days: int = 30) -> DataFrame:
+def scn_05(src: Sources, min_active_days: int = 30, tel: Telemetry | None = None) -> DataFrame:
     """S5 ≥ N active days, none of three secondary features used. Grain: licensing customer."""
     use = src.license_usage.groupBy("customerid").agg(
         F.count_distinct(c("lastvalidateddate").cast("date")).alias("active_days"),
         F.datediff(F.max("lastvalidateddate"), F.min("lastvalidateddate")).alias("active_span_days"))
     use = use.filter(c("active_days") >= min_active_days)
     rc = _rc_flags(src, {"used_lineos": V.RC_LINEOS, "used_view_all": V.RC_VIEW_ALL,
-                         "used_schedule": V.RC_SCHEDULE_PAGE})
+                         "used_schedule": V.RC_SCHEDULE_PAGE}, tel=tel)
     j = (_live_customers(src).join(use, "customerid")
          .join(rc, telemetry_key("webid") == c("_rk"), "left")
          .join(_account_dims(src), c("salesforceid") == c("_aid"), "left"))
@@ -174,10 +188,18 @@ def scn_05(src: Sources, min_active_days: int = 30) -> DataFrame:
     return out.filter((c("used_lineos") == 0) & (c("used_view_all") == 0) & (c("used_schedule") == 0))
 
 
-def scn_06(src: Sources, as_of, min_days: int = 5) -> DataFrame:
+def scn_06(src: Sources, as_of, min_days: int = 5, tel: Telemetry | None = None) -> DataFrame:
     """S6 schedule creation started, never completed. Grain: telemetry account."""
-    m = started_not_completed(src.rc_events, "account_id", named(V.RC_SCHEDULE_PAGE),
-                              named(V.RC_SCHEDULE_CREATED), event_date(), as_of, min_days)
+    if tel is not None:
+        m = tel.rc.select("account_id", c("first_schedule_page_visit").alias("first_start"),
+                          c("last_schedule_page_visit").alias("last_start"),
+                          c("schedule_page_visits").alias("starts"),
+                          c("completed_schedule").alias("completed"))
+        m = m.withColumn("days_since_first_start", day_diff("first_start", as_of)).filter(
+            c("first_start").isNotNull() & (c("completed") == 0) & (c("days_since_first_start") > min_days))
+    else:
+        m = started_not_completed(src.rc_events, "account_id", named(V.RC_SCHEDULE_PAGE),
+                                  named(V.RC_SCHEDULE_CREATED), event_date(), as_of, min_days)
     return m.select(c("account_id").alias("telemetry_account_id"),
                     c("first_start").alias("first_schedule_page_visit"),
                     c("last_start").alias("last_schedule_page_visit"),
@@ -186,21 +208,36 @@ def scn_06(src: Sources, as_of, min_days: int = 5) -> DataFrame:
                     c("days_since_first_start").alias("days_since_first_visit"))
 
 
-def scn_07(src: Sources, as_of, min_days: int = 7) -> DataFrame:
+def scn_07(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None) -> DataFrame:
     """S7 active in RC for N+ days, no IL event ever. Grain: telemetry account."""
     d = event_date()
-    m = milestones(src.rc_events, "account_id", {
-        "first_rc_event": first(None, d), "last_rc_event": last(None, d),
-        "distinct_rc_events": distinct()}, distinct_col="tracked_event_name")
+    if tel is not None:
+        m = tel.rc.select("account_id", "first_rc_event", "last_rc_event", "distinct_rc_events")
+    else:
+        m = milestones(src.rc_events, "account_id", {
+            "first_rc_event": first(None, d), "last_rc_event": last(None, d),
+            "distinct_rc_events": distinct()}, distinct_col="tracked_event_name")
     m = m.withColumn("days_in_rc", day_diff("first_rc_event", as_of)).filter(c("days_in_rc") >= min_days)
-    out = never_did(m, "account_id", src.il_events, "account_id")
+    if tel is not None:
+        did = tel.il.filter(c("il_named") == 1).select(c("account_id").alias("_did"))
+        out = m.join(did, c("account_id") == c("_did"), "left_anti")
+    else:
+        out = never_did(m, "account_id", src.il_events, "account_id")
     return out.select(c("account_id").alias("telemetry_account_id"), "first_rc_event",
                       "last_rc_event", "distinct_rc_events", "days_in_rc",
                       F.lit(0).cast("long").alias("total_il_events"))
 
 
-def scn_08(src: Sources) -> DataFrame:
+_S8_COLS = ["visited_il_home", "clicked_il_button", "started_rule", "added_subscriber", "saved_rule",
+            "viewed_results_only", "total_il_sessions"]
+
+
+def scn_08(src: Sources, tel: Telemetry | None = None) -> DataFrame:
     """S8 rule funnel: IL home visited, rule never saved. Grain: telemetry account."""
+    if tel is not None:
+        m = tel.il.select("account_id", *_S8_COLS)
+        return (m.filter((c("visited_il_home") == 1) & (c("saved_rule") == 0))
+                .withColumnRenamed("account_id", "telemetry_account_id"))
     m = milestones(src.il_events, "account_id", {
         "visited_il_home": ever(named(V.IL_HOME)),
         "clicked_il_button": ever(named(V.IL_BUTTON)),
@@ -213,12 +250,16 @@ def scn_08(src: Sources) -> DataFrame:
             .withColumnRenamed("account_id", "telemetry_account_id"))
 
 
-def scn_09(src: Sources, as_of, min_days: int = 7) -> DataFrame:
+def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None) -> DataFrame:
     """S9 rule saved, results never viewed, first save > N days ago. Grain: telemetry account."""
     save, results, d = named(V.IL_SAVE_RULE), named(V.IL_RESULTS), event_date()
-    m = milestones(src.il_events.filter(save | results), "account_id", {
-        "first_rule_saved_date": first(save, d), "last_rule_saved_date": last(save, d),
-        "total_rules_saved": count_if(save), "last_results_view": last(results, d)})
+    if tel is not None:
+        m = tel.il.select("account_id", "first_rule_saved_date", "last_rule_saved_date",
+                          c("rule_save_events").alias("total_rules_saved"), "last_results_view")
+    else:
+        m = milestones(src.il_events.filter(save | results), "account_id", {
+            "first_rule_saved_date": first(save, d), "last_rule_saved_date": last(save, d),
+            "total_rules_saved": count_if(save), "last_results_view": last(results, d)})
     m = m.withColumn("days_since_first_rule", day_diff("first_rule_saved_date", as_of))
     return (m.filter(c("first_rule_saved_date").isNotNull() & c("last_results_view").isNull()
                      & (c("days_since_first_rule") > min_days))
@@ -282,7 +323,8 @@ def scn_11(src: Sources, as_of, idle_days: int = 30, renewal_days: int = 120,
         "dormancy_pct", c("customer_success_associate_c").alias("csm_id"))
 
 
-def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True) -> DataFrame:
+def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
+           tel: Telemetry | None = None) -> DataFrame:
     """S12 logins in the window without any IL event in it. Grain: telemetry account.
 
     ``only_alerts=False`` keeps every account that logged in, with its true IL
@@ -294,7 +336,12 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True)
               .filter(c("login_days_14d") > 0))
     il_recent = src.il_events.filter(c("tracked_event_name").isNotNull()
                                      & (event_date() >= F.date_sub(as_date(as_of), window_days)))
-    if only_alerts:
+    if only_alerts and tel is not None:
+        did = tel.il.filter(c("last_named_il_event") >= F.date_sub(as_date(as_of), window_days)) \
+            .select(c("account_id").alias("_did"))
+        out = logins.join(did, c("account_id") == c("_did"), "left_anti") \
+            .withColumn("il_events_14d", F.lit(0).cast("long"))
+    elif only_alerts:
         out = never_did(logins, "account_id", il_recent, "account_id")
         out = out.withColumn("il_events_14d", F.lit(0).cast("long"))
     else:
@@ -307,7 +354,8 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True)
                       "il_events_14d", signal.alias("health_signal"), "last_login_date")
 
 
-def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14) -> DataFrame:
+def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14,
+           tel: Telemetry | None = None) -> DataFrame:
     """S13 IL engagement drop. Grain: telemetry account.
 
     Trigger as coded in the source: last save older than ``save_idle_days``,
@@ -315,13 +363,19 @@ def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14) -
     """
     d = event_date()
     save = named(V.IL_SAVE_RULE)
-    m = milestones(src.il_events, "account_id", {
-        "last_rule_save": last(save, d),
-        "last_results_view": last(named(V.IL_RESULTS), d),
-        "last_rule_edit": last(named(V.IL_EDIT_RULE), d),
-        "total_rules_saved": distinct(save),
-        "rules_deleted": distinct(named(V.IL_DELETE_RULE)),
-        "_last_any": last(None, d)}, distinct_col="session_id")
+    if tel is not None:
+        m = tel.il.select("account_id", c("last_rule_saved_date").alias("last_rule_save"),
+                          "last_results_view", "last_rule_edit",
+                          c("save_sessions").alias("total_rules_saved"),
+                          c("delete_sessions").alias("rules_deleted"), c("last_il_event").alias("_last_any"))
+    else:
+        m = milestones(src.il_events, "account_id", {
+            "last_rule_save": last(save, d),
+            "last_results_view": last(named(V.IL_RESULTS), d),
+            "last_rule_edit": last(named(V.IL_EDIT_RULE), d),
+            "total_rules_saved": distinct(save),
+            "rules_deleted": distinct(named(V.IL_DELETE_RULE)),
+            "_last_any": last(None, d)}, distinct_col="session_id")
     m = m.withColumn("days_since_any_il_event", day_diff("_last_any", as_of))
     trig = ((c("last_rule_save").isNotNull() & (day_diff("last_rule_save", as_of) > save_idle_days))
             | (c("last_results_view").isNull() & (c("days_since_any_il_event") > idle_days)))
@@ -332,7 +386,7 @@ def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14) -
 
 def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
            usage_days: int = 30, idle_days: int = 30, max_cases: int = 5,
-           product_pattern: str = V.PRODUCT_LINE_PATTERN) -> DataFrame:
+           product_pattern: str = V.PRODUCT_LINE_PATTERN, tel: Telemetry | None = None) -> DataFrame:
     """S14 pre-renewal health scorecard. Grain: CRM account.
 
     Four signals, each pre-aggregated at account grain over the candidate
@@ -346,9 +400,12 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
              .join(tkeys, c("account_id") == c("_tk"), "left_semi")
              .groupBy(c("account_id").alias("_lk"))
              .agg(F.count_distinct("date").alias("login_days_90d")))
-    il = (src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi")
-          .groupBy(c("account_id").alias("_ik"))
-          .agg(F.count_distinct("session_id").alias("il_sessions_all_time")))
+    if tel is not None:
+        il = tel.il.select(c("account_id").alias("_ik"), c("total_il_sessions").alias("il_sessions_all_time"))
+    else:
+        il = (src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi")
+              .groupBy(c("account_id").alias("_ik"))
+              .agg(F.count_distinct("session_id").alias("il_sessions_all_time")))
     cust = (src.license_customer
             .join(acct.select(c("id").alias("_aid")), c("salesforceid") == c("_aid"), "left_semi")
             .select("customerid", "salesforceid"))
@@ -405,7 +462,7 @@ def scn_15(src: Sources, as_of, window_days: int = 30) -> DataFrame:
 
 
 def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
-           stage: str = V.STAGE_CLOSED_LOST) -> DataFrame:
+           stage: str = V.STAGE_CLOSED_LOST, tel: Telemetry | None = None) -> DataFrame:
     """S16 closed-lost opportunity audit. Grain: opportunity."""
     opp = src.opportunity.filter((c("product_line_c") == product_line) & (c("stage_name") == stage)
                                  & not_deleted())
@@ -413,13 +470,20 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
     base = opp.select(c("id").alias("opportunity_id"), c("account_id").alias("_oa"), "close_date",
                       "win_loss_reason_c", "win_loss_sub_reason_c").join(acct, c("_oa") == c("id"))
     tkeys = base.select("_tk")
-    il = milestones(src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
-                    "account_id", {"ever_used_intelligence_layer": ever(c("tracked_event_name").isNotNull()),
-                                   "ever_saved_rule": ever(named(V.IL_SAVE_RULE))})
-    il = il.withColumnRenamed("account_id", "_ik")
-    rc = (keys_that(src.rc_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
-                    "account_id", named(V.RC_UPLOAD_PAGE))
-          .select(c("account_id").alias("_rk"), F.lit(1).alias("ever_uploaded_report")))
+    if tel is not None:
+        il = tel.il.select(c("account_id").alias("_ik"),
+                           c("il_named").alias("ever_used_intelligence_layer"),
+                           c("saved_rule").alias("ever_saved_rule"))
+        rc = tel.rc.select(c("account_id").alias("_rk"),
+                           c("reached_upload_page").alias("ever_uploaded_report"))
+    else:
+        il = milestones(src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
+                        "account_id", {"ever_used_intelligence_layer": ever(c("tracked_event_name").isNotNull()),
+                                       "ever_saved_rule": ever(named(V.IL_SAVE_RULE))})
+        il = il.withColumnRenamed("account_id", "_ik")
+        rc = (keys_that(src.rc_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
+                        "account_id", named(V.RC_UPLOAD_PAGE))
+              .select(c("account_id").alias("_rk"), F.lit(1).alias("ever_uploaded_report")))
     cust = (src.license_customer.join(base.select(c("id").alias("_aid")),
                                       c("salesforceid") == c("_aid"), "left_semi")
             .select("customerid", "salesforceid"))

@@ -53,9 +53,18 @@ _SCN_ARGS: dict[str, Callable] = {
 }
 
 
+_FRAMES: dict[int, tuple[object, dict[str, DataFrame]]] = {}
+
+
 def scenario_frames(src) -> dict[str, DataFrame]:
-    """All sixteen marts for the test mapping, keyed S1..S16."""
-    return {sid: fn(src) for sid, fn in _SCN_ARGS.items()}
+    """All sixteen marts for the test mapping, keyed S1..S16. Like the roles,
+    these are lazy plans; one set is built per role set and shared by the
+    master view and the reports (nothing is computed or cached here)."""
+    hit = _FRAMES.get(id(src))
+    if hit is None or hit[0] is not src:
+        hit = (src, {sid: fn(src) for sid, fn in _SCN_ARGS.items()})
+        _FRAMES[id(src)] = hit
+    return hit[1]
 
 
 def scenario_sql(sid: str) -> str:
