@@ -10,6 +10,7 @@ caller names (on a cluster: the shared store, never a local disk).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,8 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
 
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
-            events_as_of=None, usage_ref=None, share_telemetry: bool = True) -> DataFrame:
+            events_as_of=None, usage_ref=None, share_telemetry: bool = True,
+            parallel_marts: int = 4) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
     With ``share_telemetry`` the RC and IL logs are each reduced once to
@@ -82,15 +84,26 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
                             il=spark.read.parquet(f"{out_dir}/_profiles/il"))
         builders = default_builders(as_of, events_as_of, usage_ref, tel)
     counts: dict[str, int] = {}
-    for sid in V.SCENARIO_IDS:
-        counts[sid], line = observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)
-        print(line)
+
+    def build(sid: str) -> tuple[str, int, str]:
+        n, line = observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)
+        return sid, n, line
+
+    # The sixteen marts are independent of each other: submit them as
+    # concurrent Spark jobs so small stages of one mart overlap with others.
+    with ThreadPoolExecutor(max_workers=max(1, parallel_marts)) as pool:
+        for sid, n, line in pool.map(build, V.SCENARIO_IDS):
+            counts[sid] = n
+            print(line)
     marts = {sid: spark.read.parquet(f"{out_dir}/{V.MART_TABLES[sid]}") for sid in V.SCENARIO_IDS}
     master = M.master_account(src, marts, as_of)
-    counts["MASTER"], line = observed_write(master, f"{out_dir}/{V.MASTER_TABLE}", "MASTER")
+    alerts = M.alerts_by_stage(marts, telemetry_bridge(src, ("webid",)))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_master = pool.submit(observed_write, master, f"{out_dir}/{V.MASTER_TABLE}", "MASTER")
+        f_alerts = pool.submit(observed_write, alerts, f"{out_dir}/ALERTS_BY_STAGE", "ALERTS")
+        counts["MASTER"], line = f_master.result()
+        f_alerts.result()
     print(line)
-    observed_write(M.alerts_by_stage(marts, telemetry_bridge(src, ("webid",))),
-                   f"{out_dir}/ALERTS_BY_STAGE", "ALERTS")
     written = dict(marts, MASTER=spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}"))
     lineage(spark, written, DEPENDS_ON).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
     return spark.createDataFrame(sorted(counts.items()), "scenario string, rows long")
