@@ -221,3 +221,59 @@ def test_master_rows_and_flags(spark):
     a1 = [r for r in rows if r.sfdc_account_id == "A1"][0]
     assert a1.in_s1_csm_not_assigned and a1.active_scenario_count == 1
     assert all(r.csm_name is None for r in rows)
+
+
+# ---------------------------------------------------------------- options (Q10, Q13, Q26, Q27)
+
+def test_s10_exclusive_windows(spark):
+    ref = dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day, 9)
+    d30 = dt.datetime.combine(AS_OF - dt.timedelta(days=30), dt.time())
+    u = lambda user, t: {"customerid": 10, "assigneduser": user, "lastvalidateddate": t}  # noqa
+    usage = [u(f"u{i}", ts_ago(45)) for i in range(1, 7)] + [u("u1", ref), u("u7", d30)]
+    src = sources(spark, license_usage=usage, license_customer=[customer(10, "A")])
+    incl = S.scn_10(src).first()
+    excl = S.scn_10(src, exclusive=True).first()
+    assert (incl.active_users_prev_30d, excl.active_users_prev_30d) == (7, 6)
+    assert excl.utilization_retention_pct == 33.3
+
+
+def test_s13_spec_semantics(spark):
+    src = sources(spark, il_events=[ev("3", V.IL_SAVE_RULE, 60, "a"), ev("3", V.IL_RESULTS, 30, "b")])
+    assert S.scn_13(src, AS_OF).count() == 0
+    assert ids(S.scn_13(src, AS_OF, spec_semantics=True), "telemetry_account_id") == ["platform:3"]
+
+
+def test_s3_requires_active_license(spark):
+    src = sources(spark, login=[{"account_id": f"platform:{a}", "date": days_ago(1)} for a in ("1", "2")],
+                  license_customer=[customer(1, "A1"), customer(2, "A2")],
+                  license_usage=[{"customerid": 1, "assigneduser": "x", "lastvalidateddate": ts_ago(3)},
+                                 {"customerid": 2, "assigneduser": "x", "lastvalidateddate": ts_ago(40)}])
+    assert ids(S.scn_03(src), "telemetry_account_id") == ["platform:1", "platform:2"]
+    assert ids(S.scn_03(src, require_active_license_days=30, as_of=AS_OF), "telemetry_account_id") == \
+        ["platform:1"]
+
+
+def test_s16_bounded_by_close_date(spark):
+    opp = {"id": "o1", "account_id": "A1", "stage_name": V.STAGE_CLOSED_LOST, "close_date": days_ago(10),
+           "product_line_c": V.PRODUCT_LINE, "_fivetran_deleted": False}
+    opp2 = dict(opp, id="o2", close_date=days_ago(1))
+    u = lambda user, d: {"customerid": 1, "assigneduser": user, "lastvalidateddate": ts_ago(d)}  # noqa
+    src = sources(spark, account=[account("A1")], opportunity=[opp, opp2],
+                  il_events=[ev("A1", V.IL_HOME, 5)], license_customer=[customer(1, "A1")],
+                  license_usage=[u("u1", 20), u("u1", 12), u("u2", 3)])
+    plain = {r.opportunity_id: (r.ever_used_intelligence_layer, r.users_at_churn) for r in S.scn_16(src).collect()}
+    assert plain == {"o1": (1, 2), "o2": (1, 2)}
+    bounded = {r.opportunity_id: (r.ever_used_intelligence_layer, r.users_at_churn, r.last_license_use_date)
+               for r in S.scn_16(src, as_of_close=True).collect()}
+    assert bounded == {"o1": (0, 1, ts_ago(12)), "o2": (1, 2, ts_ago(3))}
+
+
+def test_master_one_row_per_account_and_severity(spark):
+    accts = [account("A1"), account("A2")]
+    custs = [customer(2, "A1"), customer(1, "A1", webid=None)]
+    src = sources(spark, account=accts, license_customer=custs)
+    rows = {r.sfdc_account_id: (r.licensing_customer_id, r.platform_web_id, r.licensing_customers)
+            for r in master_account(src, {}, AS_OF, one_row_per_account=True).collect()}
+    assert rows == {"A1": (1, None, 2), "A2": (None, None, 0)}
+    tiers = spark.createDataFrame([("GREEN",), ("RED",), ("AMBER",)], "risk_tier string")
+    assert [r[0] for r in tiers.orderBy(S.risk_severity()).collect()] == ["RED", "AMBER", "GREEN"]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import as_date, on_or_after, parse_date
@@ -183,16 +183,18 @@ def distinct_entities(usage: DataFrame, key: str, entity: str, flags: dict[str,
 # --------------------------------------------------------------------------
 
 def window_retention(usage: DataFrame, key: str, entity: str, ts: str, ref,
-                     window_days: int = 30) -> DataFrame:
+                     window_days: int = 30, exclusive: bool = False) -> DataFrame:
     """Distinct entities active in ``[ref - w, ..]`` (current) and in
     ``[ref - 2w, ref - w]`` (previous). Both bounds are inclusive, so an
-    event exactly at midnight of ``ref - w`` counts in both windows."""
+    event exactly at midnight of ``ref - w`` counts in both windows (as in the
+    source); ``exclusive=True`` makes the previous window end before it."""
     r = as_date(ref) if not isinstance(ref, Column) else ref
     t = F.col(ts)
-    recent = usage.filter(t >= F.date_sub(r, 2 * window_days))
+    lo, hi = F.date_sub(r, 2 * window_days), F.date_sub(r, window_days)
+    recent = usage.filter(t >= lo)
     return distinct_entities(recent, key, entity, {
-        "curr": t >= F.date_sub(r, window_days),
-        "prev": t.between(F.date_sub(r, 2 * window_days), F.date_sub(r, window_days)),
+        "curr": t >= hi,
+        "prev": (t >= lo) & (t < hi) if exclusive else t.between(lo, hi),
     })
 
 
@@ -221,3 +223,30 @@ def dormancy(keys: DataFrame, key: str | list[str], entity: str, last_used: str,
 
 def recent(df: DataFrame, col: str, as_of, days: int) -> DataFrame:
     return df.filter(on_or_after(col, as_of, days))
+
+
+# --------------------------------------------------------------------------
+# As-of lookups per key without pairing rows
+# --------------------------------------------------------------------------
+
+def running_by_day(facts: DataFrame, probes: DataFrame, key: str, day: str,
+                   sums: list[str] = (), maxes: list[str] = ()) -> DataFrame:
+    """For every probe (key, day): the sum / max of fact measures over all
+    fact days ≤ the probe day, per key.
+
+    ``facts`` must already be reduced to one row per (key, day). Facts and
+    probes are merged per (key, day) and a running window over each key's
+    days answers every probe; the result is joined back to the probes by
+    equality. A window partition holds the key's distinct days, never its
+    raw rows, and no probe is paired with any fact row.
+    """
+    f = facts.select(key, day, *sums, *maxes)
+    p = probes.select(key, day).distinct()
+    for m in list(sums) + list(maxes):
+        p = p.withColumn(m, F.lit(None).cast(f.schema[m].dataType))
+    merged = f.unionByName(p).groupBy(key, day).agg(
+        *[F.sum(m).alias(m) for m in sums], *[F.max(m).alias(m) for m in maxes])
+    w = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = merged.select(key, day, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m) for m in sums],
+                        *[F.max(m).over(w).alias(m) for m in maxes])
+    return run.join(probes.select(key, day).distinct(), [key, day], "left_semi")

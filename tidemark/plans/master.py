@@ -50,6 +50,8 @@ def membership_rows(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFram
             ids = df.select("sfdc_account_id")
         parts.append(ids.filter(c("sfdc_account_id").isNotNull())
                      .select("sfdc_account_id", F.lit(sid).alias("scenario")))
+    if not parts:
+        return bridge.sparkSession.createDataFrame([], "sfdc_account_id string, scenario string")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -65,11 +67,14 @@ def scenario_flags(members: DataFrame, scenario_ids=V.SCENARIO_IDS) -> DataFrame
 
 
 def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
-                   product_pattern: str = V.PRODUCT_LINE_PATTERN) -> DataFrame:
+                   product_pattern: str = V.PRODUCT_LINE_PATTERN,
+                   one_row_per_account: bool = False) -> DataFrame:
     """MST-01: one row per (live, in-product) account × live licensing customer.
 
     As in the source, an account with several licensing customers appears
-    once per customer (``master_uniqueness`` reports such accounts).
+    once per customer (``master_uniqueness`` reports such accounts). With
+    ``one_row_per_account`` the lowest customer id represents the account and
+    a ``licensing_customers`` column counts them (Q21).
     """
     acct = src.account.filter(c("active_product_lines_c").ilike(product_pattern) & not_deleted())
     users = src.user.filter(not_deleted()).select(c("id").alias("_uid"), c("name").alias("csm_name"),
@@ -80,6 +85,11 @@ def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
     cust = src.license_customer.filter(not_deleted()).select(
         c("salesforceid").alias("_lid"), c("customerid").alias("licensing_customer_id"),
         c("webid").alias("platform_web_id"))
+    if one_row_per_account:
+        cust = cust.groupBy("_lid").agg(
+            F.min("licensing_customer_id").alias("licensing_customer_id"),
+            F.min_by("platform_web_id", "licensing_customer_id").alias("platform_web_id"),
+            F.count(F.lit(1)).alias("licensing_customers"))
     flags = scenario_flags(membership_rows(frames, telemetry_bridge(src, ("webid",))))
     j = (acct.join(users, c("_uid") == c("customer_success_associate_c"), "left")
          .join(contract, c("_kid") == c("id"), "left")
@@ -100,7 +110,9 @@ def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
         c("open_support_cases_c").alias("open_support_cases"),
         "licensing_customer_id", "platform_web_id",
         *[F.coalesce(c(f), F.lit(False)).alias(f) for f in flag_cols],
-        flag_sum([F.coalesce(c(f), F.lit(False)) for f in flag_cols]).alias("active_scenario_count"))
+        flag_sum([F.coalesce(c(f), F.lit(False)) for f in flag_cols]).alias("active_scenario_count"),
+        *([F.coalesce("licensing_customers", F.lit(0).cast("long")).alias("licensing_customers")]
+          if one_row_per_account else []))
 
 
 def mart_counts(frames: dict[str, DataFrame], master: DataFrame | None = None) -> DataFrame:

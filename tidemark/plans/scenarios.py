@@ -31,9 +31,9 @@ from tidemark.functions import vocabulary as V
 from tidemark.functions.dates import as_date, day_diff, due_within, feed_as_of, older_than, on_or_after
 from tidemark.functions.predicates import (not_deleted, null_or_empty, pct, ratio, telemetry_key,
                                            tier)
-from tidemark.operators.kernels import (distinct, distinct_entities, dormancy, event_date, ever,
-                                        first, keys_that, last, milestones, named, never_did,
-                                        started_not_completed, window_retention, count_if)
+from tidemark.operators.kernels import (count_if, distinct, dormancy, event_date, ever, first,
+                                        keys_that, last, milestones, named, never_did,
+                                        running_by_day, started_not_completed, window_retention)
 from tidemark.sources.registry import Sources
 
 if TYPE_CHECKING:
@@ -64,6 +64,13 @@ DEFAULT_ORDER: dict[str, list[tuple[str, str]]] = {
 }
 
 
+def risk_severity(col: str = "risk_tier") -> Column:
+    """RED < AMBER < GREEN as 1 < 2 < 3 — ``risk_tier ASC`` alone sorts
+    AMBER, GREEN, RED (Q16); order by this instead to put RED first."""
+    t = F.col(col)
+    return F.when(t == V.TIER_RED, 1).when(t == V.TIER_AMBER, 2).when(t == V.TIER_GREEN, 3).otherwise(4)
+
+
 def order_columns(spec: list[tuple[str, str]]) -> list[Column]:
     """Sort columns with NULLs high (ASC → last, DESC → first)."""
     return [F.col(n).asc_nulls_last() if d == "asc" else F.col(n).desc_nulls_first()
@@ -85,6 +92,22 @@ def _live_customers(src: Sources) -> DataFrame:
     return src.license_customer.filter(not_deleted())
 
 
+def active_license_keys(src: Sources, as_of, days: int = 30) -> DataFrame:
+    """Telemetry keys (``_ak``) of live licensing customers with a license
+    validation in the last ``days`` — the "validated license" condition the
+    S3/S7/S12 descriptions mention and their SQL omits (Q26)."""
+    used = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, days))
+            .select(c("customerid").alias("_uc")).distinct())
+    return (_live_customers(src).join(used, c("customerid") == c("_uc"), "left_semi")
+            .select(telemetry_key("webid").alias("_ak")).filter(c("_ak").isNotNull()).distinct())
+
+
+def _with_active_license(df: DataFrame, src: Sources, as_of, days: int | None) -> DataFrame:
+    if days is None:
+        return df
+    return df.join(active_license_keys(src, as_of, days), c("telemetry_account_id") == c("_ak"), "left_semi")
+
+
 # ----------------------------------------------------------------- onboarding
 
 def scn_01(src: Sources, as_of, min_days: int = 1, status: str = V.CONTRACT_ACTIVATED,
@@ -120,8 +143,11 @@ def scn_02(src: Sources, as_of, min_days: int = 2) -> DataFrame:
         day_diff("dateassigned", as_of).alias("days_since_assigned"), "csm_id")
 
 
-def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = None) -> DataFrame:
-    """S3 logs in but never reached the RC home page. Grain: telemetry account."""
+def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = None,
+           require_active_license_days: int | None = None, as_of=None) -> DataFrame:
+    """S3 logs in but never reached the RC home page. Grain: telemetry account.
+    ``require_active_license_days`` (with ``as_of``) applies the description's
+    validated-license condition."""
     logins = src.login.groupBy("account_id").agg(F.max("date").alias("last_login_date"),
                                                  F.count_distinct("date").alias("total_login_days"))
     if tel is not None and home_event == V.RC_HOME:
@@ -129,8 +155,9 @@ def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = No
         out = logins.join(did, c("account_id") == c("_did"), "left_anti")
     else:
         out = never_did(logins, "account_id", src.rc_events.filter(named(home_event)), "account_id")
-    return out.select(c("account_id").alias("telemetry_account_id"), "last_login_date",
-                      "total_login_days", F.lit(0).alias("ever_reached_rc"))
+    out = out.select(c("account_id").alias("telemetry_account_id"), "last_login_date",
+                     "total_login_days", F.lit(0).alias("ever_reached_rc"))
+    return _with_active_license(out, src, as_of, require_active_license_days)
 
 
 def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk",
@@ -208,7 +235,8 @@ def scn_06(src: Sources, as_of, min_days: int = 5, tel: Telemetry | None = None)
                     c("days_since_first_start").alias("days_since_first_visit"))
 
 
-def scn_07(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None) -> DataFrame:
+def scn_07(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None,
+           require_active_license_days: int | None = None) -> DataFrame:
     """S7 active in RC for N+ days, no IL event ever. Grain: telemetry account."""
     d = event_date()
     if tel is not None:
@@ -223,9 +251,10 @@ def scn_07(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None)
         out = m.join(did, c("account_id") == c("_did"), "left_anti")
     else:
         out = never_did(m, "account_id", src.il_events, "account_id")
-    return out.select(c("account_id").alias("telemetry_account_id"), "first_rc_event",
-                      "last_rc_event", "distinct_rc_events", "days_in_rc",
-                      F.lit(0).cast("long").alias("total_il_events"))
+    out = out.select(c("account_id").alias("telemetry_account_id"), "first_rc_event",
+                     "last_rc_event", "distinct_rc_events", "days_in_rc",
+                     F.lit(0).cast("long").alias("total_il_events"))
+    return _with_active_license(out, src, as_of, require_active_license_days)
 
 
 _S8_COLS = ["visited_il_home", "clicked_il_button", "started_rule", "added_subscriber", "saved_rule",
@@ -269,7 +298,7 @@ def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None)
 # ----------------------------------------------------------------- retention
 
 def scn_10(src: Sources, ref_date=None, window_days: int = 30, min_prev_users: int = 5,
-           max_ratio: float = 0.5) -> DataFrame:
+           max_ratio: float = 0.5, exclusive: bool = False) -> DataFrame:
     """S10 seat utilisation drop: current-window users < ratio × previous.
 
     ``ref_date`` defaults to the latest usage day (a scalar subquery in the
@@ -278,7 +307,7 @@ def scn_10(src: Sources, ref_date=None, window_days: int = 30, min_prev_users: i
     ref = as_date(ref_date) if ref_date is not None else feed_as_of(src.license_usage,
                                                                     "lastvalidateddate")
     u = window_retention(src.license_usage, "customerid", "assigneduser", "lastvalidateddate",
-                         ref, window_days)
+                         ref, window_days, exclusive)
     u = u.filter((c("prev") >= min_prev_users) & (ratio("curr", "prev") < max_ratio))
     j = (u.join(_live_customers(src), "customerid")
          .join(_account_dims(src), c("salesforceid") == c("_aid"), "left"))
@@ -324,7 +353,7 @@ def scn_11(src: Sources, as_of, idle_days: int = 30, renewal_days: int = 120,
 
 
 def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
-           tel: Telemetry | None = None) -> DataFrame:
+           tel: Telemetry | None = None, require_active_license_days: int | None = None) -> DataFrame:
     """S12 logins in the window without any IL event in it. Grain: telemetry account.
 
     ``only_alerts=False`` keeps every account that logged in, with its true IL
@@ -350,12 +379,13 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
                .withColumn("il_events_14d", F.coalesce("_n", F.lit(0)).cast("long")))
     signal = tier([(c("il_events_14d") == 0, V.SIGNAL_LOGIN_ONLY),
                    (c("il_events_14d") < 3, V.SIGNAL_LOW_IL)], V.SIGNAL_HEALTHY)
-    return out.select(c("account_id").alias("telemetry_account_id"), "login_days_14d",
-                      "il_events_14d", signal.alias("health_signal"), "last_login_date")
+    out = out.select(c("account_id").alias("telemetry_account_id"), "login_days_14d",
+                     "il_events_14d", signal.alias("health_signal"), "last_login_date")
+    return _with_active_license(out, src, as_of, require_active_license_days)
 
 
 def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14,
-           tel: Telemetry | None = None) -> DataFrame:
+           tel: Telemetry | None = None, spec_semantics: bool = False) -> DataFrame:
     """S13 IL engagement drop. Grain: telemetry account.
 
     Trigger as coded in the source: last save older than ``save_idle_days``,
@@ -377,8 +407,11 @@ def scn_13(src: Sources, as_of, save_idle_days: int = 60, idle_days: int = 14,
             "rules_deleted": distinct(named(V.IL_DELETE_RULE)),
             "_last_any": last(None, d)}, distinct_col="session_id")
     m = m.withColumn("days_since_any_il_event", day_diff("_last_any", as_of))
-    trig = ((c("last_rule_save").isNotNull() & (day_diff("last_rule_save", as_of) > save_idle_days))
-            | (c("last_results_view").isNull() & (c("days_since_any_il_event") > idle_days)))
+    stale_save = c("last_rule_save").isNotNull() & (day_diff("last_rule_save", as_of) > save_idle_days)
+    if spec_semantics:   # the description: results not viewed in the last ``idle_days``
+        trig = stale_save | c("last_results_view").isNull() | (day_diff("last_results_view", as_of) > idle_days)
+    else:                # the SQL: never viewed and no IL event for ``idle_days``
+        trig = stale_save | (c("last_results_view").isNull() & (c("days_since_any_il_event") > idle_days))
     return m.filter(trig).select(c("account_id").alias("telemetry_account_id"), "last_rule_save",
                                  "last_results_view", "last_rule_edit", "total_rules_saved",
                                  "rules_deleted", "days_since_any_il_event")
@@ -462,14 +495,20 @@ def scn_15(src: Sources, as_of, window_days: int = 30) -> DataFrame:
 
 
 def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
-           stage: str = V.STAGE_CLOSED_LOST, tel: Telemetry | None = None) -> DataFrame:
-    """S16 closed-lost opportunity audit. Grain: opportunity."""
+           stage: str = V.STAGE_CLOSED_LOST, tel: Telemetry | None = None,
+           as_of_close: bool = False) -> DataFrame:
+    """S16 closed-lost opportunity audit. Grain: opportunity.
+
+    ``as_of_close=True`` bounds every fact by the opportunity's close day (the
+    description's "at churn"; the source SQL does not, Q27)."""
     opp = src.opportunity.filter((c("product_line_c") == product_line) & (c("stage_name") == stage)
                                  & not_deleted())
     acct = src.account.filter(not_deleted()).withColumn("_tk", telemetry_key("platform_legacy_id_c"))
     base = opp.select(c("id").alias("opportunity_id"), c("account_id").alias("_oa"), "close_date",
                       "win_loss_reason_c", "win_loss_sub_reason_c").join(acct, c("_oa") == c("id"))
     tkeys = base.select("_tk")
+    if as_of_close:
+        return _s16_at_close(src, base, tkeys)
     if tel is not None:
         il = tel.il.select(c("account_id").alias("_ik"),
                            c("il_named").alias("ever_used_intelligence_layer"),
@@ -505,6 +544,47 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
         F.coalesce("users_at_churn", zero.cast("long")).alias("users_at_churn"))
 
 
+def _s16_at_close(src: Sources, base: DataFrame, tkeys: DataFrame) -> DataFrame:
+    """S16 with facts on or before each opportunity's close day.
+
+    Ever-flags compare the account's *first* occurrence with the close day;
+    users and last use come from ``running_by_day`` over per-(account, day)
+    reductions — an as-of lookup that never pairs opportunities with rows.
+    """
+    d = event_date()
+    il = milestones(src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"), "account_id", {
+        "_first_il": first(c("tracked_event_name").isNotNull(), d),
+        "_first_save": first(named(V.IL_SAVE_RULE), d)}).withColumnRenamed("account_id", "_ik")
+    rc = milestones(src.rc_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"), "account_id", {
+        "_first_upload": first(named(V.RC_UPLOAD_PAGE), d)}).withColumnRenamed("account_id", "_rk")
+    cust = (src.license_customer.join(base.select(c("id").alias("_aid")), c("salesforceid") == c("_aid"),
+                                      "left_semi").select("customerid", "salesforceid"))
+    use = src.license_usage.join(cust, "customerid").withColumn("day", c("lastvalidateddate").cast("date"))
+    new_users = (use.groupBy("salesforceid", "assigneduser").agg(F.min("day").alias("day"))
+                 .filter(c("assigneduser").isNotNull())
+                 .groupBy("salesforceid", "day").agg(F.count(F.lit(1)).alias("users")))
+    last_use = use.groupBy("salesforceid", "day").agg(F.max("lastvalidateddate").alias("last_use"))
+    facts = (new_users.select("salesforceid", "day", "users", F.lit(None).cast("timestamp_ntz").alias("last_use"))
+             .unionByName(last_use.select("salesforceid", "day", F.lit(None).cast("long").alias("users"),
+                                          "last_use")))
+    probes = base.select(c("id").alias("salesforceid"), c("close_date").alias("day"))
+    run = running_by_day(facts, probes, "salesforceid", "day", sums=["users"], maxes=["last_use"])
+    run = run.select(c("salesforceid").alias("_uk"), c("day").alias("_ud"), "users", "last_use")
+    j = (base.join(il, c("_tk") == c("_ik"), "left").join(rc, c("_tk") == c("_rk"), "left")
+         .join(run, (c("id") == c("_uk")) & (c("close_date") == c("_ud")), "left"))
+    by_close = lambda x: F.coalesce((c(x) <= c("close_date")).cast("int"), F.lit(0))
+    return j.select(
+        "opportunity_id", c("name").alias("account_name"), c("id").alias("sfdc_account_id"),
+        c("type").alias("account_type"), c("active_product_lines_c").alias("product_lines"),
+        c("close_date").alias("closed_lost_date"), c("win_loss_reason_c").alias("loss_reason"),
+        c("win_loss_sub_reason_c").alias("loss_sub_reason"),
+        by_close("_first_il").alias("ever_used_intelligence_layer"),
+        by_close("_first_save").alias("ever_saved_rule"),
+        by_close("_first_upload").alias("ever_uploaded_report"),
+        c("last_use").alias("last_license_use_date"),
+        F.coalesce("users", F.lit(0).cast("long")).alias("users_at_churn"))
+
+
 SCENARIOS = {
     "S1": scn_01, "S2": scn_02, "S3": scn_03, "S4": scn_04, "S5": scn_05, "S6": scn_06,
     "S7": scn_07, "S8": scn_08, "S9": scn_09, "S10": scn_10, "S11": scn_11, "S12": scn_12,
