@@ -30,10 +30,11 @@ def refresh_all(spark, sf_dir: str) -> None:
     fresh scratch folder (as on a cluster, to the shared store)."""
     import contextlib
     import io
-    import tempfile
+    import uuid
     from tidemark.plans.refresh import run_all
+    from tidemark.session import checkpoint_dir
     from tidemark.sources.testmap import EVENTS_AS_OF, ORDERS_AS_OF, roles
-    out = tempfile.mkdtemp(prefix="bench-refresh-")
+    out = f"{checkpoint_dir(spark)}/bench-refresh-{uuid.uuid4().hex}"
     with contextlib.redirect_stdout(io.StringIO()):
         run_all(spark, roles(spark, sf_dir), ORDERS_AS_OF, out, events_as_of=EVENTS_AS_OF)
 

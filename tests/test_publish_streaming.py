@@ -93,3 +93,37 @@ def test_shared_telemetry_profiles_equal_direct_marts(spark, scratch):
         got = spark.read.parquet(f"{scratch}/{V.MART_TABLES[sid]}")
         want = direct[sid](src)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, sid
+
+
+def test_export_csv_dated_and_sorted(spark, scratch):
+    import datetime as dt
+    df = S.scn_06(roles(spark, SMOKE), EVENTS_AS_OF)
+    path = PB.export_csv(df, scratch, "S6_schedule_dropoff", dt.date(2024, 1, 31),
+                         order=S.order_columns(S.DEFAULT_ORDER["S6"]))
+    assert path.endswith("S6_schedule_dropoff_20240131")
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == df.count()
+
+
+def test_contract_check_flags_breaking_changes(spark):
+    from tidemark.operators.quality import contract_check
+    from tidemark.sources.schemas import MART_SCHEMAS
+    s6 = S.scn_06(roles(spark, SMOKE), EVENTS_AS_OF)
+    assert all(st == "ok" for *_, st in contract_check(s6, MART_SCHEMAS["S6"]))
+    changed = s6.withColumn("schedule_page_visits", F.col("schedule_page_visits").cast("int")).drop("last_schedule_page_visit")
+    status = {n: st for n, _, _, st in contract_check(changed, MART_SCHEMAS["S6"])}
+    assert status["schedule_page_visits"] == "type_changed" and status["last_schedule_page_visit"] == "missing"
+
+
+def test_every_mart_matches_its_contract(spark):
+    from tidemark.operators.quality import contract_check
+    from tidemark.registry.queries import scenario_frames
+    from tidemark.sources.schemas import MART_SCHEMAS
+    for sid, df in scenario_frames(roles(spark, SMOKE)).items():
+        bad = [r for r in contract_check(df, MART_SCHEMAS[sid]) if r[3] != "ok"]
+        assert not bad, (sid, bad)
+
+
+def test_dry_run_shows_plan_without_running(spark):
+    p = PB.dry_run(S.scn_03(roles(spark, SMOKE)))
+    assert "Physical Plan" in p and "LeftAnti" in p

@@ -412,3 +412,13 @@ SELECT surface, account_id, TRY_CAST(event_time AS DATE) AS event_date, tracked_
   MAX(TRY_CAST(event_time AS TIMESTAMP)) AS last_event_time
 FROM ev GROUP BY 1, 2, 3, 4""")(
     lambda spark, d: (lambda src: event_daily_rollup(src.rc_events, src.il_events))(roles(spark, d)))
+
+
+# JN-11: period lookup through the (size-checked, broadcast) date dimension.
+register("jn_11_date_dim_lookup", f"""WITH dim AS ({_dim_sql(3)})
+SELECT d.fiscal_year, d.fiscal_quarter, COUNT(*) AS orders, COUNT(DISTINCT o.o_custkey) AS customers
+FROM orders o LEFT JOIN dim d ON d.date_day = CAST(o.o_orderdate AS DATE)
+GROUP BY d.fiscal_year, d.fiscal_quarter""")(
+    lambda spark, d: DD.join_dim(read_table(spark, d, "orders"), _orders_dim(spark, d, 3), "o_orderdate")
+    .groupBy("fiscal_year", "fiscal_quarter")
+    .agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers")))

@@ -153,3 +153,58 @@ def q_scn_14_joined(spark, sf_dir):
 def q_scn_16_joined(spark, sf_dir):
     from tidemark.plans.reference_shape import scn_16_joined
     return scn_16_joined(roles(spark, sf_dir))
+
+
+# ------------------------------------------------------ quirk-register options
+
+_S16_AT_CLOSE = """
+SELECT o.id AS opportunity_id, a.name AS account_name, a.id AS sfdc_account_id, a.type AS account_type,
+  a.active_product_lines_c AS product_lines, o.close_date AS closed_lost_date,
+  o.win_loss_reason_c AS loss_reason, o.win_loss_sub_reason_c AS loss_sub_reason,
+  MAX(CASE WHEN il.tracked_event_name IS NOT NULL AND TRY_CAST(il.event_time AS DATE) <= o.close_date
+      THEN 1 ELSE 0 END) AS ever_used_intelligence_layer,
+  MAX(CASE WHEN il.tracked_event_name = 'INTEL | Button to Save Rule Clicked'
+       AND TRY_CAST(il.event_time AS DATE) <= o.close_date THEN 1 ELSE 0 END) AS ever_saved_rule,
+  MAX(CASE WHEN rc.tracked_event_name = 'RC | User on Reports Upload Page'
+       AND TRY_CAST(rc.event_time AS DATE) <= o.close_date THEN 1 ELSE 0 END) AS ever_uploaded_report,
+  MAX(CASE WHEN CAST(d.lastvalidateddate AS DATE) <= o.close_date THEN d.lastvalidateddate END)
+    AS last_license_use_date,
+  COUNT(DISTINCT CASE WHEN CAST(d.lastvalidateddate AS DATE) <= o.close_date THEN d.assigneduser END)
+    AS users_at_churn
+FROM opportunity o
+JOIN account a ON a.id = o.account_id
+LEFT JOIN il_events il ON il.account_id = ('platform:' || a.platform_legacy_id_c)
+LEFT JOIN rc_events rc ON rc.account_id = ('platform:' || a.platform_legacy_id_c)
+LEFT JOIN license_customer c ON c.salesforceid = a.id
+LEFT JOIN license_usage d ON d.customerid = c.customerid
+WHERE o.product_line_c = 'Angles Professional' AND o.stage_name = 'Closed Lost'
+  AND o._fivetran_deleted = FALSE AND a._fivetran_deleted = FALSE
+GROUP BY o.id, a.name, a.id, a.type, a.active_product_lines_c, o.close_date, o.win_loss_reason_c,
+  o.win_loss_sub_reason_c
+"""
+
+register("scn_16_at_close", _S16_AT_CLOSE)(lambda spark, d: S.scn_16(roles(spark, d), as_of_close=True))
+
+register("scn_12_all_signals", f"""
+WITH l AS (SELECT account_id, COUNT(DISTINCT date) AS login_days_14d, MAX(date) AS last_login_date
+  FROM login WHERE date >= {Q.O} - 14 GROUP BY account_id),
+i AS (SELECT account_id, COUNT(*) AS n FROM il_events
+  WHERE tracked_event_name IS NOT NULL AND TRY_CAST(event_time AS DATE) >= {Q.O} - 14 GROUP BY account_id)
+SELECT l.account_id AS telemetry_account_id, l.login_days_14d, COALESCE(i.n, 0) AS il_events_14d,
+  CASE WHEN COALESCE(i.n, 0) = 0 THEN 'login-only risk' WHEN COALESCE(i.n, 0) < 3 THEN 'low IL engagement'
+       ELSE 'healthy' END AS health_signal, l.last_login_date
+FROM l LEFT JOIN i ON i.account_id = l.account_id WHERE l.login_days_14d > 0""")(
+    lambda spark, d: S.scn_12(roles(spark, d), OR, only_alerts=False))
+
+register("scn_13_spec_semantics", Q.SCENARIO_SQL["S13"].replace(
+    "OR (last_results_view IS NULL AND days_since_any_il_event > 14)",
+    f"OR last_results_view IS NULL OR {Q.dd('last_results_view', Q.E)} > 14"))(
+    lambda spark, d: S.scn_13(roles(spark, d), EV, spec_semantics=True))
+
+register("scn_03_active_license", f"""WITH s3 AS ({Q.SCENARIO_SQL['S3'].strip()}),
+ak AS (SELECT DISTINCT 'platform:' || c.webid AS k FROM license_customer c
+  WHERE c._fivetran_deleted = FALSE AND c.webid IS NOT NULL
+    AND EXISTS (SELECT 1 FROM license_usage u WHERE u.customerid = c.customerid
+                AND u.lastvalidateddate >= {Q.O} - 365))
+SELECT * FROM s3 WHERE telemetry_account_id IN (SELECT k FROM ak)""")(
+    lambda spark, d: S.scn_03(roles(spark, d), require_active_license_days=365, as_of=OR))
