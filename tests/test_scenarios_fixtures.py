@@ -277,3 +277,13 @@ def test_master_one_row_per_account_and_severity(spark):
     assert rows == {"A1": (1, None, 2), "A2": (None, None, 0)}
     tiers = spark.createDataFrame([("GREEN",), ("RED",), ("AMBER",)], "risk_tier string")
     assert [r[0] for r in tiers.orderBy(S.risk_severity()).collect()] == ["RED", "AMBER", "GREEN"]
+
+
+def test_s1_one_onboarding_row(spark):
+    src = sources(spark, account=[account("A1", customer_success_associate_c=None)],
+                  contract=[{"contract_id": i, "account_id": "A1", "status": "Activated",
+                             "customer_signed_date": days_ago(3 + i), "_fivetran_deleted": False} for i in range(2)],
+                  onboarding=[{"account_c": "A1", "stage_c": st, "status_c": "x"} for st in ("a", "b", "c")])
+    assert S.scn_01(src, AS_OF).count() == 6
+    rows = S.scn_01(src, AS_OF, one_onboarding_row=True).collect()
+    assert len(rows) == 2 and {r.onboarding_stage for r in rows} == {"c"}

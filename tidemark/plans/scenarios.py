@@ -111,14 +111,20 @@ def _with_active_license(df: DataFrame, src: Sources, as_of, days: int | None) -
 # ----------------------------------------------------------------- onboarding
 
 def scn_01(src: Sources, as_of, min_days: int = 1, status: str = V.CONTRACT_ACTIVATED,
-           product_pattern: str = V.PRODUCT_LINE_PATTERN) -> DataFrame:
-    """S1 CSM assignment overdue. Grain: account × contract × onboarding row."""
+           product_pattern: str = V.PRODUCT_LINE_PATTERN, one_onboarding_row: bool = False) -> DataFrame:
+    """S1 CSM assignment overdue. Grain: account × contract × onboarding row
+    (the source grain, Q17). ``one_onboarding_row=True`` attaches at most one
+    onboarding record per account (the greatest stage/status), so the output
+    grows with contracts only."""
     a = src.account.filter(null_or_empty("customer_success_associate_c")
                            & c("active_product_lines_c").ilike(product_pattern) & not_deleted())
     k = src.contract.filter((c("status") == status) & older_than("customer_signed_date", as_of, min_days)
                             & not_deleted()).select(c("account_id").alias("_caid"),
                                                     "customer_signed_date")
     o = src.onboarding.select(c("account_c").alias("_oaid"), c("stage_c"), c("status_c"))
+    if one_onboarding_row:
+        o = (o.groupBy("_oaid").agg(F.max(F.struct("stage_c", "status_c")).alias("_o"))
+             .select("_oaid", c("_o.stage_c").alias("stage_c"), c("_o.status_c").alias("status_c")))
     j = a.join(k, c("_caid") == c("id")).join(o, c("_oaid") == c("id"), "left")
     return j.select(
         c("name").alias("account_name"), c("id").alias("sfdc_account_id"),
