@@ -23,7 +23,7 @@ def src(spark):
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in p
-    assert "BroadcastNestedLoopJoin" not in p or name == "scn_10"  # one-row scalar ref only
+    assert "BroadcastNestedLoopJoin" not in p
 
 
 @pytest.mark.parametrize("fn", [lambda s: S.scn_03(s), lambda s: S.scn_07(s, EVENTS_AS_OF),
@@ -67,3 +67,12 @@ def test_reference_shape_equals_preaggregated(src):
     for a, b in ((S.scn_14(src, ORDERS_AS_OF), scn_14_joined(src, ORDERS_AS_OF)),
                  (S.scn_16(src), scn_16_joined(src))):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_s10_window_reaches_scan(spark, tmp_path):
+    src = roles(spark, SF001)
+    path = str(tmp_path / "usage")
+    src.license_usage.write.parquet(path)
+    p = plan(S.scn_10(src.with_(license_usage=spark.read.parquet(path)), window_days=180))
+    scan = [ln for ln in p.splitlines() if "PushedFilters" in ln and "lastvalidateddate" in ln]
+    assert scan and "GreaterThanOrEqual(lastvalidateddate" in scan[0]

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
-from tidemark.functions.dates import as_date, day_diff, due_within, feed_as_of, older_than, on_or_after
+from tidemark.functions.dates import (as_date, day_diff, due_within, feed_as_of, feed_as_of_value,
+                                      older_than, on_or_after)
 from tidemark.functions.predicates import (not_deleted, null_or_empty, pct, ratio, telemetry_key,
                                            tier)
 from tidemark.operators.kernels import (count_if, distinct, dormancy, event_date, ever, first,
@@ -304,14 +305,21 @@ def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None)
 # ----------------------------------------------------------------- retention
 
 def scn_10(src: Sources, ref_date=None, window_days: int = 30, min_prev_users: int = 5,
-           max_ratio: float = 0.5, exclusive: bool = False) -> DataFrame:
+           max_ratio: float = 0.5, exclusive: bool = False, lazy_ref: bool = False) -> DataFrame:
     """S10 seat utilisation drop: current-window users < ratio × previous.
 
-    ``ref_date`` defaults to the latest usage day (a scalar subquery in the
-    same plan); pass a date to get a literal that prunes partitions.
+    ``ref_date`` defaults to the latest usage day. It is resolved once, by one
+    small aggregate job, to a literal: the 2 × ``window_days`` filter then
+    prunes date partitions and reaches the scan, and the window bounds do not
+    re-evaluate a subquery per use. ``lazy_ref=True`` keeps it as a scalar
+    subquery inside the plan instead (no job at build time).
     """
-    ref = as_date(ref_date) if ref_date is not None else feed_as_of(src.license_usage,
-                                                                    "lastvalidateddate")
+    if ref_date is not None:
+        ref = as_date(ref_date)
+    elif lazy_ref:
+        ref = feed_as_of(src.license_usage, "lastvalidateddate")
+    else:
+        ref = as_date(feed_as_of_value(src.license_usage, "lastvalidateddate"))
     u = window_retention(src.license_usage, "customerid", "assigneduser", "lastvalidateddate",
                          ref, window_days, exclusive)
     u = u.filter((c("prev") >= min_prev_users) & (ratio("curr", "prev") < max_ratio))

@@ -166,7 +166,8 @@ SELECT user_id,
   COUNT(DISTINCT CASE WHEN ts BETWEEN r - 14 AND r - 7 THEN event_type END) AS prev
 FROM events CROSS JOIN ref WHERE ts >= r - 14 GROUP BY user_id""")(
     lambda spark, d: (lambda ev: window_retention(
-        ev, "user_id", "event_type", "ts", ev.select(F.max("ts").cast("date")).scalar(), 7))(_events(spark, d)))
+        ev, "user_id", "event_type", "ts", ev.agg(F.max("ts").cast("date").alias("r")).first()["r"], 7))(
+        _events(spark, d)))
 
 # ----------------------------------------------------------- windows and sort
 
