@@ -22,6 +22,7 @@ from tidemark.plans import scenarios as S
 from tidemark.plans.telemetry import Telemetry, telemetry_profiles
 from tidemark.publish.publish import lineage, observed_write, write_mart
 from tidemark.sources.registry import Sources
+from tidemark.sources.staging import materialize_sources
 
 # Declared dependencies (what each mart reads), for OPS-02.
 DEPENDS_ON = {
@@ -64,16 +65,20 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
-            parallel_marts: int = 4) -> DataFrame:
+            parallel_marts: int = 4, stage_sources: bool = False) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
-    With ``share_telemetry`` the RC and IL logs are each reduced once to
+    With ``stage_sources`` every role is first written once to
+    ``<out_dir>/_staging`` (roles that are views over raw data are computed
+    once). With ``share_telemetry`` the RC and IL logs are each reduced once to
     per-account profiles, written to ``<out_dir>/_profiles`` and read back
     (lineage cut there), and every scenario reads the profiles.
 
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
     """
+    if stage_sources:
+        src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts)
     if builders is None:
         tel = None
         if share_telemetry:

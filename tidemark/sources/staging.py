@@ -117,3 +117,26 @@ def stage(df: DataFrame, names: dict[str, str] | None = None, types: dict[str, s
     if keys:
         out = dedupe(out, keys)
     return out
+
+
+def materialize_sources(spark, src, root: str, parallel: int = 4):
+    """Write every source role once to ``<root>/<role>`` (Parquet, concurrent
+    jobs) and return a ``Sources`` reading them with the declared schemas.
+
+    A refresh then reads staged tables: roles defined as views over raw data
+    (renames, type fixes, joins to derive keys) are computed once instead of
+    once per consuming mart, and lineage is cut at the staging layer.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.sources.registry import Sources
+    from tidemark.sources.schemas import SOURCE_SCHEMAS
+
+    def write(item):
+        name, df = item
+        df.select(*[F.col(f.name).cast(f.dataType) for f in SOURCE_SCHEMAS[name].fields]) \
+            .write.mode("overwrite").parquet(f"{root}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        list(pool.map(write, src.items()))
+    return Sources.from_parquet(spark, root)
