@@ -287,3 +287,9 @@ def test_s1_one_onboarding_row(spark):
     assert S.scn_01(src, AS_OF).count() == 6
     rows = S.scn_01(src, AS_OF, one_onboarding_row=True).collect()
     assert len(rows) == 2 and {r.onboarding_stage for r in rows} == {"c"}
+
+
+def test_scenario_labels_sort_numerically(spark):
+    from tidemark.plans.master import scenario_order
+    df = spark.createDataFrame([("S10",), ("MASTER",), ("S2",), ("S1",)], "scenario string")
+    assert [r[0] for r in df.orderBy(scenario_order()).collect()] == ["S1", "S2", "S10", "MASTER"]

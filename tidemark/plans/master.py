@@ -115,6 +115,14 @@ def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
           if one_row_per_account else []))
 
 
+def scenario_order(col: str = "scenario") -> F.Column:
+    """SRT-05: numeric order of scenario labels (S1, S2, …, S16, MASTER) —
+    a text sort would put S10 before S2."""
+    labels = V.SCENARIO_IDS + ["MASTER"]
+    rank = F.create_map(*[x for i, sid in enumerate(labels) for x in (F.lit(sid), F.lit(i))])
+    return rank[c(col)]
+
+
 def mart_counts(frames: dict[str, DataFrame], master: DataFrame | None = None) -> DataFrame:
     """RPT-01: (scenario, rows) for every mart, zero-row marts included."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(sid).alias("scenario"), "rows")

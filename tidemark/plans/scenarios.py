@@ -32,7 +32,7 @@ from tidemark.functions.dates import (as_date, day_diff, due_within, feed_as_of,
                                       older_than, on_or_after)
 from tidemark.functions.predicates import (not_deleted, null_or_empty, pct, ratio, telemetry_key,
                                            tier)
-from tidemark.operators.kernels import (count_if, distinct, dormancy, event_date, ever, first,
+from tidemark.operators.kernels import (active_rollup, count_if, distinct, dormancy, event_date, ever, first,
                                         keys_that, last, milestones, named, never_did,
                                         running_by_day, started_not_completed, window_retention)
 from tidemark.sources.registry import Sources
@@ -180,9 +180,8 @@ def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk",
 
 def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None) -> DataFrame:
     """S4 first product use > N days ago, upload page never reached. Grain: licensing customer."""
-    use = src.license_usage.groupBy("customerid").agg(
-        F.min("lastvalidateddate").alias("first_product_use"),
-        F.max("lastvalidateddate").alias("last_product_use"))
+    use = active_rollup(src.license_usage, "customerid", "lastvalidateddate").select(
+        "customerid", c("first_use").alias("first_product_use"), c("last_use").alias("last_product_use"))
     use = use.filter(older_than("first_product_use", as_of, min_days))
     rc = _rc_flags(src, {"clicked_upload": V.RC_UPLOAD_CLICKED,
                          "reached_upload_page": V.RC_UPLOAD_PAGE}, tel=tel)
@@ -204,9 +203,8 @@ def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None)
 
 def scn_05(src: Sources, min_active_days: int = 30, tel: Telemetry | None = None) -> DataFrame:
     """S5 ≥ N active days, none of three secondary features used. Grain: licensing customer."""
-    use = src.license_usage.groupBy("customerid").agg(
-        F.count_distinct(c("lastvalidateddate").cast("date")).alias("active_days"),
-        F.datediff(F.max("lastvalidateddate"), F.min("lastvalidateddate")).alias("active_span_days"))
+    use = active_rollup(src.license_usage, "customerid", "lastvalidateddate").select(
+        "customerid", "active_days", F.datediff("last_use", "first_use").alias("active_span_days"))
     use = use.filter(c("active_days") >= min_active_days)
     rc = _rc_flags(src, {"used_lineos": V.RC_LINEOS, "used_view_all": V.RC_VIEW_ALL,
                          "used_schedule": V.RC_SCHEDULE_PAGE}, tel=tel)
