@@ -12,10 +12,11 @@ Shape rules, applied throughout:
 * "never did X" is a ``left_anti`` join against distinct keys;
 * predicates on the base tables are applied before any join (and age
   predicates are written on the raw column, so they reach the scan);
-* a candidate set that is small by construction (accounts renewing soon,
-  closed-lost opportunities) is semi-joined into the big facts first, so only
-  their rows are aggregated; whether that join is broadcast is left to AQE,
-  which measures the side at run time;
+* a candidate set (accounts renewing soon, closed-lost opportunities) is
+  semi-joined into the big facts first, so only their rows are aggregated;
+  the key set is broadcast only after a bounded count shows it is small
+  (``operators.joins.semi``), which makes the semi join a map-side filter —
+  otherwise it stays a shuffle join;
 * with ``tel=`` (per-account telemetry profiles, ``plans.telemetry``) the
   event logs are not read at all — a full refresh reads each log once.
 """
@@ -35,6 +36,7 @@ from tidemark.functions.predicates import (not_deleted, null_or_empty, pct, rati
 from tidemark.operators.kernels import (active_rollup, count_if, distinct, dormancy, event_date, ever, first,
                                         keys_that, last, milestones, named, never_did,
                                         running_by_day, started_not_completed, window_retention)
+from tidemark.operators.joins import key_set, key_sets, semi
 from tidemark.sources.registry import Sources
 
 if TYPE_CHECKING:
@@ -344,9 +346,8 @@ def scn_11(src: Sources, as_of, idle_days: int = 30, renewal_days: int = 120,
            min_pct: float = 30) -> DataFrame:
     """S11 dormant licensed seats before renewal. Grain: (customer name, CRM account)."""
     acct = _renewing_accounts(src, as_of, renewal_days)
-    cust = (_live_customers(src)
-            .join(acct.select(c("id").alias("_aid")), c("salesforceid") == c("_aid"), "left_semi")
-            .select("customerid", "customername", "salesforceid"))
+    cust = semi(_live_customers(src), key_set(acct, "id"), "salesforceid").select(
+        "customerid", "customername", "salesforceid")
     keys = (src.license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull()
                                    & not_deleted())
             .join(cust, "customerid"))
@@ -440,20 +441,18 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
     """
     acct = _renewing_accounts(src, as_of, renewal_days, product_pattern)
     acct = acct.withColumn("_tk", telemetry_key("platform_legacy_id_c"))
-    tkeys = acct.select(c("_tk"))
+    tkeys, ids = key_sets(acct, "_tk", "id")
     login = (src.login.filter(on_or_after("date", as_of, login_days))
-             .join(tkeys, c("account_id") == c("_tk"), "left_semi")
+             .transform(lambda d: semi(d, tkeys, "account_id"))
              .groupBy(c("account_id").alias("_lk"))
              .agg(F.count_distinct("date").alias("login_days_90d")))
     if tel is not None:
         il = tel.il.select(c("account_id").alias("_ik"), c("total_il_sessions").alias("il_sessions_all_time"))
     else:
-        il = (src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi")
+        il = (semi(src.il_events, tkeys, "account_id")
               .groupBy(c("account_id").alias("_ik"))
               .agg(F.count_distinct("session_id").alias("il_sessions_all_time")))
-    cust = (src.license_customer
-            .join(acct.select(c("id").alias("_aid")), c("salesforceid") == c("_aid"), "left_semi")
-            .select("customerid", "salesforceid"))
+    cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
     users = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, usage_days))
              .join(cust, "customerid")
              .groupBy(c("salesforceid").alias("_uk"))
@@ -491,7 +490,7 @@ def scn_15(src: Sources, as_of, window_days: int = 30) -> DataFrame:
     """S15 maintenance lapsed, product still used. Grain: licensing customer."""
     cu = _live_customers(src).filter(c("onmaintenance") == F.lit(False))
     use = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, window_days))
-           .join(cu.select(c("customerid").alias("_ck")), c("customerid") == c("_ck"), "left_semi")
+           .transform(lambda d: semi(d, key_set(cu, "customerid"), "customerid"))
            .groupBy("customerid")
            .agg(F.max("lastvalidateddate").alias("last_license_validation"),
                 F.count_distinct("assigneduser").alias("users_still_active")))
@@ -518,9 +517,9 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
     acct = src.account.filter(not_deleted()).withColumn("_tk", telemetry_key("platform_legacy_id_c"))
     base = opp.select(c("id").alias("opportunity_id"), c("account_id").alias("_oa"), "close_date",
                       "win_loss_reason_c", "win_loss_sub_reason_c").join(acct, c("_oa") == c("id"))
-    tkeys = base.select("_tk")
+    tkeys, ids = key_sets(base, "_tk", "id")
     if as_of_close:
-        return _s16_at_close(src, base, tkeys)
+        return _s16_at_close(src, base, tkeys, ids)
     if tel is not None:
         il = tel.il.select(c("account_id").alias("_ik"),
                            c("il_named").alias("ever_used_intelligence_layer"),
@@ -528,16 +527,14 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
         rc = tel.rc.select(c("account_id").alias("_rk"),
                            c("reached_upload_page").alias("ever_uploaded_report"))
     else:
-        il = milestones(src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
+        il = milestones(semi(src.il_events, tkeys, "account_id"),
                         "account_id", {"ever_used_intelligence_layer": ever(c("tracked_event_name").isNotNull()),
                                        "ever_saved_rule": ever(named(V.IL_SAVE_RULE))})
         il = il.withColumnRenamed("account_id", "_ik")
-        rc = (keys_that(src.rc_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"),
+        rc = (keys_that(semi(src.rc_events, tkeys, "account_id"),
                         "account_id", named(V.RC_UPLOAD_PAGE))
               .select(c("account_id").alias("_rk"), F.lit(1).alias("ever_uploaded_report")))
-    cust = (src.license_customer.join(base.select(c("id").alias("_aid")),
-                                      c("salesforceid") == c("_aid"), "left_semi")
-            .select("customerid", "salesforceid"))
+    cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
     use = (src.license_usage.join(cust, "customerid")
            .groupBy(c("salesforceid").alias("_uk"))
            .agg(F.max("lastvalidateddate").alias("last_license_use_date"),
@@ -556,7 +553,7 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
         F.coalesce("users_at_churn", zero.cast("long")).alias("users_at_churn"))
 
 
-def _s16_at_close(src: Sources, base: DataFrame, tkeys: DataFrame) -> DataFrame:
+def _s16_at_close(src: Sources, base: DataFrame, tkeys: DataFrame, ids: DataFrame) -> DataFrame:
     """S16 with facts on or before each opportunity's close day.
 
     Ever-flags compare the account's *first* occurrence with the close day;
@@ -564,13 +561,12 @@ def _s16_at_close(src: Sources, base: DataFrame, tkeys: DataFrame) -> DataFrame:
     reductions — an as-of lookup that never pairs opportunities with rows.
     """
     d = event_date()
-    il = milestones(src.il_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"), "account_id", {
+    il = milestones(semi(src.il_events, tkeys, "account_id"), "account_id", {
         "_first_il": first(c("tracked_event_name").isNotNull(), d),
         "_first_save": first(named(V.IL_SAVE_RULE), d)}).withColumnRenamed("account_id", "_ik")
-    rc = milestones(src.rc_events.join(tkeys, c("account_id") == c("_tk"), "left_semi"), "account_id", {
+    rc = milestones(semi(src.rc_events, tkeys, "account_id"), "account_id", {
         "_first_upload": first(named(V.RC_UPLOAD_PAGE), d)}).withColumnRenamed("account_id", "_rk")
-    cust = (src.license_customer.join(base.select(c("id").alias("_aid")), c("salesforceid") == c("_aid"),
-                                      "left_semi").select("customerid", "salesforceid"))
+    cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
     use = src.license_usage.join(cust, "customerid").withColumn("day", c("lastvalidateddate").cast("date"))
     new_users = (use.groupBy("salesforceid", "assigneduser").agg(F.min("day").alias("day"))
                  .filter(c("assigneduser").isNotNull())
