@@ -5,7 +5,6 @@ reaches one task as raw rows."""
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
@@ -59,4 +58,3 @@ def test_aggregation_is_partial_before_shuffle(spark):
     first_exchange = next(i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln)
     # a partial aggregate sits under (after, in tree order) the first shuffle
     assert any("HashAggregate" in ln and "partial_" in ln for ln in lines[first_exchange:])
-    assert pd is not None
