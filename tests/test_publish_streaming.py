@@ -148,3 +148,18 @@ def test_live_rollup_watermarked_stream(spark, scratch):
     total = spark.sql("SELECT SUM(events) AS n FROM live_rollup_test").first()["n"]
     parsed = src.rc_events.filter(R.parse_date("event_time").isNotNull()).count()
     assert total == parsed
+
+
+def test_run_scoped_refresh_is_announced_together(spark, scratch):
+    from tidemark.functions import vocabulary as V
+    from tidemark.plans.refresh import run_all
+    from tidemark.sources.testmap import ORDERS_AS_OF
+    src = roles(spark, SMOKE)
+    run_all(spark, src, ORDERS_AS_OF, scratch, events_as_of=EVENTS_AS_OF, run_id="r1")
+    run_all(spark, src, ORDERS_AS_OF, scratch, events_as_of=EVENTS_AS_OF, run_id="r2")
+    for table in list(V.MART_TABLES.values()) + [V.MASTER_TABLE]:
+        assert PB.current_version(spark, scratch, table)["run_id"] == "r2"
+    diff = {r.measure: r.rows for r in PB.compare_runs(spark, scratch, V.MART_TABLES["S6"]).collect()}
+    assert diff["added_rows"] == 0 and diff["removed_rows"] == 0
+    s6 = PB.read_mart(spark, scratch, V.MART_TABLES["S6"])
+    assert s6.count() == S.scn_06(src, EVENTS_AS_OF).count()

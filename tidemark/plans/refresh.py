@@ -20,7 +20,7 @@ from tidemark.operators.bridge import telemetry_bridge
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
 from tidemark.plans.telemetry import Telemetry, telemetry_profiles
-from tidemark.publish.publish import lineage, observed_write, write_mart
+from tidemark.publish.publish import announce, lineage, observed_write, write_mart
 from tidemark.sources.registry import Sources
 from tidemark.sources.staging import materialize_sources
 
@@ -65,7 +65,8 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
-            parallel_marts: int = 4, stage_sources: bool = False) -> DataFrame:
+            parallel_marts: int = 4, stage_sources: bool = False,
+            run_id: str | None = None) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
     With ``stage_sources`` every role is first written once to
@@ -74,9 +75,18 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     per-account profiles, written to ``<out_dir>/_profiles`` and read back
     (lineage cut there), and every scenario reads the profiles.
 
+    With ``run_id`` everything is written under ``<out_dir>/run_id=<id>`` and
+    announced in ``<out_dir>/_manifest`` only after every mart, the master
+    view and the report succeeded — all marts in one append — so
+    readers (``publish.read_mart``) switch from one complete refresh to the
+    next and never see a mix of old and new marts.
+
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
     """
+    root = out_dir
+    if run_id is not None:
+        out_dir = f"{root}/run_id={run_id}"
     if stage_sources:
         src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts)
     if builders is None:
@@ -111,4 +121,7 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     print(line)
     written = dict(marts, MASTER=spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}"))
     lineage(spark, written, DEPENDS_ON).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
+    if run_id is not None:
+        tables = dict(V.MART_TABLES, MASTER=V.MASTER_TABLE)
+        announce(spark, root, run_id, {tables[k]: (f"{out_dir}/{tables[k]}", n) for k, n in counts.items()})
     return spark.createDataFrame(sorted(counts.items()), "scenario string, rows long")

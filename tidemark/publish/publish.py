@@ -1,10 +1,12 @@
 """Sinks, versioned publishing and reads (SNK-01..03, SRC-06, OPS-02..05, FLT-13).
 
 Publishing never overwrites what readers use. A mart version is written to
-its own folder ``<root>/<mart>/run_id=<id>``, validated there, and only then
-announced by appending one row to ``<root>/<mart>/_manifest``. Readers pick
-the newest announced version, so a crash between write and announce leaves
-the previous version in service, and a half-written folder is never read.
+its own folder (``<root>/<mart>/run_id=<id>``, or a refresh's run folder),
+validated there, and only then announced by appending to the manifest table
+``<root>/_manifest``. A whole refresh is announced in one append, so its
+marts switch together. Readers pick the newest announced version, so a
+crash between write and announce leaves the previous version in service, and
+a half-written folder is never read.
 Everything is plain Parquet on the shared store; no local disk is used.
 """
 
@@ -81,16 +83,39 @@ def publish(spark: SparkSession, df: DataFrame, root: str, mart: str,
     written = spark.read.parquet(path)
     if validate is not None and not validate(written):
         raise ValueError(f"validation failed for {mart} run {run_id}; not published")
-    row = {"mart": mart, "run_id": run_id, "path": path, "rows": rows,
-           "published_at": dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)}
-    spark.createDataFrame([row], MANIFEST_SCHEMA).write.mode("append").parquet(f"{root}/{mart}/_manifest")
-    return row
+    announce(spark, root, run_id, {mart: (path, rows)})
+    return {"mart": mart, "run_id": run_id, "path": path, "rows": rows}
+
+
+def announce(spark: SparkSession, root: str, run_id: str, marts: dict[str, tuple[str, int]]) -> None:
+    """Publish already-written marts together: one manifest row per mart,
+    same timestamp, written as a single one-file append (a few rows of
+    metadata) after every mart exists — all switch, or none does."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    rows = [{"mart": m, "run_id": run_id, "path": p, "rows": n, "published_at": now}
+            for m, (p, n) in marts.items()]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
+
+
+def versions(spark: SparkSession, root: str, mart: str) -> DataFrame:
+    """All announced versions of a mart, newest first."""
+    return (spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/_manifest").filter(c("mart") == mart)
+            .orderBy(c("published_at").desc(), c("run_id").desc()))
+
+
+def compare_runs(spark: SparkSession, root: str, mart: str) -> DataFrame:
+    """QLT-06 across refreshes: the newest announced version of a mart vs the
+    one before it (row counts, rows added and removed)."""
+    from tidemark.operators.quality import snapshot_diff
+    top = versions(spark, root, mart).limit(2).collect()
+    if len(top) < 2:
+        raise ValueError(f"{mart} has fewer than two announced versions")
+    return snapshot_diff(spark.read.parquet(top[1]["path"]), spark.read.parquet(top[0]["path"]))
 
 
 def current_version(spark: SparkSession, root: str, mart: str) -> dict | None:
     """Newest announced version of a mart (manifest rows are tiny)."""
-    m = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/{mart}/_manifest")
-    top = m.orderBy(c("published_at").desc(), c("run_id").desc()).limit(1).collect()
+    top = versions(spark, root, mart).limit(1).collect()
     return top[0].asDict() if top else None
 
 
