@@ -33,36 +33,52 @@ def register(name: str, sql: str | None = None):
 # items over seven years), so 30-day windows hold too few users; 180 is used.
 S10_WINDOW = 180
 
-_SCN_ARGS: dict[str, Callable] = {
-    "S1": lambda src: S.scn_01(src, OR),
-    "S2": lambda src: S.scn_02(src, OR),
-    "S3": lambda src: S.scn_03(src),
-    "S4": lambda src: S.scn_04(src, OR),
-    "S5": lambda src: S.scn_05(src),
-    "S6": lambda src: S.scn_06(src, EV),
-    "S7": lambda src: S.scn_07(src, EV),
-    "S8": lambda src: S.scn_08(src),
-    "S9": lambda src: S.scn_09(src, EV),
-    "S10": lambda src: S.scn_10(src, window_days=S10_WINDOW),
-    "S11": lambda src: S.scn_11(src, OR),
-    "S12": lambda src: S.scn_12(src, OR),
-    "S13": lambda src: S.scn_13(src, EV),
-    "S14": lambda src: S.scn_14(src, OR),
-    "S15": lambda src: S.scn_15(src, OR),
-    "S16": lambda src: S.scn_16(src),
-}
-
+def _builders(tel=None) -> dict[str, Callable]:
+    """Scenario builders for the test mapping; with ``tel`` the telemetry
+    scenarios read the shared per-account profiles instead of the logs."""
+    return {
+        "S1": lambda src: S.scn_01(src, OR),
+        "S2": lambda src: S.scn_02(src, OR),
+        "S3": lambda src: S.scn_03(src, tel=tel),
+        "S4": lambda src: S.scn_04(src, OR, tel=tel),
+        "S5": lambda src: S.scn_05(src, tel=tel),
+        "S6": lambda src: S.scn_06(src, EV, tel=tel),
+        "S7": lambda src: S.scn_07(src, EV, tel=tel),
+        "S8": lambda src: S.scn_08(src, tel=tel),
+        "S9": lambda src: S.scn_09(src, EV, tel=tel),
+        "S10": lambda src: S.scn_10(src, window_days=S10_WINDOW),
+        "S11": lambda src: S.scn_11(src, OR),
+        "S12": lambda src: S.scn_12(src, OR, tel=tel),
+        "S13": lambda src: S.scn_13(src, EV, tel=tel),
+        "S14": lambda src: S.scn_14(src, OR, tel=tel),
+        "S15": lambda src: S.scn_15(src, OR),
+        "S16": lambda src: S.scn_16(src, tel=tel),
+    }
+
+
+_SCN_ARGS: dict[str, Callable] = _builders()
 
 _FRAMES: dict[int, tuple[object, dict[str, DataFrame]]] = {}
 
 
 def scenario_frames(src) -> dict[str, DataFrame]:
-    """All sixteen marts for the test mapping, keyed S1..S16. Like the roles,
-    these are lazy plans; one set is built per role set and shared by the
-    master view and the reports (nothing is computed or cached here)."""
+    """All sixteen marts for the test mapping, keyed S1..S16, for the master
+    view and the reports.
+
+    The RC and IL logs are reduced once to per-account telemetry profiles and
+    cut off with ``checkpoint()`` (into the session's ``spark.checkpoint.dir``):
+    inside one lazy plan every scenario would otherwise prune a shared profile
+    differently and scan the logs again. One set of frames is built per role
+    set and shared by the queries of the session.
+    """
     hit = _FRAMES.get(id(src))
     if hit is None or hit[0] is not src:
-        hit = (src, {sid: fn(src) for sid, fn in _SCN_ARGS.items()})
+        from tidemark.plans.telemetry import Telemetry, telemetry_profiles
+        from tidemark.session import checkpoint_dir
+        checkpoint_dir(src.account.sparkSession)
+        prof = telemetry_profiles(src)
+        tel = Telemetry(rc=prof.rc.checkpoint(), il=prof.il.checkpoint())
+        hit = (src, {sid: fn(src) for sid, fn in _builders(tel).items()})
         _FRAMES[id(src)] = hit
     return hit[1]
 

@@ -44,13 +44,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage). Only when
-    it is unset — local runs and tests — a scratch folder is created and
-    registered, so that ``DataFrame.checkpoint()`` works.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage) or the
+    directory already registered on the context. Only when neither is set —
+    local runs and tests — a scratch folder is created and registered, so
+    that ``DataFrame.checkpoint()`` works. (``spark.checkpoint.dir`` itself
+    cannot be changed at run time.)
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
