@@ -51,3 +51,17 @@ def test_join_dim_broadcasts_only_within_bound(spark):
     assert "strategy=broadcast" in dry_run(DD.join_dim(orders, dim, "o_orderdate"), "extended")
     big = DD.join_dim(orders, dim, "o_orderdate", max_days=10)
     assert "strategy=broadcast" not in dry_run(big, "extended")
+
+
+def test_day_partitioned_staging_prunes_windows(spark, scratch):
+    from tidemark.sources.staging import materialize_sources
+    from tidemark.sources.testmap import ORDERS_AS_OF
+    src = roles(spark, SMOKE)
+    staged = materialize_sources(spark, src, f"{scratch}/staged", partition_by_day=True)
+    for build in (lambda s: S.scn_15(s, ORDERS_AS_OF), lambda s: S.scn_14(s, ORDERS_AS_OF),
+                  lambda s: S.scn_12(s, ORDERS_AS_OF), lambda s: S.scn_10(s, window_days=180)):
+        a, b = build(src), build(staged)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    p = dry_run(S.scn_15(staged, ORDERS_AS_OF), "simple")
+    scan = [ln for ln in p.splitlines() if "license_usage" in ln and "PartitionFilters" in ln]
+    assert scan and "usage_day" in scan[0].split("PartitionFilters:")[1].split("]")[0]

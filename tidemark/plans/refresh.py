@@ -65,13 +65,13 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
-            parallel_marts: int = 4, stage_sources: bool = False,
+            parallel_marts: int = 4, stage_sources: bool = False, partition_by_day: bool = True,
             run_id: str | None = None) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
     With ``stage_sources`` every role is first written once to
     ``<out_dir>/_staging`` (roles that are views over raw data are computed
-    once). With ``share_telemetry`` the RC and IL logs are each reduced once to
+    once; usage and logins partitioned by day, so lookback windows prune). With ``share_telemetry`` the RC and IL logs are each reduced once to
     per-account profiles, written to ``<out_dir>/_profiles`` and read back
     (lineage cut there), and every scenario reads the profiles.
 
@@ -88,7 +88,8 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     if run_id is not None:
         out_dir = f"{root}/run_id={run_id}"
     if stage_sources:
-        src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts)
+        src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts,
+                                  partition_by_day=partition_by_day)
     if builders is None:
         tel = None
         if share_telemetry:

@@ -99,7 +99,7 @@ def active_license_keys(src: Sources, as_of, days: int = 30) -> DataFrame:
     """Telemetry keys (``_ak``) of live licensing customers with a license
     validation in the last ``days`` — the "validated license" condition the
     S3/S7/S12 descriptions mention and their SQL omits (Q26)."""
-    used = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, days))
+    used = (src.since("license_usage", "lastvalidateddate", as_of, days)
             .select(c("customerid").alias("_uc")).distinct())
     return (_live_customers(src).join(used, c("customerid") == c("_uc"), "left_semi")
             .select(telemetry_key("webid").alias("_ak")).filter(c("_ak").isNotNull()).distinct())
@@ -372,7 +372,7 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
     ``only_alerts=False`` keeps every account that logged in, with its true IL
     event count and the three-way health signal.
     """
-    logins = (src.login.filter(on_or_after("date", as_of, window_days))
+    logins = (src.since("login", "date", as_of, window_days)
               .groupBy("account_id").agg(F.count_distinct("date").alias("login_days_14d"),
                                          F.max("date").alias("last_login_date"))
               .filter(c("login_days_14d") > 0))
@@ -442,7 +442,7 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
     acct = _renewing_accounts(src, as_of, renewal_days, product_pattern)
     acct = acct.withColumn("_tk", telemetry_key("platform_legacy_id_c"))
     tkeys, ids = key_sets(acct, "_tk", "id")
-    login = (src.login.filter(on_or_after("date", as_of, login_days))
+    login = (src.since("login", "date", as_of, login_days)
              .transform(lambda d: semi(d, tkeys, "account_id"))
              .groupBy(c("account_id").alias("_lk"))
              .agg(F.count_distinct("date").alias("login_days_90d")))
@@ -453,7 +453,7 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
               .groupBy(c("account_id").alias("_ik"))
               .agg(F.count_distinct("session_id").alias("il_sessions_all_time")))
     cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
-    users = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, usage_days))
+    users = (src.since("license_usage", "lastvalidateddate", as_of, usage_days)
              .join(cust, "customerid")
              .groupBy(c("salesforceid").alias("_uk"))
              .agg(F.count_distinct("assigneduser").alias("active_licensed_users_30d")))
@@ -489,7 +489,7 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
 def scn_15(src: Sources, as_of, window_days: int = 30) -> DataFrame:
     """S15 maintenance lapsed, product still used. Grain: licensing customer."""
     cu = _live_customers(src).filter(c("onmaintenance") == F.lit(False))
-    use = (src.license_usage.filter(on_or_after("lastvalidateddate", as_of, window_days))
+    use = (src.since("license_usage", "lastvalidateddate", as_of, window_days)
            .transform(lambda d: semi(d, key_set(cu, "customerid"), "customerid"))
            .groupBy("customerid")
            .agg(F.max("lastvalidateddate").alias("last_license_validation"),

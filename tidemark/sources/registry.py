@@ -8,12 +8,16 @@ each scan of the final plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.schemas import SOURCE_SCHEMAS
 
+ROLES = tuple(SOURCE_SCHEMAS)
+
 
 @dataclass(frozen=True)
 class Sources:
@@ -28,23 +32,48 @@ class Sources:
     opportunity: DataFrame
     onboarding: DataFrame
     user: DataFrame
+    # role -> (time column, day-partition column) for facts stored partitioned
+    # by day; window filters then also prune partitions (see ``since``).
+    day_partitions: dict = field(default_factory=dict)
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, names: dict[str, str]) -> "Sources":
+    def from_tables(cls, spark: SparkSession, names: dict[str, str],
+                    day_partitions: dict | None = None) -> "Sources":
         """Catalog tables, e.g. ``{"account": "crm.salesforce.account", ...}``."""
-        return cls(**{f.name: _lower(spark.read.table(names[f.name])) for f in fields(cls)})
+        return cls(**{r: _lower(spark.read.table(names[r])) for r in ROLES},
+                   day_partitions=dict(day_partitions or {}))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> "Sources":
-        """One Parquet folder per role under ``root``, read with the declared schema."""
-        return cls(**{f.name: spark.read.schema(SOURCE_SCHEMAS[f.name]).parquet(f"{root}/{f.name}")
-                      for f in fields(cls)})
+    def from_parquet(cls, spark: SparkSession, root: str, day_partitions: dict | None = None) -> "Sources":
+        """One Parquet folder per role under ``root``, read with the declared
+        schema (plus the day-partition column where one is declared)."""
+        day_partitions = dict(day_partitions or {})
+        frames = {}
+        for r in ROLES:
+            schema = SOURCE_SCHEMAS[r]
+            if r in day_partitions:
+                schema = T.StructType(schema.fields + [T.StructField(day_partitions[r][1], T.DateType())])
+            frames[r] = spark.read.schema(schema).parquet(f"{root}/{r}")
+        return cls(**frames, day_partitions=day_partitions)
 
     def with_(self, **kw) -> "Sources":
         return replace(self, **kw)
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(r, getattr(self, r)) for r in ROLES]
+
+    def since(self, role: str, col: str, as_of, days: int) -> DataFrame:
+        """Rows of ``role`` with ``col >= as_of - days`` (a timestamp compared
+        with midnight). For a fact stored partitioned by day the same bound
+        is put on the partition column, so whole partitions are pruned."""
+        from tidemark.functions.dates import as_date
+        lo = F.date_sub(as_date(as_of), days)
+        df = getattr(self, role).filter(F.col(col) >= lo)
+        if role in self.day_partitions:
+            ts_col, day_col = self.day_partitions[role]
+            if ts_col == col and day_col != col:
+                df = df.filter(F.col(day_col) >= lo)
+        return df
 
 
 def _lower(df: DataFrame) -> DataFrame:

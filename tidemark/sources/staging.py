@@ -119,24 +119,38 @@ def stage(df: DataFrame, names: dict[str, str] | None = None, types: dict[str, s
     return out
 
 
-def materialize_sources(spark, src, root: str, parallel: int = 4):
+# Facts written partitioned by day when staging with ``partition_by_day``:
+# role -> (time column, day-partition column).
+DAY_PARTITIONED = {"license_usage": ("lastvalidateddate", "usage_day"), "login": ("date", "login_day")}
+
+
+def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_day: bool = False):
     """Write every source role once to ``<root>/<role>`` (Parquet, concurrent
     jobs) and return a ``Sources`` reading them with the declared schemas.
 
     A refresh then reads staged tables: roles defined as views over raw data
     (renames, type fixes, joins to derive keys) are computed once instead of
-    once per consuming mart, and lineage is cut at the staging layer.
+    once per consuming mart, and lineage is cut at the staging layer. With
+    ``partition_by_day`` the usage and login facts are partitioned by day, so
+    the scenarios' lookback windows prune partitions (``Sources.since``).
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from tidemark.sources.registry import Sources
     from tidemark.sources.schemas import SOURCE_SCHEMAS
 
+    parts = DAY_PARTITIONED if partition_by_day else {}
+
     def write(item):
         name, df = item
-        df.select(*[F.col(f.name).cast(f.dataType) for f in SOURCE_SCHEMAS[name].fields]) \
-            .write.mode("overwrite").parquet(f"{root}/{name}")
+        out = df.select(*[F.col(f.name).cast(f.dataType) for f in SOURCE_SCHEMAS[name].fields])
+        w = out.write.mode("overwrite")
+        if name in parts:
+            ts_col, day_col = parts[name]
+            out = out.withColumn(day_col, F.col(ts_col).cast("date"))
+            w = out.repartition(day_col).write.mode("overwrite").partitionBy(day_col)
+        w.parquet(f"{root}/{name}")
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         list(pool.map(write, src.items()))
-    return Sources.from_parquet(spark, root)
+    return Sources.from_parquet(spark, root, day_partitions=parts)
