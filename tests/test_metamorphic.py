@@ -30,8 +30,11 @@ def test_shifting_dates_keeps_membership(spark):
         return df.withColumn("event_time", F.when(t.isNull(), F.col("event_time"))
                              .otherwise(F.date_format(t + F.expr(f"INTERVAL {k} DAYS"), "yyyy-MM-dd HH:mm:ss")))
 
-    moved = src.with_(rc_events=shift(src.rc_events))
+    moved = src.with_(rc_events=shift(src.rc_events), il_events=shift(src.il_events))
+    later = EVENTS_AS_OF + dt.timedelta(days=k)
     a = rows(S.scn_06(src, EVENTS_AS_OF).select("telemetry_account_id", "schedule_page_visits"))
-    b = rows(S.scn_06(moved, EVENTS_AS_OF + dt.timedelta(days=k))
-             .select("telemetry_account_id", "schedule_page_visits"))
+    b = rows(S.scn_06(moved, later).select("telemetry_account_id", "schedule_page_visits"))
     assert a == b
+    for build in (lambda s, d: S.scn_09(s, d), lambda s, d: S.scn_13(s, d, 20, 14)):
+        ids = lambda df: sorted(r[0] for r in df.select("telemetry_account_id").collect())
+        assert ids(build(src, EVENTS_AS_OF)) == ids(build(moved, later))

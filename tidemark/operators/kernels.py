@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import as_date, on_or_after, parse_date
+from tidemark.functions.dates import as_date, parse_date
 
 
 # --------------------------------------------------------------------------
@@ -217,14 +217,6 @@ def dormancy(keys: DataFrame, key: str | list[str], entity: str, last_used: str,
     )
 
 
-# --------------------------------------------------------------------------
-# Window helpers used by several scenarios
-# --------------------------------------------------------------------------
-
-def recent(df: DataFrame, col: str, as_of, days: int) -> DataFrame:
-    return df.filter(on_or_after(col, as_of, days))
-
-
 # --------------------------------------------------------------------------
 # As-of lookups per key without pairing rows
 # --------------------------------------------------------------------------
