@@ -163,3 +163,8 @@ def test_run_scoped_refresh_is_announced_together(spark, scratch):
     assert diff["added_rows"] == 0 and diff["removed_rows"] == 0
     s6 = PB.read_mart(spark, scratch, V.MART_TABLES["S6"])
     assert s6.count() == S.scn_06(src, EVENTS_AS_OF).count()
+
+
+def test_lineage_collapses_partition_files():
+    assert PB.table_root("s3://b/marts/usage/usage_day=2024-01-01/part-0001.parquet") == "s3://b/marts/usage"
+    assert PB.table_root("/data/orders.parquet/part-0.parquet") == "/data/orders.parquet"

@@ -148,12 +148,22 @@ def page(df: DataFrame, filters: Column | None = None, order_by: list[Column] |
 
 # ------------------------------------------------------------- lineage, PII
 
+def table_root(path: str) -> str:
+    """A data file's table folder: the file name and any ``key=value``
+    partition folders removed."""
+    parts = path.rstrip("/").split("/")[:-1]
+    while parts and "=" in parts[-1]:
+        parts.pop()
+    return "/".join(parts)
+
+
 def lineage(spark: SparkSession, marts: dict[str, DataFrame], depends_on: dict[str, list[str]]) -> DataFrame:
-    """OPS-02: (mart, kind, name) — the files each mart reads and the marts it
-    is declared to depend on."""
+    """OPS-02: (mart, kind, name) — the tables each mart reads (file listings
+    collapsed to table folders, so a day-partitioned source is one row, not
+    one per file) and the marts it is declared to depend on."""
     rows = []
     for name, df in marts.items():
-        rows += [(name, "input_file", f) for f in df.inputFiles()]
+        rows += [(name, "input_table", t) for t in sorted({table_root(f) for f in df.inputFiles()})]
         rows += [(name, "depends_on", d) for d in depends_on.get(name, [])]
     return spark.createDataFrame(rows, "mart string, kind string, name string")
 
