@@ -168,3 +168,22 @@ def test_run_scoped_refresh_is_announced_together(spark, scratch):
 def test_lineage_collapses_partition_files():
     assert PB.table_root("s3://b/marts/usage/usage_day=2024-01-01/part-0001.parquet") == "s3://b/marts/usage"
     assert PB.table_root("/data/orders.parquet/part-0.parquet") == "/data/orders.parquet"
+
+
+def test_restage_days_replaces_only_touched_partitions(spark, scratch):
+    src = roles(spark, SMOKE)
+    usage_path = f"{scratch}/st/license_usage"
+    (src.license_usage.withColumn("usage_day", F.col("lastvalidateddate").cast("date"))
+     .write.partitionBy("usage_day").parquet(usage_path))
+    before = spark.read.parquet(usage_path)
+    day = before.groupBy("usage_day").count().orderBy(F.col("count").desc(), "usage_day").first()["usage_day"]
+    other = before.filter(F.col("usage_day") != day).count()
+    late = spark.createDataFrame([(999999, "late-user", None)], "customerid long, assigneduser string, lastvalidateddate timestamp_ntz") \
+        .withColumn("lastvalidateddate", F.lit(day).cast("timestamp_ntz"))
+    new_source = src.license_usage.unionByName(late)
+    touched = late.select(F.col("lastvalidateddate").cast("date").alias("usage_day"))
+    R.restage_days(new_source, usage_path, "lastvalidateddate", "usage_day", touched)
+    after = spark.read.parquet(usage_path)
+    assert after.filter(F.col("usage_day") != day).count() == other
+    assert after.filter(F.col("usage_day") == day).count() == src.license_usage.filter(
+        F.col("lastvalidateddate").cast("date") == day).count() + 1

@@ -98,3 +98,20 @@ def merge_milestones(state: DataFrame, batch: DataFrame, key: str,
     return both.groupBy(key).agg(*[F.max(x).alias(x) for x in ever_cols],
                                  *[F.min(x).alias(x) for x in first_cols],
                                  *[F.max(x).alias(x) for x in last_cols])
+
+
+def restage_days(source: DataFrame, target: str, time_col: str, day_col: str,
+                 touched: DataFrame) -> None:
+    """STR-02: late data for a day-partitioned staged fact.
+
+    ``touched`` holds the days (column ``day_col``) that late rows landed on
+    — e.g. the distinct days of the latest raw batch. Those days are
+    recomputed from the source and replaced with dynamic partition overwrite;
+    every other day partition stays as it is. Nothing is dropped for being
+    late, and a rerun rewrites the same partitions (idempotent).
+    """
+    days = touched.select(F.col(day_col).alias("_d")).distinct()
+    rows = (source.withColumn(day_col, F.col(time_col).cast("date"))
+            .join(days, F.col(day_col) == F.col("_d"), "left_semi"))
+    (rows.repartition(day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(day_col).parquet(target))
