@@ -65,3 +65,7 @@ def test_day_partitioned_staging_prunes_windows(spark, scratch):
     p = dry_run(S.scn_15(staged, ORDERS_AS_OF), "simple")
     scan = [ln for ln in p.splitlines() if "license_usage" in ln and "PartitionFilters" in ln]
     assert scan and "usage_day" in scan[0].split("PartitionFilters:")[1].split("]")[0]
+    p12 = dry_run(S.scn_12(staged, ORDERS_AS_OF), "simple")
+    il_scan = [ln for ln in p12.splitlines() if "il_events" in ln and "PartitionFilters" in ln]
+    assert il_scan and "event_day" in il_scan[0].split("PartitionFilters:")[1].split("]")[0]
+    assert S.scn_06(staged, EVENTS_AS_OF).exceptAll(S.scn_06(src, EVENTS_AS_OF)).count() == 0

@@ -376,8 +376,10 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
               .groupBy("account_id").agg(F.count_distinct("date").alias("login_days_14d"),
                                          F.max("date").alias("last_login_date"))
               .filter(c("login_days_14d") > 0))
-    il_recent = src.il_events.filter(c("tracked_event_name").isNotNull()
-                                     & (event_date() >= F.date_sub(as_date(as_of), window_days)))
+    lo = F.date_sub(as_date(as_of), window_days)
+    il_recent = src.il_events.filter(c("tracked_event_name").isNotNull() & (event_date() >= lo))
+    if "il_events" in src.day_partitions:     # stored by parsed event day: prune partitions
+        il_recent = il_recent.filter(c(src.day_partitions["il_events"][1]) >= lo)
     if only_alerts and tel is not None:
         did = tel.il.filter(c("last_named_il_event") >= F.date_sub(as_date(as_of), window_days)) \
             .select(c("account_id").alias("_did"))

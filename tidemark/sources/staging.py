@@ -121,7 +121,15 @@ def stage(df: DataFrame, names: dict[str, str] | None = None, types: dict[str, s
 
 # Facts written partitioned by day when staging with ``partition_by_day``:
 # role -> (time column, day-partition column).
-DAY_PARTITIONED = {"license_usage": ("lastvalidateddate", "usage_day"), "login": ("date", "login_day")}
+DAY_PARTITIONED = {"license_usage": ("lastvalidateddate", "usage_day"), "login": ("date", "login_day"),
+                   "rc_events": ("event_time", "event_day"), "il_events": ("event_time", "event_day")}
+
+
+def day_of(col: str, df: DataFrame) -> Column:
+    """The day of a time column: a cast for dates and timestamps, the lenient
+    parser for free text (junk → NULL day, stored in the NULL partition)."""
+    t = df.schema[col].dataType.simpleString()
+    return parse_date(c(col)) if t == "string" else c(col).cast("date")
 
 
 def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_day: bool = False):
@@ -131,8 +139,8 @@ def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_d
     A refresh then reads staged tables: roles defined as views over raw data
     (renames, type fixes, joins to derive keys) are computed once instead of
     once per consuming mart, and lineage is cut at the staging layer. With
-    ``partition_by_day`` the usage and login facts are partitioned by day, so
-    the scenarios' lookback windows prune partitions (``Sources.since``).
+    ``partition_by_day`` the usage, login and event facts are partitioned by
+    day, so the scenarios' lookback windows prune partitions.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -147,7 +155,7 @@ def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_d
         w = out.write.mode("overwrite")
         if name in parts:
             ts_col, day_col = parts[name]
-            out = out.withColumn(day_col, F.col(ts_col).cast("date"))
+            out = out.withColumn(day_col, day_of(ts_col, out))
             w = out.repartition(day_col).write.mode("overwrite").partitionBy(day_col)
         w.parquet(f"{root}/{name}")
 

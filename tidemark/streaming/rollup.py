@@ -110,8 +110,9 @@ def restage_days(source: DataFrame, target: str, time_col: str, day_col: str,
     every other day partition stays as it is. Nothing is dropped for being
     late, and a rerun rewrites the same partitions (idempotent).
     """
+    from tidemark.sources.staging import day_of
     days = touched.select(F.col(day_col).alias("_d")).distinct()
-    rows = (source.withColumn(day_col, F.col(time_col).cast("date"))
+    rows = (source.withColumn(day_col, day_of(time_col, source))
             .join(days, F.col(day_col) == F.col("_d"), "left_semi"))
     (rows.repartition(day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day_col).parquet(target))
