@@ -68,3 +68,48 @@ def test_running_by_day_matches_brute_force(spark, facts, probes):
         upto = [n for fk, fd, n in facts if fk == k and fd <= d]
         want[(k, D0 + dt.timedelta(days=d))] = (sum(upto), max(upto) if upto else None)
     assert got == want
+
+
+USERS = st.sampled_from(["u1", "u2", "u3", None])
+KEYS = st.lists(st.tuples(st.sampled_from(["a", "hot"]), USERS, st.one_of(st.none(), st.integers(0, 60))),
+                min_size=1, max_size=30)
+
+
+@SETTINGS
+@given(KEYS)
+def test_dormancy_matches_brute_force(spark, rows):
+    from tidemark.operators.kernels import dormancy
+    as_of = D0 + dt.timedelta(days=60)
+    data = [(k, u, None if d is None else D0 + dt.timedelta(days=d)) for k, u, d in rows]
+    df = spark.createDataFrame(data, "k string, u string, lv date")
+    got = {r.k: (r.total, r.dormant) for r in dormancy(df, "k", "u", "lv", as_of, 30).collect()}
+    want = {}
+    for k in {r[0] for r in data}:
+        users = {u for kk, u, _ in data if kk == k and u is not None}
+        dormant = {u for kk, u, lv in data if kk == k and u is not None
+                   and (lv is None or lv < as_of - dt.timedelta(days=30))}
+        want[k] = (len(users), len(dormant))
+    assert got == want
+
+
+USAGE = st.lists(st.tuples(st.sampled_from(["c1", "hot"]), USERS, st.integers(0, 70), st.sampled_from([0, 9])),
+                 min_size=1, max_size=30)
+
+
+@SETTINGS
+@given(USAGE, st.booleans())
+def test_window_retention_matches_brute_force(spark, rows, exclusive):
+    from tidemark.operators.kernels import window_retention
+    ref = D0 + dt.timedelta(days=70)
+    data = [(k, u, dt.datetime.combine(ref - dt.timedelta(days=d), dt.time(h))) for k, u, d, h in rows]
+    df = spark.createDataFrame(data, "k string, u string, t timestamp_ntz")
+    got = {r.k: (r.curr, r.prev) for r in window_retention(df, "k", "u", "t", ref, 30, exclusive).collect()}
+    lo = dt.datetime.combine(ref - dt.timedelta(days=60), dt.time())
+    hi = dt.datetime.combine(ref - dt.timedelta(days=30), dt.time())
+    want = {}
+    for k in {r[0] for r in data if r[2] >= lo}:
+        mine = [(u, t) for kk, u, t in data if kk == k and u is not None]
+        curr = {u for u, t in mine if t >= hi}
+        prev = {u for u, t in mine if lo <= t < hi} if exclusive else {u for u, t in mine if lo <= t <= hi}
+        want[k] = (len(curr), len(prev))
+    assert got == want
