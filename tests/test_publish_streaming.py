@@ -184,3 +184,16 @@ def test_restage_days_replaces_only_touched_partitions(spark, scratch):
     R.restage_days(usage.unionByName(late), usage_path, "lastvalidateddate", "usage_day", touched)
     counts = {r.usage_day: r["count"] for r in spark.read.parquet(usage_path).groupBy("usage_day").count().collect()}
     assert counts == {dt.date(2024, 3, 1 + d): (4 if d == 2 else 3) for d in range(5)}
+
+
+def test_csm_worklist_published_filtered_and_paged(spark, scratch):
+    from tidemark.registry import QUERIES
+    wl = QUERIES["csm_worklist"](spark, SMOKE)
+    PB.publish(spark, wl, scratch, "CSM_WORKLIST", validate=lambda d: d.count() == wl.count(), run_id="w1")
+    top = wl.groupBy("csm_id").count().orderBy(F.col("count").desc(), "csm_id").first()
+    mine = F.col("csm_id") == top["csm_id"] if top["csm_id"] is not None else F.col("csm_id").isNull()
+    order = [F.col("days_to_renewal").asc_nulls_last(), F.col("sfdc_account_id"), F.col("scenario")]
+    first_page = PB.read_mart(spark, scratch, "CSM_WORKLIST", filters=mine, order_by=order, limit=3)
+    second_page = PB.read_mart(spark, scratch, "CSM_WORKLIST", filters=mine, order_by=order, limit=3, offset=3)
+    everything = [tuple(r) for r in PB.read_mart(spark, scratch, "CSM_WORKLIST", filters=mine, order_by=order).collect()]
+    assert [tuple(r) for r in first_page.collect()] + [tuple(r) for r in second_page.collect()] == everything[:6]
