@@ -113,3 +113,20 @@ def test_window_retention_matches_brute_force(spark, rows, exclusive):
         prev = {u for u, t in mine if lo <= t < hi} if exclusive else {u for u, t in mine if lo <= t <= hi}
         want[k] = (len(curr), len(prev))
     assert got == want
+
+
+BASE = st.lists(st.sampled_from(["a", "b", "hot", None]), min_size=1, max_size=8)
+EVT = st.lists(st.tuples(st.sampled_from(["a", "b", "hot", None]), st.sampled_from(["x", "y", None])),
+               max_size=20)
+
+
+@SETTINGS
+@given(BASE, EVT)
+def test_never_did_matches_brute_force(spark, base, events):
+    from tidemark.operators.kernels import never_did
+    b = spark.createDataFrame([(i, k) for i, k in enumerate(base)], "row long, k string")
+    e = spark.createDataFrame(events or [(None, None)], "account_id string, tracked_event_name string")
+    got = sorted(r.row for r in never_did(b, "k", e, "account_id", F.col("tracked_event_name") == "x").collect())
+    did = {k for k, n in events if k is not None and n == "x"}
+    want = sorted(i for i, k in enumerate(base) if k is None or k not in did)
+    assert got == want
