@@ -130,3 +130,25 @@ def test_never_did_matches_brute_force(spark, base, events):
     did = {k for k, n in events if k is not None and n == "x"}
     want = sorted(i for i, k in enumerate(base) if k is None or k not in did)
     assert got == want
+
+
+CONTRACTS = st.lists(st.tuples(st.sampled_from(["A", "B", "hot"]), st.one_of(st.none(), st.integers(0, 5))),
+                     min_size=1, max_size=15)
+
+
+@SETTINGS
+@given(CONTRACTS)
+def test_latest_contract_matches_brute_force(spark, rows):
+    from fixtures import sources
+    from tidemark.plans.master import latest_contract
+    data = [{"contract_id": i, "account_id": a, "status": "Activated", "_fivetran_deleted": False,
+             "customer_signed_date": None if d is None else D0 + dt.timedelta(days=d)} for i, (a, d) in enumerate(rows)]
+    got = {r.account_id: r.contract_id for r in latest_contract(sources(spark, contract=data)).collect()}
+    want = {}
+    for a in {r["account_id"] for r in data}:
+        mine = [r for r in data if r["account_id"] == a]
+        # NULL date sorts first (high), then latest date, then highest contract id
+        best = max(mine, key=lambda r: (r["customer_signed_date"] is None,
+                                        r["customer_signed_date"] or dt.date.min, r["contract_id"]))
+        want[a] = best["contract_id"]
+    assert got == want
