@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import ship
+
 CHUNK, OVERLAP = 65_536, 1_024
 # Pre-tokens that a worker remembers, and their longest form.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
@@ -190,6 +192,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     rows; further columns are ignored. The special tokens of a vocabulary are
     ordinary text here.
     """
+    ship(docs.sparkSession)
     ranks_b = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).alias("_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -204,6 +207,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 def decode(tokens: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:
     """One row per input row: id, ids, bytes (the tokens' bytes, one after the
     other; no ids give no bytes)."""
+    ship(tokens.sparkSession)
     vocabulary = tokens.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
     kind = tokens.schema[id_col].dataType.simpleString()
 

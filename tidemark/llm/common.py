@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``: those whose hash of ``key`` lies in the
+    first ``rows / count`` of its range. Repeatable, and no task or driver
+    sees more than its share."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.shiftrightunsigned(F.xxhash64(key), 11) < F.lit(int(share * 2 ** 53)))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their
+    Python workers can import it wherever they run."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, hash_share, ship
 
 # Characters that count as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-# Rows of the sample at most, and its place: the smallest hashes of the ids.
+# Rows of the sample at most.
 SAMPLE_ROWS = 400
 
 
@@ -105,12 +105,12 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id",
 
     Greedy: the next rule is the one that rejects most of the texts still
     standing per second that it adds, given the statistics already computed.
-    The sample is the ``sample_rows`` rows with the smallest hash of the id;
-    an empty table leaves the order as given.
+    The sample is the first share of the ids' hashes, ``sample_rows`` rows at
+    most; an empty sample leaves the order as given.
     """
-    texts = [r[0] for r in (docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
-                                        F.xxhash64(F.col(id_col)).alias("h"))
-                            .orderBy("h", "t").limit(sample_rows).select("t").collect())]
+    share = hash_share(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
+                                   F.col(id_col).cast("string").alias("i")), F.col("i"), sample_rows)
+    texts = [r.t for r in share.select("t").limit(sample_rows).collect()]
     if not texts:
         return list(rules)
     cost, forms = {}, [Measured(t) for t in texts]
@@ -142,6 +142,7 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
     counts as empty; texts of any length are read whole. Repeated rows and
     null ids are judged like any other; further columns are ignored.
     """
+    ship(docs.sparkSession)
     order, asked = plan_cascade(docs, rules, id_col, text_col, sample_rows), list(statistics)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

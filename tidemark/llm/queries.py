@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, quality_rules, sharding
-from tidemark.llm.common import table
+from tidemark.llm import (
+    bpe, exact_dedup, labelled, language_id, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity)
+from tidemark.llm.common import ascii_lower, fold, table
 
 SHARDS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,25 @@ def _query(f):
     return f
 
 
+# --- 1: toxicity ------------------------------------------------------------
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    sample = labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return toxicity.score(docs, toxicity.fit(sample)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# --- 2: language identification ---------------------------------------------
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    return language_id.predict(docs, language_id.fit(docs.where(~held_out))).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 # --- 3: quality rules -------------------------------------------------------
 
 BASE_STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -59,6 +79,42 @@ FROM b
 """
 
 
+# --- 5: quality classifier --------------------------------------------------
+
+@_query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    sample = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality_classifier.score(docs, quality_classifier.fit(sample)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# --- 6: near duplicates -----------------------------------------------------
+
+@_query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+ORACLE_SQL["op6_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(3, len(ws)) - 1], ' ') AS s
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+         WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.m, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(c.m, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+
 # --- 7: exact duplicates ----------------------------------------------------
 
 @_query
@@ -76,6 +132,16 @@ FROM n
 """
 
 
+# --- 8: packing -------------------------------------------------------------
+
+@_query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts (after lower-casing A-Z) are one duplicate cluster."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "cluster", F.md5(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
+    return packing.pack(docs, cluster_col="cluster")
+
+
 # --- 9: sharding ------------------------------------------------------------
 
 @_query
