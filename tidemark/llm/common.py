@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import checkpoint_dir
 
@@ -41,6 +42,12 @@ def lowered(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+def with_id(rows: DataFrame, ddl: str, names: tuple[str, ...] = ("_id",)) -> StructType:
+    """Schema of the columns ``names`` of ``rows``, whatever their types, and
+    of the columns in ``ddl``."""
+    return StructType([rows.schema[n] for n in names] + StructType.fromDDL(ddl).fields)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder on the shared store and read it back.
 

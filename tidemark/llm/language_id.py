@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, with_id
 
 DIMENSIONS, SEED = 1024, 20_240_601
 # Texts are read in blocks of so many characters; their trigram counts add up.
@@ -178,5 +178,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                     ["_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return (rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, lang_pred string, score double")
+    return (rows.mapInArrow(run, with_id(rows, "lang_pred string, score double"))
             .withColumnRenamed("_id", id_col))

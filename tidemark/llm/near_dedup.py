@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import WORD, lowered, ship, written
+from tidemark.llm.common import WORD, lowered, ship, with_id, written
 from tidemark.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -124,8 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     [part.column("_id"), pa.array(n, pa.int64()), pa.array(whole, pa.binary()),
                      pa.array(sketch, pa.binary())], ["_id", "n", "set_hash", "registers"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, n long, set_hash binary, registers binary")
+    return rows.mapInArrow(run, with_id(rows, "n long, set_hash binary, registers binary"))
 
 
 def _links(kind: str, width: int, percent: int):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, ship
+from tidemark.llm.common import WORD_PATTERN, ship, with_id
 
 CAPACITY = 2_048
 # Documents in a group on average, and pieces that a worker packs together at
@@ -113,8 +113,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
                     ["_id", "piece", "pieces", "first_word", "size", "bin", "place"])
                 bins += len(filled)
 
-    kind = rows.schema["_id"].dataType.simpleString()
     return (rows.select(names).repartition("group")
             .sortWithinPartitions("group", F.desc("size"), "_id", "piece", "source", "cluster")
-            .mapInArrow(run, f"_id {kind}, piece long, pieces long, first_word long, size long, bin long, place long")
+            .mapInArrow(run, with_id(rows, "piece long, pieces long, first_word long, size long, bin long, place long"))
             .withColumnRenamed("_id", id_col))

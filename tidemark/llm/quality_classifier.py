@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, ship, written
+from tidemark.llm.common import WORD, ship, with_id, written
 
 # Ends of sentences, and marks that junk repeats.
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -66,8 +66,7 @@ def statistics(docs: DataFrame, keep: dict[str, str], text_col: str = "text") ->
                 [*(batch.column(k) for k in names), *(pa.array(c, pa.float64()) for c in columns)],
                 [*names, *STATISTICS])
 
-    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in names]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{s} double" for s in STATISTICS)]))
+    return rows.mapInArrow(run, with_id(rows, ", ".join(f"{s} double" for s in STATISTICS), tuple(names)))
 
 
 Bound = tuple[str, str, float]  # statistic, "<=" or ">", value

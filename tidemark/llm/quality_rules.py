@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, hash_share, ship
+from tidemark.llm.common import WORD, hash_share, ship, with_id
 
 # Characters that count as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
@@ -109,7 +109,7 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id",
     most; an empty sample leaves the order as given.
     """
     share = hash_share(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
-                                   F.col(id_col).cast("string").alias("i")), F.col("i"), sample_rows)
+                                   F.col(id_col).alias("i")), F.col("i"), sample_rows)
     texts = [r.t for r in share.select("t").limit(sample_rows).collect()]
     if not texts:
         return list(rules)
@@ -159,7 +159,6 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
                 [batch.column("_id"), *(pa.array(v, pa.int64()) for v in values), pa.array(by, pa.string())],
                 ["_id", *asked, "rejected_by"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    schema = ", ".join([f"_id {kind}", *(f"{n} long" for n in asked), "rejected_by string"])
+    schema = with_id(rows, ", ".join([*(f"{n} long" for n in asked), "rejected_by string"]))
     return (rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
             .withColumn("kept", F.col("rejected_by").isNull()))

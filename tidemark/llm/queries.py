@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    bpe, exact_dedup, labelled, language_id, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity)
+    bpe, exact_dedup, labelled, language_id, near_dedup, packing, quality_classifier, quality_rules, sharding,
+    subword_lm, toxicity)
 from tidemark.llm.common import ascii_lower, fold, table
 
 SHARDS = 8
@@ -79,6 +80,16 @@ FROM b
 """
 
 
+# --- 4: language-model scores -----------------------------------------------
+
+@_query
+def op4_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1
+    vocabulary = subword_lm.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    model = subword_lm.fit(docs.where(~held_out), vocabulary)
+    return subword_lm.score(docs, model).withColumn("held_out", held_out)
+
+
 # --- 5: quality classifier --------------------------------------------------
 
 @_query
@@ -99,7 +110,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op6_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                              'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(3, len(ws)) - 1], ' ') AS s
        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, with_id
 
 # Terms of one row name groups of one kind in one language.
 IDENTITY_TERMS = (
@@ -217,5 +217,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return (rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, score double")
-            .withColumnRenamed("_id", id_col))
+    return rows.mapInArrow(run, with_id(rows, "score double")).withColumnRenamed("_id", id_col)
