@@ -47,8 +47,8 @@ def test_matches_oracle(spark, duck, name):
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
 
-def test_every_query_has_oracle_or_is_sampling():
-    assert set(QUERIES) - set(ORACLE_SQL) <= {"profile_sample"}
+def test_every_query_has_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_runs(spark):

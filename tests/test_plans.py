@@ -19,7 +19,7 @@ def src(spark):
     return roles(spark, SF001)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("scn_")] + ["master_account"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("scn_")])
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in p
@@ -60,19 +60,46 @@ def test_pre_aggregation_before_join(src):
     assert p.count("HashAggregate") >= 4
 
 
-def test_reference_shape_equals_preaggregated(src):
-    """Differential test: the source's join-then-GROUP BY shape and the
-    pre-aggregated operators give the same rows (duplicates respected)."""
-    from tidemark.plans.reference_shape import scn_14_joined, scn_16_joined
-    for a, b in ((S.scn_14(src, ORDERS_AS_OF), scn_14_joined(src, ORDERS_AS_OF)),
-                 (S.scn_16(src), scn_16_joined(src))):
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_building_a_mart_runs_no_job(spark, src):
+    from tidemark.plans.refresh import default_builders
+    sc, group = spark.sparkContext, "no-job-at-build"
+    sc.setJobGroup(group, "building plans")
+    try:
+        for build in default_builders(ORDERS_AS_OF, EVENTS_AS_OF).values():
+            build(src)
+        S.scn_16(src, as_of_close=True)
+        assert not sc.statusTracker().getJobIdsForGroup(group)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_candidate_keys_pass_no_single_task(src):
+    for df in (S.scn_11(src, ORDERS_AS_OF), S.scn_14(src, ORDERS_AS_OF), S.scn_15(src, ORDERS_AS_OF), S.scn_16(src)):
+        p = plan(df)
+        assert "SinglePartition" not in p and "GlobalLimit" not in p
+
+
+def test_each_log_is_scanned_once_per_refresh(spark, scratch, monkeypatch):
+    """With profiles, no mart's plan reads a log; each profile reads its log once."""
+    from tidemark.plans import refresh as R
+    from tidemark.plans.telemetry import telemetry_profiles
+    from tidemark.sources.staging import materialize_sources
+    staged = materialize_sources(spark, roles(spark, SF001), f"{scratch}/st")
+    prof = telemetry_profiles(staged)
+    for log, name in (("rc_events", "rc"), ("il_events", "il"), ("license_usage", "usage"), ("login", "login")):
+        p = dry_run(getattr(prof, name), "simple")
+        assert sum("FileScan" in ln and f"/st/{log}" in ln for ln in p.splitlines()) == 1
+    tel = R.write_profiles(spark, staged, f"{scratch}/prof")
+    for build in R.default_builders(ORDERS_AS_OF, EVENTS_AS_OF, tel=tel).values():
+        p = dry_run(build(staged), "simple")
+        for log in ("rc_events", "il_events", "license_usage", "login"):
+            assert f"/st/{log}" not in p
 
 
 def test_s10_window_reaches_scan(spark, tmp_path):
     src = roles(spark, SF001)
     path = str(tmp_path / "usage")
     src.license_usage.write.parquet(path)
-    p = plan(S.scn_10(src.with_(license_usage=spark.read.parquet(path)), window_days=180))
+    p = plan(S.scn_10(src.with_(license_usage=spark.read.parquet(path)), ORDERS_AS_OF, window_days=180))
     scan = [ln for ln in p.splitlines() if "PushedFilters" in ln and "lastvalidateddate" in ln]
     assert scan and "GreaterThanOrEqual(lastvalidateddate" in scan[0]

@@ -1,5 +1,4 @@
-"""Sources from catalog tables; date dimension ranges, holidays and the
-size-checked dimension join."""
+"""Sources from catalog tables; date dimension ranges, holidays and joins."""
 
 import datetime as dt
 
@@ -45,12 +44,18 @@ def test_business_days_with_holidays(spark):
     assert b.filter("is_business_day").count() == 22   # 23 weekdays minus New Year's Day
 
 
-def test_join_dim_broadcasts_only_within_bound(spark):
+def test_join_dim_carries_no_hint(spark):
     orders = read_table(spark, SMOKE, "orders")
     dim = DD.date_dim_for(orders, "o_orderdate")
-    assert "strategy=broadcast" in dry_run(DD.join_dim(orders, dim, "o_orderdate"), "extended")
-    big = DD.join_dim(orders, dim, "o_orderdate", max_days=10)
-    assert "strategy=broadcast" not in dry_run(big, "extended")
+    assert "strategy=broadcast" not in dry_run(DD.join_dim(orders, dim, "o_orderdate"), "extended")
+
+
+def test_fiscal_year_by_hand(spark):
+    """The year starts in April (offset 3): 1 April is the first month of the
+    year's first quarter, 31 March the last of the year before."""
+    dim = DD.date_dim(spark, "2024-03-31", "2024-04-01", 3)
+    got = [(r.fiscal_year, r.fiscal_quarter, r.fiscal_month) for r in dim.orderBy("date_day").collect()]
+    assert got == [(2023, 4, 12), (2024, 1, 1)]
 
 
 def test_day_partitioned_staging_prunes_windows(spark, scratch):
@@ -65,6 +70,9 @@ def test_day_partitioned_staging_prunes_windows(spark, scratch):
     p = dry_run(S.scn_15(staged, ORDERS_AS_OF), "simple")
     scan = [ln for ln in p.splitlines() if "license_usage" in ln and "PartitionFilters" in ln]
     assert scan and "usage_day" in scan[0].split("PartitionFilters:")[1].split("]")[0]
+    p10 = dry_run(S.scn_10(staged), "simple")
+    scans = [ln for ln in p10.splitlines() if "license_usage" in ln and "PartitionFilters" in ln]
+    assert any("usage_day" in ln.split("PartitionFilters:")[1].split("]")[0] for ln in scans)
     p12 = dry_run(S.scn_12(staged, ORDERS_AS_OF), "simple")
     il_scan = [ln for ln in p12.splitlines() if "il_events" in ln and "PartitionFilters" in ln]
     assert il_scan and "event_day" in il_scan[0].split("PartitionFilters:")[1].split("]")[0]

@@ -66,12 +66,6 @@ def older_than(c, as_of, days: int) -> Column:
     return c < F.date_sub(as_date(as_of), days)
 
 
-def at_least_days_old(c, as_of, days: int) -> Column:
-    """``day_diff(c, as_of) >= days``, sargable for dates and timestamps."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c < F.date_sub(as_date(as_of), days - 1)
-
-
 def on_or_after(c, as_of, days_back: int) -> Column:
     """Lookback window ``c >= as_of - days_back`` (timestamp compared to midnight)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -86,9 +80,14 @@ def due_within(c, as_of, days: int) -> Column:
 
 
 def parse_date(c, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Lenient text → DATE; unparseable text becomes NULL."""
+    """Lenient text → DATE; unparseable text becomes NULL.
+
+    A full year-month-day must lead (a time may follow it): a bare year or
+    month is not a date.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_to_date(c), *[F.try_to_date(c, f) for f in formats])
+    iso = F.when(c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}(\s*$|[ T])"), F.try_to_date(c))
+    return F.coalesce(iso, *[F.try_to_date(c, f) for f in formats])
 
 
 def quarter_end(d) -> Column:
@@ -104,13 +103,3 @@ def year_end(d) -> Column:
 def feed_as_of(df: DataFrame, date_col: str) -> Column:
     """Latest date of a feed as a scalar subquery column (stays in one plan)."""
     return df.select(F.max(to_day(date_col))).scalar()
-
-
-def feed_as_of_value(df: DataFrame, date_col: str):
-    """Latest date of a feed as a Python date (one small aggregate job).
-
-    Use it once per refresh when the result feeds a window filter: a literal
-    bound prunes date partitions and reaches the Parquet scan, where the
-    scalar-subquery form (``feed_as_of``) cannot.
-    """
-    return df.agg(F.max(to_day(date_col)).alias("d")).first()["d"]

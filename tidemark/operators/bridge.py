@@ -79,7 +79,9 @@ def bridge_orphans(src: Sources, paths=PATHS) -> DataFrame:
 
     * ``telemetry_unmatched`` — telemetry account with no CRM account (n = 0);
     * ``key_multi_account`` — one telemetry key reaching several CRM accounts
-      (n = accounts), the fan-out that duplicates master memberships.
+      (n = accounts), the fan-out that duplicates master memberships;
+    * ``account_unmatched`` — live CRM account without product telemetry on
+      that path (n = 0).
     """
     b = telemetry_bridge(src, paths)
     seen = telemetry_accounts(src)
@@ -92,4 +94,11 @@ def bridge_orphans(src: Sources, paths=PATHS) -> DataFrame:
              .agg(F.count_distinct("sfdc_account_id").alias("n")).filter(c("n") > 1)
              .select("path", F.lit("key_multi_account").alias("issue"),
                      c("telemetry_account_id").alias("key"), "n"))
-    return unmatched.unionByName(multi)
+    used = (b.join(seen, c("telemetry_account_id") == c("account_id"), "left_semi")
+            .select(c("sfdc_account_id").alias("_k"), c("path").alias("_p")))
+    accounts = (src.account.filter(not_deleted()).select("id")
+                .withColumn("path", F.explode(F.array(*[F.lit(p) for p in paths])))
+                .join(used, (c("_k") == c("id")) & (c("_p") == c("path")), "left_anti")
+                .select("path", F.lit("account_unmatched").alias("issue"), c("id").alias("key"),
+                        F.lit(0).cast("long").alias("n")))
+    return unmatched.unionByName(multi).unionByName(accounts)

@@ -17,12 +17,10 @@ from tidemark.functions.dates import quarter_end, year_end
 
 c = F.col
 
-# Broadcast guard: a dimension wider than this many days is joined normally.
-MAX_BROADCAST_DAYS = 200_000
-
 
 def _columns(d: Column, fiscal_offset_months: int) -> list[Column]:
-    fd = F.add_months(d, fiscal_offset_months) if fiscal_offset_months else d
+    # A year that starts n months into the calendar year lies n months back.
+    fd = F.add_months(d, -fiscal_offset_months) if fiscal_offset_months else d
     month_end = F.last_day(d)
     q_end, y_end = quarter_end(d), year_end(d)
     return [
@@ -79,7 +77,7 @@ def with_business_days(dim: DataFrame, holidays: DataFrame | None = None) -> Dat
     number within each month (window partitioned by month: ≤ 31 rows each)."""
     if holidays is not None:
         h = holidays.select(c("date_day").alias("_h")).distinct()
-        dim = dim.join(F.broadcast(h), c("date_day") == c("_h"), "left") \
+        dim = dim.join(h, c("date_day") == c("_h"), "left") \
             .withColumn("is_holiday", c("_h").isNotNull()).drop("_h")
     else:
         dim = dim.withColumn("is_holiday", F.lit(False))
@@ -90,12 +88,20 @@ def with_business_days(dim: DataFrame, holidays: DataFrame | None = None) -> Dat
                           F.sum(c("is_business_day").cast("int")).over(w))
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, fact_date: str, max_days: int = MAX_BROADCAST_DAYS) -> DataFrame:
-    """JN-11: attach date attributes to a fact. The dimension is broadcast —
-    its row count is the day span, checked against ``max_days`` first."""
-    span = dim.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    side = F.broadcast(dim) if span <= max_days else dim
-    return fact.join(side, c(fact_date).cast("date") == c("date_day"), "left")
+def join_dim(fact: DataFrame, dim: DataFrame, fact_date: str) -> DataFrame:
+    """JN-11: attach date attributes to a fact. Spark broadcasts the dimension
+    if its measured size allows."""
+    return fact.join(dim, c(fact_date).cast("date") == c("date_day"), "left")
+
+
+def prior_year_days(fact: DataFrame, date_col: str, measure: Column, dim: DataFrame) -> DataFrame:
+    """DIM-04: per day, a measure and the same measure on the same day of the
+    year before (29 February looks at the 28th)."""
+    daily = fact.groupBy(c(date_col).cast("date").alias("date_day")).agg(measure.alias("value"))
+    prior = daily.select(c("date_day").alias("_pd"), c("value").alias("prior_year_value"))
+    return (dim.select("date_day", "prior_year_same_day").join(daily, "date_day", "left")
+            .join(prior, c("prior_year_same_day") == c("_pd"), "left")
+            .select("date_day", "prior_year_same_day", "value", "prior_year_value"))
 
 
 def prior_year_compare(fact: DataFrame, date_col: str, measure: Column, dim: DataFrame) -> DataFrame:

@@ -1,11 +1,9 @@
-"""Size-checked broadcasts.
+"""Semi joins that keep a fact's rows by key.
 
-A broadcast is only safe for a side whose size is bounded. ``bounded`` checks
-it: it counts at most ``max_rows + 1`` rows of the (already projected, usually
-single-key) side and adds the broadcast hint only when the count fits;
-otherwise the join stays a shuffle join (AQE may still convert it from
-measured sizes). The check is one small job over the side itself, never over
-the fact it filters.
+The key side is one distinct key column; the join carries no hint. Spark
+broadcasts that side only if its measured size is under the session's
+threshold, and shuffles (splitting skewed keys) otherwise; nothing runs while
+a plan is built.
 """
 
 from __future__ import annotations
@@ -13,31 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key-only side of this many rows is a few tens of MB per executor.
-MAX_BROADCAST_ROWS = 1_000_000
 
-
-def bounded(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``max_rows`` rows."""
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
-
-
-def key_sets(side: DataFrame, *keys: str, max_rows: int = MAX_BROADCAST_ROWS) -> list[DataFrame]:
-    """Key columns of ``side`` as semi-join filters, broadcast if ``side`` is
-    bounded — one size check for all of them. Build them once and reuse them
-    for every fact they filter."""
-    small = side.limit(max_rows + 1).count() <= max_rows
-    projected = [side.select(F.col(k).alias("_semi_k")) for k in keys]
-    return [F.broadcast(p) if small else p for p in projected]
-
-
-def key_set(side: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    return key_sets(side, key, max_rows=max_rows)[0]
+def key_set(side: DataFrame, key: str) -> DataFrame:
+    """Distinct non-null values of ``key``, as the filter of a ``semi``."""
+    return side.select(F.col(key).alias("_semi_k")).filter(F.col("_semi_k").isNotNull()).distinct()
 
 
 def semi(fact: DataFrame, keys: DataFrame, fact_key: str) -> DataFrame:
-    """Rows of ``fact`` whose key is in ``keys`` (a ``key_set``). With a
-    bounded key set this is a map-side filter: the fact is not shuffled.
-    Duplicate keys are harmless in a semi join, so none are removed."""
+    """Rows of ``fact`` whose key is in ``keys`` (a ``key_set``)."""
     return fact.join(keys, F.col(fact_key) == F.col("_semi_k"), "left_semi")

@@ -43,7 +43,9 @@ class Spec:
         if self.kind == "last":
             return F.max(F.when(p, self.value)).alias(name)
         if self.kind == "count":
-            return F.count(F.when(p, 1)).alias(name)
+            if self.value is None:
+                return F.count(F.when(p, 1)).alias(name)
+            return F.coalesce(F.sum(F.when(p, self.value)), F.lit(0)).cast("long").alias(name)
         raise ValueError(f"{self.kind} needs a distinct column")
 
     def partial(self, name: str) -> Column:
@@ -75,8 +77,10 @@ def last(pred: Column | None, value: Column) -> Spec:
     return Spec("last", pred, value)
 
 
-def count_if(pred: Column | None = None) -> Spec:
-    return Spec("count", pred)
+def count_if(pred: Column | None = None, weight: Column | None = None) -> Spec:
+    """Rows that match, or the sum of their ``weight`` (rows that stand for
+    several events)."""
+    return Spec("count", pred, weight)
 
 
 def distinct(pred: Column | None = None) -> Spec:
@@ -140,32 +144,63 @@ def never_did(base: DataFrame, base_key: str, events: DataFrame, key: str,
 # --------------------------------------------------------------------------
 
 def started_not_completed(events: DataFrame, key: str, started: Column, completed: Column,
-                          day: Column, as_of, min_age_days: int) -> DataFrame:
-    """Keys whose first ``started`` event is older than ``min_age_days`` and
-    that never had a ``completed`` event. Columns: key, first_start,
-    last_start, starts, completed (0), days_since_first_start."""
-    m = milestones(events.filter(started | completed), key, {
+                          day: Column, as_of=None, min_age_days: int | None = None,
+                          extra: dict[str, Spec] | None = None, distinct_col: str | None = None,
+                          weight: Column | None = None) -> DataFrame:
+    """Keys with a ``started`` and without a ``completed`` event. Columns: key,
+    first_start, last_start, starts, completed (0), the ``extra`` specs, and
+    with ``min_age_days`` also days_since_first_start, which must exceed it.
+    ``weight`` is the number of events a row stands for (a rollup's rows)."""
+    if extra is None:  # only these rows matter then
+        events = events.filter(started | completed)
+    m = milestones(events, key, {
         "first_start": first(started, day),
         "last_start": last(started, day),
-        "starts": count_if(started),
+        "starts": count_if(started, weight),
         "completed": ever(completed),
-    })
+        **(extra or {}),
+    }, distinct_col)
+    m = m.filter((F.col("starts") > 0) & (F.col("completed") == 0))
+    if min_age_days is None:
+        return m
     m = m.withColumn("days_since_first_start", F.datediff(as_date(as_of), F.col("first_start")))
-    return m.filter(F.col("first_start").isNotNull() & (F.col("completed") == 0)
-                    & (F.col("days_since_first_start") > min_age_days))
+    return m.filter(F.col("days_since_first_start") > min_age_days)
 
 
 # --------------------------------------------------------------------------
 # KRN-04  active_rollup
 # --------------------------------------------------------------------------
 
-def active_rollup(usage: DataFrame, key: str, ts: str) -> DataFrame:
-    """First / last use and distinct active days per key."""
-    return usage.groupBy(key).agg(
-        F.min(ts).alias("first_use"),
-        F.max(ts).alias("last_use"),
-        F.count_distinct(F.col(ts).cast("date")).alias("active_days"),
-    )
+def active_rollup(usage: DataFrame, key: str, ts: str, entity: str | None = None,
+                  windows: dict[str, Column] | None = None, last_ts: str | None = None) -> DataFrame:
+    """Per key: first_use, last_use and, without ``entity``, active_days; with
+    it ``entities`` (distinct ones) and per window the distinct entities that
+    match its predicate. ``last_ts`` names the latest time of a row that stands
+    for several (``usage_days``); ``ts`` is its earliest."""
+    hi = last_ts or ts
+    if entity is None:
+        return usage.groupBy(key).agg(
+            F.min(ts).alias("first_use"),
+            F.max(hi).alias("last_use"),
+            F.count_distinct(F.col(ts).cast("date")).alias("active_days"))
+    flags = windows or {}
+    per = usage.groupBy(key, entity).agg(
+        F.min(ts).alias("first_use"), F.max(hi).alias("last_use"),
+        *[F.max(F.when(p, 1).otherwise(0)).alias(n) for n, p in flags.items()])
+    known = F.col(entity).isNotNull()
+    return per.groupBy(key).agg(
+        F.min("first_use").alias("first_use"), F.max("last_use").alias("last_use"),
+        F.count(F.when(known, 1)).alias("entities"),
+        *[F.count(F.when((F.col(n) == 1) & known, 1)).alias(n) for n in flags])
+
+
+def usage_days(usage: DataFrame, key: str = "customerid", entity: str = "assigneduser",
+               ts: str = "lastvalidateddate") -> DataFrame:
+    """Usage reduced to one row per (key, entity, day): ``ts`` is the earliest
+    time of the day and ``last_ts`` the latest. All that the scenarios ask of
+    the usage log can be answered from it."""
+    return (usage.groupBy(key, entity, F.col(ts).cast("date").alias("usage_day"))
+            .agg(F.min(ts).alias(ts), F.max(ts).alias("last_ts")))
 
 
 def distinct_entities(usage: DataFrame, key: str, entity: str, flags: dict[str, Column]) -> DataFrame:
@@ -191,10 +226,12 @@ def window_retention(usage: DataFrame, key: str, entity: str, ts: str, ref,
     r = as_date(ref) if not isinstance(ref, Column) else ref
     t = F.col(ts)
     lo, hi = F.date_sub(r, 2 * window_days), F.date_sub(r, window_days)
-    recent = usage.filter(t >= lo)
+    # A row that stands for a day's rows (``usage_days``) begins at ``ts``.
+    end = F.col("last_ts") if "last_ts" in usage.columns else t
+    recent = usage.filter(end >= lo)
     return distinct_entities(recent, key, entity, {
-        "curr": t >= hi,
-        "prev": (t >= lo) & (t < hi) if exclusive else t.between(lo, hi),
+        "curr": end >= hi,
+        "prev": (end >= lo) & (t < hi if exclusive else t <= hi),
     })
 
 

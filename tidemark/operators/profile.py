@@ -46,14 +46,23 @@ def date_ranges(df: DataFrame, table: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
-    """PRF-03: per column — type, null count and distinct count."""
+    """PRF-03: per column — type, null count and distinct count (approximate
+    within 5 % by default). Exact counts read one column at a time and count
+    its groups, instead of repeating every row once per column."""
     fields = df.schema.fields
-    dc = (lambda n: F.count_distinct(c(f"`{n}`"))) if exact else \
-         (lambda n: F.approx_count_distinct(c(f"`{n}`")))
+    if exact:
+        return reduce(DataFrame.unionByName, [
+            df.groupBy(c(f"`{f.name}`").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("row_count"),
+                 F.coalesce(F.sum(F.when(c("_v").isNull(), c("_n"))), F.lit(0)).cast("long").alias("null_count"),
+                 F.count("_v").alias("distinct_count"))
+            .select(F.lit(table).alias("table_name"), "row_count", F.lit(f.name).alias("column_name"),
+                    F.lit(f.dataType.simpleString()).alias("data_type"), "null_count", "distinct_count")
+            for f in fields])
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for f in fields:
         aggs += [F.count_if(c(f"`{f.name}`").isNull()).alias(f"nulls__{f.name}"),
-                 dc(f.name).alias(f"distinct__{f.name}")]
+                 F.approx_count_distinct(c(f"`{f.name}`")).alias(f"distinct__{f.name}")]
     wide = df.agg(*aggs)
     body = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', `nulls__{f.name}`, "
                      f"CAST(`distinct__{f.name}` AS BIGINT)" for f in fields)
@@ -93,8 +102,12 @@ def fk_check(child: DataFrame, child_key: str, parent: DataFrame, parent_key: st
                               / F.nullif(c("child_keys"), F.lit(0)).cast("double"), 1).alias("inclusion_pct"))
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 7, mask: list[str] | None = None) -> DataFrame:
-    """PRF-06: Bernoulli sample (per task, no global sort), personal columns masked."""
+def sample_rows(df: DataFrame, fraction: float, keys: list[str], salt: str = "",
+                mask: list[str] | None = None) -> DataFrame:
+    """PRF-06: the rows whose key's hash falls into the first ``fraction`` of
+    its range — repeatable, no sort, and equal keys stay together. Personal
+    columns are masked (with ``salt``)."""
     from tidemark.publish.publish import mask_columns
-    s = df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return mask_columns(s, mask or [])
+    key = F.concat_ws("|", F.lit(salt), *[c(k).cast("string") for k in keys])
+    bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return mask_columns(df.filter(bits < int(fraction * 2 ** 32)), mask or [], salt=salt)

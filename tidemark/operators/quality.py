@@ -93,12 +93,16 @@ def contract_check(df: DataFrame, schema: T.StructType) -> list[tuple[str, str,
 
 def snapshot_diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """QLT-06: row counts of both snapshots and rows only in one of them
-    (``exceptAll`` both ways, duplicates respected). (measure, rows)."""
-    added = curr.exceptAll(prev)
-    removed = prev.exceptAll(curr)
-    parts = [(prev, "previous_rows"), (curr, "current_rows"), (added, "added_rows"), (removed, "removed_rows")]
-    return reduce(DataFrame.unionByName, [
-        d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("measure"), "rows") for d, n in parts])
+    (duplicates respected). (measure, rows). Each snapshot is read once: equal
+    rows of both meet in one group, which holds how often each has them."""
+    both = (prev.withColumns({"_p": F.lit(1), "_c": F.lit(0)})
+            .unionByName(curr.withColumns({"_p": F.lit(0), "_c": F.lit(1)})))
+    rows = both.groupBy(*prev.columns).agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
+    wide = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for n, x in (
+        ("previous_rows", c("_p")), ("current_rows", c("_c")),
+        ("added_rows", F.greatest(c("_c") - c("_p"), F.lit(0))),
+        ("removed_rows", F.greatest(c("_p") - c("_c"), F.lit(0))))])
+    return _long(wide, wide.columns, "rows").withColumnRenamed("rule", "measure")
 
 
 def zero_row_diagnosis(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:

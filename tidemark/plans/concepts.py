@@ -40,8 +40,7 @@ def arr_by_account_month(arr_daily: DataFrame, date_dim: DataFrame) -> DataFrame
                  .otherwise(F.lit(0.0)).alias("starting_arr"))
     fiscal = date_dim.filter(c("is_month_end")).select(c("date_day").alias("_d"), "fiscal_year",
                                                        "fiscal_quarter", "fiscal_month")
-    # The dimension has one row per month end of its span: broadcast-safe.
-    return (m.join(F.broadcast(fiscal), c("month_end") == c("_d"), "left")
+    return (m.join(fiscal, c("month_end") == c("_d"), "left")
             .select("account_id", "month_end", "fiscal_year", "fiscal_quarter", "fiscal_month",
                     "starting_arr", "ending_arr"))
 
@@ -68,5 +67,6 @@ def active_at_month_end(activity: DataFrame, key: str, date_col: str) -> DataFra
         F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"),
                    F.expr("INTERVAL 1 MONTH"))).alias("m"))
     months = months.select(key, "_last", F.last_day("m").alias("month_end"))
-    active = months.filter(c("month_end") <= c("_last"))
-    return active.groupBy("month_end").agg(F.count_distinct(key).alias("active_accounts"))
+    # A key has each month once, so rows count keys.
+    active = months.filter((c("month_end") <= c("_last")) & c(key).isNotNull())
+    return active.groupBy("month_end").agg(F.count(F.lit(1)).alias("active_accounts"))

@@ -72,7 +72,7 @@ def master_account(src: Sources, frames: dict[str, DataFrame], as_of,
     """MST-01: one row per (live, in-product) account × live licensing customer.
 
     As in the source, an account with several licensing customers appears
-    once per customer (``master_uniqueness`` reports such accounts). With
+    once per customer. With
     ``one_row_per_account`` the lowest customer id represents the account and
     a ``licensing_customers`` column counts them (Q21).
     """
@@ -161,6 +161,22 @@ def alerts_by_stage(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFram
                  F.count_distinct("sfdc_account_id").alias("accounts")))
 
 
+def alerts_by_owner(src: Sources, members: DataFrame) -> DataFrame:
+    """RPT-02 tiles: accounts with an open alert per CSM and per product line,
+    by scenario — (dimension, value, scenario, accounts). An account counts
+    once per line it holds (lines are separated by ``;``)."""
+    acct = src.account.filter(not_deleted()).select(
+        "id", c("customer_success_associate_c").alias("csm"),
+        F.array_distinct(F.filter(F.transform(F.split(F.lower("active_product_lines_c"), ";"), lambda x: F.trim(x)),
+                                  lambda x: x != "")).alias("lines"))
+    dims = F.array(F.struct(F.lit("csm").alias("dimension"), c("csm").alias("value")))
+    lines = F.transform(F.coalesce("lines", F.array().cast("array<string>")),
+                        lambda x: F.struct(F.lit("product_line").alias("dimension"), x.alias("value")))
+    return (members.join(acct, c("sfdc_account_id") == c("id"))
+            .select("scenario", F.explode(F.concat(dims, lines)).alias("d"))
+            .groupBy("d.dimension", "d.value", "scenario").agg(F.count(F.lit(1)).alias("accounts")))
+
+
 def csm_worklist(src: Sources, members: DataFrame, as_of,
                  product_pattern: str = V.PRODUCT_LINE_PATTERN) -> DataFrame:
     """RPT-04: every open alert with its account and CSM, one row per
@@ -185,11 +201,3 @@ def enrich_telemetry(df: DataFrame, src: Sources, paths=("webid",)) -> DataFrame
                            c("active_product_lines_c").alias("product_lines"))
     return (df.join(b, c("telemetry_account_id") == c("_tk"), "left")
             .join(a, c("sfdc_account_id") == c("_aid"), "left").drop("_tk", "_aid"))
-
-
-def master_uniqueness(master: DataFrame) -> DataFrame:
-    """Accounts that appear more than once in the master view (Q21)."""
-    return (master.groupBy("sfdc_account_id")
-            .agg(F.count(F.lit(1)).alias("rows"),
-                 F.count_distinct("licensing_customer_id").alias("licensing_customers"))
-            .filter(c("rows") > 1))

@@ -15,14 +15,16 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import vocabulary as V
-from tidemark.functions.dates import feed_as_of_value
 from tidemark.operators.bridge import telemetry_bridge
+from tidemark.operators.quality import contract_check
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
 from tidemark.plans.telemetry import Telemetry, telemetry_profiles
 from tidemark.publish.publish import announce, lineage, observed_write, write_mart
 from tidemark.sources.registry import Sources
+from tidemark.sources.schemas import MART_SCHEMAS
 from tidemark.sources.staging import materialize_sources
+from tidemark.streaming.rollup import read_rollup
 
 # Declared dependencies (what each mart reads), for OPS-02.
 DEPENDS_ON = {
@@ -44,9 +46,8 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
                      ) -> dict[str, Callable[[Sources], DataFrame]]:
     """Scenario builders with one ``as_of`` (telemetry scenarios may use their
     own, e.g. the last complete event day). ``usage_ref`` is S10's reference
-    day; ``run_all`` resolves it once to a literal (see ``feed_as_of_value``).
-    With ``tel`` every scenario reads the shared telemetry profiles instead of
-    the event logs."""
+    day (default: the latest usage day, a subquery of the plan). With ``tel``
+    every scenario reads the shared profiles instead of the logs."""
     ev = events_as_of or as_of
     return {
         "S1": lambda s: S.scn_01(s, as_of), "S2": lambda s: S.scn_02(s, as_of),
@@ -54,32 +55,67 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
         "S5": lambda s: S.scn_05(s, tel=tel), "S6": lambda s: S.scn_06(s, ev, tel=tel),
         "S7": lambda s: S.scn_07(s, ev, tel=tel), "S8": lambda s: S.scn_08(s, tel=tel),
         "S9": lambda s: S.scn_09(s, ev, tel=tel),
-        "S10": lambda s: S.scn_10(s, usage_ref if usage_ref is not None
-                                  else feed_as_of_value(s.license_usage, "lastvalidateddate")),
+        "S10": lambda s: S.scn_10(s, usage_ref, tel=tel),
         "S11": lambda s: S.scn_11(s, as_of), "S12": lambda s: S.scn_12(s, as_of, tel=tel),
         "S13": lambda s: S.scn_13(s, ev, tel=tel), "S14": lambda s: S.scn_14(s, as_of, tel=tel),
-        "S15": lambda s: S.scn_15(s, as_of), "S16": lambda s: S.scn_16(s, tel=tel),
+        "S15": lambda s: S.scn_15(s, as_of, tel=tel), "S16": lambda s: S.scn_16(s, tel=tel),
     }
 
 
+def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str | None = None) -> Telemetry:
+    """Reduce every log once, write the profiles and read them back (lineage
+    is cut there). With ``rollup`` (the folder of the incremental event
+    rollup) the event logs are not read."""
+    prof = telemetry_profiles(src, read_rollup(spark, rollup) if rollup else None)
+    for name in ("rc", "il", "usage", "login"):
+        write_mart(getattr(prof, name), f"{out_dir}/{name}")
+    return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in ("rc", "il", "usage", "login")})
+
+
+def write_marts(spark: SparkSession, src: Sources, builders: dict[str, Callable[[Sources], DataFrame]], out_dir: str,
+                parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
+    """Write every scenario mart and read it back: frames, row counts, log
+    lines. The marts are independent of each other, so they are submitted as
+    concurrent Spark jobs and small stages of one overlap with others."""
+    def build(sid: str) -> tuple[int, str]:
+        return observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        done = dict(zip(V.SCENARIO_IDS, pool.map(build, V.SCENARIO_IDS)))
+    frames = {sid: spark.read.parquet(f"{out_dir}/{V.MART_TABLES[sid]}") for sid in V.SCENARIO_IDS}
+    return frames, {sid: n for sid, (n, _) in done.items()}, [line for _, line in done.values()]
+
+
+def contract_violations(mart: str, df: DataFrame) -> list[str]:
+    """The default gate: columns and types of a mart against its contract."""
+    if mart not in MART_SCHEMAS:
+        return []
+    return [f"{mart}.{n}: {status}" for n, _, _, status in contract_check(df, MART_SCHEMAS[mart]) if status != "ok"]
+
+
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
             parallel_marts: int = 4, stage_sources: bool = False, partition_by_day: bool = True,
-            run_id: str | None = None) -> DataFrame:
+            rollup: str | None = None, run_id: str | None = None,
+            gate: Callable[[str, DataFrame], list[str]] = contract_violations) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
     With ``stage_sources`` every role is first written once to
     ``<out_dir>/_staging`` (roles that are views over raw data are computed
-    once; usage and logins partitioned by day, so lookback windows prune). With ``share_telemetry`` the RC and IL logs are each reduced once to
-    per-account profiles, written to ``<out_dir>/_profiles`` and read back
-    (lineage cut there), and every scenario reads the profiles.
+    once; usage and logins partitioned by day, so lookback windows prune). With
+    ``share_telemetry`` each log is reduced once to a profile, written to
+    ``<out_dir>/_profiles`` and read back, and every scenario reads the
+    profiles; ``rollup`` names an incremental event rollup to build the event
+    profiles from.
 
-    With ``run_id`` everything is written under ``<out_dir>/run_id=<id>`` and
-    announced in ``<out_dir>/_manifest`` only after every mart, the master
-    view and the report succeeded — all marts in one append — so
-    readers (``publish.read_mart``) switch from one complete refresh to the
-    next and never see a mix of old and new marts.
+    ``gate(mart, written frame)`` returns what is wrong with a mart (default:
+    its contract). With ``run_id`` everything is written under
+    ``<out_dir>/run_id=<id>`` and announced in ``<out_dir>/_manifest`` only
+    after every mart, the master view and the report succeeded and no gate
+    objected — all marts in one append — so readers (``publish.read_mart``)
+    switch from one complete refresh to the next and never see a mix of old
+    and new marts. An objection raises, and the previous refresh stays.
 
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
@@ -87,31 +123,14 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     root = out_dir
     if run_id is not None:
         out_dir = f"{root}/run_id={run_id}"
+    locations = src.locations
     if stage_sources:
         src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts,
                                   partition_by_day=partition_by_day)
     if builders is None:
-        tel = None
-        if share_telemetry:
-            prof = telemetry_profiles(src)
-            write_mart(prof.rc, f"{out_dir}/_profiles/rc")
-            write_mart(prof.il, f"{out_dir}/_profiles/il")
-            tel = Telemetry(rc=spark.read.parquet(f"{out_dir}/_profiles/rc"),
-                            il=spark.read.parquet(f"{out_dir}/_profiles/il"))
+        tel = write_profiles(spark, src, f"{out_dir}/_profiles", rollup) if share_telemetry else None
         builders = default_builders(as_of, events_as_of, usage_ref, tel)
-    counts: dict[str, int] = {}
-
-    def build(sid: str) -> tuple[str, int, str]:
-        n, line = observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)
-        return sid, n, line
-
-    # The sixteen marts are independent of each other: submit them as
-    # concurrent Spark jobs so small stages of one mart overlap with others.
-    with ThreadPoolExecutor(max_workers=max(1, parallel_marts)) as pool:
-        for sid, n, line in pool.map(build, V.SCENARIO_IDS):
-            counts[sid] = n
-            print(line)
-    marts = {sid: spark.read.parquet(f"{out_dir}/{V.MART_TABLES[sid]}") for sid in V.SCENARIO_IDS}
+    marts, counts, lines = write_marts(spark, src, builders, out_dir, parallel_marts)
     master = M.master_account(src, marts, as_of)
     alerts = M.alerts_by_stage(marts, telemetry_bridge(src, ("webid",)))
     with ThreadPoolExecutor(max_workers=2) as pool:
@@ -119,9 +138,11 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
         f_alerts = pool.submit(observed_write, alerts, f"{out_dir}/ALERTS_BY_STAGE", "ALERTS")
         counts["MASTER"], line = f_master.result()
         f_alerts.result()
-    print(line)
-    written = dict(marts, MASTER=spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}"))
-    lineage(spark, written, DEPENDS_ON).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
+    print("\n".join([*lines, line]))
+    marts["MASTER"] = spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}")
+    lineage(spark, DEPENDS_ON, locations).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
+    if wrong := [x for sid, df in marts.items() for x in gate(sid, df)]:
+        raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
     if run_id is not None:
         tables = dict(V.MART_TABLES, MASTER=V.MASTER_TABLE)
         announce(spark, root, run_id, {tables[k]: (f"{out_dir}/{tables[k]}", n) for k, n in counts.items()})

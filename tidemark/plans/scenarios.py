@@ -14,11 +14,11 @@ Shape rules, applied throughout:
   predicates are written on the raw column, so they reach the scan);
 * a candidate set (accounts renewing soon, closed-lost opportunities) is
   semi-joined into the big facts first, so only their rows are aggregated;
-  the key set is broadcast only after a bounded count shows it is small
-  (``operators.joins.semi``), which makes the semi join a map-side filter —
-  otherwise it stays a shuffle join;
-* with ``tel=`` (per-account telemetry profiles, ``plans.telemetry``) the
-  event logs are not read at all — a full refresh reads each log once.
+  the key side is distinct and unhinted, so Spark picks the join by measured
+  size; usage is reduced to a row per seat before it meets its customer;
+* building a plan runs no job;
+* with ``tel=`` (profiles of the logs, ``plans.telemetry``) the event, usage
+  and login logs are not read at all — a full refresh reads each log once.
 """
 
 from __future__ import annotations
@@ -29,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
-from tidemark.functions.dates import (as_date, day_diff, due_within, feed_as_of, feed_as_of_value,
-                                      older_than, on_or_after)
+from tidemark.functions.dates import as_date, day_diff, due_within, feed_as_of, older_than
 from tidemark.functions.predicates import (not_deleted, null_or_empty, pct, ratio, telemetry_key,
                                            tier)
 from tidemark.operators.kernels import (active_rollup, count_if, distinct, dormancy, event_date, ever, first,
                                         keys_that, last, milestones, named, never_did,
                                         running_by_day, started_not_completed, window_retention)
-from tidemark.operators.joins import key_set, key_sets, semi
+from tidemark.operators.joins import key_set, semi
 from tidemark.sources.registry import Sources
 
 if TYPE_CHECKING:
@@ -95,6 +94,28 @@ def _live_customers(src: Sources) -> DataFrame:
     return src.license_customer.filter(not_deleted())
 
 
+def _usage(src: Sources, tel: Telemetry | None) -> tuple[DataFrame, str]:
+    """The usage log, or its daily reduction, and the column of a row's latest
+    time."""
+    if tel is not None and tel.usage is not None:
+        return tel.usage, "last_ts"
+    return src.license_usage, "lastvalidateddate"
+
+
+def _usage_since(src: Sources, tel: Telemetry | None, as_of, days: int) -> tuple[DataFrame, str]:
+    usage, last_ts = _usage(src, tel)
+    if last_ts == "lastvalidateddate":
+        return src.since("license_usage", last_ts, as_of, days), last_ts
+    lo = F.date_sub(as_date(as_of), days)
+    return usage.filter((c("usage_day") >= lo) & (c(last_ts) >= lo)), last_ts
+
+
+def _logins_since(src: Sources, tel: Telemetry | None, as_of, days: int) -> DataFrame:
+    if tel is not None and tel.login is not None:
+        return tel.login.filter(c("date") >= F.date_sub(as_date(as_of), days))
+    return src.since("login", "date", as_of, days)
+
+
 def active_license_keys(src: Sources, as_of, days: int = 30) -> DataFrame:
     """Telemetry keys (``_ak``) of live licensing customers with a license
     validation in the last ``days`` — the "validated license" condition the
@@ -157,7 +178,8 @@ def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = No
     """S3 logs in but never reached the RC home page. Grain: telemetry account.
     ``require_active_license_days`` (with ``as_of``) applies the description's
     validated-license condition."""
-    logins = src.login.groupBy("account_id").agg(F.max("date").alias("last_login_date"),
+    log = tel.login if tel is not None and tel.login is not None else src.login
+    logins = log.groupBy("account_id").agg(F.max("date").alias("last_login_date"),
                                                  F.count_distinct("date").alias("total_login_days"))
     if tel is not None and home_event == V.RC_HOME:
         did = tel.rc.filter(c("rc_home") == 1).select(c("account_id").alias("_did"))
@@ -182,7 +204,8 @@ def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk",
 
 def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None) -> DataFrame:
     """S4 first product use > N days ago, upload page never reached. Grain: licensing customer."""
-    use = active_rollup(src.license_usage, "customerid", "lastvalidateddate").select(
+    usage, last_ts = _usage(src, tel)
+    use = active_rollup(usage, "customerid", "lastvalidateddate", last_ts=last_ts).select(
         "customerid", c("first_use").alias("first_product_use"), c("last_use").alias("last_product_use"))
     use = use.filter(older_than("first_product_use", as_of, min_days))
     rc = _rc_flags(src, {"clicked_upload": V.RC_UPLOAD_CLICKED,
@@ -205,7 +228,8 @@ def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None)
 
 def scn_05(src: Sources, min_active_days: int = 30, tel: Telemetry | None = None) -> DataFrame:
     """S5 ≥ N active days, none of three secondary features used. Grain: licensing customer."""
-    use = active_rollup(src.license_usage, "customerid", "lastvalidateddate").select(
+    usage, last_ts = _usage(src, tel)
+    use = active_rollup(usage, "customerid", "lastvalidateddate", last_ts=last_ts).select(
         "customerid", "active_days", F.datediff("last_use", "first_use").alias("active_span_days"))
     use = use.filter(c("active_days") >= min_active_days)
     rc = _rc_flags(src, {"used_lineos": V.RC_LINEOS, "used_view_all": V.RC_VIEW_ALL,
@@ -274,16 +298,15 @@ def scn_08(src: Sources, tel: Telemetry | None = None) -> DataFrame:
         m = tel.il.select("account_id", *_S8_COLS)
         return (m.filter((c("visited_il_home") == 1) & (c("saved_rule") == 0))
                 .withColumnRenamed("account_id", "telemetry_account_id"))
-    m = milestones(src.il_events, "account_id", {
-        "visited_il_home": ever(named(V.IL_HOME)),
+    m = started_not_completed(src.il_events, "account_id", named(V.IL_HOME), named(V.IL_SAVE_RULE), event_date(), extra={
         "clicked_il_button": ever(named(V.IL_BUTTON)),
         "started_rule": ever(named(V.IL_CREATE_RULE)),
         "added_subscriber": ever(named(V.IL_SUBSCRIBERS)),
-        "saved_rule": ever(named(V.IL_SAVE_RULE)),
         "viewed_results_only": ever(named(V.IL_RESULTS)),
         "total_il_sessions": distinct()}, distinct_col="session_id")
-    return (m.filter((c("visited_il_home") == 1) & (c("saved_rule") == 0))
-            .withColumnRenamed("account_id", "telemetry_account_id"))
+    return m.select(c("account_id").alias("telemetry_account_id"), F.lit(1).alias("visited_il_home"), "clicked_il_button",
+                    "started_rule", "added_subscriber", c("completed").alias("saved_rule"), "viewed_results_only",
+                    "total_il_sessions")
 
 
 def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None) -> DataFrame:
@@ -293,9 +316,12 @@ def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None)
         m = tel.il.select("account_id", "first_rule_saved_date", "last_rule_saved_date",
                           c("rule_save_events").alias("total_rules_saved"), "last_results_view")
     else:
-        m = milestones(src.il_events.filter(save | results), "account_id", {
-            "first_rule_saved_date": first(save, d), "last_rule_saved_date": last(save, d),
-            "total_rules_saved": count_if(save), "last_results_view": last(results, d)})
+        # A results view counts from its day: one without a readable day does not.
+        m = started_not_completed(src.il_events, "account_id", save, results & d.isNotNull(), d, as_of, min_days)
+        return m.select(c("account_id").alias("telemetry_account_id"), c("first_start").alias("first_rule_saved_date"),
+                        c("last_start").alias("last_rule_saved_date"), c("starts").alias("total_rules_saved"),
+                        F.lit(None).cast("date").alias("last_results_view"),
+                        c("days_since_first_start").alias("days_since_first_rule"))
     m = m.withColumn("days_since_first_rule", day_diff("first_rule_saved_date", as_of))
     return (m.filter(c("first_rule_saved_date").isNotNull() & c("last_results_view").isNull()
                      & (c("days_since_first_rule") > min_days))
@@ -305,23 +331,21 @@ def scn_09(src: Sources, as_of, min_days: int = 7, tel: Telemetry | None = None)
 # ----------------------------------------------------------------- retention
 
 def scn_10(src: Sources, ref_date=None, window_days: int = 30, min_prev_users: int = 5,
-           max_ratio: float = 0.5, exclusive: bool = False, lazy_ref: bool = False) -> DataFrame:
+           max_ratio: float = 0.5, exclusive: bool = False, tel: Telemetry | None = None) -> DataFrame:
     """S10 seat utilisation drop: current-window users < ratio × previous.
 
-    ``ref_date`` defaults to the latest usage day. It is resolved once, by one
-    small aggregate job, to a literal: the 2 × ``window_days`` filter then
-    prunes date partitions and reaches the scan, and the window bounds do not
-    re-evaluate a subquery per use. ``lazy_ref=True`` keeps it as a scalar
-    subquery inside the plan instead (no job at build time).
+    ``ref_date`` defaults to the latest usage day, a scalar subquery over the
+    partition column where the log is stored by day (over the time otherwise).
+    Both windows bound the partition column too, so only their days are read.
     """
     if ref_date is not None:
         ref = as_date(ref_date)
-    elif lazy_ref:
-        ref = feed_as_of(src.license_usage, "lastvalidateddate")
+    elif tel is not None and tel.usage is not None:
+        ref = feed_as_of(tel.usage, "usage_day")
     else:
-        ref = as_date(feed_as_of_value(src.license_usage, "lastvalidateddate"))
-    u = window_retention(src.license_usage, "customerid", "assigneduser", "lastvalidateddate",
-                         ref, window_days, exclusive)
+        ref = feed_as_of(src.license_usage, src.day_partitions.get("license_usage", ("", "lastvalidateddate"))[1])
+    usage, _ = _usage_since(src, tel, ref, 2 * window_days)
+    u = window_retention(usage, "customerid", "assigneduser", "lastvalidateddate", ref, window_days, exclusive)
     u = u.filter((c("prev") >= min_prev_users) & (ratio("curr", "prev") < max_ratio))
     j = (u.join(_live_customers(src), "customerid")
          .join(_account_dims(src), c("salesforceid") == c("_aid"), "left"))
@@ -372,7 +396,7 @@ def scn_12(src: Sources, as_of, window_days: int = 14, only_alerts: bool = True,
     ``only_alerts=False`` keeps every account that logged in, with its true IL
     event count and the three-way health signal.
     """
-    logins = (src.since("login", "date", as_of, window_days)
+    logins = (_logins_since(src, tel, as_of, window_days)
               .groupBy("account_id").agg(F.count_distinct("date").alias("login_days_14d"),
                                          F.max("date").alias("last_login_date"))
               .filter(c("login_days_14d") > 0))
@@ -443,8 +467,8 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
     """
     acct = _renewing_accounts(src, as_of, renewal_days, product_pattern)
     acct = acct.withColumn("_tk", telemetry_key("platform_legacy_id_c"))
-    tkeys, ids = key_sets(acct, "_tk", "id")
-    login = (src.since("login", "date", as_of, login_days)
+    tkeys, ids = key_set(acct, "_tk"), key_set(acct, "id")
+    login = (_logins_since(src, tel, as_of, login_days)
              .transform(lambda d: semi(d, tkeys, "account_id"))
              .groupBy(c("account_id").alias("_lk"))
              .agg(F.count_distinct("date").alias("login_days_90d")))
@@ -455,8 +479,8 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
               .groupBy(c("account_id").alias("_ik"))
               .agg(F.count_distinct("session_id").alias("il_sessions_all_time")))
     cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
-    users = (src.since("license_usage", "lastvalidateddate", as_of, usage_days)
-             .join(cust, "customerid")
+    seats, _ = _usage_since(src, tel, as_of, usage_days)
+    users = (seats.select("customerid", "assigneduser").distinct().join(cust, "customerid")
              .groupBy(c("salesforceid").alias("_uk"))
              .agg(F.count_distinct("assigneduser").alias("active_licensed_users_30d")))
     keys = (src.license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull())
@@ -488,14 +512,14 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
 
 # --------------------------------------------------------------- offboarding
 
-def scn_15(src: Sources, as_of, window_days: int = 30) -> DataFrame:
+def scn_15(src: Sources, as_of, window_days: int = 30, tel: Telemetry | None = None) -> DataFrame:
     """S15 maintenance lapsed, product still used. Grain: licensing customer."""
     cu = _live_customers(src).filter(c("onmaintenance") == F.lit(False))
-    use = (src.since("license_usage", "lastvalidateddate", as_of, window_days)
-           .transform(lambda d: semi(d, key_set(cu, "customerid"), "customerid"))
-           .groupBy("customerid")
-           .agg(F.max("lastvalidateddate").alias("last_license_validation"),
-                F.count_distinct("assigneduser").alias("users_still_active")))
+    usage, last_ts = _usage_since(src, tel, as_of, window_days)
+    use = (active_rollup(semi(usage, key_set(cu, "customerid"), "customerid"), "customerid", "lastvalidateddate",
+                         entity="assigneduser", last_ts=last_ts)
+           .select("customerid", c("last_use").alias("last_license_validation"),
+                   c("entities").alias("users_still_active")))
     j = cu.join(use, "customerid").join(_account_dims(src), c("salesforceid") == c("_aid"), "left")
     return j.select(
         c("customerid").alias("licensing_customer_id"), c("customername").alias("account_name"),
@@ -519,7 +543,7 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
     acct = src.account.filter(not_deleted()).withColumn("_tk", telemetry_key("platform_legacy_id_c"))
     base = opp.select(c("id").alias("opportunity_id"), c("account_id").alias("_oa"), "close_date",
                       "win_loss_reason_c", "win_loss_sub_reason_c").join(acct, c("_oa") == c("id"))
-    tkeys, ids = key_sets(base, "_tk", "id")
+    tkeys, ids = key_set(base, "_tk"), key_set(base, "id")
     if as_of_close:
         return _s16_at_close(src, base, tkeys, ids)
     if tel is not None:
@@ -537,9 +561,11 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
                         "account_id", named(V.RC_UPLOAD_PAGE))
               .select(c("account_id").alias("_rk"), F.lit(1).alias("ever_uploaded_report")))
     cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
-    use = (src.license_usage.join(cust, "customerid")
+    usage, last_ts = _usage(src, tel)
+    seats = usage.groupBy("customerid", "assigneduser").agg(F.max(last_ts).alias("last_ts"))
+    use = (seats.join(cust, "customerid")
            .groupBy(c("salesforceid").alias("_uk"))
-           .agg(F.max("lastvalidateddate").alias("last_license_use_date"),
+           .agg(F.max("last_ts").alias("last_license_use_date"),
                 F.count_distinct("assigneduser").alias("users_at_churn")))
     j = (base.join(il, c("_tk") == c("_ik"), "left").join(rc, c("_tk") == c("_rk"), "left")
          .join(use, c("id") == c("_uk"), "left"))
@@ -569,7 +595,9 @@ def _s16_at_close(src: Sources, base: DataFrame, tkeys: DataFrame, ids: DataFram
     rc = milestones(semi(src.rc_events, tkeys, "account_id"), "account_id", {
         "_first_upload": first(named(V.RC_UPLOAD_PAGE), d)}).withColumnRenamed("account_id", "_rk")
     cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
-    use = src.license_usage.join(cust, "customerid").withColumn("day", c("lastvalidateddate").cast("date"))
+    use = (src.license_usage.withColumn("day", c("lastvalidateddate").cast("date"))
+           .groupBy("customerid", "assigneduser", "day").agg(F.max("lastvalidateddate").alias("lastvalidateddate"))
+           .join(cust, "customerid"))
     new_users = (use.groupBy("salesforceid", "assigneduser").agg(F.min("day").alias("day"))
                  .filter(c("assigneduser").isNotNull())
                  .groupBy("salesforceid", "day").agg(F.count(F.lit(1)).alias("users")))

@@ -1,28 +1,30 @@
-"""Per-account telemetry profiles: each event log is read and shuffled once.
+"""Profiles of the logs: each log is read and shuffled once per refresh.
 
 A refresh that builds every scenario would otherwise scan the RC log for
-S3–S7 and S16 and the IL log for S7–S9 and S12–S14, S16 — the largest tables,
-eight and nine times. ``telemetry_profiles`` reduces each log once to one row
-per account holding every milestone any scenario needs (all of them
-``as_of``-independent); ``refresh.run_all`` writes the profiles to the shared
-output folder and every scenario reads them (``tel=`` argument).
+S3–S7 and S16, the IL log for S7–S9 and S12–S14, S16, the usage log for S4, S5,
+S10 and S14–S16 and the logins for S3, S12 and S14. ``telemetry_profiles``
+reduces the event logs to one row per account holding every milestone any
+scenario needs, usage to one row per seat and day, and logins to one row per
+account and day (all ``as_of``-independent); ``refresh.run_all`` writes them to
+the shared output folder and every scenario reads them (``tel=`` argument).
 
 RC is grouped first by (account, event name) — for the distinct event-name
 count — and IL first by (account, session) — for the distinct session
 counts. Both first levels spread a hot account over many reducers; every
-other measure is mergeable (max / min / sum) into the second level.
+other measure is mergeable (max / min / sum) into the second level. The same
+profiles can be built from the incremental rollup (``streaming.rollup``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
 from tidemark.operators.kernels import (count_if, distinct, event_date, ever, first, last,
-                                        milestones, named)
+                                        milestones, named, usage_days)
 from tidemark.sources.registry import Sources
 
 c = F.col
@@ -32,10 +34,14 @@ c = F.col
 class Telemetry:
     rc: DataFrame   # one row per RC account_id
     il: DataFrame   # one row per IL account_id
+    usage: DataFrame | None = None   # one row per customer, user and day (``kernels.usage_days``)
+    login: DataFrame | None = None   # one row per account and day
 
 
-def rc_profile(rc_events: DataFrame) -> DataFrame:
-    d = event_date()
+def rc_profile(rc_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """``day`` and ``weight`` name the day and the number of events of a row
+    that stands for several (a rollup's)."""
+    d = event_date() if day is None else day
     sp, sc = named(V.RC_SCHEDULE_PAGE), named(V.RC_SCHEDULE_CREATED)
     return milestones(rc_events, "account_id", {
         "rc_home": ever(named(V.RC_HOME)),
@@ -46,7 +52,7 @@ def rc_profile(rc_events: DataFrame) -> DataFrame:
         "used_schedule": ever(sp),
         "first_schedule_page_visit": first(sp, d),
         "last_schedule_page_visit": last(sp, d),
-        "schedule_page_visits": count_if(sp),
+        "schedule_page_visits": count_if(sp, weight),
         "completed_schedule": ever(sc),
         "first_rc_event": first(None, d),
         "last_rc_event": last(None, d),
@@ -54,8 +60,8 @@ def rc_profile(rc_events: DataFrame) -> DataFrame:
     }, distinct_col="tracked_event_name")
 
 
-def il_profile(il_events: DataFrame) -> DataFrame:
-    d = event_date()
+def il_profile(il_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    d = event_date() if day is None else day
     save, results = named(V.IL_SAVE_RULE), named(V.IL_RESULTS)
     has_name = c("tracked_event_name").isNotNull()
     return milestones(il_events, "account_id", {
@@ -69,7 +75,7 @@ def il_profile(il_events: DataFrame) -> DataFrame:
         "total_il_sessions": distinct(),
         "first_rule_saved_date": first(save, d),
         "last_rule_saved_date": last(save, d),
-        "rule_save_events": count_if(save),
+        "rule_save_events": count_if(save, weight),
         "last_results_view": last(results, d),
         "last_rule_edit": last(named(V.IL_EDIT_RULE), d),
         "save_sessions": distinct(save),
@@ -79,5 +85,12 @@ def il_profile(il_events: DataFrame) -> DataFrame:
     }, distinct_col="session_id")
 
 
-def telemetry_profiles(src: Sources) -> Telemetry:
-    return Telemetry(rc=rc_profile(src.rc_events), il=il_profile(src.il_events))
+def telemetry_profiles(src: Sources, rollup: DataFrame | None = None) -> Telemetry:
+    """Profiles of the logs of ``src``; with ``rollup`` (``read_rollup``) the
+    event profiles come from it and the event logs are not read."""
+    usage, login = usage_days(src.license_usage), src.login.select("account_id", "date").distinct()
+    if rollup is None:
+        return Telemetry(rc_profile(src.rc_events), il_profile(src.il_events), usage, login)
+    day, n = c("event_date"), c("events")
+    return Telemetry(rc_profile(rollup.filter(c("surface") == "RC"), day, n),
+                     il_profile(rollup.filter(c("surface") == "IL"), day, n), usage, login)

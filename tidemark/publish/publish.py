@@ -123,18 +123,28 @@ def read_mart(spark: SparkSession, root: str, mart: str, filters: Column | None
               order_by: list[Column] | None = None, limit: int | None = None,
               offset: int = 0, columns: list[str] | None = None) -> DataFrame:
     """OPS-04 / FLT-13: the app's read contract — filter, order, page; no
-    aggregation. Filters reach the Parquet scan."""
+    aggregation. Filters reach the Parquet scan. Without ``order_by`` a mart
+    comes in its default order (SRT-01/02); ``[]`` leaves it unordered."""
     v = current_version(spark, root, mart)
     if v is None:
         raise FileNotFoundError(f"{mart} has no published version under {root}")
     df = spark.read.parquet(v["path"])
+    if order_by is None:
+        order_by = default_order(mart)
     return page(df, filters, order_by, limit, offset, columns)
 
 
+def default_order(mart: str) -> list[Column]:
+    """Sort columns of a mart by table name or scenario id; none if it has no
+    default order."""
+    from tidemark.functions import vocabulary as V
+    from tidemark.plans.scenarios import DEFAULT_ORDER, order_columns
+    ids = {t: sid for sid, t in dict(V.MART_TABLES, MASTER=V.MASTER_TABLE).items()}
+    return order_columns(DEFAULT_ORDER.get(ids.get(mart, mart), []))
+
+
 def page(df: DataFrame, filters: Column | None = None, order_by: list[Column] | None = None,
          limit: int | None = None, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
-    if columns:
-        df = df.select(*columns)
     if filters is not None:
         df = df.filter(filters)
     if order_by:
@@ -143,40 +153,32 @@ def page(df: DataFrame, filters: Column | None = None, order_by: list[Column] |
         df = df.offset(offset)
     if limit is not None:
         df = df.limit(limit)
-    return df
+    return df.select(*columns) if columns else df
 
 
 # ------------------------------------------------------------- lineage, PII
 
-def table_root(path: str) -> str:
-    """A data file's table folder: the file name and any ``key=value``
-    partition folders removed."""
-    parts = path.rstrip("/").split("/")[:-1]
-    while parts and "=" in parts[-1]:
-        parts.pop()
-    return "/".join(parts)
-
-
-def lineage(spark: SparkSession, marts: dict[str, DataFrame], depends_on: dict[str, list[str]]) -> DataFrame:
-    """OPS-02: (mart, kind, name) — the tables each mart reads (file listings
-    collapsed to table folders, so a day-partitioned source is one row, not
-    one per file) and the marts it is declared to depend on."""
-    rows = []
-    for name, df in marts.items():
-        rows += [(name, "input_table", t) for t in sorted({table_root(f) for f in df.inputFiles()})]
-        rows += [(name, "depends_on", d) for d in depends_on.get(name, [])]
+def lineage(spark: SparkSession, depends_on: dict[str, list[str]], locations: dict[str, tuple[str, ...]]) -> DataFrame:
+    """OPS-02: (mart, kind, name) — the tables each mart reads (those of its
+    source roles, and of the marts it is built from) and what it is declared
+    to depend on. No file is listed."""
+    def tables(mart: str) -> set[str]:
+        return {t for d in depends_on[mart] for t in (tables(d) if d in depends_on else locations.get(d, ()))}
+
+    rows = [(m, "input_table", t) for m in depends_on for t in sorted(tables(m))]
+    rows += [(m, "depends_on", d) for m, ds in depends_on.items() for d in ds]
     return spark.createDataFrame(rows, "mart string, kind string, name string")
 
 
-def mask_columns(df: DataFrame, columns: list[str], method: str = "sha2") -> DataFrame:
-    """OPS-05: hash (``sha2``, joinable) or mask (``mask``, readable shape)
-    personal columns for exports and samples."""
+def mask_columns(df: DataFrame, columns: list[str], method: str = "sha2", salt: str = "") -> DataFrame:
+    """OPS-05: hash (``sha2``, joinable under one ``salt``) or mask (``mask``,
+    readable shape) personal columns for exports and samples. Without a secret
+    salt the hash of a guessable value can be reversed by guessing. A column
+    that does not exist raises."""
+    if missing := [col for col in columns if col not in df.columns]:
+        raise ValueError(f"no such column: {', '.join(missing)}")
     out = df
     for col in columns:
-        if col not in df.columns:
-            continue
-        if method == "sha2":
-            out = out.withColumn(col, F.sha2(c(col).cast("string"), 256))
-        else:
-            out = out.withColumn(col, F.mask(c(col).cast("string")))
+        text = c(col).cast("string")
+        out = out.withColumn(col, F.sha2(F.concat(F.lit(salt), text), 256) if method == "sha2" else F.mask(text))
     return out

@@ -4,6 +4,8 @@ concepts and the event rollup — each with its DuckDB oracle SQL."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ from tidemark.plans import scenarios as S
 from tidemark.registry import oracle as Q
 from tidemark.registry.queries import register
 from tidemark.sources import staging as STG
-from tidemark.sources.testmap import EVENTS_AS_OF, ORDERS_AS_OF, arr_daily, read_table, roles
-from tidemark.streaming.rollup import event_daily_rollup
+from tidemark.plans.refresh import DEPENDS_ON
+from tidemark.publish.publish import lineage
+from tidemark.session import checkpoint_dir
+from tidemark.sources.testmap import EVENTS_AS_OF, ORDERS_AS_OF, ROLE_TABLES, arr_daily, read_table, roles
+from tidemark.streaming.rollup import event_daily_rollup, restage_days
 
 c = F.col
 O, E = Q.O, Q.E
@@ -28,7 +33,7 @@ O, E = Q.O, Q.E
 # ------------------------------------------------------------- date dimension
 
 def _dim_sql(offset: int = 0) -> str:
-    fd = f"CAST(d + INTERVAL {offset} MONTH AS DATE)" if offset else "d"
+    fd = f"CAST(d - INTERVAL {offset} MONTH AS DATE)" if offset else "d"
     qe = "CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"
     ye = "make_date(year(d), 12, 31)"
     return f"""WITH b AS (SELECT CAST(MIN(o_orderdate) AS DATE) AS lo, CAST(MAX(o_orderdate) AS DATE) AS hi
@@ -75,9 +80,17 @@ LEFT JOIN monthly prv ON prv.month_end = m.prior_year_month_end""")(
                                            F.count(F.lit(1)), _orders_dim(spark, d)))
 
 
+register("prior_year_days", f"""WITH dim AS ({_dim_sql()}),
+daily AS (SELECT CAST(o_orderdate AS DATE) AS d, COUNT(*) AS n FROM orders GROUP BY 1)
+SELECT dim.date_day, dim.prior_year_same_day, cur.n AS value, prv.n AS prior_year_value
+FROM dim LEFT JOIN daily cur ON cur.d = dim.date_day LEFT JOIN daily prv ON prv.d = dim.prior_year_same_day""")(
+    lambda spark, d: DD.prior_year_days(read_table(spark, d, "orders"), "o_orderdate", F.count(F.lit(1)),
+                                        _orders_dim(spark, d)))
+
+
 # -------------------------------------------------------------------- staging
 
-_QUAR = "event_time IS NOT NULL AND trim(event_time) <> '' AND TRY_CAST(event_time AS DATE) IS NULL"
+_QUAR = "event_time IS NOT NULL AND trim(event_time) <> '' AND " + Q.td("event_time") + " IS NULL"
 
 
 def _quarantine(spark, d):
@@ -94,6 +107,47 @@ UNION ALL
 SELECT 'il_events', 'event_time', COUNT(*) FILTER (WHERE {_QUAR}) FROM il_events""")(_quarantine)
 
 
+register("staging_quarantine_rows", f"""
+SELECT 'rc_events' AS table_name, account_id, event_time, 'event_time' AS failed_column FROM rc_events WHERE {_QUAR}
+UNION ALL SELECT 'il_events', account_id, event_time, 'event_time' FROM il_events WHERE {_QUAR}""")(
+    lambda spark, d: (lambda src: STG.quarantine_rows(src.rc_events, {"event_time": "date"}).select(
+        F.lit("rc_events").alias("table_name"), "account_id", "event_time", "failed_column").unionByName(
+        STG.quarantine_rows(src.il_events, {"event_time": "date"}).select(
+            F.lit("il_events").alias("table_name"), "account_id", "event_time", "failed_column")))(roles(spark, d)))
+
+
+def _restaged(spark, d):
+    """A day-partitioned RC log gets its late half: the rows of every third
+    account, undated ones among them."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-restaged-{uuid.uuid4().hex}"
+    rc = roles(spark, d).rc_events
+    late = F.pmod(F.crc32("account_id"), F.lit(3)) == 0
+    day = STG.day_of("event_time", rc).alias("event_day")
+    STG.by_day(rc.filter(~late).select("*", day), "event_day").write.partitionBy("event_day").parquet(out)
+    restage_days(rc, out, "event_time", "event_day", rc.filter(late).select(day))
+    return spark.read.parquet(out).groupBy("event_day").agg(F.count(F.lit(1)).alias("rows"))
+
+
+register("restaged_days", 'SELECT day AS event_day, COUNT(*) AS "rows" FROM rc GROUP BY 1')(_restaged)
+
+_ROLE_ROWS = sorted({(m, t) for m, ds in DEPENDS_ON.items() for d in ds for t in ROLE_TABLES.get(d, ())})
+
+
+def _lineage_rows(spark, d):
+    """Each mart's own source tables, and how many rows they have now."""
+    own = {m: [x for x in ds if x in ROLE_TABLES] for m, ds in DEPENDS_ON.items()}
+    lin = lineage(spark, own, roles(spark, d).locations).filter(c("kind") == "input_table")
+    tables = sorted({t for _, t in _ROLE_ROWS})
+    counts = reduce(lambda a, b: a.unionByName(b), [
+        read_table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("source"), "rows")
+        for t in tables])
+    return lin.select("mart", F.regexp_extract("name", r"([^/]+)\.parquet$", 1).alias("source")).join(counts, "source")
+
+
+register("lineage_source_rows", "\nUNION ALL ".join(
+    f"SELECT '{m}' AS mart, '{t}' AS source, COUNT(*) AS \"rows\" FROM {t}" for m, t in _ROLE_ROWS))(_lineage_rows)
+
+
 def _bool_sql(col: str) -> str:
     t = f"lower(trim(CAST({col} AS VARCHAR)))"
     return (f"CASE WHEN {t} IN ('1','true','t','y','yes') THEN TRUE "
@@ -120,7 +174,7 @@ def _junk(spark, d):
 register("staging_junk", """
 SELECT CASE WHEN account_id IS NULL THEN 'null_account' ELSE 'unparseable_time' END AS drop_reason,
   COUNT(*) AS "rows"
-FROM rc_events WHERE account_id IS NULL OR TRY_CAST(event_time AS DATE) IS NULL
+FROM rc WHERE account_id IS NULL OR day IS NULL
 GROUP BY 1""")(_junk)
 
 
@@ -218,9 +272,12 @@ SELECT 'rc_events.account_id -> webid' AS name, child_keys, matched_keys,
         src.license_customer.select(F.concat(F.lit(V.TELEMETRY_PREFIX), c("webid")).alias("k")), "k",
         "rc_events.account_id -> webid"))(roles(spark, d)))
 
-# Sampling is the feature here; no oracle (a Bernoulli sample is engine-specific).
-register("profile_sample")(
-    lambda spark, d: P.sample_rows(roles(spark, d).license_key, 0.01, seed=11,
+register("profile_sample", """SELECT customerid, sha256('s1' || assigneduser) AS assigneduser,
+  sha256('s1' || customeremail) AS customeremail, dateassigned, lastvalidateddate, registered, deactivated,
+  _fivetran_deleted
+FROM license_key WHERE CAST('0x' || substr(md5(concat_ws('|', 's1', CAST(customerid AS VARCHAR), assigneduser)), 1, 8)
+  AS BIGINT) < CAST(floor(0.01 * 4294967296) AS BIGINT)""")(
+    lambda spark, d: P.sample_rows(roles(spark, d).license_key, 0.01, ["customerid", "assigneduser"], salt="s1",
                                    mask=["customeremail", "assigneduser"]))
 
 
@@ -243,8 +300,8 @@ def _fresh_sql(name, expr, table):
 
 register("freshness", "\nUNION ALL\n".join([
     _fresh_sql("login", "date", "login"),
-    _fresh_sql("rc_events", "TRY_CAST(event_time AS DATE)", "rc_events"),
-    _fresh_sql("il_events", "TRY_CAST(event_time AS DATE)", "il_events"),
+    _fresh_sql("rc_events", "day", "rc"),
+    _fresh_sql("il_events", "day", "il"),
     _fresh_sql("license_usage", "lastvalidateddate", "license_usage")]))(_freshness)
 
 
@@ -405,16 +462,16 @@ GROUP BY month_end""")(
 # --------------------------------------------------------------- event rollup
 
 register("event_daily_rollup", """WITH ev AS (
-  SELECT 'RC' AS surface, account_id, tracked_event_name, event_time FROM rc_events
-  UNION ALL SELECT 'IL', account_id, tracked_event_name, event_time FROM il_events)
-SELECT surface, account_id, TRY_CAST(event_time AS DATE) AS event_date, tracked_event_name,
-  COUNT(*) AS events, MIN(TRY_CAST(event_time AS TIMESTAMP)) AS first_event_time,
-  MAX(TRY_CAST(event_time AS TIMESTAMP)) AS last_event_time
-FROM ev GROUP BY 1, 2, 3, 4""")(
+  SELECT 'RC' AS surface, account_id, tracked_event_name, event_time, CAST(NULL AS VARCHAR) AS session_id FROM rc_events
+  UNION ALL SELECT 'IL', account_id, tracked_event_name, event_time, session_id FROM il_events)
+SELECT surface, account_id, session_id, """ + Q.td("event_time") + """ AS event_date, tracked_event_name,
+  COUNT(*) AS events, MIN(TRY_CAST(CASE WHEN regexp_matches(event_time, '^\\d{4}-\\d{2}-\\d{2}') THEN event_time END AS TIMESTAMP)) AS first_event_time,
+  MAX(TRY_CAST(CASE WHEN regexp_matches(event_time, '^\\d{4}-\\d{2}-\\d{2}') THEN event_time END AS TIMESTAMP)) AS last_event_time
+FROM ev GROUP BY 1, 2, 3, 4, 5""")(
     lambda spark, d: (lambda src: event_daily_rollup(src.rc_events, src.il_events))(roles(spark, d)))
 
 
-# JN-11: period lookup through the (size-checked, broadcast) date dimension.
+# JN-11: period lookup through the date dimension.
 register("jn_11_date_dim_lookup", f"""WITH dim AS ({_dim_sql(3)})
 SELECT d.fiscal_year, d.fiscal_quarter, COUNT(*) AS orders, COUNT(DISTINCT o.o_custkey) AS customers
 FROM orders o LEFT JOIN dim d ON d.date_day = CAST(o.o_orderdate AS DATE)

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import (day_diff, due_within, older_than, on_or_after, parse_date,
+from tidemark.functions.dates import (day_diff, due_within, feed_as_of, older_than, on_or_after, parse_date,
                                       quarter_end, year_end)
 from tidemark.functions.predicates import flag_sum, null_or_empty, ratio, telemetry_key, tier
 from tidemark.operators.kernels import (distinct, distinct_entities, ever, first, keys_that, last,
                                         milestones, count_if, window_retention)
 from tidemark.plans import scenarios as S
-from tidemark.plans.master import latest_contract
-from tidemark.publish.publish import page
+from tidemark.publish.publish import default_order, page
 from tidemark.registry import oracle as Q
 from tidemark.registry.queries import register
 from tidemark.sources.testmap import ORDERS_AS_OF, read_table, roles
@@ -166,13 +165,11 @@ SELECT user_id,
   COUNT(DISTINCT CASE WHEN ts BETWEEN r - 14 AND r - 7 THEN event_type END) AS prev
 FROM events CROSS JOIN ref WHERE ts >= r - 14 GROUP BY user_id""")(
     lambda spark, d: (lambda ev: window_retention(
-        ev, "user_id", "event_type", "ts", ev.agg(F.max("ts").cast("date").alias("r")).first()["r"], 7))(
+        ev, "user_id", "event_type", "ts", feed_as_of(ev, "ts"), 7))(
         _events(spark, d)))
 
 # ----------------------------------------------------------- windows and sort
 
-register("win_01_latest_row", Q.LATEST_CONTRACT)(lambda spark, d: latest_contract(roles(spark, d)))
-
 register("srt_04_top_k", """SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total_value
 FROM orders GROUP BY o_custkey ORDER BY total_value DESC, o_custkey LIMIT 10""")(
     lambda spark, d: _t(spark, d, "orders").groupBy("o_custkey")
@@ -186,6 +183,23 @@ ORDER BY days_to_renewal, sfdc_account_id LIMIT 20 OFFSET 5""")(
                           [c("days_to_renewal").asc_nulls_last(), c("sfdc_account_id")], 20, 5,
                           ["sfdc_account_id", "account_name", "days_to_renewal", "risk_tier"]))
 
+# SRT-02: mixed directions, NULLs high; a top-k report.
+register("srt_02_mixed_order", f"""WITH s14 AS ({Q.SCENARIO_SQL['S14'].strip()})
+SELECT sfdc_account_id, risk_tier, arr, days_to_renewal FROM s14
+ORDER BY CASE risk_tier WHEN 'RED' THEN 1 WHEN 'AMBER' THEN 2 ELSE 3 END, arr DESC NULLS FIRST, sfdc_account_id
+LIMIT 40""")(
+    lambda spark, d: page(S.scn_14(roles(spark, d), ORDERS_AS_OF), None, [
+        S.risk_severity(), c("arr").desc_nulls_first(), c("sfdc_account_id")], 40, 0,
+        ["sfdc_account_id", "risk_tier", "arr", "days_to_renewal"]))
+
+# SRT-01: a mart's default order, cut to its first rows.
+register("srt_01_default_order", f"""WITH s11 AS ({Q.SCENARIO_SQL['S11'].strip()})
+SELECT sfdc_account_id, account_name, days_to_renewal, dormancy_pct FROM s11
+ORDER BY days_to_renewal, dormancy_pct DESC, sfdc_account_id, account_name LIMIT 40""")(
+    lambda spark, d: page(S.scn_11(roles(spark, d), ORDERS_AS_OF), None, [
+        *default_order("S11"), c("sfdc_account_id"), c("account_name")], 40, 0,
+        ["sfdc_account_id", "account_name", "days_to_renewal", "dormancy_pct"]))
+
 # ------------------------------------------------------------------- scalars
 
 register("fn_02_day_diff", f"""SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), {O}) AS INTEGER)
@@ -193,7 +207,7 @@ register("fn_02_day_diff", f"""SELECT o_orderkey, CAST(date_diff('day', CAST(o_o
     lambda spark, d: _t(spark, d, "orders").select("o_orderkey",
                                                    day_diff("o_orderdate", ORDERS_AS_OF).alias("days_since_order")))
 
-register("fn_04_try_to_date", """SELECT account_id, event_time, TRY_CAST(event_time AS DATE) AS event_date
+register("fn_04_try_to_date", f"""SELECT account_id, event_time, {Q.td('event_time')} AS event_date
 FROM rc_events""")(
     lambda spark, d: roles(spark, d).rc_events.select("account_id", "event_time",
                                                       parse_date("event_time").alias("event_date")))

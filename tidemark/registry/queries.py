@@ -6,12 +6,15 @@ Every query reads the driver's tables through the role mapping
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import scenarios as S
+from tidemark.plans.refresh import default_builders, write_marts, write_profiles
 from tidemark.registry import oracle as Q
+from tidemark.session import checkpoint_dir
 from tidemark.sources.testmap import EVENTS_AS_OF as EV, ORDERS_AS_OF as OR, roles
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,58 +32,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# S10 windows: the test usage feed is sparse (a customer has a few dozen line
-# items over seven years), so 30-day windows hold too few users; 180 is used.
-S10_WINDOW = 180
-
-def _builders(tel=None) -> dict[str, Callable]:
-    """Scenario builders for the test mapping; with ``tel`` the telemetry
-    scenarios read the shared per-account profiles instead of the logs."""
-    return {
-        "S1": lambda src: S.scn_01(src, OR),
-        "S2": lambda src: S.scn_02(src, OR),
-        "S3": lambda src: S.scn_03(src, tel=tel),
-        "S4": lambda src: S.scn_04(src, OR, tel=tel),
-        "S5": lambda src: S.scn_05(src, tel=tel),
-        "S6": lambda src: S.scn_06(src, EV, tel=tel),
-        "S7": lambda src: S.scn_07(src, EV, tel=tel),
-        "S8": lambda src: S.scn_08(src, tel=tel),
-        "S9": lambda src: S.scn_09(src, EV, tel=tel),
-        "S10": lambda src: S.scn_10(src, window_days=S10_WINDOW),
-        "S11": lambda src: S.scn_11(src, OR),
-        "S12": lambda src: S.scn_12(src, OR, tel=tel),
-        "S13": lambda src: S.scn_13(src, EV, tel=tel),
-        "S14": lambda src: S.scn_14(src, OR, tel=tel),
-        "S15": lambda src: S.scn_15(src, OR),
-        "S16": lambda src: S.scn_16(src, tel=tel),
-    }
-
-
-_SCN_ARGS: dict[str, Callable] = _builders()
-
-_FRAMES: dict[int, tuple[object, dict[str, DataFrame]]] = {}
-
-
-def scenario_frames(src) -> dict[str, DataFrame]:
-    """All sixteen marts for the test mapping, keyed S1..S16, for the master
-    view and the reports.
-
-    The RC and IL logs are reduced once to per-account telemetry profiles and
-    cut off with ``checkpoint()`` (into the session's ``spark.checkpoint.dir``):
-    inside one lazy plan every scenario would otherwise prune a shared profile
-    differently and scan the logs again. One set of frames is built per role
-    set and shared by the queries of the session.
-    """
-    hit = _FRAMES.get(id(src))
-    if hit is None or hit[0] is not src:
-        from tidemark.plans.telemetry import Telemetry, telemetry_profiles
-        from tidemark.session import checkpoint_dir
-        checkpoint_dir(src.account.sparkSession)
-        prof = telemetry_profiles(src)
-        tel = Telemetry(rc=prof.rc.checkpoint(), il=prof.il.checkpoint())
-        hit = (src, {sid: fn(src) for sid, fn in _builders(tel).items()})
-        _FRAMES[id(src)] = hit
-    return hit[1]
+# S10's windows as in the source; ``scn_10_180d`` takes longer ones.
+S10_WINDOW = 30
+
+_BUILDERS = default_builders(OR, EV)
+
+
+def scenario_frames(spark, src) -> dict[str, DataFrame]:
+    """All sixteen marts for the test mapping, keyed S1..S16, built the way a
+    refresh builds them: each log reduced once to a profile, each mart written
+    once, in a fresh folder of the shared store, and read back."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-marts-{uuid.uuid4().hex}"
+    tel = write_profiles(spark, src, f"{out}/_profiles")
+    return write_marts(spark, src, default_builders(OR, EV, tel=tel), out)[0]
 
 
 def scenario_sql(sid: str) -> str:
@@ -88,10 +52,10 @@ def scenario_sql(sid: str) -> str:
 
 
 def _scn_query(sid: str) -> QueryFn:
-    return lambda spark, sf_dir: _SCN_ARGS[sid](roles(spark, sf_dir))
+    return lambda spark, sf_dir: _BUILDERS[sid](roles(spark, sf_dir))
 
 
-for _sid in _SCN_ARGS:
+for _sid in _BUILDERS:
     register(f"scn_{int(_sid[1:]):02d}", scenario_sql(_sid))(_scn_query(_sid))
 
 
@@ -101,7 +65,7 @@ def _master_parts(spark, sf_dir, with_members: bool = False):
     from tidemark.operators.bridge import telemetry_bridge
     from tidemark.plans import master as M
     src = roles(spark, sf_dir)
-    frames = scenario_frames(src)
+    frames = scenario_frames(spark, src)
     members = M.memberships(frames, telemetry_bridge(src, ("webid",))) if with_members else None
     return src, frames, members, M
 
@@ -123,7 +87,7 @@ def q_alerts_by_stage(spark, sf_dir):
     from tidemark.operators.bridge import telemetry_bridge
     from tidemark.plans import master as M
     src = roles(spark, sf_dir)
-    return M.alerts_by_stage(scenario_frames(src), telemetry_bridge(src, ("webid",)))
+    return M.alerts_by_stage(scenario_frames(spark, src), telemetry_bridge(src, ("webid",)))
 
 
 @register("csm_worklist", Q.csm_worklist_sql(S10_WINDOW))
@@ -150,71 +114,33 @@ def q_bridge_orphans(spark, sf_dir):
     return bridge_orphans(roles(spark, sf_dir))
 
 
-@register("rpt_03_enriched_s06", Q.ENRICHED_S6)
-def q_enriched_s06(spark, sf_dir):
-    from tidemark.plans.master import enrich_telemetry
-    src = roles(spark, sf_dir)
-    return enrich_telemetry(S.scn_06(src, EV), src)
-
-
-# --------------------------------------------- source-shaped S14 / S16 (bench)
-
-@register("scn_14_reference_shape", Q.SCENARIO_SQL["S14"])
-def q_scn_14_joined(spark, sf_dir):
-    from tidemark.plans.reference_shape import scn_14_joined
-    return scn_14_joined(roles(spark, sf_dir), OR)
+def _enriched(sid: str) -> QueryFn:
+    def q(spark, sf_dir):
+        from tidemark.plans.master import enrich_telemetry
+        src = roles(spark, sf_dir)
+        return enrich_telemetry(_BUILDERS[sid](src), src)
+    return q
 
 
-@register("scn_16_reference_shape", Q.SCENARIO_SQL["S16"])
-def q_scn_16_joined(spark, sf_dir):
-    from tidemark.plans.reference_shape import scn_16_joined
-    return scn_16_joined(roles(spark, sf_dir))
+for _n in Q.TELEMETRY_GRAIN:
+    register(f"rpt_03_enriched_s{_n:02d}", Q.enriched_sql(f"S{_n}"))(_enriched(f"S{_n}"))
 
 
 # ------------------------------------------------------ quirk-register options
 
-_S16_AT_CLOSE = """
-SELECT o.id AS opportunity_id, a.name AS account_name, a.id AS sfdc_account_id, a.type AS account_type,
-  a.active_product_lines_c AS product_lines, o.close_date AS closed_lost_date,
-  o.win_loss_reason_c AS loss_reason, o.win_loss_sub_reason_c AS loss_sub_reason,
-  MAX(CASE WHEN il.tracked_event_name IS NOT NULL AND TRY_CAST(il.event_time AS DATE) <= o.close_date
-      THEN 1 ELSE 0 END) AS ever_used_intelligence_layer,
-  MAX(CASE WHEN il.tracked_event_name = 'INTEL | Button to Save Rule Clicked'
-       AND TRY_CAST(il.event_time AS DATE) <= o.close_date THEN 1 ELSE 0 END) AS ever_saved_rule,
-  MAX(CASE WHEN rc.tracked_event_name = 'RC | User on Reports Upload Page'
-       AND TRY_CAST(rc.event_time AS DATE) <= o.close_date THEN 1 ELSE 0 END) AS ever_uploaded_report,
-  MAX(CASE WHEN CAST(d.lastvalidateddate AS DATE) <= o.close_date THEN d.lastvalidateddate END)
-    AS last_license_use_date,
-  COUNT(DISTINCT CASE WHEN CAST(d.lastvalidateddate AS DATE) <= o.close_date THEN d.assigneduser END)
-    AS users_at_churn
-FROM opportunity o
-JOIN account a ON a.id = o.account_id
-LEFT JOIN il_events il ON il.account_id = ('platform:' || a.platform_legacy_id_c)
-LEFT JOIN rc_events rc ON rc.account_id = ('platform:' || a.platform_legacy_id_c)
-LEFT JOIN license_customer c ON c.salesforceid = a.id
-LEFT JOIN license_usage d ON d.customerid = c.customerid
-WHERE o.product_line_c = 'Angles Professional' AND o.stage_name = 'Closed Lost'
-  AND o._fivetran_deleted = FALSE AND a._fivetran_deleted = FALSE
-GROUP BY o.id, a.name, a.id, a.type, a.active_product_lines_c, o.close_date, o.win_loss_reason_c,
-  o.win_loss_sub_reason_c
-"""
-
-register("scn_16_at_close", _S16_AT_CLOSE)(lambda spark, d: S.scn_16(roles(spark, d), as_of_close=True))
+register("scn_16_at_close", Q.s16_sql(at_close=True))(lambda spark, d: S.scn_16(roles(spark, d), as_of_close=True))
 
 register("scn_12_all_signals", f"""
 WITH l AS (SELECT account_id, COUNT(DISTINCT date) AS login_days_14d, MAX(date) AS last_login_date
   FROM login WHERE date >= {Q.O} - 14 GROUP BY account_id),
-i AS (SELECT account_id, COUNT(*) AS n FROM il_events
-  WHERE tracked_event_name IS NOT NULL AND TRY_CAST(event_time AS DATE) >= {Q.O} - 14 GROUP BY account_id)
+i AS (SELECT account_id, COUNT(*) AS n FROM il WHERE ev IS NOT NULL AND day >= {Q.O} - 14 GROUP BY account_id)
 SELECT l.account_id AS telemetry_account_id, l.login_days_14d, COALESCE(i.n, 0) AS il_events_14d,
   CASE WHEN COALESCE(i.n, 0) = 0 THEN 'login-only risk' WHEN COALESCE(i.n, 0) < 3 THEN 'low IL engagement'
        ELSE 'healthy' END AS health_signal, l.last_login_date
 FROM l LEFT JOIN i ON i.account_id = l.account_id WHERE l.login_days_14d > 0""")(
     lambda spark, d: S.scn_12(roles(spark, d), OR, only_alerts=False))
 
-register("scn_13_spec_semantics", Q.SCENARIO_SQL["S13"].replace(
-    "OR (last_results_view IS NULL AND days_since_any_il_event > 14)",
-    f"OR last_results_view IS NULL OR {Q.dd('last_results_view', Q.E)} > 14"))(
+register("scn_13_spec_semantics", Q.S13_SPEC)(
     lambda spark, d: S.scn_13(roles(spark, d), EV, spec_semantics=True))
 
 register("scn_03_active_license", f"""WITH s3 AS ({Q.SCENARIO_SQL['S3'].strip()}),
@@ -224,3 +150,11 @@ ak AS (SELECT DISTINCT 'platform:' || c.webid AS k FROM license_customer c
                 AND u.lastvalidateddate >= {Q.O} - 365))
 SELECT * FROM s3 WHERE telemetry_account_id IN (SELECT k FROM ak)""")(
     lambda spark, d: S.scn_03(roles(spark, d), require_active_license_days=365, as_of=OR))
+
+register("scn_10_180d", Q.s10_sql(180))(lambda spark, d: S.scn_10(roles(spark, d), window_days=180))
+
+
+@register("alerts_by_owner", Q.alerts_by_owner_sql(S10_WINDOW))
+def q_alerts_by_owner(spark, sf_dir):
+    src, _, members, M = _master_parts(spark, sf_dir, with_members=True)
+    return M.alerts_by_owner(src, members)

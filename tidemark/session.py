@@ -8,6 +8,7 @@ the platform's session (and its ``spark.checkpoint.dir``) is used as is.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,13 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster's shared storage) or the
-    directory already registered on the context. Only when neither is set —
-    local runs and tests — a scratch folder is created and registered, so
-    that ``DataFrame.checkpoint()`` works. (``spark.checkpoint.dir`` itself
+    directory already registered on the context. Only when neither is set and
+    the master is local — tests — a scratch folder is created and registered,
+    so that ``DataFrame.checkpoint()`` works; on a cluster this raises, since a
+    machine-local folder is not shared. (``spark.checkpoint.dir`` itself
     cannot be changed at run time.)
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():

@@ -35,13 +35,15 @@ class Sources:
     # role -> (time column, day-partition column) for facts stored partitioned
     # by day; window filters then also prune partitions (see ``since``).
     day_partitions: dict = field(default_factory=dict)
+    # role -> tables (names or folders) that it reads, for lineage.
+    locations: dict = field(default_factory=dict)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, names: dict[str, str],
                     day_partitions: dict | None = None) -> "Sources":
         """Catalog tables, e.g. ``{"account": "crm.salesforce.account", ...}``."""
         return cls(**{r: _lower(spark.read.table(names[r])) for r in ROLES},
-                   day_partitions=dict(day_partitions or {}))
+                   day_partitions=dict(day_partitions or {}), locations={r: (names[r],) for r in ROLES})
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, day_partitions: dict | None = None) -> "Sources":
@@ -54,7 +56,7 @@ class Sources:
             if r in day_partitions:
                 schema = T.StructType(schema.fields + [T.StructField(day_partitions[r][1], T.DateType())])
             frames[r] = spark.read.schema(schema).parquet(f"{root}/{r}")
-        return cls(**frames, day_partitions=day_partitions)
+        return cls(**frames, day_partitions=day_partitions, locations={r: (f"{root}/{r}",) for r in ROLES})
 
     def with_(self, **kw) -> "Sources":
         return replace(self, **kw)

@@ -61,22 +61,25 @@ def normalize_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[CONVERTERS[types[n]](c(n)).alias(n) if n in types else c(n) for n in df.columns])
 
 
+def _unreadable(col: str, kind: str) -> Column:
+    """Whether a value is present, not blank, and fails to convert."""
+    return c(col).isNotNull() & (F.trim(c(col).cast("string")) != "") & CONVERTERS[kind](c(col)).isNull()
+
+
 def quarantine_counts(raw: DataFrame, types: dict[str, str], table: str) -> DataFrame:
     """STG-03: per column, values present in the raw table that fail to
     convert — (table, column, bad_values), one pass over the table."""
-    aggs = [F.count_if(c(n).isNotNull() & (F.trim(c(n).cast("string")) != "")
-                       & CONVERTERS[t](c(n)).isNull()).alias(n) for n, t in types.items()]
-    wide = raw.agg(*aggs)
+    wide = raw.agg(*[F.count_if(_unreadable(n, t)).alias(n) for n, t in types.items()])
     stack = ", ".join(f"'{n}', `{n}`" for n in types)
     return wide.selectExpr(f"'{table}' AS table_name",
                            f"stack({len(types)}, {stack}) AS (column_name, bad_values)")
 
 
 def quarantine_rows(raw: DataFrame, types: dict[str, str]) -> DataFrame:
-    """STG-03: the failing rows themselves, with the failing column named."""
-    parts = [raw.filter(c(n).isNotNull() & CONVERTERS[t](c(n)).isNull())
-             .withColumn("failed_column", F.lit(n)) for n, t in types.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """STG-03: the failing rows themselves, once per failing column, which
+    ``failed_column`` names; one pass over the table."""
+    failed = F.filter(F.array(*[F.when(_unreadable(n, t), F.lit(n)) for n, t in types.items()]), lambda x: x.isNotNull())
+    return raw.select("*", F.explode(failed).alias("failed_column"))
 
 
 def drop_junk(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -106,14 +109,20 @@ def dedupe(df: DataFrame, keys: list[str], latest_by: list[Column] | None = None
 
 
 def stage(df: DataFrame, names: dict[str, str] | None = None, types: dict[str, str] | None = None,
-          keys: list[str] | None = None, junk: dict[str, Column] | None = None) -> DataFrame:
-    """A whole staging model: names → soft deletes → types → junk → duplicates."""
+          keys: list[str] | None = None, junk: dict[str, Column] | None = None,
+          dropped_to: str | None = None) -> DataFrame:
+    """A whole staging model: names → soft deletes → types → junk → duplicates.
+    Junk rows leave only with a record: ``dropped_to`` is the folder that takes
+    them with their reason, and is required where ``junk`` rules are given."""
     out = canonical_names(df, names or {})
     out = drop_soft_deleted(out)
     if types:
         out = normalize_types(out, types)
     if junk:
-        out, _ = drop_junk(out, junk)
+        if not dropped_to:
+            raise ValueError("junk rules need dropped_to, the folder for the dropped rows")
+        out, dropped = drop_junk(out, junk)
+        dropped.write.mode("overwrite").parquet(dropped_to)
     if keys:
         out = dedupe(out, keys)
     return out
@@ -132,6 +141,12 @@ def day_of(col: str, df: DataFrame) -> Column:
     return parse_date(c(col)) if t == "string" else c(col).cast("date")
 
 
+def by_day(df: DataFrame, day_col: str) -> DataFrame:
+    """Rows of a day together for a write partitioned by day; Spark splits a
+    day that is larger than its advisory size over several tasks and files."""
+    return df.hint("rebalance", day_col)
+
+
 def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_day: bool = False):
     """Write every source role once to ``<root>/<role>`` (Parquet, concurrent
     jobs) and return a ``Sources`` reading them with the declared schemas.
@@ -156,7 +171,7 @@ def materialize_sources(spark, src, root: str, parallel: int = 4, partition_by_d
         if name in parts:
             ts_col, day_col = parts[name]
             out = out.withColumn(day_col, day_of(ts_col, out))
-            w = out.repartition(day_col).write.mode("overwrite").partitionBy(day_col)
+            w = by_day(out, day_col).write.mode("overwrite").partitionBy(day_col)
         w.parquet(f"{root}/{name}")
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

@@ -7,16 +7,22 @@ domain, so each role is a projection of one of them:
 role               derivation
 =================  ==========================================================
 account            ``customer``; id = '001' + zero-padded c_custkey
-license_customer   ``customer``; webid NULL for HOUSEHOLD (partial bridge)
+license_customer   ``customer``; webid NULL for HOUSEHOLD (partial bridge); every fifth
+                   belongs to its neighbour's account, so accounts have none, one
+                   or two; names shared in a group; some webids are shared
 user (CSMs)        ``nation``
-contract           ``orders``; O → Activated, F → Expired, P → Draft
-opportunity        ``orders``; F → Closed Lost
+contract           ``orders``; O → Activated, F → Expired, P → Draft; 1 in 50 deleted
+opportunity        ``orders``; F → Closed Lost; 1 in 40 deleted
 onboarding         ``orders`` with status P
-license_key        ``lineitem ⋈ orders``; one key per line item
-license_usage      ``lineitem ⋈ orders``; one validation per line item
+license_key        ``lineitem ⋈ orders``; one key per line item; line 7 deleted
+license_usage      ``lineitem ⋈ orders``; one validation per line item, those of a
+                   quarter of the customers moved into one season
 login              ``orders``: (platform:o_custkey, order day)
 rc_events          ``events`` of type view / click, named by value band
-il_events          ``events`` of type signup / purchase / error, value > 100
+il_events          all ``events`` of type signup / purchase / error, named by value
+                   band (the highest signups have no name); every sixth user's
+                   events belong to the next user, a quarter of the users had
+                   theirs in 2001; times: a few junk, blank, partial, slashed
 =================  ==========================================================
 
 Orders span 1995-01-01..2001-08-01 and events 2024-01-01..01-30, hence the
@@ -39,10 +45,20 @@ ORDERS_AS_OF = dt.date(2001, 8, 2)
 EVENTS_AS_OF = dt.date(2024, 1, 31)
 RENEWAL_ANCHOR = dt.date(2001, 8, 2)
 CANCELLATION_DAY = dt.date(2001, 6, 30)
+SEASON_START = dt.date(2001, 8, 25)
+# A quarter of the users had their IL events so many days earlier.
+IL_SHIFT_DAYS = 8230
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# The tables behind each role.
+ROLE_TABLES = {
+    "account": ("customer",), "license_customer": ("customer",), "user": ("nation",), "contract": ("orders",),
+    "opportunity": ("orders",), "onboarding": ("orders",), "license_key": ("lineitem", "orders"),
+    "license_usage": ("lineitem", "orders"), "login": ("orders",), "rc_events": ("events",), "il_events": ("events",),
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,18 +68,10 @@ def _crm_id(prefix: str, key) -> F.Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 15, "0"))
 
 
-_ROLE_CACHE: dict[tuple[str, str], Sources] = {}
-
-
 def roles(spark: SparkSession, sf_dir: str) -> Sources:
-    """Role DataFrames for ``sf_dir``. They are lazy, immutable plans, so one
-    set is built per Spark application and folder and shared by all queries
-    (building them costs thousands of driver↔JVM calls; running them is
-    unaffected)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROLE_CACHE:
-        _ROLE_CACHE[key] = _build_roles(spark, sf_dir)
-    return _ROLE_CACHE[key]
+    """Role DataFrames for ``sf_dir``: lazy plans, built anew each time, so a
+    rewritten table is noticed."""
+    return _build_roles(spark, sf_dir)
 
 
 def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
@@ -97,13 +105,15 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
     )
     license_customer = customer.select(
         ck.alias("customerid"),
-        F.col("c_name").alias("customername"),
-        _crm_id("001", ck).alias("salesforceid"),
-        F.when(seg == "HOUSEHOLD", F.lit(None).cast("string")).otherwise(ck.cast("string")).alias("webid"),
+        F.when((ck % 10).isin(0, 9), F.concat(F.lit("Group "), F.floor((ck + 1) / 10).cast("string")))
+         .otherwise(F.col("c_name")).alias("customername"),
+        _crm_id("001", F.when((ck % 5 == 0) & (ck > 0), ck - 1).otherwise(ck)).alias("salesforceid"),
+        F.when(seg == "HOUSEHOLD", F.lit(None).cast("string")).when(ck % 40 == 7, (ck + 1).cast("string"))
+         .otherwise(ck.cast("string")).alias("webid"),
         (seg != "AUTOMOBILE").alias("onmaintenance"),
         deleted.alias("_fivetran_deleted"),
     )
-    user = nation.select(
+    crm_user = nation.select(
         F.col("n_nationkey").cast("string").alias("id"),
         F.col("n_name").alias("name"),
         F.concat(F.lower(F.regexp_replace("n_name", " ", ".")), F.lit("@example.com")).alias("email"),
@@ -117,7 +127,7 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(status == "O", V.CONTRACT_ACTIVATED).when(status == "F", "Expired")
          .otherwise("Draft").alias("status"),
         order_day.alias("customer_signed_date"),
-        F.lit(False).alias("_fivetran_deleted"),
+        (F.col("o_orderkey") % 50 == 3).alias("_fivetran_deleted"),
     )
     opportunity = orders.select(
         _crm_id("006", F.col("o_orderkey")).alias("id"),
@@ -129,7 +139,7 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(F.col("o_totalprice") > 200000, "Price").otherwise("Fit").alias("win_loss_sub_reason_c"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), V.PRODUCT_LINE)
          .otherwise("Angles Cloud").alias("product_line_c"),
-        F.lit(False).alias("_fivetran_deleted"),
+        (F.col("o_orderkey") % 40 == 5).alias("_fivetran_deleted"),
     )
     onboarding = orders.filter(status == "P").select(
         _crm_id("001", F.col("o_custkey")).alias("account_c"),
@@ -148,19 +158,29 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(F.col("l_returnflag") != "N", ship_day).alias("lastvalidateddate"),
         (F.col("l_linestatus") == "O").alias("registered"),
         F.when(F.col("l_returnflag") == "R", ship_day).alias("deactivated"),
-        F.lit(False).alias("_fivetran_deleted"),
+        (F.col("l_linenumber") >= 7).alias("_fivetran_deleted"),
     )
+    # A quarter of the customers used the product in one season only, less and
+    # less, so that short windows hold several users and some of them drop.
+    turn = F.datediff(ship_day, F.lit(dt.date(1995, 1, 1))) % 71
+    season = F.date_add(F.lit(SEASON_START), F.floor(turn * turn / 71).cast("int")).cast("timestamp_ntz")
     license_usage = lines.select(
         F.col("o_custkey").alias("customerid"),
         user_name.alias("assigneduser"),
-        F.col("l_shipdate").alias("lastvalidateddate"),
+        F.when(F.col("o_custkey") % 4 == 3, season).otherwise(F.col("l_shipdate").cast("timestamp_ntz"))
+         .alias("lastvalidateddate"),
     )
     # Grain account + day; the rare repeated (customer, day) pair is kept —
     # every consumer is insensitive to duplicates (MAX / COUNT DISTINCT / anti join).
     login = orders.select(telemetry_key("o_custkey").alias("account_id"), order_day.alias("date"))
 
     et, val = F.col("event_type"), F.col("value")
-    event_time = F.when(val < 1, "not a date").otherwise(F.col("ts").cast("string"))
+
+    def event_time(ts):
+        """Free text: a few are junk, blank, a month only, or have slashes."""
+        return (F.when(val < 1, "not a date").when(val < 2, F.date_format(ts, "yyyy-MM")).when(val < 3, " ")
+                .when(val < 4, F.date_format(ts, "MM/dd/yyyy")).otherwise(ts.cast("string")).alias("event_time"))
+
     rc_events = events.filter(et.isin("view", "click")).select(
         telemetry_key("user_id").alias("account_id"),
         F.when(et == "view",
@@ -168,23 +188,27 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
                 .when(val < 160, V.RC_VIEW_ALL).otherwise(V.RC_SCHEDULE_PAGE))
          .otherwise(F.when(val < 60, V.RC_UPLOAD_CLICKED).when(val < 200, V.RC_LINEOS)
                     .otherwise(V.RC_SCHEDULE_CREATED)).alias("tracked_event_name"),
-        event_time.alias("event_time"),
+        event_time(F.col("ts")),
     )
-    il_events = events.filter(et.isin("signup", "purchase", "error") & (val > 100)).select(
-        telemetry_key("user_id").alias("account_id"),
-        F.when(et == "signup", F.when(val < 160, V.IL_HOME).otherwise(V.IL_BUTTON))
+    user = F.col("user_id")
+    il_time = F.col("ts") - F.make_dt_interval(F.when(user % 4 == 1, IL_SHIFT_DAYS).otherwise(0))
+    il_events = events.filter(et.isin("signup", "purchase", "error")).select(
+        F.concat(F.lit(V.TELEMETRY_PREFIX), F.when(user % 6 == 0, user + 1).otherwise(user).cast("string"))
+         .alias("account_id"),
+        F.when(et == "signup", F.when(val < 60, V.IL_HOME).when(val < 200, V.IL_BUTTON))
          .when(et == "purchase",
-               F.when(val < 140, V.IL_CREATE_RULE).when(val < 200, V.IL_SUBSCRIBERS)
+               F.when(val < 60, V.IL_CREATE_RULE).when(val < 110, V.IL_SUBSCRIBERS)
                 .otherwise(V.IL_SAVE_RULE))
-         .otherwise(F.when(val < 150, V.IL_RESULTS).when(val < 220, V.IL_EDIT_RULE)
-                    .otherwise(V.IL_DELETE_RULE)).alias("tracked_event_name"),
-        event_time.alias("event_time"),
+         .otherwise(F.when(val < 20, V.IL_EDIT_RULE).when(val < 150, V.IL_DELETE_RULE)
+                    .otherwise(V.IL_RESULTS)).alias("tracked_event_name"),
+        event_time(il_time),
         F.get_json_object("props", "$.k").alias("session_id"),
     )
     return Sources(login=login, rc_events=rc_events, il_events=il_events,
                    license_customer=license_customer, license_key=license_key,
                    license_usage=license_usage, account=account, contract=contract,
-                   opportunity=opportunity, onboarding=onboarding, user=user)
+                   opportunity=opportunity, onboarding=onboarding, user=crm_user,
+                   locations={r: tuple(f"{sf_dir}/{t}.parquet" for t in ts) for r, ts in ROLE_TABLES.items()})
 
 
 def arr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Incremental event rollups (STR-01..03).
 
-The daily rollup — (surface, account, day, event name) → events, first and
-last time — is what the telemetry scenarios aggregate; maintaining it
-incrementally lets a refresh read a small table instead of the raw log.
+The daily rollup — (surface, account, day, event name, session) → events, first
+and last time — is what the telemetry scenarios aggregate (distinct sessions
+included); maintaining it incrementally lets a refresh read a small table
+instead of the raw log (``refresh.run_all(rollup=…)``).
 
 Late data: the usage feed can lag by weeks, so a watermark would silently
 drop rows. The incremental path therefore keeps no state in the stream:
 each micro-batch's partial rollup is written to its own ``batch_id``
 partition (dynamic partition overwrite, so a replayed batch replaces itself
 — exactly-once in effect), and readers merge partials with one ``groupBy``
-(sums and min/max are mergeable). ``compact`` folds them periodically.
+(sums and min/max are mergeable). ``compact`` folds them periodically: the
+folded version is announced like a mart, and readers take it together with
+the batches after it.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.dates import parse_date
+from tidemark.publish.publish import announce, current_version
 
 c = F.col
-KEYS = ["surface", "account_id", "event_date", "tracked_event_name"]
+KEYS = ["surface", "account_id", "event_date", "tracked_event_name", "session_id"]
 
 
 def daily_partials(events: DataFrame, surface: str | None = None) -> DataFrame:
     """Rollup of one batch (or a whole table) to the rollup grain."""
     ev = events if surface is None else events.withColumn("surface", F.lit(surface))
-    ts = c("event_time").try_cast("timestamp_ntz")
+    if "session_id" not in ev.columns:
+        ev = ev.withColumn("session_id", F.lit(None).cast("string"))
+    # A month alone would cast to its first day: no time without a day.
+    ts = F.when(parse_date("event_time").isNotNull(), c("event_time").try_cast("timestamp_ntz"))
     return (ev.withColumn("event_date", parse_date("event_time")).withColumn("_ts", ts)
             .groupBy(*KEYS)
             .agg(F.count(F.lit(1)).alias("events"),
@@ -45,48 +52,72 @@ def merge_partials(partials: DataFrame) -> DataFrame:
 
 def event_daily_rollup(rc_events: DataFrame, il_events: DataFrame) -> DataFrame:
     """STR-01 (batch form): the full rollup of both product surfaces."""
-    both = (rc_events.select("account_id", "tracked_event_name", "event_time")
-            .withColumn("surface", F.lit("RC"))
-            .unionByName(il_events.select("account_id", "tracked_event_name", "event_time")
-                         .withColumn("surface", F.lit("IL"))))
-    return daily_partials(both)
+    rc = rc_events.select("account_id", "tracked_event_name", "event_time", F.lit(None).cast("string").alias("session_id"),
+                          F.lit("RC").alias("surface"))
+    il = il_events.select("account_id", "tracked_event_name", "event_time", "session_id", F.lit("IL").alias("surface"))
+    return daily_partials(rc.unionByName(il))
 
 
 def start_incremental_rollup(spark: SparkSession, source_dir: str, schema, surface: str,
                              target: str, checkpoint: str) -> StreamingQuery:
     """STR-01/02: process every new file of ``source_dir`` once
-    (``availableNow``), appending idempotent per-batch partials to ``target``."""
+    (``availableNow``), appending idempotent per-batch partials to
+    ``<target>/partials``. Each surface has its own stream and partition."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (daily_partials(batch, surface).withColumn("batch_id", F.lit(batch_id))
+        (daily_partials(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(target))
+         .partitionBy("surface", "batch_id").parquet(f"{target}/partials"))
 
-    return (stream.writeStream.foreachBatch(write_batch)
+    return (stream.withColumn("surface", F.lit(surface)).writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_rollup(spark: SparkSession, target: str) -> DataFrame:
-    """The current rollup: all partials merged."""
-    return merge_partials(spark.read.parquet(target).drop("batch_id"))
-
+def _partials(spark: SparkSession, target: str) -> DataFrame:
+    df = spark.read.parquet(f"{target}/partials")
+    return df.withColumns({"surface": c("surface").cast("string"), "batch_id": c("batch_id").cast("long")})
 
-def compact(spark: SparkSession, target: str, compacted: str) -> None:
-    """Fold all partials into one table (run between refreshes)."""
-    read_rollup(spark, target).write.mode("overwrite").parquet(compacted)
 
-
-def live_rollup(events: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Structured-Streaming stateful variant for a live view: daily windows
-    per (account, event name) with a watermark on the event time. Rows later
-    than the watermark are dropped — use the incremental path when the feed
-    can lag."""
-    ts = F.coalesce(F.try_to_timestamp(c("event_time")), parse_date("event_time").cast("timestamp"))
-    return (events.withColumn("event_ts", ts).withWatermark("event_ts", watermark)
-            .groupBy(F.window("event_ts", "1 day").alias("day"), "account_id", "tracked_event_name")
-            .agg(F.count(F.lit(1)).alias("events")))
+def read_rollup(spark: SparkSession, target: str) -> DataFrame:
+    """The current rollup: the newest compacted version and all partials after
+    it, merged."""
+    parts = _partials(spark, target)
+    v = _compacted(spark, target)
+    if v is None:
+        return merge_partials(parts.drop("batch_id"))
+    upto = spark.read.parquet(f"{v['path']}/upto")
+    late = (parts.join(upto, "surface", "left").filter(c("upto").isNull() | (c("batch_id") > c("upto")))
+            .drop("batch_id", "upto"))
+    return merge_partials(spark.read.parquet(f"{v['path']}/rollup").unionByName(late))
+
+
+def _compacted(spark: SparkSession, target: str) -> dict | None:
+    from pyspark.errors import AnalysisException
+    try:
+        return current_version(spark, f"{target}/compacted", "rollup")
+    except AnalysisException:  # nothing was ever announced
+        return None
+
+
+def compact(spark: SparkSession, target: str, run_id: str) -> None:
+    """Fold everything up to the present into one version and announce it
+    (run between refreshes). Batches that arrive meanwhile stay partials."""
+    path = f"{target}/compacted/run_id={run_id}"
+    upto = _partials(spark, target).groupBy("surface").agg(F.max("batch_id").alias("upto"))
+    upto.write.parquet(f"{path}/upto")
+    bound = spark.read.parquet(f"{path}/upto")
+    v, parts = _compacted(spark, target), _partials(spark, target).join(bound, "surface")
+    rows = parts.filter(c("batch_id") <= c("upto")).drop("batch_id", "upto")
+    if v is not None:
+        done = spark.read.parquet(f"{v['path']}/upto").withColumnRenamed("upto", "done")
+        rows = (parts.join(done, "surface", "left")
+                .filter((c("batch_id") <= c("upto")) & (c("done").isNull() | (c("batch_id") > c("done"))))
+                .drop("batch_id", "upto", "done").unionByName(spark.read.parquet(f"{v['path']}/rollup")))
+    folded = merge_partials(rows)
+    folded.write.parquet(f"{path}/rollup")
+    announce(spark, f"{target}/compacted", run_id, {"rollup": (path, spark.read.parquet(f"{path}/rollup").count())})
 
 
 def merge_milestones(state: DataFrame, batch: DataFrame, key: str,
@@ -104,15 +135,23 @@ def restage_days(source: DataFrame, target: str, time_col: str, day_col: str,
                  touched: DataFrame) -> None:
     """STR-02: late data for a day-partitioned staged fact.
 
-    ``touched`` holds the days (column ``day_col``) that late rows landed on
-    — e.g. the distinct days of the latest raw batch. Those days are
-    recomputed from the source and replaced with dynamic partition overwrite;
-    every other day partition stays as it is. Nothing is dropped for being
-    late, and a rerun rewrites the same partitions (idempotent).
+    ``touched`` holds the days (column ``day_col``) that late rows landed on —
+    e.g. the distinct days of the latest raw batch, NULL for rows without a
+    readable day. Those days are recomputed from the source and replaced with
+    dynamic partition overwrite; every other day stays as it is. A touched day
+    that has no row left is removed. Nothing is dropped for being late, and a
+    rerun rewrites the same partitions (idempotent). A day of many rows is
+    written by several tasks.
     """
-    from tidemark.sources.staging import day_of
+    from tidemark.sources.staging import by_day, day_of
     days = touched.select(F.col(day_col).alias("_d")).distinct()
     rows = (source.withColumn(day_col, day_of(time_col, source))
-            .join(days, F.col(day_col) == F.col("_d"), "left_semi"))
-    (rows.repartition(day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .join(days, F.col(day_col).eqNullSafe(F.col("_d")), "left_semi"))
+    (by_day(rows, day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day_col).parquet(target))
+    left = rows.select(F.col(day_col).alias("_l")).distinct()
+    gone = days.join(left, F.col("_d").eqNullSafe(F.col("_l")), "left_anti").collect()  # touched days only
+    jvm = source.sparkSession._jvm
+    for (day,) in gone:
+        path = jvm.org.apache.hadoop.fs.Path(f"{target}/{day_col}={day or '__HIVE_DEFAULT_PARTITION__'}")
+        path.getFileSystem(source.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
