@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, ship, with_id, written
+from tidemark.llm.common import ship, with_id, written
 
 # Ends of sentences, and marks that junk repeats.
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -34,7 +34,7 @@ DIGITS = 4
 def measure(text: str) -> list[float]:
     """STATISTICS of one text: its number of words, and shares per word, per
     letter, line, sentence or pair of words."""
-    words = WORD.findall(text)
+    words = text.split()
     n, chars = len(words) or 1, sum(map(len, words)) or 1
     lines = [x for x in text.split("\n") if x.strip()]
     sentences = [x for x in map(str.strip, SENTENCE.split(text)) if x]
