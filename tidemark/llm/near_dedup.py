@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import WORD, lowered, ship, with_id, written
+from tidemark.llm.common import ship, with_id, written
 from tidemark.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -38,16 +38,14 @@ REGISTERS = BANDS * ROWS
 # Register scale: base, rate of the exponentials, largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
 MULTIPLIERS = np.random.default_rng(6).integers(0, 2 ** 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
-# Bytes of shingle hashes in a block, and words whose hash a worker keeps.
-BLOCK_BYTES, MEMO_WORDS = 4 << 20, 200_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+# Bytes of shingle hashes in a block of a cluster, and of text that are scanned
+# for words at a time.
+BLOCK_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
+# Random values of the bytes (A-Z have those of a-z) and their odd base.
+BYTE_VALUES = np.random.default_rng(7).integers(0, 2 ** 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_BASE, BYTE_VALUES = BYTE_VALUES[256], BYTE_VALUES[:256]
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,14 +54,45 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str, width: int, hashes: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; fewer
-    words are one shingle; without words none."""
-    words = WORD.findall(lowered(text))
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words in order: the sum over a word's bytes of a
+    random value of the byte times a power of an odd number, by its place."""
+    out = [np.empty(0, np.uint64)]
+    lo = 0
+    while lo < len(raw):
+        hi = min(lo + SCAN_BYTES, len(raw))
+        while hi < len(raw) and not IS_SPACE[raw[hi]]:  # a word stays whole
+            hi += 1
+        part = np.frombuffer(raw, np.uint8, hi - lo, lo)
+        inside = ~IS_SPACE[part]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            lengths = ends - starts
+            own = part[inside]
+            first = np.cumsum(lengths) - lengths
+            place = np.arange(len(own)) - np.repeat(first, lengths)
+            out.append(_mixed(np.add.reduceat(BYTE_VALUES[own] * _powers(int(lengths.max()))[place], first)
+                              + lengths.astype(np.uint64)))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _powers(n: int, known: list = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006  kept per worker
+    if len(known[0]) < n:
+        more = np.full(max(n, 256), BYTE_BASE, np.uint64)
+        more[0] = 1
+        known[0] = np.multiply.accumulate(more)
+    return known[0]
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles (A-Z hash
+    like a-z); fewer words are one shingle; without words none."""
+    h = word_hashes(text.encode("utf-8", "surrogatepass"))
+    if not len(h):
+        return h
+    width = min(width, len(h))
     out = h[:len(h) - width + 1] + np.uint64(width)
     for k in range(1, width):
         out = _mixed(out) + h[k:len(h) - width + 1 + k]
@@ -73,8 +102,8 @@ def shingle_set(text: str, width: int, hashes: dict[str, int]) -> np.ndarray:
 def registers(shingles: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set that is not empty (uint16)."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), 128):
-        np.minimum(least, (shingles[lo:lo + 128, None] * MULTIPLIERS).min(0), out=least)
+    for lo in range(0, len(shingles), 512):
+        np.minimum(least, (MULTIPLIERS[:, None] * shingles[lo:lo + 512]).min(1), out=least)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) * 2.0 ** -64) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / np.log(BASE)), 0, LARGEST).astype(np.uint16)
 
@@ -110,13 +139,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 n, whole, sketch = [], [], []
                 for text in part.column("text"):
-                    s = shingle_set(text.as_py(), width, hashes)
+                    s = shingle_set(text.as_py(), width)
                     n.append(len(s))
                     whole.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sketch.append(registers(s).tobytes() if len(s) else None)
@@ -132,10 +160,10 @@ def _links(kind: str, width: int, percent: int):
     links (a, b) that connect what was not connected in that block pair."""
     spread = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
-    def judge(rows: list[tuple], hashes: dict) -> list[tuple]:
+    def judge(rows: list[tuple]) -> list[tuple]:
         entries = {}
         for _, one, two, block, node, n, whole, sketch, text in rows:
-            s = shingle_set(text, width, hashes)
+            s = shingle_set(text, width)
             if len(s) == n and xxhash.xxh3_128_digest(s.tobytes()) == whole:  # else another text of this id
                 entries[whole] = (node, block, s, np.frombuffer(sketch, np.uint16))
         one, two = rows[0][1], rows[0][2]
@@ -173,9 +201,9 @@ def _links(kind: str, width: int, percent: int):
                 yield from zip(*(part.column(c).to_pylist() for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found = _WordHashes(), []
+        found: list[tuple] = []
         for _, rows in groupby(rows_of(batches), key=lambda r: r[:3]):
-            found += judge(list(rows), hashes)
+            found += judge(list(rows))
             if len(found) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*found)], ["a", "b"])
                 found = []
