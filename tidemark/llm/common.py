@@ -42,6 +42,12 @@ def lowered(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+def words(text: str) -> list[bytes]:
+    """The words of a text (WORD_PATTERN), A-Z lower-cased, in UTF-8: bytes
+    know ASCII letters and white space only."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def with_id(rows: DataFrame, ddl: str, names: tuple[str, ...] = ("_id",)) -> StructType:
     """Schema of the columns ``names`` of ``rows``, whatever their types, and
     of the columns in ``ddl``."""

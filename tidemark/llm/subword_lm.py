@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, lowered, ship, with_id, written
+from tidemark.llm.common import ship, with_id, words, written
 
 # Words that are broadcast at most, and their longest form in bytes.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
@@ -42,7 +42,7 @@ ROUNDS, PRIOR = 2, 0.01
 CELLS = 1 << 15
 START, BYTE = "▁", "<0x{:02X}>"
 # A word never contains a space: marks rows of texts among rows of words.
-TEXT_ROW = " "
+TEXT_ROW = b" "
 
 
 @dataclass(frozen=True)
@@ -224,15 +224,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            for lo in range(0, len(words := list(counts)), 50_000):
+            for lo in range(0, len(known := list(counts)), 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[lo:lo + 50_000], pa.string()),
-                     pa.array([counts[w] for w in words[lo:lo + 50_000]], pa.int64())], ["word", "n"])
+                    [pa.array(known[lo:lo + 50_000], pa.binary()).cast(pa.string()),
+                     pa.array([counts[w] for w in known[lo:lo + 50_000]], pa.int64())], ["word", "n"])
 
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                counts.update(WORD.findall(lowered(text.as_py())))
+                counts.update(words(text.as_py()))
                 if len(counts) >= COUNTED_WORDS:
                     yield from out()
                     counts.clear()
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds:
     """
     counts = written(word_counts(docs, text_col), "words")
     texts = docs.count()
-    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     logs = vocabulary.logs
     for _ in range(rounds if texts else 0):
         uses = np.full(len(logs), PRIOR)
@@ -260,12 +260,12 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds:
             uses[piece] += n
         uses[-1] += texts
         logs = np.log(uses / uses.sum())
-    return Model(vocabulary, logs, counts, texts, words + texts, distinct + (texts > 0))
+    return Model(vocabulary, logs, counts, texts, total + texts, distinct + (texts > 0))
 
 
-def _head(model: Model) -> dict[str, tuple[float, float]]:
+def _head(model: Model) -> dict[bytes, tuple[float, float]]:
     """Frequent training words -> (base log10, model log10), HEAD_WORDS at
-    most of HEAD_BYTES at most, and the least count that makes a word one."""
+    most of HEAD_BYTES at most: these bound the broadcast."""
     step = F.floor(F.log2("n") * 8).cast("int")
     known = model.counts.where(F.octet_length("word") <= HEAD_BYTES)
     sizes = sorted(((s, n) for s, n in known.groupBy(step.alias("s")).agg(F.count("*")).collect()), reverse=True)
@@ -277,10 +277,10 @@ def _head(model: Model) -> dict[str, tuple[float, float]]:
     if least is None:
         return {}
     rows = known.where(step >= least).toArrow()
-    words = rows.column("word").to_pylist()
+    frequent = rows.column("word").to_pylist()
     base = model.base(rows.column("n").to_numpy().astype(np.float64))
-    scores = Lattice(model.vocabulary, model.logs).log_probabilities(words) / math.log(10)
-    return dict(zip(words, zip(base.tolist(), scores.tolist())))
+    scores = Lattice(model.vocabulary, model.logs).log_probabilities(frequent) / math.log(10)
+    return dict(zip((w.encode() for w in frequent), zip(base.tolist(), scores.tolist())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out: list[tuple] = []
                 for i, row, text in zip(*(part.column(c).to_pylist() for c in ("_id", "row", "text"))):
                     tokens, n_known, base, total = 1, int(model_texts > 0), end_base, end_score
-                    for word, times in Counter(WORD.findall(lowered(text))).items():
+                    for word, times in Counter(words(text)).items():
                         tokens += times
                         if (found := known.get(word)) is None:
                             out.append((row, i, word, times, 0, 0, 0.0, 0.0))
@@ -319,21 +319,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                             n_known += times
                             base += times * found[0]
                             total += times * found[1]
-                    out.append((row, i, f"{TEXT_ROW}{row}", 0, tokens, n_known, base, total))
-                kinds = (pa.int64(), kind, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out.append((row, i, TEXT_ROW + str(row).encode(), 0, tokens, n_known, base, total))
+                kinds = (pa.int64(), kind, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                columns[2] = columns[2].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     per_token = model.tokens + 0.5 * (model.distinct + 1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model_b.value)
         for batch in batches:
-            words, times = batch.column("word").to_pylist(), batch.column("times").to_numpy().astype(np.float64)
-            distinct = list(dict.fromkeys(w for w, t in zip(words, times) if t))
+            own, times = batch.column("word").to_pylist(), batch.column("times").to_numpy().astype(np.float64)
+            distinct = list(dict.fromkeys(w for w, t in zip(own, times) if t))
             logs = dict(zip(distinct, lattice.log_probabilities(distinct) / math.log(10)))
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
             base = batch.column("base_score").to_numpy() + times * np.log10((n + 0.5) / per_token)
-            total = batch.column("score").to_numpy() + times * np.array([logs.get(w, 0.0) for w in words])
+            total = batch.column("score").to_numpy() + times * np.array([logs.get(w, 0.0) for w in own])
             known = batch.column("n_known").to_numpy() + np.where(n > 0, times, 0).astype(np.int64)
             tokens = batch.column("n_tokens")
             yield pa.RecordBatch.from_arrays(
