@@ -72,6 +72,8 @@ def test_registers_merge_and_estimate():
         assert (nd.registers(np.concatenate([a, b])) == np.maximum(ra, rb)).all()
         got = nd.estimate(ra, len(a), rb[None, :], np.array([len(b)]))[0]
         assert abs(got - true) < 4 * (true * (1 - true) / nd.REGISTERS) ** 0.5 + 0.01
+        for j in (0.1, got - 0.02, got + 0.02):
+            assert nd.estimated_at_least(ra, len(a), rb[None, :], np.array([len(b)]), j)[0] == (got >= j)
 
 
 def test_empty_table(make_docs):

@@ -108,31 +108,43 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / np.log(BASE)), 0, LARGEST).astype(np.uint16)
 
 
-def estimate(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Similarity of the set with registers ``one`` to each of ``others`` that
-    makes the register comparisons likeliest, given the sets' sizes."""
+def _compared(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> tuple:
     above, below = (others < one).sum(1), (others > one).sum(1)
-    same = REGISTERS - above - below
     u = size / (size + sizes)
-    v = 1 - u
+    return above, below, REGISTERS - above - below, u, 1 - u
+
+
+def _slope(compared: tuple, j: np.ndarray) -> np.ndarray:
+    """Slope at similarity j of the log likelihood of the comparisons, which
+    is concave: registers differ upwards with probability p(u - vj), downwards
+    with p(v - uj), where p(x) = -log_b(1 - x(b - 1)/b)."""
+    above, below, same, u, v = compared
+    c = (BASE - 1) / BASE
+    up, down = u - v * j, v - u * j
+    p_up, p_down = (-np.log1p(-c * x) / np.log(BASE) for x in (up, down))
+    d_up, d_down = (-w * c / (1 - c * x) / np.log(BASE) for w, x in ((v, up), (u, down)))
+    tiny = 1e-12
+    return (above * d_up / np.maximum(p_up, tiny) + below * d_down / np.maximum(p_down, tiny)
+            - same * (d_up + d_down) / np.maximum(1 - p_up - p_down, tiny))
 
-    def p(x):
-        return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
 
-    lo, hi = np.zeros(len(sizes)), np.minimum(u / v, v / u)
-    for _ in range(24):  # the likelihood is concave: bisect its slope
+def estimate(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Similarity of the set with registers ``one`` to each of ``others`` that
+    makes the register comparisons likeliest, given the sets' sizes."""
+    compared = _compared(one, size, others, sizes)
+    lo, hi = np.zeros(len(sizes)), np.minimum(size / sizes, sizes / size)
+    for _ in range(40):
         mid = (lo + hi) / 2
-        d = 1e-6
-        slope = np.zeros(len(sizes))
-        for s in (1, -1):
-            j = np.clip(mid + s * d, 0, np.minimum(u / v, v / u))
-            more, less = p(u - v * j), p(v - u * j)
-            slope += s * (above * np.log(np.maximum(more, 1e-12)) + below * np.log(np.maximum(less, 1e-12))
-                          + same * np.log(np.maximum(1 - more - less, 1e-12)))
-        lo, hi = np.where(slope > 0, mid, lo), np.where(slope > 0, hi, mid)
+        up = _slope(compared, mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
     return (lo + hi) / 2
 
 
+def estimated_at_least(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, j: float) -> np.ndarray:
+    """Whether ``estimate`` is at least j: the likelihood still rises there."""
+    return _slope(_compared(one, size, others, sizes), np.minimum(j, 0.999 * np.minimum(size / sizes, sizes / size))) >= 0
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Columns _id, n, set_hash (128 bits; null for an empty set), registers."""
     ship(docs.sparkSession)
@@ -180,7 +192,7 @@ def _links(kind: str, width: int, percent: int):
             rest = np.flatnonzero(rest)
             if not len(rest):
                 continue
-            rest = rest[estimate(sketches[i], sizes[i], sketches[rest], sizes[rest]) >= percent / 100 - 7 * spread]
+            rest = rest[estimated_at_least(sketches[i], sizes[i], sketches[rest], sizes[rest], percent / 100 - 7 * spread)]
             if not len(rest):
                 continue
             mark[own[i]] = 1
