@@ -52,7 +52,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sample = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0)
+    """Fitted on labelled rows of the whole documents table: hardly any row of
+    label 0 passes the rules, and what does is to be judged by what junk is."""
+    sample = labelled.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality",
+                             fold(F.col("doc_id"), 5) != 0)
     return (quality_classifier.score(_whole(docs), quality_classifier.fit(sample), id_col="row")
             .where(F.col("score") >= LEAST_QUALITY).select("row.*"))
 

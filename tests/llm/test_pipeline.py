@@ -1,6 +1,7 @@
 """The stages against a brute-force version of each, on its own input."""
 
 import math
+import random
 
 import corpus_pipeline as cp
 from test_near_dedup import brute as near_brute
@@ -61,3 +62,24 @@ def test_empty_tables(spark, make_docs, scratch):
     make_docs([]).write.parquet(f"{scratch}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{scratch}/labels.parquet")
     assert cp.run(spark, scratch).collect() == []
+
+
+def test_classifier_learns_from_rejected_rows(spark, make_docs, scratch):
+    """Junk that passes the rules goes by what the rejected junk teaches."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+
+    def text(word, marks):  # of 40 words; the rules reject more than 10 marks
+        return " ".join(word(rng.choice(names)) + "#" * (k < marks) for k in range(40))
+
+    def shouted(word):
+        return word.upper() + "!!"
+
+    rows = [(k, text(str, k % 11)) for k in range(300)] + [(k, text(shouted, 11 + k % 5)) for k in range(300, 400)]
+    rows += [(k, text(shouted, k % 11)) for k in range(400, 410)]  # no label
+    make_docs(rows).write.parquet(f"{scratch}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 300)) for k in range(400)], "doc_id long, quality int").write.parquet(
+        f"{scratch}/labels.parquet")
+    docs = cp.quality_rules_stage(spark, table(spark, scratch, "documents"), scratch)
+    assert {r.doc_id for r in docs.collect()} == {*range(300), *range(400, 410)}
+    assert {r.doc_id for r in cp.quality_classifier_stage(spark, docs, scratch).collect()} == set(range(300))
