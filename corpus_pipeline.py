@@ -6,15 +6,17 @@ returns a DataFrame. Each stage works on all that its predecessor kept and,
 but for the last, returns the columns of its input. ``run`` applies them to
 the documents table, each result written to the shared store and read again.
 
-The rules and the classifier judge each row by its text. The two stages
-against duplicates drop rows by id, the ids being unique: rows that repeat an
-id go together if either is dropped, repeated equal rows stay together, and
-a null id is an id of its own. Empty tables stay empty; further columns come
-along, whatever their names.
+Every stage judges row by row. The two stages against duplicates number the
+rows and leave exactly one row of each group: that of the smallest id, a null
+id only where its group has no other, and any one of rows that are repeated.
+Neither a repeated nor a null id touches another row of that id. Empty tables
+stay empty; further columns come along, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,22 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id no verdict drops. The dropped ids are written
-    first, so that Spark knows their size when it picks the join."""
-    dropped = written(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of ``docs`` of each group. ``grouped`` gets the rows as columns
+    number, doc_id, text and returns each number with its group.
+
+    The numbered rows are written, so that numbers stay as they are; the
+    dropped numbers too, so that Spark knows their size when it picks the join.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")),
+                   "rows")
+    flat = rows.select("number", "row.doc_id", "row.text")
+    groups = written(grouped(flat).select("number", "group"), "groups")
+    first = (groups.join(flat.select("number", "doc_id"), "number").groupBy("group")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("least"))
+             .select("least.number"))
+    dropped = written(groups.join(first, "number", "left_anti").select("number"), "dropped")
+    return rows.join(dropped, "number", "left_anti").select("row.*")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +74,14 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_duplicates(docs))
+    return _one_of_each(docs, lambda rows: exact_dedup.exact_duplicates(rows, id_col="number")
+                        .where("group_size > 1").withColumnRenamed("keep_id", "group"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more: the operator's defaults."""
-    return _without(docs, near_dedup.near_duplicates(docs))
+    return _one_of_each(docs, lambda rows: near_dedup.near_duplicates(rows, id_col="number")
+                        .withColumnRenamed("component_id", "group"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,30 @@ def test_classifier_learns_from_rejected_rows(spark, make_docs, scratch):
     docs = cp.quality_rules_stage(spark, table(spark, scratch, "documents"), scratch)
     assert {r.doc_id for r in docs.collect()} == {*range(300), *range(400, 410)}
     assert {r.doc_id for r in cp.quality_classifier_stage(spark, docs, scratch).collect()} == set(range(300))
+
+
+def test_duplicates_go_by_row(spark, make_docs):
+    """Null and repeated ids: unique texts stay, of copies exactly one."""
+    def text(k, n=60):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    near = [f"{text(k)} end{j}" for k in (7, 8) for j in range(3)]
+    copies = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (2, text(3)), (2, text(3)), (2, text(3)),
+              (2, text(1)), (5, "")]
+    unique = [(None, text(4)), (2, text(5)), (1, text(6)), (None, None), (9, text(10))]
+    linked = [(None, near[0]), (None, near[1]), (4, near[2]), (None, near[3]), (None, near[4]), (None, near[5])]
+    docs = make_docs(copies + unique + linked)
+
+    exact = cp.exact_dedup_stage(spark, docs, "")
+    want = [(1, text(1)), (None, text(2)), (2, text(3)), (5, ""), *(u for u in unique if u[1] is not None), *linked]
+    assert exact.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=str) == sorted(want, key=str)
+
+    # On its own the near stage leaves one of equal rows too; empty texts are linked with nothing.
+    for given, empty in ((exact, 1), (docs, 2)):
+        left = cp.near_dedup_stage(spark, given, "").collect()
+        got = [(r.doc_id, r.text) for r in left if r.text not in near and r.text]
+        assert sorted(got, key=str) == sorted((w for w in want if w[1] not in near and w[1]), key=str)
+        assert sum(not r.text for r in left) == empty
+        kept = [(r.doc_id, near.index(r.text) // 3) for r in left if r.text in near]
+        assert sorted(kept, key=str) == [(4, 0), (None, 1)]
