@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+from tidemark.llm import packing
 from tidemark.llm.common import WORD
 from tidemark.llm.packing import best_fit, pack
 
@@ -49,3 +50,21 @@ def test_pack(make_docs, odd_rows):
 
 def test_empty_table(make_docs):
     assert pack(make_docs([])).collect() == []
+
+
+def test_hot_ids_are_dealt_over_groups(make_docs, monkeypatch):
+    """A third of all rows without id, a third equal: groups stay near their size."""
+    monkeypatch.setattr(packing, "GROUP_DOCS", 100)
+    rows = [(k, f"own {k} " + "w " * (k % 50), None, None) for k in range(1000)]
+    rows += [(None, f"none {k} " + "w " * (k % 50), None, None) for k in range(1000)]
+    rows += [(7777, "equal", None, None)] * 1000
+    got = pack(make_docs(rows), capacity=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+    assert Counter(r.size for r in got) == Counter(len(t.split()) for _, t, *_ in rows)
+    for own in (got, [r for r in got if r.doc_id is None], [r for r in got if r.doc_id == 7777]):
+        sizes = Counter(r.bin >> 32 for r in own)
+        assert len(sizes) >= 20 and max(sizes.values()) <= 250
+    bins = Counter()
+    for r in got:
+        bins[r.bin] += r.size
+    assert max(bins.values()) <= 100 and len({r.bin for r in got if r.doc_id == 7777}) == 1000

@@ -5,9 +5,10 @@ of one duplicate cluster. Pieces go largest first into the fullest bin that
 can take them: open bins are ordered by what they have left, the search
 starts at the smallest residual that suffices and walks up until it meets a
 bin whose bitmaps of sources and clusters share no bit with the piece's.
-Documents are dealt into groups by a hash, and each group is packed on its
-own, so packing is parallel, repeatable and bounded in memory whatever the
-input; the price is at most a few badly filled bins per group.
+Documents are dealt into groups by a hash of the whole row, repeated rows in
+lots, and each group is packed on its own, so packing is parallel, repeatable
+and bounded in memory whatever the input, with repeated or null ids too; the
+price is at most a few badly filled bins per group.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD_PATTERN, ship, with_id
 
 CAPACITY = 2_048
-# Documents in a group on average, and pieces that a worker packs together at
-# most (a group that a repeated id has swollen is packed in several goes).
-GROUP_DOCS, BLOCK_PIECES = 2_048, 8_192
+# Documents in a group on average, pieces that a worker packs together at most
+# (a group swollen by long documents is packed in several goes), and equal rows
+# that go to one group together.
+GROUP_DOCS, BLOCK_PIECES, LOT = 2_048, 8_192, 16
 
 
 def best_fit(pieces: Iterable[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -75,12 +77,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.md5(text)
     words = F.regexp_count(text, F.lit(WORD_PATTERN))
+    row = ["_id", "source", "cluster", "words"]
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
                         cluster.alias("cluster"), F.greatest(words, F.lit(1)).cast("long").alias("words"))
+            .groupBy(*row).agg(F.count("*").alias("copies"))
+            .withColumn("lot", F.explode(F.expr(f"sequence(0L, (copies - 1) div {LOT})")))
             .withColumn("pieces", F.ceil(F.col("words") / capacity).cast("long"))
             .withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)")))
             .withColumn("size", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long"))
-            .withColumn("group", F.pmod(F.xxhash64("_id", "piece"), F.lit(groups))))
+            .withColumn("group", F.pmod(F.xxhash64(*row, "lot", "piece"), F.lit(groups))))
     names = ["_id", "piece", "pieces", "size", "group", "source", "cluster"]
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -113,7 +118,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
                     ["_id", "piece", "pieces", "first_word", "size", "bin", "place"])
                 bins += len(filled)
 
-    return (rows.select(names).repartition("group")
+    # The copies of a lot part only where they are packed.
+    return (rows.repartition("group")
+            .withColumn("copy", F.explode(F.expr(f"sequence(1L, least({LOT}L, copies - lot * {LOT}))")))
+            .select(names)
             .sortWithinPartitions("group", F.desc("size"), "_id", "piece", "source", "cluster")
             .mapInArrow(run, with_id(rows, "piece long, pieces long, first_word long, size long, bin long, place long"))
             .withColumnRenamed("_id", id_col))
