@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SMOKE
+from places import SMOKE
 from tidemark.plans import scenarios as S
 from tidemark.sources.testmap import EVENTS_AS_OF, roles
 

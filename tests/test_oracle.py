@@ -7,7 +7,7 @@ import decimal
 import duckdb
 import pytest
 
-from conftest import SMOKE
+from places import SMOKE
 from tidemark.registry import ORACLE_SQL, QUERIES
 from tidemark.sources.testmap import TABLES
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from places import SF001
 from tidemark.plans import scenarios as S
 from tidemark.plans.master import latest_contract
 from tidemark.publish.publish import dry_run
@@ -73,6 +73,19 @@ def test_building_a_mart_runs_no_job(spark, src):
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_a_plan_builds_only_the_roles_it_reads(spark):
+    """S9 needs the IL events: no other role is analysed and no file opened."""
+    src = roles(spark, SF001)
+    sc, group = spark.sparkContext, "no-job-for-roles"
+    sc.setJobGroup(group, "building roles")
+    try:
+        S.scn_09(src, EVENTS_AS_OF)
+        assert not sc.statusTracker().getJobIdsForGroup(group)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [r for r, df in src._roles.items() if not callable(df)] == ["il_events"]
+
+
 def test_candidate_keys_pass_no_single_task(src):
     for df in (S.scn_11(src, ORDERS_AS_OF), S.scn_14(src, ORDERS_AS_OF), S.scn_15(src, ORDERS_AS_OF), S.scn_16(src)):
         p = plan(df)

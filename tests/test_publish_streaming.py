@@ -4,7 +4,7 @@ rollup (availableNow stream equals the batch rollup; replays are idempotent)."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SMOKE
+from places import SF001, SMOKE
 from tidemark.plans import scenarios as S
 from tidemark.publish import publish as PB
 from tidemark.sources.schemas import SOURCE_SCHEMAS

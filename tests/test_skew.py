@@ -7,7 +7,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SMOKE
+from places import SMOKE
 from tidemark.functions import vocabulary as V
 from tidemark.plans import scenarios as S
 from tidemark.publish.publish import dry_run

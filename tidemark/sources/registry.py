@@ -8,7 +8,7 @@ each scan of the final plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,30 +19,35 @@ from tidemark.sources.schemas import SOURCE_SCHEMAS
 ROLES = tuple(SOURCE_SCHEMAS)
 
 
-@dataclass(frozen=True)
 class Sources:
-    login: DataFrame
-    rc_events: DataFrame
-    il_events: DataFrame
-    license_customer: DataFrame
-    license_key: DataFrame
-    license_usage: DataFrame
-    account: DataFrame
-    contract: DataFrame
-    opportunity: DataFrame
-    onboarding: DataFrame
-    user: DataFrame
-    # role -> (time column, day-partition column) for facts stored partitioned
-    # by day; window filters then also prune partitions (see ``since``).
-    day_partitions: dict = field(default_factory=dict)
-    # role -> tables (names or folders) that it reads, for lineage.
-    locations: dict = field(default_factory=dict)
+    """A frame per role, as an attribute (``src.login``). A role may be given
+    as a function instead, which is called when the role is first used, so a
+    plan pays for the analysis of the roles that it reads and no others."""
+
+    def __init__(self, day_partitions: dict | None = None, locations: dict | None = None,
+                 **roles: DataFrame | Callable[[], DataFrame]):
+        if wrong := set(roles) ^ set(ROLES):
+            raise TypeError(f"roles missing or unknown: {', '.join(sorted(wrong))}")
+        self._roles = roles
+        # role -> (time column, day-partition column) for facts stored partitioned
+        # by day; window filters then also prune partitions (see ``since``).
+        self.day_partitions = dict(day_partitions or {})
+        # role -> tables (names or folders) that it reads, for lineage.
+        self.locations = dict(locations or {})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in ROLES:
+            raise AttributeError(name)
+        role = self._roles[name]
+        if not isinstance(role, DataFrame):
+            role = self._roles[name] = role()
+        return role
 
     @classmethod
     def from_tables(cls, spark: SparkSession, names: dict[str, str],
                     day_partitions: dict | None = None) -> "Sources":
         """Catalog tables, e.g. ``{"account": "crm.salesforce.account", ...}``."""
-        return cls(**{r: _lower(spark.read.table(names[r])) for r in ROLES},
+        return cls(**{r: lambda r=r: _lower(spark.read.table(names[r])) for r in ROLES},
                    day_partitions=dict(day_partitions or {}), locations={r: (names[r],) for r in ROLES})
 
     @classmethod
@@ -50,16 +55,19 @@ class Sources:
         """One Parquet folder per role under ``root``, read with the declared
         schema (plus the day-partition column where one is declared)."""
         day_partitions = dict(day_partitions or {})
-        frames = {}
-        for r in ROLES:
+
+        def read(r: str) -> DataFrame:
             schema = SOURCE_SCHEMAS[r]
             if r in day_partitions:
                 schema = T.StructType(schema.fields + [T.StructField(day_partitions[r][1], T.DateType())])
-            frames[r] = spark.read.schema(schema).parquet(f"{root}/{r}")
-        return cls(**frames, day_partitions=day_partitions, locations={r: (f"{root}/{r}",) for r in ROLES})
+            return spark.read.schema(schema).parquet(f"{root}/{r}")
+
+        return cls(**{r: lambda r=r: read(r) for r in ROLES}, day_partitions=day_partitions,
+                   locations={r: (f"{root}/{r}",) for r in ROLES})
 
-    def with_(self, **kw) -> "Sources":
-        return replace(self, **kw)
+    def with_(self, **roles) -> "Sources":
+        """The same sources but for the roles given."""
+        return Sources(self.day_partitions, self.locations, **{**self._roles, **roles})
 
     def items(self):
         return [(r, getattr(self, r)) for r in ROLES]

@@ -60,28 +60,35 @@ ROLE_TABLES = {
 }
 
 
+# Columns of the test tables that the roles and jobs read: with a declared
+# schema no file is opened while a plan is built.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _crm_id(prefix: str, key) -> F.Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 15, "0"))
 
 
-def roles(spark: SparkSession, sf_dir: str) -> Sources:
-    """Role DataFrames for ``sf_dir``: lazy plans, built anew each time, so a
-    rewritten table is noticed."""
-    return _build_roles(spark, sf_dir)
-
-
-def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
-    t = lambda n: read_table(spark, sf_dir, n)
-    customer, orders, lineitem, events, nation = (t("customer"), t("orders"), t("lineitem"),
-                                                 t("events"), t("nation"))
+def _account(table) -> DataFrame:
     bal, seg, ck = F.col("c_acctbal"), F.col("c_mktsegment"), F.col("c_custkey")
-    deleted = bal > 9900
-
-    account = customer.select(
+    return table("customer").select(
         _crm_id("001", ck).alias("id"),
         F.col("c_name").alias("name"),
         seg.alias("type"),
@@ -101,9 +108,13 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
         (ck % 10).alias("open_support_cases_c"),
         F.when(seg == "AUTOMOBILE", "Cancelled").otherwise("Active").alias("contract_status_c"),
         F.when(seg == "AUTOMOBILE", F.lit(CANCELLATION_DAY)).alias("cancellation_date_c"),
-        deleted.alias("_fivetran_deleted"),
+        (bal > 9900).alias("_fivetran_deleted"),
     )
-    license_customer = customer.select(
+
+
+def _license_customer(table) -> DataFrame:
+    seg, ck = F.col("c_mktsegment"), F.col("c_custkey")
+    return table("customer").select(
         ck.alias("customerid"),
         F.when((ck % 10).isin(0, 9), F.concat(F.lit("Group "), F.floor((ck + 1) / 10).cast("string")))
          .otherwise(F.col("c_name")).alias("customername"),
@@ -111,88 +122,122 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(seg == "HOUSEHOLD", F.lit(None).cast("string")).when(ck % 40 == 7, (ck + 1).cast("string"))
          .otherwise(ck.cast("string")).alias("webid"),
         (seg != "AUTOMOBILE").alias("onmaintenance"),
-        deleted.alias("_fivetran_deleted"),
+        (F.col("c_acctbal") > 9900).alias("_fivetran_deleted"),
     )
-    crm_user = nation.select(
+
+
+def _user(table) -> DataFrame:
+    return table("nation").select(
         F.col("n_nationkey").cast("string").alias("id"),
         F.col("n_name").alias("name"),
         F.concat(F.lower(F.regexp_replace("n_name", " ", ".")), F.lit("@example.com")).alias("email"),
         (F.col("n_regionkey") == 4).alias("_fivetran_deleted"),
     )
+
+
+def _contract(table) -> DataFrame:
     status = F.col("o_orderstatus")
-    order_day = F.col("o_orderdate").cast("date")
-    contract = orders.select(
+    return table("orders").select(
         F.col("o_orderkey").alias("contract_id"),
         _crm_id("001", F.col("o_custkey")).alias("account_id"),
         F.when(status == "O", V.CONTRACT_ACTIVATED).when(status == "F", "Expired")
          .otherwise("Draft").alias("status"),
-        order_day.alias("customer_signed_date"),
+        F.col("o_orderdate").cast("date").alias("customer_signed_date"),
         (F.col("o_orderkey") % 50 == 3).alias("_fivetran_deleted"),
     )
-    opportunity = orders.select(
+
+
+def _opportunity(table) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return table("orders").select(
         _crm_id("006", F.col("o_orderkey")).alias("id"),
         _crm_id("001", F.col("o_custkey")).alias("account_id"),
         F.when(status == "F", V.STAGE_CLOSED_LOST).when(status == "O", "Open")
          .otherwise("Closed Won").alias("stage_name"),
-        order_day.alias("close_date"),
+        F.col("o_orderdate").cast("date").alias("close_date"),
         F.col("o_orderpriority").alias("win_loss_reason_c"),
         F.when(F.col("o_totalprice") > 200000, "Price").otherwise("Fit").alias("win_loss_sub_reason_c"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), V.PRODUCT_LINE)
          .otherwise("Angles Cloud").alias("product_line_c"),
         (F.col("o_orderkey") % 40 == 5).alias("_fivetran_deleted"),
     )
-    onboarding = orders.filter(status == "P").select(
+
+
+def _onboarding(table) -> DataFrame:
+    return table("orders").filter(F.col("o_orderstatus") == "P").select(
         _crm_id("001", F.col("o_custkey")).alias("account_c"),
         F.col("o_orderpriority").alias("stage_c"),
         F.lit("In Progress").alias("status_c"),
     )
-    lines = lineitem.join(orders.select("o_orderkey", "o_custkey"),
-                          lineitem.l_orderkey == orders.o_orderkey)
-    user_name = F.concat(F.lit("user"), F.col("l_suppkey").cast("string"))
+
+
+def _lines(table) -> DataFrame:
+    """Line items with their customer and user."""
+    orders, user = table("orders").select("o_orderkey", "o_custkey"), F.col("l_suppkey").cast("string")
+    return (table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .withColumn("user_name", F.concat(F.lit("user"), user)))
+
+
+def _license_key(table) -> DataFrame:
     ship_day = F.col("l_shipdate").cast("date")
-    license_key = lines.select(
+    return _lines(table).select(
         F.col("o_custkey").alias("customerid"),
-        user_name.alias("assigneduser"),
-        F.concat(user_name, F.lit("@example.com")).alias("customeremail"),
+        F.col("user_name").alias("assigneduser"),
+        F.concat("user_name", F.lit("@example.com")).alias("customeremail"),
         ship_day.alias("dateassigned"),
         F.when(F.col("l_returnflag") != "N", ship_day).alias("lastvalidateddate"),
         (F.col("l_linestatus") == "O").alias("registered"),
         F.when(F.col("l_returnflag") == "R", ship_day).alias("deactivated"),
         (F.col("l_linenumber") >= 7).alias("_fivetran_deleted"),
     )
+
+
+def _license_usage(table) -> DataFrame:
+    ship_day = F.col("l_shipdate").cast("date")
     # A quarter of the customers used the product in one season only, less and
     # less, so that short windows hold several users and some of them drop.
     turn = F.datediff(ship_day, F.lit(dt.date(1995, 1, 1))) % 71
     season = F.date_add(F.lit(SEASON_START), F.floor(turn * turn / 71).cast("int")).cast("timestamp_ntz")
-    license_usage = lines.select(
+    return _lines(table).select(
         F.col("o_custkey").alias("customerid"),
-        user_name.alias("assigneduser"),
+        F.col("user_name").alias("assigneduser"),
         F.when(F.col("o_custkey") % 4 == 3, season).otherwise(F.col("l_shipdate").cast("timestamp_ntz"))
          .alias("lastvalidateddate"),
     )
+
+
+def _login(table) -> DataFrame:
     # Grain account + day; the rare repeated (customer, day) pair is kept —
     # every consumer is insensitive to duplicates (MAX / COUNT DISTINCT / anti join).
-    login = orders.select(telemetry_key("o_custkey").alias("account_id"), order_day.alias("date"))
+    return table("orders").select(telemetry_key("o_custkey").alias("account_id"),
+                                  F.col("o_orderdate").cast("date").alias("date"))
 
-    et, val = F.col("event_type"), F.col("value")
 
-    def event_time(ts):
-        """Free text: a few are junk, blank, a month only, or have slashes."""
-        return (F.when(val < 1, "not a date").when(val < 2, F.date_format(ts, "yyyy-MM")).when(val < 3, " ")
-                .when(val < 4, F.date_format(ts, "MM/dd/yyyy")).otherwise(ts.cast("string")).alias("event_time"))
+def _event_time(ts):
+    """Free text: a few are junk, blank, a month only, or have slashes."""
+    val = F.col("value")
+    return (F.when(val < 1, "not a date").when(val < 2, F.date_format(ts, "yyyy-MM")).when(val < 3, " ")
+            .when(val < 4, F.date_format(ts, "MM/dd/yyyy")).otherwise(ts.cast("string")).alias("event_time"))
 
-    rc_events = events.filter(et.isin("view", "click")).select(
+
+def _rc_events(table) -> DataFrame:
+    et, val = F.col("event_type"), F.col("value")
+    return table("events").filter(et.isin("view", "click")).select(
         telemetry_key("user_id").alias("account_id"),
         F.when(et == "view",
                F.when(val < 40, V.RC_HOME).when(val < 100, V.RC_UPLOAD_PAGE)
                 .when(val < 160, V.RC_VIEW_ALL).otherwise(V.RC_SCHEDULE_PAGE))
          .otherwise(F.when(val < 60, V.RC_UPLOAD_CLICKED).when(val < 200, V.RC_LINEOS)
                     .otherwise(V.RC_SCHEDULE_CREATED)).alias("tracked_event_name"),
-        event_time(F.col("ts")),
+        _event_time(F.col("ts")),
     )
+
+
+def _il_events(table) -> DataFrame:
+    et, val = F.col("event_type"), F.col("value")
     user = F.col("user_id")
     il_time = F.col("ts") - F.make_dt_interval(F.when(user % 4 == 1, IL_SHIFT_DAYS).otherwise(0))
-    il_events = events.filter(et.isin("signup", "purchase", "error")).select(
+    return table("events").filter(et.isin("signup", "purchase", "error")).select(
         F.concat(F.lit(V.TELEMETRY_PREFIX), F.when(user % 6 == 0, user + 1).otherwise(user).cast("string"))
          .alias("account_id"),
         F.when(et == "signup", F.when(val < 60, V.IL_HOME).when(val < 200, V.IL_BUTTON))
@@ -201,14 +246,25 @@ def _build_roles(spark: SparkSession, sf_dir: str) -> Sources:
                 .otherwise(V.IL_SAVE_RULE))
          .otherwise(F.when(val < 20, V.IL_EDIT_RULE).when(val < 150, V.IL_DELETE_RULE)
                     .otherwise(V.IL_RESULTS)).alias("tracked_event_name"),
-        event_time(il_time),
+        _event_time(il_time),
         F.get_json_object("props", "$.k").alias("session_id"),
     )
-    return Sources(login=login, rc_events=rc_events, il_events=il_events,
-                   license_customer=license_customer, license_key=license_key,
-                   license_usage=license_usage, account=account, contract=contract,
-                   opportunity=opportunity, onboarding=onboarding, user=crm_user,
-                   locations={r: tuple(f"{sf_dir}/{t}.parquet" for t in ts) for r, ts in ROLE_TABLES.items()})
+
+
+BUILDERS = {
+    "login": _login, "rc_events": _rc_events, "il_events": _il_events, "license_customer": _license_customer,
+    "license_key": _license_key, "license_usage": _license_usage, "account": _account, "contract": _contract,
+    "opportunity": _opportunity, "onboarding": _onboarding, "user": _user,
+}
+
+
+def roles(spark: SparkSession, sf_dir: str) -> Sources:
+    """The roles of ``sf_dir``: lazy plans, each built when it is first used."""
+    def table(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name)
+
+    return Sources(locations={r: tuple(f"{sf_dir}/{t}.parquet" for t in ts) for r, ts in ROLE_TABLES.items()},
+                   **{r: lambda build=build: build(table) for r, build in BUILDERS.items()})
 
 
 def arr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
