@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    bpe, exact_dedup, labelled, language_id, near_dedup, packing, quality_classifier, quality_rules, sharding,
-    subword_lm, toxicity)
+    bpe, exact_dedup, filter_audit, labelled, language_id, license_scan, near_dedup, packing, quality_classifier,
+    quality_rules, sharding, subword_lm, target_resampling, toxicity)
 from tidemark.llm.common import ascii_lower, fold, table
 
 SHARDS = 8
@@ -87,7 +87,8 @@ def op4_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1
     vocabulary = subword_lm.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     model = subword_lm.fit(docs.where(~held_out), vocabulary)
-    return subword_lm.score(docs, model).withColumn("held_out", held_out)
+    return subword_lm.score(docs, model).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 # --- 5: quality classifier --------------------------------------------------
@@ -110,8 +111,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op6_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                              'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS ws FROM documents),
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(3, len(ws)) - 1], ' ') AS s
        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
@@ -159,8 +159,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = [1.0] * SHARDS
-    return (sharding.shard(table(spark, sf_dir, "documents"), even, grown=[*even, 1.0])
-            .withColumn("law", F.lit("key")))
+    return sharding.shard(table(spark, sf_dir, "documents"), even, grown=[*even, 1.0]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 # --- 10: byte-level BPE -----------------------------------------------------
@@ -172,3 +172,76 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+# --- 11: filter interactions ------------------------------------------------
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.statistics(table(spark, sf_dir, "documents"))
+    failed = filter_audit.failures(rows, table(spark, sf_dir, "labels"))
+    return filter_audit.audit(failed, "ABCDE")
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * (d.doc_id > min(d.doc_id) OVER (PARTITION BY t))::INT AS failed
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x
+      FROM f GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL
+      SELECT filter_order || k FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(k)
+      WHERE instr(filter_order, k) = 0),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS k, substr(filter_order, 1, step - 1) AS earlier
+      FROM o, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+b AS (SELECT filter_order, step, 1 << (instr('ABCDE', k) - 1) AS bit,
+             coalesce(list_sum([1 << (instr('ABCDE', e) - 1) FOR e IN string_split(earlier, '') IF e <> '']), 0) AS before
+      FROM s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(n) FILTER (WHERE failed & (before::INT | bit::INT) = 0) AS BIGINT) AS kept,
+       CAST(sum(n) FILTER (WHERE failed & bit::INT <> 0 AND failed & before::INT = 0) AS BIGINT) AS removed,
+       CAST(sum(n) FILTER (WHERE failed & bit::INT <> 0 AND failed & before::INT <> 0) AS BIGINT) AS redundant,
+       CAST(sum(n) FILTER (WHERE failed = bit::INT) AS BIGINT) AS unique_fails,
+       CAST(sum(g) FILTER (WHERE failed & bit::INT <> 0 AND failed & before::INT = 0) AS BIGINT) AS good_lost,
+       CAST(sum(x) FILTER (WHERE failed & bit::INT <> 0 AND failed & before::INT = 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(n * 120 // nullif(bit_count(failed), 0)) FILTER (WHERE failed & bit::INT <> 0) AS BIGINT) AS shapley
+FROM c, b GROUP BY part, filter_order, step
+"""
+# Sums over no rows are 0.
+ORACLE_SQL["op11_filter_audit"] = (
+    "SELECT part, filter_order, step, " + ", ".join(
+        f"coalesce({n}, 0) AS {n}" for n in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost",
+                                             "shapley"))
+    + f" FROM ({ORACLE_SQL['op11_filter_audit']}) AS audit")
+
+
+# --- 12: licences -----------------------------------------------------------
+
+@_query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["first"])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"))
+
+
+# --- 13: resampling towards the benchmark -----------------------------------
+
+@_query
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
