@@ -63,21 +63,26 @@ def test_statistics_and_dictionary(make_docs, rows):
     docs = make_docs(rows, 2)
     got = sorted(tuple(r[n] for n in A.STATISTICS) for r in A.statistics(docs, shard_docs=3).collect())
     assert got == sorted(stats_of(r[1]) for r in rows)
-    numbers = [r["column"] for r in A.dictionary(A.local_shards(docs, "doc_id", "text", "source", 3)).collect()]
-    assert sorted(numbers) == list(range(len({w for r in rows for w in WORD.findall(r[1] or "")})))
-
-
-def test_columns_mean_one_word_everywhere(make_docs):
-    """A shard per document, one dictionary: equal words have equal columns."""
-    docs = make_docs([(1, "b a b"), (2, "c b"), (3, "")], 1)
+    assert sorted(tuple(r[n] for n in A.STATISTICS) for r in A.statistics(docs, shard_docs=3, bits=3).collect()) == got
+
+
+@pytest.mark.parametrize("bits", [A.COLUMN_BITS, 2])
+def test_columns_mean_one_word_everywhere(make_docs, bits):
+    """A shard per document, one dictionary: equal words have equal columns,
+    and different words different ones, even if their hashes are the same."""
+    docs = make_docs([(1, "b a b"), (2, "c b"), (3, ""), (4, "é f g h i j k")], 1)
+    rows = A.shards(docs, shard_docs=1)
+    apart = A.colliding(rows, bits)
+    assert bool(apart) == (bits == 2)
+    column_of = {bytes(r.word): r.column for r in A.dictionary(rows, bits).collect()}
+    assert len(column_of) == len(set(column_of.values())) == 10
     cells = {}
-    for r in A.matrix(docs, shard_docs=1).collect():
-        for k, key in enumerate(r["ids"]):
-            cells[key] = sorted((r["columns"][i], n) for i, n in
-                                list(zip(r["indices"], r["counts"]))[r["indptr"][k]:r["indptr"][k + 1]])
-    assert cells[3] == [] and {n for _, n in cells[1]} == {1, 2} and len(cells[2]) == 2
-    twice = next(c for c, n in cells[1] if n == 2)
-    assert twice in {c for c, _ in cells[2]} and len({c for v in cells.values() for c, _ in v}) == 3
+    for r in rows.collect():
+        words = [bytes(w) for w in r.words]
+        assert A.columns(words, apart, bits).tolist() == [column_of[w] for w in words]
+        for k, key in enumerate(r.ids):
+            cells[key] = {words[i]: n for i, n in list(zip(r.indices, r.counts))[r.indptr[k]:r.indptr[k + 1]]}
+    assert cells[1] == {b"a": 1, b"b": 2} and cells[2] == {b"b": 1, b"c": 1} and cells[3] == {}
 
 
 def test_empty_tables(spark, make_docs):
@@ -85,8 +90,6 @@ def test_empty_tables(spark, make_docs):
     assert len(audited(spark, make_docs([(1, "x")]), [])) == 600
 
 
-def test_no_hot_word_in_the_shuffle(spark, make_docs):
-    """A word of every document is one row per shard."""
-    shards = A.local_shards(make_docs([(k, f"the the x{k}") for k in range(300)], 3), "doc_id", "text", "source")
-    words = [bytes(w) for r in shards.collect() for w in r["words"]]
-    assert words.count(b"the") == shards.count() == 3
+def test_a_word_of_every_document_is_one_per_shard(make_docs):
+    rows = A.shards(make_docs([(k, f"the the x{k}") for k in range(300)], 3)).collect()
+    assert [bytes(w) for r in rows for w in r.words].count(b"the") == len(rows) == 3

@@ -2,12 +2,14 @@
 
 The texts become a sparse document-term matrix. Documents are cut into shards
 of bounded size; a shard holds its rows in CSR form (row starts, column
-numbers, counts). Words get their column number in two steps: first inside
-their shard, then from a dictionary of all words, so that a word that stands
-in every document crosses the network once per shard and not once per
-document. Row sums and numbers of nonzero entries are the documents' words and
-distinct words; filters are predicates over these and a few counts of
-characters, and "a copy of an earlier text" comes from a grouping by digest.
+numbers, counts) over its own list of words. A dictionary of all words gives
+each word its column of the whole matrix: 63 bits of its hash, or a negative
+number for words that share these bits with another. A shard can so number its
+columns where it is read, and a word that stands in every document crosses the
+network once per task and not once per document. Row sums and numbers of
+nonzero entries are the documents' words and distinct words; filters are
+predicates over these and a few counts of characters, and "a copy of an
+earlier text" comes from a grouping by digest.
 
 An audit needs no document again: per part, the number of documents by the set
 of filters that they fail says what every filter removes in any order.
@@ -16,6 +18,8 @@ of filters that they fail says what every filter removes in any order.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
@@ -23,17 +27,20 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tidemark.llm.common import ship, written
+from tidemark.llm.common import ship
 from tidemark.llm.textblocks import spaced_words
+from tidemark.session import checkpoint_dir
 
 # Bytes of text and documents in a shard at most (a longer text is a shard of
-# its own).
-SHARD_BYTES, SHARD_DOCS = 1 << 20, 4_096
+# its own), and shards in a file.
+SHARD_BYTES, SHARD_DOCS, SHARDS_PER_FILE = 8 << 20, 65_536, 8
+# Bits of a word's hash that are its column, and the hash's seed (Spark's own).
+COLUMN_BITS, SEED = 63, 42
 UPPER, SPECIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 STATISTICS = ("n_words", "n_distinct", "n_upper", "n_chars", "n_special")
 # A document fails where the predicate over its statistics is true.
@@ -47,90 +54,96 @@ FILTERS = {
 COPIES = "E"
 
 
-def local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str,
-                 shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per shard: ids, parts, digests, character counts, and the CSR
-    form with column numbers into the shard's own ``words``."""
-    ship(docs.sparkSession)
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
+           shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row per shard: ids, parts, digests, n_chars, n_upper and n_special of
+    its documents, ``words``, and the counts of the words in CSR form: row k
+    has the entries ``indptr[k]`` to ``indptr[k + 1]`` of ``indices`` (into
+    ``words``) and ``counts``. Written to the shared store."""
+    spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        text.cast("binary").alias("raw"), F.length(text).cast("long").alias("n_chars"))
-    ddl = StructType.fromDDL("shard long, parts array<string>, digests array<binary>, n_chars array<long>, "
-                             "n_upper array<long>, n_special array<long>, indptr array<long>, indices array<long>, "
-                             "counts array<long>, words array<binary>")
-    schema = StructType([ddl["shard"], StructField("ids", ArrayType(rows.schema["_id"].dataType)), *ddl.fields[1:]])
+    schema = StructType([StructField("ids", ArrayType(rows.schema["_id"].dataType)), *StructType.fromDDL(
+        "parts array<string>, digests array<binary>, n_chars array<long>, n_upper array<long>, n_special array<long>, "
+        "words array<binary>, indptr array<long>, indices array<int>, counts array<int>").fields])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, kind = TaskContext.get().partitionId() << 32, None
-        names = [f.name for f in schema]
-
-        def fresh() -> tuple[dict[str, list], dict[bytes, int], int]:
-            return {n: [0] if n == "indptr" else [] for n in names[1:]}, {}, 0
-
-        def closed() -> pa.RecordBatch:
-            columns["words"] = list(column_of)  # in the order of their numbers
-            kinds = {"ids": kind, "parts": pa.string(), "digests": pa.binary(), "words": pa.binary()}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()),
-                 *(pa.array([columns[n]], pa.list_(kinds.get(n, pa.int64()))) for n in names[1:])], names)
-
-        columns, column_of, size = fresh()
+        def one_row(key_type) -> pa.RecordBatch:
+            values = [pa.array(ids, key_type), pa.array(parts, pa.string()), pa.array(digests, pa.binary()),
+                      *(pa.array(x, pa.int64()) for x in (n_chars, n_upper, n_special)),
+                      pa.array(list(column_of), pa.binary()),  # in the order of their numbers
+                      pa.array(np.array(indptr, np.int64)), *(pa.array(np.frombuffer(x, np.int32)) for x in (indices, counts))]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) for v in values], names)
+
+        ids = []
         for batch in batches:
-            kind = batch.column("_id").type
-            for key, part, raw, n_chars in zip(*(batch.column(c) for c in ("_id", "part", "raw", "n_chars"))):
-                raw = raw.as_py()
-                if columns["ids"] and (size + len(raw) > SHARD_BYTES or len(columns["ids"]) == shard_docs):
-                    yield closed()
-                    number += 1
-                    columns, column_of, size = fresh()
+            key_type = batch.column("_id").type
+            for key, part, text, chars in zip(*(batch.column(c) for c in ("_id", "part", "raw", "n_chars"))):
+                raw = text.as_py()
+                if ids and (size + len(raw) > SHARD_BYTES or len(ids) == shard_docs):
+                    yield one_row(key_type)
+                    ids = []
+                if not ids:
+                    parts, digests, n_chars, n_upper, n_special, indptr, size = [], [], [], [], [], [0], 0
+                    column_of, indices, counts = {}, array("i"), array("i")
                 found: Counter = Counter()
                 for words in spaced_words(raw):
                     found.update(words)
-                columns["ids"].append(key.as_py())
-                columns["parts"].append(part.as_py())
-                columns["digests"].append(hashlib.sha256(raw).digest())
-                columns["n_chars"].append(n_chars.as_py())
-                columns["n_upper"].append(len(raw) - len(raw.translate(None, UPPER)))
-                columns["n_special"].append(len(raw) - len(raw.translate(None, SPECIAL)))
-                columns["indices"] += [column_of.setdefault(w, len(column_of)) for w in found]
-                columns["counts"] += found.values()
-                columns["indptr"].append(len(columns["indices"]))
+                ids.append(key.as_py())
+                parts.append(part.as_py())
+                digests.append(hashlib.sha256(raw).digest())
+                n_chars.append(chars.as_py())
+                n_upper.append(len(raw) - len(raw.translate(None, UPPER)))
+                n_special.append(len(raw) - len(raw.translate(None, SPECIAL)))
+                indices.extend([column_of.setdefault(w, len(column_of)) for w in found])
+                counts.extend(found.values())
+                indptr.append(len(indices))
                 size += len(raw)
-        if columns["ids"]:
-            yield closed()
+        if ids:
+            yield one_row(key_type)
 
-    return rows.mapInArrow(run, schema)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-shards-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, schema).write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """Columns word, column: every word of the shards, numbered from 0 without
-    a gap. One row per task, its count, is gathered to do so."""
-    words = written(shards.select(F.explode("words").alias("word")).distinct()
-                    .withColumn("at", F.monotonically_increasing_id()), "words")
-    task = F.shiftrightunsigned("at", 33)
-    first, offsets = 0, []
-    for number, n in sorted(words.groupBy(task).count().collect()):
-        offsets.append((number, first))
-        first += n
-    starts = words.sparkSession.createDataFrame(offsets, "task long, first long")  # one row per task
-    return (words.join(F.broadcast(starts), task == F.col("task"))
-            .select("word", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("column")))
+def dictionary(shards: DataFrame, bits: int = COLUMN_BITS) -> DataFrame:
+    """Columns word, column: every word of the shards with its column."""
+    words, apart = _words(shards, bits), colliding(shards, bits)
+    own = F.col("hash")
+    for word, column in apart.items():
+        own = F.when(F.col("word") == F.lit(word), F.lit(column)).otherwise(own)
+    return words.select("word", own.alias("column"))
 
 
-def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
-           shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The document-term matrix, one row per shard: shard, ids, parts, digests,
-    n_chars, n_upper, n_special, indptr, indices, counts and ``columns``, the
-    column numbers in the dictionary of all words that ``indices`` point to."""
-    shards = written(local_shards(docs, id_col, text_col, part_col, shard_docs), "shards")
-    own = shards.select("shard", F.posexplode("words").alias("at", "word"))
-    columns = (own.join(dictionary(shards), "word").groupBy("shard")
-               .agg(F.sort_array(F.collect_list(F.struct("at", "column")))["column"].alias("columns")))
-    return shards.drop("words").join(columns, "shard", "left")
-
-
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               part_col: str = "source", shard_docs: int = SHARD_DOCS) -> DataFrame:
+def _words(shards: DataFrame, bits: int) -> DataFrame:
+    return (shards.select(F.explode("words").alias("word"))
+            .select(F.xxhash64("word").bitwiseAND((1 << bits) - 1).alias("hash"), "word").distinct())
+
+
+def colliding(shards: DataFrame, bits: int = COLUMN_BITS) -> dict[bytes, int]:
+    """Words whose hash another word has too, each with a negative column of
+    its own. Of v words some v * v / 2^63 are such: one at three thousand
+    million words."""
+    words = _words(shards, bits)
+    shared = [h for h, in words.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash").collect()]
+    if not shared:
+        return {}
+    found = words.where(F.col("hash").isin(shared)).select("word").collect()
+    return {w: -k for k, w in enumerate(sorted(bytes(r.word) for r in found), 1)}
+
+
+def columns(words: list[bytes], apart: dict[bytes, int], bits: int = COLUMN_BITS) -> np.ndarray:
+    """Columns of a shard's words, as the dictionary has them."""
+    mask = (1 << bits) - 1
+    return np.array([apart.get(w, xxhash.xxh64_intdigest(w, SEED) & mask) for w in words], np.int64)
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
+               shard_docs: int = SHARD_DOCS, bits: int = COLUMN_BITS) -> DataFrame:
     """One row per document: _id, part, digest and the STATISTICS, read from
     the matrix: words are its row sums, distinct words its nonzero entries.
 
@@ -138,7 +151,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as empty, a null part as the empty string. Repeated rows stay rows of their
     own. An empty table gives no rows; further columns are ignored.
     """
-    rows = matrix(docs, id_col, text_col, part_col, shard_docs)
+    rows = shards(docs, id_col, text_col, part_col, shard_docs)
+    apart = colliding(rows, bits)
     carried = ["ids", "parts", "digests", "n_chars", "n_upper", "n_special"]
     schema = StructType([StructField("_id", rows.schema["ids"].dataType.elementType),
                          *StructType.fromDDL("part string, digest binary, n_chars long, n_upper long, n_special long, "
@@ -147,19 +161,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = {n: batch.column(n)[k].values for n in [*carried, "indptr", "indices", "counts", "columns"]}
-                starts, n = shard["indptr"].to_numpy(), len(shard["ids"])
-                sums = np.concatenate([[0], np.cumsum(shard["counts"].to_numpy())])
-                row_of = np.repeat(np.arange(n), np.diff(starts))
-                # An entry counts once per row and column of the whole matrix.
-                indices = shard["indices"].to_numpy()
-                column = shard["columns"].to_numpy()[indices] if len(indices) else indices
-                order = np.lexsort((column, row_of))
-                one = np.ones(len(order), bool)
-                one[1:] = (np.diff(row_of[order]) != 0) | (np.diff(column[order]) != 0)
+                shard = {n: batch.column(n)[k].values for n in batch.schema.names}
+                starts = shard["indptr"].to_numpy()
+                column = columns(shard["words"].to_pylist(), apart, bits)
+                if len(np.unique(column)) != len(column):
+                    raise ValueError("two words of a shard share a column")
+                # So a row's stored entries are its nonzero ones.
+                nonzero = np.add.reduceat(np.append(shard["counts"].to_numpy() > 0, False), starts[:-1], dtype=np.int64)
+                nonzero[starts[1:] == starts[:-1]] = 0
+                sums = np.concatenate([[0], np.cumsum(shard["counts"].to_numpy(), dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [*(shard[c] for c in carried), pa.array(sums[starts[1:]] - sums[starts[:-1]], pa.int64()),
-                     pa.array(np.bincount(row_of[order][one], minlength=n), pa.int64())], schema.names)
+                    [*(shard[c] for c in carried), pa.array(sums[starts[1:]] - sums[starts[:-1]]),
+                     pa.array(nonzero)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
