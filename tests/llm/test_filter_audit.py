@@ -4,6 +4,7 @@ import re
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import filter_audit as A
 
@@ -77,9 +78,10 @@ def test_columns_mean_one_word_everywhere(make_docs, bits):
     column_of = {bytes(r.word): r.column for r in A.dictionary(rows, bits).collect()}
     assert len(column_of) == len(set(column_of.values())) == 10
     cells = {}
-    for r in rows.collect():
+    numbers = F.transform("words", lambda w: A.column_of(w, apart, bits)).alias("columns")
+    for r in rows.select("*", numbers).collect():
         words = [bytes(w) for w in r.words]
-        assert A.columns(words, apart, bits).tolist() == [column_of[w] for w in words]
+        assert r.columns == [column_of[w] for w in words]
         for k, key in enumerate(r.ids):
             cells[key] = {words[i]: n for i, n in list(zip(r.indices, r.counts))[r.indptr[k]:r.indptr[k + 1]]}
     assert cells[1] == {b"a": 1, b"b": 2} and cells[2] == {b"b": 1, b"c": 1} and cells[3] == {}

@@ -18,29 +18,29 @@ of filters that they fail says what every filter removes in any order.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, written
 from tidemark.llm.textblocks import spaced_words
 from tidemark.session import checkpoint_dir
 
 # Bytes of text and documents in a shard at most (a longer text is a shard of
 # its own), and shards in a file.
 SHARD_BYTES, SHARD_DOCS, SHARDS_PER_FILE = 8 << 20, 65_536, 8
-# Bits of a word's hash that are its column, and the hash's seed (Spark's own).
-COLUMN_BITS, SEED = 63, 42
+# Bits of a word's hash that are its column.
+COLUMN_BITS = 63
 UPPER, SPECIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 STATISTICS = ("n_words", "n_distinct", "n_upper", "n_chars", "n_special")
 # A document fails where the predicate over its statistics is true.
@@ -88,7 +88,8 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
                     ids = []
                 if not ids:
                     parts, digests, n_chars, n_upper, n_special, indptr, size = [], [], [], [], [], [0], 0
-                    column_of, indices, counts = {}, array("i"), array("i")
+                    # A new word gets the next number.
+                    column_of, indices, counts = defaultdict(itertools.count().__next__), array("i"), array("i")
                 found: Counter = Counter()
                 for words in spaced_words(raw):
                     found.update(words)
@@ -98,7 +99,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
                 n_chars.append(chars.as_py())
                 n_upper.append(len(raw) - len(raw.translate(None, UPPER)))
                 n_special.append(len(raw) - len(raw.translate(None, SPECIAL)))
-                indices.extend([column_of.setdefault(w, len(column_of)) for w in found])
+                indices.extend(map(column_of.__getitem__, found))
                 counts.extend(found.values())
                 indptr.append(len(indices))
                 size += len(raw)
@@ -110,18 +111,13 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     return spark.read.schema(schema).parquet(path)
 
 
-def dictionary(shards: DataFrame, bits: int = COLUMN_BITS) -> DataFrame:
-    """Columns word, column: every word of the shards with its column."""
-    words, apart = _words(shards, bits), colliding(shards, bits)
-    own = F.col("hash")
-    for word, column in apart.items():
-        own = F.when(F.col("word") == F.lit(word), F.lit(column)).otherwise(own)
-    return words.select("word", own.alias("column"))
+def _hash(word: Column, bits: int) -> Column:
+    return F.xxhash64(word).bitwiseAND((1 << bits) - 1)
 
 
 def _words(shards: DataFrame, bits: int) -> DataFrame:
     return (shards.select(F.explode("words").alias("word"))
-            .select(F.xxhash64("word").bitwiseAND((1 << bits) - 1).alias("hash"), "word").distinct())
+            .select(_hash(F.col("word"), bits).alias("hash"), "word").distinct())
 
 
 def colliding(shards: DataFrame, bits: int = COLUMN_BITS) -> dict[bytes, int]:
@@ -136,10 +132,18 @@ def colliding(shards: DataFrame, bits: int = COLUMN_BITS) -> dict[bytes, int]:
     return {w: -k for k, w in enumerate(sorted(bytes(r.word) for r in found), 1)}
 
 
-def columns(words: list[bytes], apart: dict[bytes, int], bits: int = COLUMN_BITS) -> np.ndarray:
-    """Columns of a shard's words, as the dictionary has them."""
-    mask = (1 << bits) - 1
-    return np.array([apart.get(w, xxhash.xxh64_intdigest(w, SEED) & mask) for w in words], np.int64)
+def column_of(word: Column, apart: dict[bytes, int], bits: int = COLUMN_BITS) -> Column:
+    """The column of a word; ``apart`` are the ``colliding`` words."""
+    if not apart:
+        return _hash(word, bits)
+    own = F.create_map(*[F.lit(x) for pair in apart.items() for x in pair])
+    return F.coalesce(F.try_element_at(own, word), _hash(word, bits))
+
+
+def dictionary(shards: DataFrame, bits: int = COLUMN_BITS) -> DataFrame:
+    """Columns word, column: every word of the shards with its column."""
+    own = column_of(F.col("word"), colliding(shards, bits), bits)
+    return _words(shards, bits).select("word", own.alias("column"))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
@@ -154,6 +158,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = shards(docs, id_col, text_col, part_col, shard_docs)
     apart = colliding(rows, bits)
     carried = ["ids", "parts", "digests", "n_chars", "n_upper", "n_special"]
+    numbered = rows.select(*carried, "indptr", "counts",
+                           F.transform("words", lambda w: column_of(w, apart, bits)).alias("columns"))
     schema = StructType([StructField("_id", rows.schema["ids"].dataType.elementType),
                          *StructType.fromDDL("part string, digest binary, n_chars long, n_upper long, n_special long, "
                                              "n_words long, n_distinct long")])
@@ -163,7 +169,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k in range(batch.num_rows):
                 shard = {n: batch.column(n)[k].values for n in batch.schema.names}
                 starts = shard["indptr"].to_numpy()
-                column = columns(shard["words"].to_pylist(), apart, bits)
+                column = shard["columns"].to_numpy()
                 if len(np.unique(column)) != len(column):
                     raise ValueError("two words of a shard share a column")
                 # So a row's stored entries are its nonzero ones.
@@ -174,7 +180,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [*(shard[c] for c in carried), pa.array(sums[starts[1:]] - sums[starts[:-1]]),
                      pa.array(nonzero)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
 def failures(rows: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
@@ -190,8 +196,8 @@ def failures(rows: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     to the join as one row per part and label.
     """
     bits = sum((F.when(F.expr(p), F.lit(1 << k)).otherwise(F.lit(0)) for k, p in enumerate(filters.values())), F.lit(0))
-    facts = (rows.select("_id", "part", "digest", bits.alias("failed"))
-             .groupBy("_id", "part", "digest", "failed").agg(F.count("*").alias("copies")))
+    facts = written(rows.select("_id", "part", "digest", bits.alias("failed"))
+                    .groupBy("_id", "part", "digest", "failed").agg(F.count("*").alias("copies")), "facts")
     none = F.lit(0)
     if labels is None:
         facts = facts.withColumns({"good": none, "toxic": none})
@@ -203,9 +209,9 @@ def failures(rows: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                  .fillna(0, ["good", "toxic"])
                  .unionByName(facts.where("_id IS NULL").withColumns({"good": none, "toxic": none})))
     shared = ["digest", "part", "failed", "good", "toxic"]
-    texts = facts.groupBy(*shared).agg(
+    texts = written(facts.groupBy(*shared).agg(
         F.min("_id").alias("least"), F.min_by("copies", "_id").alias("least_rows"), F.sum("copies").alias("documents"),
-        F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("copies"))), F.lit(0)).alias("without_id"))
+        F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("copies"))), F.lit(0)).alias("without_id")), "texts")
     if copies is not None:
         first = texts.groupBy("digest").agg(F.min("least").alias("first"))
         kept = (F.col("without_id")
