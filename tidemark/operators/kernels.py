@@ -99,8 +99,18 @@ def milestones(events: DataFrame, key: str, specs: dict[str, Spec],
         return events.groupBy(key).agg(*[s.direct(n) for n, s in specs.items()])
     if distinct_col is None:
         raise ValueError("distinct specs need distinct_col")
-    level1 = events.groupBy(key, distinct_col).agg(*[s.partial(n) for n, s in specs.items()])
-    return level1.groupBy(key).agg(*[s.final(n, distinct_col) for n, s in specs.items()])
+    return milestone_totals(milestone_parts(events, key, specs, distinct_col), key, specs, distinct_col)
+
+
+def milestone_parts(events: DataFrame, key: str, specs: dict[str, Spec], distinct_col: str) -> DataFrame:
+    """First level of ``milestones``: a row per key and value of the distinct
+    column. Such rows of several batches merge measure by measure."""
+    return events.groupBy(key, distinct_col).agg(*[s.partial(n) for n, s in specs.items()])
+
+
+def milestone_totals(parts: DataFrame, key: str, specs: dict[str, Spec], distinct_col: str) -> DataFrame:
+    """Second level of ``milestones``: a row per key."""
+    return parts.groupBy(key).agg(*[s.final(n, distinct_col) for n, s in specs.items()])
 
 
 def event_date(time_col: str = "event_time") -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,12 @@ from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
 from tidemark.plans.telemetry import Telemetry, telemetry_profiles
 from tidemark.publish.publish import announce, lineage, observed_write, write_mart
+from tidemark.publish.versions import NONE, latest
 from tidemark.sources.registry import Sources
 from tidemark.sources.schemas import MART_SCHEMAS
 from tidemark.sources.staging import materialize_sources
 from tidemark.streaming.rollup import read_rollup
+from tidemark.streaming.state import state_profiles
 
 # Declared dependencies (what each mart reads), for OPS-02.
 DEPENDS_ON = {
@@ -62,11 +65,15 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
     }
 
 
-def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str | None = None) -> Telemetry:
+def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str | None = None,
+                   state: str | None = None) -> Telemetry:
     """Reduce every log once, write the profiles and read them back (lineage
     is cut there). With ``rollup`` (the folder of the incremental event
-    rollup) the event logs are not read."""
+    rollup) or ``state`` (that of the accounts' milestone state) the event logs
+    are not read."""
     prof = telemetry_profiles(src, read_rollup(spark, rollup) if rollup else None)
+    if state:
+        prof = replace(prof, **state_profiles(spark, state))
     for name in ("rc", "il", "usage", "login"):
         write_mart(getattr(prof, name), f"{out_dir}/{name}")
     return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in ("rc", "il", "usage", "login")})
@@ -97,7 +104,7 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
             parallel_marts: int = 4, stage_sources: bool = False, partition_by_day: bool = True,
-            rollup: str | None = None, run_id: str | None = None,
+            rollup: str | None = None, state: str | None = None, run_id: str | None = None,
             gate: Callable[[str, DataFrame], list[str]] = contract_violations) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
@@ -107,28 +114,32 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     ``share_telemetry`` each log is reduced once to a profile, written to
     ``<out_dir>/_profiles`` and read back, and every scenario reads the
     profiles; ``rollup`` names an incremental event rollup to build the event
-    profiles from.
+    profiles from, ``state`` a milestone state (``streaming.state``) that has
+    them.
 
     ``gate(mart, written frame)`` returns what is wrong with a mart (default:
     its contract). With ``run_id`` everything is written under
-    ``<out_dir>/run_id=<id>`` and announced in ``<out_dir>/_manifest`` only
-    after every mart, the master view and the report succeeded and no gate
-    objected — all marts in one append — so readers (``publish.read_mart``)
-    switch from one complete refresh to the next and never see a mix of old
-    and new marts. An objection raises, and the previous refresh stays.
+    ``<out_dir>/run_id=<id>`` and announced as the next version of
+    ``<out_dir>`` only after every mart, the master view and the report
+    succeeded and no gate objected — all marts in one version — so readers
+    (``publish.read_mart``) switch from one complete refresh to the next and
+    never see a mix of old and new marts. An objection raises, and the previous
+    refresh stays; so does it when another refresh was announced meanwhile
+    (``versions.ConcurrentRefresh``).
 
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
     """
-    root = out_dir
+    root, based_on = out_dir, None
     if run_id is not None:
+        based_on = (latest(spark, root) or {"version": NONE})["version"]
         out_dir = f"{root}/run_id={run_id}"
     locations = src.locations
     if stage_sources:
         src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts,
                                   partition_by_day=partition_by_day)
     if builders is None:
-        tel = write_profiles(spark, src, f"{out_dir}/_profiles", rollup) if share_telemetry else None
+        tel = write_profiles(spark, src, f"{out_dir}/_profiles", rollup, state) if share_telemetry else None
         builders = default_builders(as_of, events_as_of, usage_ref, tel)
     marts, counts, lines = write_marts(spark, src, builders, out_dir, parallel_marts)
     master = M.master_account(src, marts, as_of)
@@ -145,5 +156,6 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
         raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
     if run_id is not None:
         tables = dict(V.MART_TABLES, MASTER=V.MASTER_TABLE)
-        announce(spark, root, run_id, {tables[k]: (f"{out_dir}/{tables[k]}", n) for k, n in counts.items()})
+        announce(spark, root, run_id, {tables[k]: (f"{out_dir}/{tables[k]}", n) for k, n in counts.items()},
+                 based_on)
     return spark.createDataFrame(sorted(counts.items()), "scenario string, rows long")

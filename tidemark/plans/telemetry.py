@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
-from tidemark.operators.kernels import (count_if, distinct, event_date, ever, first, last,
-                                        milestones, named, usage_days)
+from tidemark.operators.kernels import (Spec, count_if, distinct, event_date, ever, first, last, milestones, named,
+                                        usage_days)
 from tidemark.sources.registry import Sources
 
 c = F.col
@@ -38,12 +38,12 @@ class Telemetry:
     login: DataFrame | None = None   # one row per account and day
 
 
-def rc_profile(rc_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
-    """``day`` and ``weight`` name the day and the number of events of a row
-    that stands for several (a rollup's)."""
+def rc_specs(day: Column | None = None, weight: Column | None = None) -> dict[str, Spec]:
+    """Measures of the RC profile. ``day`` and ``weight`` name the day and the
+    number of events of a row that stands for several (a rollup's)."""
     d = event_date() if day is None else day
     sp, sc = named(V.RC_SCHEDULE_PAGE), named(V.RC_SCHEDULE_CREATED)
-    return milestones(rc_events, "account_id", {
+    return {
         "rc_home": ever(named(V.RC_HOME)),
         "clicked_upload": ever(named(V.RC_UPLOAD_CLICKED)),
         "reached_upload_page": ever(named(V.RC_UPLOAD_PAGE)),
@@ -57,14 +57,15 @@ def rc_profile(rc_events: DataFrame, day: Column | None = None, weight: Column |
         "first_rc_event": first(None, d),
         "last_rc_event": last(None, d),
         "distinct_rc_events": distinct(),
-    }, distinct_col="tracked_event_name")
+    }
 
 
-def il_profile(il_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+def il_specs(day: Column | None = None, weight: Column | None = None) -> dict[str, Spec]:
+    """Measures of the IL profile."""
     d = event_date() if day is None else day
     save, results = named(V.IL_SAVE_RULE), named(V.IL_RESULTS)
     has_name = c("tracked_event_name").isNotNull()
-    return milestones(il_events, "account_id", {
+    return {
         "il_named": ever(has_name),
         "visited_il_home": ever(named(V.IL_HOME)),
         "clicked_il_button": ever(named(V.IL_BUTTON)),
@@ -82,7 +83,19 @@ def il_profile(il_events: DataFrame, day: Column | None = None, weight: Column |
         "delete_sessions": distinct(named(V.IL_DELETE_RULE)),
         "last_il_event": last(None, d),
         "last_named_il_event": last(has_name, d),
-    }, distinct_col="session_id")
+    }
+
+
+# Surface -> measures of its profile and the column whose values they count.
+PROFILES = {"RC": (rc_specs, "tracked_event_name"), "IL": (il_specs, "session_id")}
+
+
+def rc_profile(rc_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    return milestones(rc_events, "account_id", rc_specs(day, weight), PROFILES["RC"][1])
+
+
+def il_profile(il_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    return milestones(il_events, "account_id", il_specs(day, weight), PROFILES["IL"][1])
 
 
 def telemetry_profiles(src: Sources, rollup: DataFrame | None = None) -> Telemetry:

@@ -2,12 +2,12 @@
 
 Publishing never overwrites what readers use. A mart version is written to
 its own folder (``<root>/<mart>/run_id=<id>``, or a refresh's run folder),
-validated there, and only then announced by appending to the manifest table
-``<root>/_manifest``. A whole refresh is announced in one append, so its
-marts switch together. Readers pick the newest announced version, so a
-crash between write and announce leaves the previous version in service, and
-a half-written folder is never read.
-Everything is plain Parquet on the shared store; no local disk is used.
+validated there, and only then announced as the next version of the root
+(``publish.versions``). A whole refresh is one version, so its marts switch
+together. Readers pick the newest version, so a crash between write and
+announce leaves the previous one in service, and a half-written folder is
+never read.
+Marts are plain Parquet on the shared store; no local disk is used.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.publish import versions as VS
+
 c = F.col
 
 
@@ -65,6 +67,7 @@ def dry_run(df: DataFrame, mode: str = "formatted") -> str:
 
 # ------------------------------------------------------- versioned publish
 
+# Columns of ``versions``.
 MANIFEST_SCHEMA = "mart string, run_id string, path string, rows long, published_at timestamp"
 
 
@@ -87,20 +90,24 @@ def publish(spark: SparkSession, df: DataFrame, root: str, mart: str,
     return {"mart": mart, "run_id": run_id, "path": path, "rows": rows}
 
 
-def announce(spark: SparkSession, root: str, run_id: str, marts: dict[str, tuple[str, int]]) -> None:
-    """Publish already-written marts together: one manifest row per mart,
-    same timestamp, written as a single one-file append (a few rows of
-    metadata) after every mart exists — all switch, or none does."""
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    rows = [{"mart": m, "run_id": run_id, "path": p, "rows": n, "published_at": now}
-            for m, (p, n) in marts.items()]
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
+def announce(spark: SparkSession, root: str, run_id: str, marts: dict[str, tuple[str, int]],
+             based_on: int | None = None) -> dict:
+    """Publish already-written marts together as one version: all switch, or
+    none does. ``based_on`` is the version that the refresh started from
+    (``versions.commit``)."""
+    return VS.commit(spark, root, run_id, {m: {"path": p, "rows": n} for m, (p, n) in marts.items()}, based_on)
 
 
 def versions(spark: SparkSession, root: str, mart: str) -> DataFrame:
-    """All announced versions of a mart, newest first."""
-    return (spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/_manifest").filter(c("mart") == mart)
-            .orderBy(c("published_at").desc(), c("run_id").desc()))
+    """The announced versions of a mart that are still kept, newest first."""
+    rows, seen = [], set()
+    for n in reversed(VS.numbers(spark, root)):
+        entry = (VS.read_version(spark, root, n) or {"marts": {}})["marts"].get(mart)
+        if entry and entry["path"] not in seen:
+            seen.add(entry["path"])
+            rows.append((mart, entry["run_id"], entry["path"], entry["rows"],
+                         dt.datetime.fromisoformat(entry["published_at"])))
+    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
 
 
 def compare_runs(spark: SparkSession, root: str, mart: str) -> DataFrame:
@@ -113,19 +120,20 @@ def compare_runs(spark: SparkSession, root: str, mart: str) -> DataFrame:
     return snapshot_diff(spark.read.parquet(top[1]["path"]), spark.read.parquet(top[0]["path"]))
 
 
-def current_version(spark: SparkSession, root: str, mart: str) -> dict | None:
-    """Newest announced version of a mart (manifest rows are tiny)."""
-    top = versions(spark, root, mart).limit(1).collect()
-    return top[0].asDict() if top else None
+def current_version(spark: SparkSession, root: str, mart: str, version: int | None = None) -> dict | None:
+    """The mart's entry in the newest version, or in a given (pinned) one."""
+    found = VS.latest(spark, root) if version is None else VS.read_version(spark, root, version)
+    return dict(found["marts"][mart], mart=mart) if found and mart in found["marts"] else None
 
 
 def read_mart(spark: SparkSession, root: str, mart: str, filters: Column | None = None,
               order_by: list[Column] | None = None, limit: int | None = None,
-              offset: int = 0, columns: list[str] | None = None) -> DataFrame:
+              offset: int = 0, columns: list[str] | None = None, version: int | None = None) -> DataFrame:
     """OPS-04 / FLT-13: the app's read contract — filter, order, page; no
     aggregation. Filters reach the Parquet scan. Without ``order_by`` a mart
-    comes in its default order (SRT-01/02); ``[]`` leaves it unordered."""
-    v = current_version(spark, root, mart)
+    comes in its default order (SRT-01/02); ``[]`` leaves it unordered.
+    ``version`` reads an older (pinned) version instead of the newest."""
+    v = current_version(spark, root, mart, version)
     if v is None:
         raise FileNotFoundError(f"{mart} has no published version under {root}")
     df = spark.read.parquet(v["path"])

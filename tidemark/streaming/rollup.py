@@ -17,12 +17,14 @@ the batches after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.dates import parse_date
-from tidemark.publish.publish import announce, current_version
+from tidemark.publish import files
+from tidemark.publish.publish import observed_write
+from tidemark.publish.versions import NONE, clean, commit, latest
 
 c = F.col
 KEYS = ["surface", "account_id", "event_date", "tracked_event_name", "session_id"]
@@ -80,55 +82,65 @@ def _partials(spark: SparkSession, target: str) -> DataFrame:
     return df.withColumns({"surface": c("surface").cast("string"), "batch_id": c("batch_id").cast("long")})
 
 
+def _numbers(spark: SparkSession, target: str) -> dict[str, list[int]]:
+    """Batches that have partials, per surface: names of folders, no file."""
+    def values(folder: str, column: str) -> list[str]:
+        return [n[len(column) + 1:] for n in files.names(spark, folder) if n.startswith(f"{column}=")]
+
+    return {s: sorted(int(b) for b in values(f"{target}/partials/surface={s}", "batch_id"))
+            for s in values(f"{target}/partials", "surface")}
+
+
+def _after(upto: dict[str, int]) -> Column:
+    """Batches after those bounds, as literals: whole partitions are left out."""
+    after = ~c("surface").isin(list(upto)) if upto else F.lit(True)
+    for surface, n in upto.items():
+        after = after | ((c("surface") == surface) & (c("batch_id") > n))
+    return after
+
+
 def read_rollup(spark: SparkSession, target: str) -> DataFrame:
     """The current rollup: the newest compacted version and all partials after
-    it, merged."""
-    parts = _partials(spark, target)
-    v = _compacted(spark, target)
+    it, merged. Partials that it holds are not read."""
+    v = latest(spark, f"{target}/compacted")
     if v is None:
-        return merge_partials(parts.drop("batch_id"))
-    upto = spark.read.parquet(f"{v['path']}/upto")
-    late = (parts.join(upto, "surface", "left").filter(c("upto").isNull() | (c("batch_id") > c("upto")))
-            .drop("batch_id", "upto"))
-    return merge_partials(spark.read.parquet(f"{v['path']}/rollup").unionByName(late))
-
-
-def _compacted(spark: SparkSession, target: str) -> dict | None:
-    from pyspark.errors import AnalysisException
-    try:
-        return current_version(spark, f"{target}/compacted", "rollup")
-    except AnalysisException:  # nothing was ever announced
-        return None
+        return merge_partials(_partials(spark, target).drop("batch_id"))
+    late = _partials(spark, target).filter(_after(v["upto"])).drop("batch_id")
+    return merge_partials(spark.read.parquet(v["marts"]["rollup"]["path"]).unionByName(late))
 
 
 def compact(spark: SparkSession, target: str, run_id: str) -> None:
     """Fold everything up to the present into one version and announce it
-    (run between refreshes). Batches that arrive meanwhile stay partials."""
-    path = f"{target}/compacted/run_id={run_id}"
-    upto = _partials(spark, target).groupBy("surface").agg(F.max("batch_id").alias("upto"))
-    upto.write.parquet(f"{path}/upto")
-    bound = spark.read.parquet(f"{path}/upto")
-    v, parts = _compacted(spark, target), _partials(spark, target).join(bound, "surface")
-    rows = parts.filter(c("batch_id") <= c("upto")).drop("batch_id", "upto")
-    if v is not None:
-        done = spark.read.parquet(f"{v['path']}/upto").withColumnRenamed("upto", "done")
-        rows = (parts.join(done, "surface", "left")
-                .filter((c("batch_id") <= c("upto")) & (c("done").isNull() | (c("batch_id") > c("done"))))
-                .drop("batch_id", "upto", "done").unionByName(spark.read.parquet(f"{v['path']}/rollup")))
-    folded = merge_partials(rows)
-    folded.write.parquet(f"{path}/rollup")
-    announce(spark, f"{target}/compacted", run_id, {"rollup": (path, spark.read.parquet(f"{path}/rollup").count())})
-
-
-def merge_milestones(state: DataFrame, batch: DataFrame, key: str,
+    (run between refreshes). Batches that arrive meanwhile stay partials. Those
+    that the version before held already are removed, and so are the folders
+    of the versions before it; its own readers still find all they need."""
+    root = f"{target}/compacted"
+    before = latest(spark, root)
+    done = before["upto"] if before else {}
+    upto = {**done, **{s: max(ids) for s, ids in _numbers(spark, target).items() if ids}}
+    rows = _partials(spark, target).filter(_after(done) & ~_after(upto)).drop("batch_id")
+    if before:
+        rows = rows.unionByName(spark.read.parquet(before["marts"]["rollup"]["path"]))
+    path = f"{root}/run_id={run_id}"
+    n, _ = observed_write(merge_partials(rows), path, "rollup")
+    commit(spark, root, run_id, {"rollup": {"path": path, "rows": n}}, before["version"] if before else NONE,
+           facts={"upto": upto})
+    for surface, ids in _numbers(spark, target).items():
+        for batch in [b for b in ids if b <= done.get(surface, -1)]:
+            files.delete(spark, f"{target}/partials/surface={surface}/batch_id={batch}")
+    clean(spark, root)
+
+
+def merge_milestones(state: DataFrame, batch: DataFrame, key: str | list[str],
                      ever_cols: list[str] = (), first_cols: list[str] = (),
-                     last_cols: list[str] = ()) -> DataFrame:
+                     last_cols: list[str] = (), sum_cols: list[str] = ()) -> DataFrame:
     """STR-03: ever-flags (max), first dates (min) and last dates (max) are
-    monotone, so stored state and a new batch merge by ``groupBy``."""
+    monotone and counts add up, so stored state and a new batch merge by
+    ``groupBy``; a batch's counts must come once (``streaming.state``)."""
     both = state.unionByName(batch, allowMissingColumns=True)
-    return both.groupBy(key).agg(*[F.max(x).alias(x) for x in ever_cols],
-                                 *[F.min(x).alias(x) for x in first_cols],
-                                 *[F.max(x).alias(x) for x in last_cols])
+    return both.groupBy(*([key] if isinstance(key, str) else key)).agg(
+        *[F.max(x).alias(x) for x in ever_cols], *[F.min(x).alias(x) for x in first_cols],
+        *[F.max(x).alias(x) for x in last_cols], *[F.sum(x).alias(x) for x in sum_cols])
 
 
 def restage_days(source: DataFrame, target: str, time_col: str, day_col: str,
@@ -142,16 +154,23 @@ def restage_days(source: DataFrame, target: str, time_col: str, day_col: str,
     that has no row left is removed. Nothing is dropped for being late, and a
     rerun rewrites the same partitions (idempotent). A day of many rows is
     written by several tasks.
+
+    The source is read once. Where it has the column ``day_col`` itself (a fact
+    stored by day), its other days are not read at all. The touched days are
+    gathered, a row per day.
     """
     from tidemark.sources.staging import by_day, day_of
-    days = touched.select(F.col(day_col).alias("_d")).distinct()
-    rows = (source.withColumn(day_col, day_of(time_col, source))
-            .join(days, F.col(day_col).eqNullSafe(F.col("_d")), "left_semi"))
-    (by_day(rows, day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(day_col).parquet(target))
-    left = rows.select(F.col(day_col).alias("_l")).distinct()
-    gone = days.join(left, F.col("_d").eqNullSafe(F.col("_l")), "left_anti").collect()  # touched days only
-    jvm = source.sparkSession._jvm
-    for (day,) in gone:
-        path = jvm.org.apache.hadoop.fs.Path(f"{target}/{day_col}={day or '__HIVE_DEFAULT_PARTITION__'}")
-        path.getFileSystem(source.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    spark = source.sparkSession
+    days = [d for d, in touched.select(F.col(day_col)).distinct().collect()]
+    known = [d for d in days if d is not None]
+    day = c(day_col) if day_col in source.columns else day_of(time_col, source)
+    wanted = day.isin(known) if known else F.lit(False)
+    if len(known) < len(days):
+        wanted = wanted | day.isNull()
+    folders = {d: f"{target}/{day_col}={d if d is not None else '__HIVE_DEFAULT_PARTITION__'}" for d in days}
+    before = {d: set(files.names(spark, folder)) for d, folder in folders.items()}
+    (by_day(source.filter(wanted).withColumn(day_col, day), day_col)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(target))
+    for d, folder in folders.items():  # a day that kept its old files got no new ones
+        if before[d] and set(files.names(spark, folder)) == before[d]:
+            files.delete(spark, folder)
