@@ -20,7 +20,8 @@ from tidemark.operators.bridge import telemetry_bridge
 from tidemark.operators.quality import contract_check
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
-from tidemark.plans.telemetry import Telemetry, telemetry_profiles
+from tidemark.plans.telemetry import Telemetry, profile_name, telemetry_profiles
+from tidemark.publish.lineage import ROWS, Lineage, column_rows, differences, read as read_lineage, tagged
 from tidemark.publish.publish import announce, lineage, observed_write, write_mart
 from tidemark.publish.versions import NONE, latest
 from tidemark.sources.registry import Sources
@@ -29,7 +30,8 @@ from tidemark.sources.staging import materialize_sources
 from tidemark.streaming.rollup import read_rollup
 from tidemark.streaming.state import state_profiles
 
-# Declared dependencies (what each mart reads), for OPS-02.
+# Declared dependencies (what each mart reads). A refresh compares them with
+# what the plans read (``publish.lineage``).
 DEPENDS_ON = {
     "S1": ["account", "contract", "onboarding"], "S2": ["license_key", "license_customer", "account"],
     "S3": ["login", "rc_events"], "S4": ["license_usage", "license_customer", "rc_events", "account"],
@@ -65,27 +67,42 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
     }
 
 
+# The log behind each profile.
+PROFILED = {"rc": "rc_events", "il": "il_events", "usage": "license_usage", "login": "login"}
+
+
 def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str | None = None,
-                   state: str | None = None) -> Telemetry:
+                   state: str | None = None, found: dict[str, Lineage] | None = None) -> Telemetry:
     """Reduce every log once, write the profiles and read them back (lineage
     is cut there). With ``rollup`` (the folder of the incremental event
     rollup) or ``state`` (that of the accounts' milestone state) the event logs
-    are not read."""
+    are not read. ``found`` takes the profiles' lineage."""
     prof = telemetry_profiles(src, read_rollup(spark, rollup) if rollup else None)
     if state:
         prof = replace(prof, **state_profiles(spark, state))
-    for name in ("rc", "il", "usage", "login"):
-        write_mart(getattr(prof, name), f"{out_dir}/{name}")
-    return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in ("rc", "il", "usage", "login")})
+    for name, log in PROFILED.items():
+        df = getattr(prof, name)
+        write_mart(df, f"{out_dir}/{name}")
+        if found is not None:
+            own = read_lineage(df)
+            if not own.sources:  # a rollup or state stands for its log
+                own = Lineage({log}, {x: {(log, ROWS)} for x in [ROWS, *df.columns]})
+            found[profile_name(name)] = own
+    return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in PROFILED})
 
 
 def write_marts(spark: SparkSession, src: Sources, builders: dict[str, Callable[[Sources], DataFrame]], out_dir: str,
-                parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
+                parallel: int = 4, found: dict[str, Lineage] | None = None
+                ) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
     """Write every scenario mart and read it back: frames, row counts, log
     lines. The marts are independent of each other, so they are submitted as
-    concurrent Spark jobs and small stages of one overlap with others."""
+    concurrent Spark jobs and small stages of one overlap with others.
+    ``found`` takes the marts' lineage."""
     def build(sid: str) -> tuple[int, str]:
-        return observed_write(builders[sid](src), f"{out_dir}/{V.MART_TABLES[sid]}", sid)
+        df = builders[sid](src)
+        if found is not None:
+            found[sid] = read_lineage(df)
+        return observed_write(df, f"{out_dir}/{V.MART_TABLES[sid]}", sid)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         done = dict(zip(V.SCENARIO_IDS, pool.map(build, V.SCENARIO_IDS)))
@@ -127,6 +144,10 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     refresh stays; so does it when another refresh was announced meanwhile
     (``versions.ConcurrentRefresh``).
 
+    What each mart reads is taken from its plan and written to ``_lineage``
+    (tables and dependencies) and ``_lineage_columns`` (column by column); a
+    difference to ``DEPENDS_ON`` raises.
+
     Returns the (scenario, rows) report; the counts come from write-time
     observations, so no mart is scanned a second time just to count it.
     """
@@ -138,11 +159,19 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     if stage_sources:
         src = materialize_sources(spark, src, f"{out_dir}/_staging", parallel_marts,
                                   partition_by_day=partition_by_day)
+    profiles: dict[str, Lineage] = {}
+    found: dict[str, Lineage] = {}
+    src, declared = src.tagged(), builders is None
     if builders is None:
-        tel = write_profiles(spark, src, f"{out_dir}/_profiles", rollup, state) if share_telemetry else None
+        tel = None
+        if share_telemetry:
+            tel = write_profiles(spark, src, f"{out_dir}/_profiles", rollup, state, profiles).tagged()
         builders = default_builders(as_of, events_as_of, usage_ref, tel)
-    marts, counts, lines = write_marts(spark, src, builders, out_dir, parallel_marts)
-    master = M.master_account(src, marts, as_of)
+    marts, counts, lines = write_marts(spark, src, builders, out_dir, parallel_marts, found)
+    named = {sid: tagged(sid, df) for sid, df in marts.items()}
+    master = M.master_account(src, named, as_of)
+    found["MASTER"] = read_lineage(master)
+    found = {mart: own.through(profiles) for mart, own in found.items()}
     alerts = M.alerts_by_stage(marts, telemetry_bridge(src, ("webid",)))
     with ThreadPoolExecutor(max_workers=2) as pool:
         f_master = pool.submit(observed_write, master, f"{out_dir}/{V.MASTER_TABLE}", "MASTER")
@@ -151,7 +180,11 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
         f_alerts.result()
     print("\n".join([*lines, line]))
     marts["MASTER"] = spark.read.parquet(f"{out_dir}/{V.MASTER_TABLE}")
-    lineage(spark, DEPENDS_ON, locations).write.mode("overwrite").parquet(f"{out_dir}/_lineage")
+    lineage(spark, {m: sorted(own.sources) for m, own in found.items()}, locations).write.mode("overwrite").parquet(
+        f"{out_dir}/_lineage")
+    column_rows(spark, found).write.mode("overwrite").parquet(f"{out_dir}/_lineage_columns")
+    if declared and (wrong := differences(found, DEPENDS_ON)):
+        raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
     if wrong := [x for sid, df in marts.items() for x in gate(sid, df)]:
         raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
     if run_id is not None:

@@ -17,7 +17,7 @@ profiles can be built from the incremental rollup (``streaming.rollup``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocabulary as V
 from tidemark.operators.kernels import (Spec, count_if, distinct, event_date, ever, first, last, milestones, named,
                                         usage_days)
+from tidemark.publish.lineage import tagged
 from tidemark.sources.registry import Sources
 
 c = F.col
@@ -38,6 +39,15 @@ class Telemetry:
     login: DataFrame | None = None   # one row per account and day
 
 
+    def tagged(self) -> "Telemetry":
+        """The same frames, named so that lineage can be read from plans."""
+        return Telemetry(**{f.name: tagged(profile_name(f.name), getattr(self, f.name)) for f in fields(self)})
+
+
+def profile_name(name: str) -> str:
+    return f"profile_{name}"
+
+
 def rc_specs(day: Column | None = None, weight: Column | None = None) -> dict[str, Spec]:
     """Measures of the RC profile. ``day`` and ``weight`` name the day and the
     number of events of a row that stands for several (a rollup's)."""

@@ -20,7 +20,9 @@ from tidemark.plans import scenarios as S
 from tidemark.registry import oracle as Q
 from tidemark.registry.queries import register
 from tidemark.sources import staging as STG
-from tidemark.plans.refresh import DEPENDS_ON
+from tidemark.plans.master import master_account
+from tidemark.plans.refresh import default_builders
+from tidemark.publish import lineage as LN
 from tidemark.publish.publish import lineage
 from tidemark.session import checkpoint_dir
 from tidemark.sources.testmap import EVENTS_AS_OF, ORDERS_AS_OF, ROLE_TABLES, arr_daily, read_table, roles
@@ -130,22 +132,96 @@ def _restaged(spark, d):
 
 register("restaged_days", 'SELECT day AS event_day, COUNT(*) AS "rows" FROM rc GROUP BY 1')(_restaged)
 
-_ROLE_ROWS = sorted({(m, t) for m, ds in DEPENDS_ON.items() for d in ds for t in ROLE_TABLES.get(d, ())})
+def _lineage_of_plans(spark, d):
+    """Lineage of every mart and the master view, read from their plans."""
+    src = roles(spark, d).tagged()
+    frames = {sid: build(src) for sid, build in default_builders(ORDERS_AS_OF, EVENTS_AS_OF).items()}
+    found = {sid: LN.read(df) for sid, df in frames.items()}
+    master = master_account(src, {sid: LN.tagged(sid, df) for sid, df in frames.items()}, ORDERS_AS_OF)
+    return found | {"MASTER": LN.read(master)}
 
 
 def _lineage_rows(spark, d):
-    """Each mart's own source tables, and how many rows they have now."""
-    own = {m: [x for x in ds if x in ROLE_TABLES] for m, ds in DEPENDS_ON.items()}
+    """The source tables that each mart's plan reads, and how many rows they have now."""
+    own = {m: sorted(x.sources & set(ROLE_TABLES)) for m, x in _lineage_of_plans(spark, d).items()}
     lin = lineage(spark, own, roles(spark, d).locations).filter(c("kind") == "input_table")
-    tables = sorted({t for _, t in _ROLE_ROWS})
     counts = reduce(lambda a, b: a.unionByName(b), [
         read_table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("source"), "rows")
-        for t in tables])
+        for t in ("customer", "events", "lineitem", "nation", "orders")])
     return lin.select("mart", F.regexp_extract("name", r"([^/]+)\.parquet$", 1).alias("source")).join(counts, "source")
 
 
-register("lineage_source_rows", "\nUNION ALL ".join(
-    f"SELECT '{m}' AS mart, '{t}' AS source, COUNT(*) AS \"rows\" FROM {t}" for m, t in _ROLE_ROWS))(_lineage_rows)
+register("lineage_source_rows", """WITH reads(mart, source) AS (VALUES
+  ('S1', 'customer'), ('S1', 'orders'), ('S2', 'customer'), ('S2', 'lineitem'), ('S2', 'orders'),
+  ('S3', 'events'), ('S3', 'orders'), ('S4', 'customer'), ('S4', 'events'), ('S4', 'lineitem'), ('S4', 'orders'),
+  ('S5', 'customer'), ('S5', 'events'), ('S5', 'lineitem'), ('S5', 'orders'), ('S6', 'events'), ('S7', 'events'),
+  ('S8', 'events'), ('S9', 'events'), ('S10', 'customer'), ('S10', 'lineitem'), ('S10', 'orders'),
+  ('S11', 'customer'), ('S11', 'lineitem'), ('S11', 'orders'), ('S12', 'events'), ('S12', 'orders'), ('S13', 'events'),
+  ('S14', 'customer'), ('S14', 'events'), ('S14', 'lineitem'), ('S14', 'orders'), ('S15', 'customer'),
+  ('S15', 'lineitem'), ('S15', 'orders'), ('S16', 'customer'), ('S16', 'events'), ('S16', 'lineitem'),
+  ('S16', 'orders'), ('MASTER', 'customer'), ('MASTER', 'nation'), ('MASTER', 'orders')),
+n AS (SELECT 'customer' AS source, COUNT(*) AS "rows" FROM customer UNION ALL SELECT 'events', COUNT(*) FROM events
+  UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'nation', COUNT(*) FROM nation
+  UNION ALL SELECT 'orders', COUNT(*) FROM orders)
+SELECT reads.mart, reads.source, n."rows" FROM reads JOIN n ON n.source = reads.source""")(_lineage_rows)
+
+
+def _lineage_columns(spark, d):
+    """Column lineage of three marts, each source column with its known values."""
+    found = {m: x for m, x in _lineage_of_plans(spark, d).items() if m in ("S6", "S10", "S12")}
+    pairs = LN.column_rows(spark, found)
+    src, parts = roles(spark, d), []
+    for role in sorted({s for x in found.values() for s in x.sources}):
+        df = getattr(src, role)
+        wide = df.agg(*[F.count(f"`{n}`").alias(n) for n in df.columns])
+        stack = ", ".join(f"'{n}', `{n}`" for n in df.columns)
+        parts.append(wide.selectExpr(f"'{role}' AS source", f"stack({len(df.columns)}, {stack}) AS (source_column, known_values)"))
+    return pairs.join(reduce(lambda a, b: a.unionByName(b), parts), ["source", "source_column"])
+
+
+_KNOWN = {"rc_events": ["account_id", "event_time", "tracked_event_name"],
+          "il_events": ["account_id", "event_time", "tracked_event_name"], "login": ["account_id", "date"],
+          "license_usage": ["assigneduser", "customerid", "lastvalidateddate"],
+          "license_customer": ["_fivetran_deleted", "customerid", "salesforceid", "customername"],
+          "account": ["id", "type", "active_product_lines_c", "next_renewal_date_c", "open_renewable_amount_c",
+                      "customer_success_associate_c"]}
+register("lineage_columns", """WITH made(mart, column_name, source, source_column) AS (VALUES
+  ('S6', '*', 'rc_events', 'account_id'), ('S6', '*', 'rc_events', 'event_time'),
+  ('S6', '*', 'rc_events', 'tracked_event_name'), ('S6', 'telemetry_account_id', 'rc_events', 'account_id'),
+  ('S6', 'first_schedule_page_visit', 'rc_events', 'event_time'),
+  ('S6', 'first_schedule_page_visit', 'rc_events', 'tracked_event_name'),
+  ('S6', 'last_schedule_page_visit', 'rc_events', 'event_time'),
+  ('S6', 'last_schedule_page_visit', 'rc_events', 'tracked_event_name'),
+  ('S6', 'schedule_page_visits', 'rc_events', 'tracked_event_name'),
+  ('S6', 'completed_schedule', 'rc_events', 'tracked_event_name'),
+  ('S6', 'days_since_first_visit', 'rc_events', 'event_time'),
+  ('S6', 'days_since_first_visit', 'rc_events', 'tracked_event_name'),
+  ('S10', '*', 'account', 'id'), ('S10', '*', 'license_customer', '_fivetran_deleted'),
+  ('S10', '*', 'license_customer', 'customerid'), ('S10', '*', 'license_customer', 'salesforceid'),
+  ('S10', '*', 'license_usage', 'assigneduser'), ('S10', '*', 'license_usage', 'customerid'),
+  ('S10', '*', 'license_usage', 'lastvalidateddate'),
+  ('S10', 'licensing_customer_id', 'license_usage', 'customerid'),
+  ('S10', 'account_name', 'license_customer', 'customername'),
+  ('S10', 'sfdc_account_id', 'license_customer', 'salesforceid'), ('S10', 'account_type', 'account', 'type'),
+  ('S10', 'product_lines', 'account', 'active_product_lines_c'),
+  ('S10', 'active_users_prev_30d', 'license_usage', 'assigneduser'),
+  ('S10', 'active_users_prev_30d', 'license_usage', 'lastvalidateddate'),
+  ('S10', 'active_users_curr_30d', 'license_usage', 'assigneduser'),
+  ('S10', 'active_users_curr_30d', 'license_usage', 'lastvalidateddate'),
+  ('S10', 'utilization_retention_pct', 'license_usage', 'assigneduser'),
+  ('S10', 'utilization_retention_pct', 'license_usage', 'lastvalidateddate'),
+  ('S10', 'next_renewal_date', 'account', 'next_renewal_date_c'),
+  ('S10', 'arr_at_risk', 'account', 'open_renewable_amount_c'),
+  ('S10', 'csm_id', 'account', 'customer_success_associate_c'),
+  ('S12', '*', 'il_events', 'account_id'), ('S12', '*', 'il_events', 'event_time'),
+  ('S12', '*', 'il_events', 'tracked_event_name'), ('S12', '*', 'login', 'account_id'), ('S12', '*', 'login', 'date'),
+  ('S12', 'telemetry_account_id', 'login', 'account_id'), ('S12', 'login_days_14d', 'login', 'date'),
+  ('S12', 'last_login_date', 'login', 'date')),
+n AS (""" + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS source, '{x}' AS source_column, COUNT({x}) AS known_values FROM {t}" for t, xs in _KNOWN.items()
+    for x in xs) + """)
+SELECT made.mart, made.column_name, made.source, made.source_column, n.known_values
+FROM made JOIN n ON n.source = made.source AND n.source_column = made.source_column""")(_lineage_columns)
 
 
 def _bool_sql(col: str) -> str:

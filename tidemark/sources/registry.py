@@ -69,6 +69,11 @@ class Sources:
         """The same sources but for the roles given."""
         return Sources(self.day_partitions, self.locations, **{**self._roles, **roles})
 
+    def tagged(self) -> "Sources":
+        """The same frames, named so that lineage can be read from plans."""
+        from tidemark.publish.lineage import tagged
+        return self.with_(**{r: lambda r=r: tagged(r, getattr(self, r)) for r in ROLES})
+
     def items(self):
         return [(r, getattr(self, r)) for r in ROLES]
 
