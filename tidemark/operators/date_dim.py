@@ -88,6 +88,41 @@ def with_business_days(dim: DataFrame, holidays: DataFrame | None = None) -> Dat
                           F.sum(c("is_business_day").cast("int")).over(w))
 
 
+def with_business_index(dim: DataFrame) -> DataFrame:
+    """DIM-03: ``business_index``, the business days of the whole dimension up
+    to and including the day (a weekend or holiday has that of the business day
+    before), for a dimension ``with_business_days``. Days are counted inside
+    their month; only the months' totals, a row each, are summed up in order."""
+    before = Window.orderBy("month_start").rowsBetween(Window.unboundedPreceding, -1)
+    months = (dim.groupBy("month_start").agg(F.max("business_day_of_month").alias("_in_month"))
+              .select(c("month_start").alias("_m"), F.coalesce(F.sum("_in_month").over(before), F.lit(0)).alias("_before")))
+    return (dim.join(months, c("month_start") == c("_m"))
+            .withColumn("business_index", c("_before") + c("business_day_of_month")).drop("_m", "_before"))
+
+
+def business_days_after(fact: DataFrame, date_col: str, n: int, dim: DataFrame, into: str = "due_day") -> DataFrame:
+    """The day ``n`` business days after a date (before it, if negative): two
+    equality lookups in a dimension ``with_business_index``. A date that is no
+    business day counts from the one before; with ``n`` = 0 it is that one.
+    NULL where the dimension does not reach."""
+    start = dim.select(c("date_day").alias("_d"), (c("business_index") + n).alias("_i"))
+    goal = dim.filter("is_business_day").select(c("business_index").alias("_g"), c("date_day").alias(into))
+    return (fact.join(start, c(date_col).cast("date") == c("_d"), "left")
+            .join(goal, c("_i") == c("_g"), "left").drop("_d", "_i", "_g"))
+
+
+def business_days_between(fact: DataFrame, start_col: str, end_col: str, dim: DataFrame,
+                          into: str = "business_days") -> DataFrame:
+    """Business days after ``start_col`` up to and including ``end_col``
+    (negative if it comes first), by two equality lookups."""
+    def at(mark: str) -> DataFrame:
+        return dim.select(c("date_day").alias(f"_{mark}d"), c("business_index").alias(f"_{mark}i"))
+
+    return (fact.join(at("s"), c(start_col).cast("date") == c("_sd"), "left")
+            .join(at("e"), c(end_col).cast("date") == c("_ed"), "left")
+            .withColumn(into, c("_ei") - c("_si")).drop("_sd", "_si", "_ed", "_ei"))
+
+
 def join_dim(fact: DataFrame, dim: DataFrame, fact_date: str) -> DataFrame:
     """JN-11: attach date attributes to a fact. Spark broadcasts the dimension
     if its measured size allows."""

@@ -64,11 +64,23 @@ def _orders_dim(spark, sf_dir, offset=0):
 register("date_dim", _dim_sql())(lambda spark, d: _orders_dim(spark, d))
 register("date_dim_fiscal", _dim_sql(3))(lambda spark, d: _orders_dim(spark, d, 3))
 
-register("business_days", f"""WITH dim AS ({_dim_sql()}),
-b AS (SELECT *, FALSE AS is_holiday, NOT is_weekend AS is_business_day FROM dim)
+# Holidays of the test data: one day of the year per nation, in every year.
+HOLIDAY_SQL = "SELECT n_nationkey * 14 + 1 FROM nation"
+
+
+def business_dim(spark, sf_dir):
+    """The dimension over the orders with the nations' holidays."""
+    dim = _orders_dim(spark, sf_dir)
+    days = read_table(spark, sf_dir, "nation").select((c("n_nationkey") * 14 + 1).alias("_n")).distinct()
+    return DD.with_business_days(dim, dim.join(days, c("day_of_year") == c("_n"), "left_semi").select("date_day"))
+
+
+BUSINESS_SQL = f"""dim AS ({_dim_sql()}),
+b AS (SELECT *, day_of_year IN ({HOLIDAY_SQL}) AS is_holiday,
+  NOT is_weekend AND day_of_year NOT IN ({HOLIDAY_SQL}) AS is_business_day FROM dim)"""
+register("business_days", f"""WITH {BUSINESS_SQL}
 SELECT *, CAST(SUM(CAST(is_business_day AS INTEGER)) OVER (PARTITION BY month_start ORDER BY date_day
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS business_day_of_month FROM b""")(
-    lambda spark, d: DD.with_business_days(_orders_dim(spark, d)))
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS business_day_of_month FROM b""")(business_dim)
 
 register("prior_year_compare", f"""WITH dim AS ({_dim_sql()}),
 monthly AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month_end, COUNT(*) AS value
