@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
-from tidemark.operators import date_dim as DD, profile as P, sketches as SK
+from tidemark.operators import date_dim as DD, profile as P, retention as RT, sketches as SK
 from tidemark.operators.changes import changes, write_run
 from tidemark.operators.identity import account_identities
 from tidemark.plans import scenarios as S
+from tidemark.publish import paging as PG
 from tidemark.registry import oracle as Q
 from tidemark.registry.jobs import BUSINESS_SQL, business_dim
 from tidemark.registry.queries import register
 from tidemark.session import checkpoint_dir
+from tidemark.sources import staging as STG
 from tidemark.sources.schemas import MART_SCHEMAS
 from tidemark.sources.testmap import ORDERS_AS_OF, read_table, roles
 from tidemark.streaming import state as ST
@@ -189,3 +191,71 @@ SELECT o.order_day, o.orders, o.month_end, due.date_day AS due_day, remind.date_
   CAST(e.k - s.k AS BIGINT) AS days_to_month_end
 FROM o LEFT JOIN upto s ON s.date_day = o.order_day LEFT JOIN upto e ON e.date_day = o.month_end
   LEFT JOIN work due ON due.k = s.k + 5 LEFT JOIN work remind ON remind.k = s.k - 3""")(_business_arithmetic)
+
+
+# ---------------------------------------------------------- retention by day
+
+register("retention_by_day", """WITH u AS (
+  SELECT DISTINCT customerid, assigneduser, CAST(lastvalidateddate AS DATE) AS day FROM license_usage
+  WHERE assigneduser IS NOT NULL AND lastvalidateddate IS NOT NULL),
+pts AS (SELECT DISTINCT customerid, day + after AS day FROM u, (SELECT unnest([0, 30, 31, 61]) AS after)),
+n AS (SELECT pts.customerid, pts.day,
+    COUNT(DISTINCT CASE WHEN u.day >= pts.day - 30 THEN u.assigneduser END) AS curr,
+    COUNT(DISTINCT CASE WHEN u.day <= pts.day - 30 THEN u.assigneduser END) AS prev
+  FROM pts LEFT JOIN u ON u.customerid = pts.customerid AND u.day BETWEEN pts.day - 60 AND pts.day
+  GROUP BY 1, 2),
+moved AS (SELECT * FROM n WINDOW w AS (PARTITION BY customerid ORDER BY day)
+  QUALIFY curr <> COALESCE(LAG(curr) OVER w, 0) OR prev <> COALESCE(LAG(prev) OVER w, 0)),
+spans AS (SELECT customerid, day AS from_day,
+    LEAD(day) OVER (PARTITION BY customerid ORDER BY day) - 1 AS to_day, curr, prev FROM moved)
+SELECT customerid, CAST(from_day AS DATE) AS from_day, CAST(to_day AS DATE) AS to_day, curr, prev,
+  ROUND(curr * 100.0 / CAST(NULLIF(prev, 0) AS DOUBLE), 1) AS retention_pct
+FROM spans WHERE curr > 0 OR prev > 0""")(
+    lambda spark, d: RT.retention_spans(roles(spark, d).license_usage, "customerid", "assigneduser",
+                                        "lastvalidateddate", 30))
+
+
+# -------------------------------------------------------------------- paging
+
+_PAGE, _ORDER = 400, [("days_to_renewal", "asc"), ("arr", "desc"), ("sfdc_account_id", "asc")]
+
+
+def _pages(spark, d):
+    """S14 published sorted and read page after page by key."""
+    path = f"{_folder(spark, 'pages')}/s14"
+    mart = S.scn_14(roles(spark, d), ORDERS_AS_OF)
+    PG.write_sorted(mart, path, _ORDER, rows_per_file=150)
+    rows, key, number = [], None, 0
+    while page := PG.page_after(spark, path, _ORDER, _PAGE, key):
+        rows += [(number, k, r["sfdc_account_id"], r["days_to_renewal"]) for k, r in enumerate(page)]
+        key, number = PG.key_of(page[-1], _ORDER), number + 1
+    return spark.createDataFrame(rows, "page int, place int, sfdc_account_id string, days_to_renewal int")
+
+
+register("keyset_pages", f"""WITH s14 AS ({Q.SCENARIO_SQL['S14'].strip()}),
+n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY days_to_renewal ASC NULLS LAST, arr DESC NULLS FIRST,
+  sfdc_account_id ASC NULLS LAST) - 1 AS k FROM s14)
+SELECT CAST(k // {_PAGE} AS INTEGER) AS page, CAST(k % {_PAGE} AS INTEGER) AS place, sfdc_account_id, days_to_renewal
+FROM n""")(_pages)
+
+
+# --------------------------------------------------------- quarantine replay
+
+def _replayed(spark, d):
+    """RC events staged by a parser that knows ISO days only; what it rejected
+    is staged again by the present one. Rows by status before and after."""
+    rc, root = roles(spark, d).rc_events, _folder(spark, "staged")
+    count = F.count(F.lit(1)).alias("rows")
+    before = STG.stage_batch(rc, root, "0", {"event_time": "iso_date"}).groupBy("status").agg(count).collect()
+    after = STG.replay(spark, root, rc.schema, "1", {"event_time": "date"}).groupBy("status").agg(count)
+    known = spark.createDataFrame([("before", *r) for r in before], "phase string, status string, rows long")
+    return known.unionByName(after.select(F.lit("after").alias("phase"), "status", "rows"))
+
+
+_BLANK = "event_time IS NULL OR trim(event_time) = ''"
+_ISO = "regexp_matches(event_time, '^\\s*\\d{4}-\\d{1,2}-\\d{1,2}(\\s*$|[ T])')"
+register("quarantine_replay", f"""WITH n AS (
+  SELECT 'before' AS phase, CASE WHEN {_BLANK} OR {_ISO} THEN 'kept' ELSE 'rejected' END AS status FROM rc_events
+  UNION ALL SELECT 'after', CASE WHEN {_BLANK} OR {Q.td('event_time')} IS NOT NULL THEN 'kept' ELSE 'rejected' END
+  FROM rc_events)
+SELECT phase, status, COUNT(*) AS "rows" FROM n GROUP BY 1, 2""")(_replayed)

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.dates import parse_date
 
@@ -48,6 +49,7 @@ def parse_timestamp(col) -> Column:
 
 CONVERTERS = {
     "date": parse_date,
+    "iso_date": lambda x: parse_date(x, formats=()),
     "timestamp": parse_timestamp,
     "boolean": to_bool,
     "long": lambda x: F.col(x).try_cast("long") if isinstance(x, str) else x.try_cast("long"),
@@ -113,21 +115,73 @@ def stage(df: DataFrame, names: dict[str, str] | None = None, types: dict[str, s
           dropped_to: str | None = None) -> DataFrame:
     """A whole staging model: names → soft deletes → types → junk → duplicates.
     Junk rows leave only with a record: ``dropped_to`` is the folder that takes
-    them with their reason, and is required where ``junk`` rules are given."""
+    the kept and the dropped rows (``stage_batch``), and is required where
+    ``junk`` rules are given."""
     out = canonical_names(df, names or {})
     out = drop_soft_deleted(out)
-    if types:
-        out = normalize_types(out, types)
     if junk:
         if not dropped_to:
             raise ValueError("junk rules need dropped_to, the folder for the dropped rows")
-        out, dropped = drop_junk(out, junk)
-        dropped.write.mode("overwrite").parquet(dropped_to)
+        out = staged(stage_batch(out, dropped_to, "all", types, junk))
+    elif types:
+        out = normalize_types(out, types)
     if keys:
         out = dedupe(out, keys)
     return out
 
 
+def stage_batch(raw: DataFrame, root: str, batch: str, types: dict[str, str] | None = None,
+                junk: dict[str, Column] | None = None) -> DataFrame:
+    """STG-03/04: convert a batch of raw rows and write it once, kept and
+    rejected rows together, each under its status: (converted columns, ``raw``,
+    ``drop_reason``; status, batch). Returns what the folder then holds.
+
+    A row is rejected for the first of the ``junk`` rules that matches (over
+    the converted columns), or for a value that is present and cannot be
+    converted (reason ``unreadable:<column>``); it keeps its raw values. A
+    batch that is staged again replaces itself.
+    """
+    types = types or {}
+    reason = None
+    tests = {**(junk or {}), **{f"unreadable:{n}": c(f"raw.{n}").isNotNull() & (F.trim(c(f"raw.{n}").cast("string")) != "")
+                                & c(n).isNull() for n in types}}
+    for name, pred in tests.items():
+        reason = F.when(pred, name) if reason is None else reason.when(pred, name)
+    reason = F.lit(None).cast("string") if reason is None else reason
+    converted = normalize_types(raw.withColumn("raw", F.struct(*raw.columns)), types)
+    tagged = converted.withColumn("drop_reason", reason)
+    kept = c("drop_reason").isNull()
+    (tagged.withColumn("raw", F.when(~kept, c("raw")))
+     .withColumns({"batch": F.lit(batch), "status": F.when(kept, "kept").otherwise("rejected")})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch").parquet(root))
+    return raw.sparkSession.read.schema(tagged.schema.add("status", "string").add("batch", "string")).parquet(root)
+
+
+def staged(batches: DataFrame) -> DataFrame:
+    """The kept rows of a ``stage_batch`` folder."""
+    return batches.filter(c("status") == "kept").drop("raw", "drop_reason", "status", "batch")
+
+
+def replay(spark, root: str, schema, batch: str, types: dict[str, str] | None = None,
+           junk: dict[str, Column] | None = None) -> DataFrame:
+    """STG-03: stage the rejected rows of a ``stage_batch`` folder again, with
+    rules and parsers of today, as the batch ``batch``: what can be read now is
+    kept, the rest stays rejected under that batch. ``schema`` is that of the
+    raw rows. Kept rows are not read. Repeated under the same name, also after
+    a crash between its two steps, it leaves the same rows.
+    """
+    from tidemark.publish import files
+    done = [n for n in files.names(spark, f"{root}/status=rejected") if n.startswith("batch=") and n != f"batch={batch}"]
+    if done:
+        old = (spark.read.schema(f"raw {schema.simpleString()}")
+               .parquet(*[f"{root}/status=rejected/{n}" for n in sorted(done)]))
+        stage_batch(old.select("raw.*"), root, batch, types, junk)
+        for n in done:
+            files.delete(spark, f"{root}/status=rejected/{n}")
+    found = [f for f in spark.read.parquet(root).schema.fields if f.name not in ("status", "batch")]
+    return spark.read.schema(StructType(found).add("status", "string").add("batch", "string")).parquet(root)
+
+
 # Facts written partitioned by day when staging with ``partition_by_day``:
 # role -> (time column, day-partition column).
 DAY_PARTITIONED = {"license_usage": ("lastvalidateddate", "usage_day"), "login": ("date", "login_day"),
