@@ -117,9 +117,8 @@ def _change_feed(spark, d):
 
 
 _S14_VALUES = [f.name for f in MART_SCHEMAS["S14"].fields if f.name != "sfdc_account_id"]
-_S14_LATER = Q.SCENARIO_SQL["S14"].strip().replace(Q.O, f"DATE '{_LATER}'")
 register("change_feed", f"""WITH p AS (SELECT *, TRUE AS here FROM ({Q.SCENARIO_SQL['S14'].strip()})),
-n AS (SELECT *, TRUE AS here FROM ({_S14_LATER})),
+n AS (SELECT *, TRUE AS here FROM ({Q.s14_sql(f"DATE '{_LATER}'")})),
 m AS (SELECT COALESCE(p.sfdc_account_id, n.sfdc_account_id) AS sfdc_account_id,
     CASE WHEN p.here IS NULL THEN 'added' WHEN n.here IS NULL THEN 'removed' ELSE 'changed' END AS change,
     CASE WHEN p.here AND n.here THEN concat_ws(',', {', '.join(

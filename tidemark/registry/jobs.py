@@ -450,7 +450,7 @@ def _snapshot(spark, d):
 
 
 register("snapshot_diff", f"""WITH prev AS ({Q.SCENARIO_SQL['S14'].strip()}),
-curr AS ({Q.SCENARIO_SQL['S14'].strip().replace(O, "DATE '2001-08-09'")})
+curr AS ({Q.s14_sql("DATE '2001-08-09'")})
 SELECT 'previous_rows' AS measure, COUNT(*) AS "rows" FROM prev
 UNION ALL SELECT 'current_rows', COUNT(*) FROM curr
 UNION ALL SELECT 'added_rows', COUNT(*) FROM (SELECT * FROM curr EXCEPT ALL SELECT * FROM prev) x
