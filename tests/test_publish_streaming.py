@@ -105,6 +105,28 @@ def test_a_gate_that_objects_keeps_the_old_refresh(spark, scratch):
         assert PB.current_version(spark, scratch, table)["run_id"] == "good"
 
 
+@pytest.mark.parametrize("sid,change,says", [
+    ("S14", lambda df: df.withColumn("days_to_renewal", F.lit(500)), "S14: invariant:window"),
+    ("S6", lambda df: df.withColumn("telemetry_account_id", F.lit(None).cast("string")), "S6: not_null:telemetry_account_id"),
+    ("S6", lambda df: df.withColumn("schedule_page_visits", F.lit(0).cast("long")), "S6: invariant:visits"),
+    ("S11", lambda df: df.drop("dormancy_pct"), "S11.dormancy_pct: missing")])
+def test_what_the_default_gate_objects_to(spark, sid, change, says):
+    from tidemark.plans.refresh import default_builders, mart_violations
+    from tidemark.sources.testmap import ORDERS_AS_OF
+    mart = default_builders(ORDERS_AS_OF, EVENTS_AS_OF)[sid](roles(spark, SMOKE))
+    assert mart_violations(sid, mart) == []
+    assert [v for v in mart_violations(sid, change(mart)) if v.startswith(says)]
+
+
+def test_the_default_gate_keeps_a_refresh_back(spark, scratch, monkeypatch):
+    from tidemark.plans import refresh as RF
+    from tidemark.sources.testmap import ORDERS_AS_OF
+    monkeypatch.setitem(RF.ASSERTIONS, "S6", (10 ** 9, (), {}))
+    with pytest.raises(ValueError, match="S6: min_rows:1000000000"):
+        RF.run_all(spark, roles(spark, SMOKE), ORDERS_AS_OF, scratch, events_as_of=EVENTS_AS_OF, run_id="r")
+    assert PB.VS.latest(spark, scratch) is None
+
+
 def test_merge_milestones_monotone(spark):
     st = spark.createDataFrame([("a", 0, "2024-01-05")], "k string, ever int, first string")
     b = spark.createDataFrame([("a", 1, "2024-01-02"), ("b", 0, "2024-01-09")], "k string, ever int, first string")

@@ -4,7 +4,8 @@ Input is a daily ARR snapshot fact: (account_id, snapshot_date, snapshot_id,
 arr, customer_type). Every window here is partitioned by account and runs
 over data already reduced to one row per account and month, so a partition
 holds at most one row per month of history — bounded by the time span, not
-by data volume.
+by data volume. Money is DECIMAL(18, 2), so sums are exact and the same in
+whichever order rows come.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.predicates import pct
+
 c = F.col
 
+MONEY = "decimal(18,2)"
 EXCLUDED_CUSTOMER_TYPES = ("Test", "Internal")
 
 
@@ -25,7 +29,7 @@ def month_end_snapshot(arr_daily: DataFrame, excluded=EXCLUDED_CUSTOMER_TYPES) -
     w = Window.partitionBy("account_id", "month_end").orderBy(c("snapshot_date").desc(),
                                                               c("snapshot_id").desc())
     return (d.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") == 1)
-            .select("account_id", "month_end", "snapshot_date", "arr"))
+            .select("account_id", "month_end", "snapshot_date", c("arr").cast(MONEY).alias("arr")))
 
 
 def arr_by_account_month(arr_daily: DataFrame, date_dim: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def arr_by_account_month(arr_daily: DataFrame, date_dim: DataFrame) -> DataFrame
     prev_end, prev_arr = F.lag("month_end").over(w), F.lag("arr").over(w)
     m = m.select("account_id", "month_end", c("arr").alias("ending_arr"),
                  F.when(prev_end == F.last_day(F.add_months(c("month_end"), -1)), prev_arr)
-                 .otherwise(F.lit(0.0)).alias("starting_arr"))
+                 .otherwise(F.lit(0).cast(MONEY)).alias("starting_arr"))
     fiscal = date_dim.filter(c("is_month_end")).select(c("date_day").alias("_d"), "fiscal_year",
                                                        "fiscal_quarter", "fiscal_month")
     return (m.join(fiscal, c("month_end") == c("_d"), "left")
@@ -51,10 +55,9 @@ def gross_retention(by_month: DataFrame) -> DataFrame:
     cohort = by_month.filter(c("starting_arr") > 0)
     return (cohort.groupBy("month_end")
             .agg(F.count(F.lit(1)).alias("cohort_accounts"),
-                 F.round(F.sum("starting_arr"), 2).alias("arr_cohort"),
-                 F.round(F.sum(F.least("ending_arr", "starting_arr")), 2).alias("retained_arr"))
-            .withColumn("gross_retention_pct",
-                        F.round(c("retained_arr") * 100.0 / F.nullif(c("arr_cohort"), F.lit(0.0)), 1)))
+                 F.sum("starting_arr").alias("arr_cohort"),
+                 F.sum(F.least("ending_arr", "starting_arr")).alias("retained_arr"))
+            .withColumn("gross_retention_pct", pct("retained_arr", "arr_cohort")))
 
 
 def active_at_month_end(activity: DataFrame, key: str, date_col: str) -> DataFrame:

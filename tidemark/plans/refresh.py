@@ -14,10 +14,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
 from tidemark.operators.bridge import telemetry_bridge
-from tidemark.operators.quality import contract_check
+from tidemark.operators.quality import assertions, contract_check
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
 from tidemark.plans.telemetry import Telemetry, profile_name, telemetry_profiles
@@ -80,14 +81,17 @@ def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str
     prof = telemetry_profiles(src, read_rollup(spark, rollup) if rollup else None)
     if state:
         prof = replace(prof, **state_profiles(spark, state))
-    for name, log in PROFILED.items():
-        df = getattr(prof, name)
+    def write(name: str) -> None:
+        df, log = getattr(prof, name), PROFILED[name]
         write_mart(df, f"{out_dir}/{name}")
         if found is not None:
             own = read_lineage(df)
             if not own.sources:  # a rollup or state stands for its log
                 own = Lineage({log}, {x: {(log, ROWS)} for x in [ROWS, *df.columns]})
             found[profile_name(name)] = own
+
+    with ThreadPoolExecutor(max_workers=len(PROFILED)) as pool:
+        list(pool.map(write, PROFILED))
     return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in PROFILED})
 
 
@@ -111,18 +115,56 @@ def write_marts(spark: SparkSession, src: Sources, builders: dict[str, Callable[
 
 
 def contract_violations(mart: str, df: DataFrame) -> list[str]:
-    """The default gate: columns and types of a mart against its contract."""
+    """Columns and types of a mart against its contract."""
     if mart not in MART_SCHEMAS:
         return []
     return [f"{mart}.{n}: {status}" for n, _, _, status in contract_check(df, MART_SCHEMAS[mart]) if status != "ok"]
 
 
+# What every refresh must show: least rows, columns without NULL, invariants
+# (SQL) that hold in each row. Marts may be empty, the master view may not.
+ASSERTIONS: dict[str, tuple[int, tuple[str, ...], dict[str, str]]] = {
+    "S1": (0, ("sfdc_account_id", "contract_signed_date"), {"age": "days_since_signature > 1"}),
+    "S2": (0, ("key_assigned_date",), {"age": "days_since_assigned > 2"}),
+    "S3": (0, ("telemetry_account_id",), {"logins": "total_login_days > 0"}),
+    "S4": (0, ("licensing_customer_id",), {"span": "first_product_use <= last_product_use", "stalled": "reached_upload_page = 0"}),
+    "S5": (0, ("licensing_customer_id",), {"days": "active_days > 0 AND active_span_days >= 0"}),
+    "S6": (0, ("telemetry_account_id",), {"visits": "schedule_page_visits > 0 AND completed_schedule = 0"}),
+    "S7": (0, ("telemetry_account_id",), {"none": "total_il_events = 0"}),
+    "S8": (0, ("telemetry_account_id",), {"unsaved": "saved_rule = 0"}),
+    "S9": (0, ("telemetry_account_id",), {"saved": "first_rule_saved_date <= last_rule_saved_date"}),
+    "S10": (0, ("licensing_customer_id",), {"dropped": "2 * active_users_curr_30d < active_users_prev_30d"}),
+    "S11": (0, (), {"seats": "dormant_seats BETWEEN 0 AND total_registered_seats", "share": "dormancy_pct BETWEEN 0 AND 100"}),
+    "S12": (0, ("telemetry_account_id",), {"logins": "login_days_14d > 0"}),
+    "S13": (0, ("telemetry_account_id",), {"counts": "total_rules_saved >= 0 AND rules_deleted >= 0"}),
+    "S14": (0, ("sfdc_account_id", "renewal_date"), {"window": "days_to_renewal BETWEEN 0 AND 120",
+                                                     "tier": "risk_tier IN ('RED', 'AMBER', 'GREEN')"}),
+    "S15": (0, ("licensing_customer_id",), {"active": "users_still_active >= 0", "lapsed": "NOT on_maintenance"}),
+    "S16": (0, ("opportunity_id",), {"flags": "ever_saved_rule IN (0, 1) AND ever_uploaded_report IN (0, 1)"}),
+    "MASTER": (1, ("sfdc_account_id",), {"scenarios": "active_scenario_count BETWEEN 0 AND 16"}),
+}
+
+
+def assertion_violations(mart: str, df: DataFrame) -> list[str]:
+    """Rows, NULL keys and invariants of a mart (one pass over it)."""
+    if mart not in ASSERTIONS:
+        return []
+    least, keys, invariants = ASSERTIONS[mart]
+    rows = assertions(df, mart, least, list(keys), {n: F.expr(p) for n, p in invariants.items()})
+    return [f"{mart}: {r.rule} violated {r.violations} times" for r in rows.collect() if not r.passed]
+
+
+def mart_violations(mart: str, df: DataFrame) -> list[str]:
+    """The default gate: the mart's contract, then its assertions."""
+    return contract_violations(mart, df) or assertion_violations(mart, df)
+
+
 def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
             builders: dict[str, Callable[[Sources], DataFrame]] | None = None, *,
             events_as_of=None, usage_ref=None, share_telemetry: bool = True,
             parallel_marts: int = 4, stage_sources: bool = False, partition_by_day: bool = True,
             rollup: str | None = None, state: str | None = None, run_id: str | None = None,
-            gate: Callable[[str, DataFrame], list[str]] = contract_violations) -> DataFrame:
+            gate: Callable[[str, DataFrame], list[str]] = mart_violations) -> DataFrame:
     """Build every mart, then the master view and the count report.
 
     With ``stage_sources`` every role is first written once to
@@ -135,7 +177,7 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     them.
 
     ``gate(mart, written frame)`` returns what is wrong with a mart (default:
-    its contract). With ``run_id`` everything is written under
+    its contract and its ``ASSERTIONS``). With ``run_id`` everything is written under
     ``<out_dir>/run_id=<id>`` and announced as the next version of
     ``<out_dir>`` only after every mart, the master view and the report
     succeeded and no gate objected — all marts in one version — so readers
@@ -185,7 +227,9 @@ def run_all(spark: SparkSession, src: Sources, as_of, out_dir: str,
     column_rows(spark, found).write.mode("overwrite").parquet(f"{out_dir}/_lineage_columns")
     if declared and (wrong := differences(found, DEPENDS_ON)):
         raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
-    if wrong := [x for sid, df in marts.items() for x in gate(sid, df)]:
+    with ThreadPoolExecutor(max_workers=max(1, parallel_marts)) as pool:
+        wrong = [x for found_wrong in pool.map(lambda m: gate(*m), marts.items()) for x in found_wrong]
+    if wrong:
         raise ValueError(f"refresh {run_id or out_dir} not announced: {'; '.join(wrong)}")
     if run_id is not None:
         tables = dict(V.MART_TABLES, MASTER=V.MASTER_TABLE)

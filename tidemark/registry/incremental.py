@@ -3,24 +3,30 @@ change feed, mergeable sketches, business days, retention, paging, replay."""
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
+import re
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
 from tidemark.operators import date_dim as DD, profile as P, retention as RT, sketches as SK
 from tidemark.operators.changes import changes, write_run
 from tidemark.operators.identity import account_identities
-from tidemark.plans import scenarios as S
-from tidemark.publish import paging as PG
+from tidemark.plans import refresh as R, scenarios as S
+from tidemark.plans.master import scenario_order
+from tidemark.publish import paging as PG, publish as PB
 from tidemark.registry import oracle as Q
-from tidemark.registry.jobs import BUSINESS_SQL, business_dim
-from tidemark.registry.queries import register
+from tidemark.registry.jobs import BUSINESS_SQL, LINEAGE_SQL, business_dim
+from tidemark.registry.queries import S10_WINDOW as Q_S10_WINDOW, register
 from tidemark.session import checkpoint_dir
 from tidemark.sources import staging as STG
 from tidemark.sources.schemas import MART_SCHEMAS
-from tidemark.sources.testmap import ORDERS_AS_OF, read_table, roles
+from tidemark.sources.testmap import EVENTS_AS_OF, ORDERS_AS_OF, read_table, roles
 from tidemark.streaming import state as ST
 
 c = F.col
@@ -258,3 +264,57 @@ register("quarantine_replay", f"""WITH n AS (
   UNION ALL SELECT 'after', CASE WHEN {_BLANK} OR {Q.td('event_time')} IS NOT NULL THEN 'kept' ELSE 'rejected' END
   FROM rc_events)
 SELECT phase, status, COUNT(*) AS "rows" FROM n GROUP BY 1, 2""")(_replayed)
+
+
+# ------------------------------------------------- refresh, export, dry run
+
+def _refreshed(spark, d):
+    """A whole refresh, announced, and each mart read back through the log of
+    versions: in numeric order, with the rows it was announced with, the rows
+    it has, and whether it keeps its contract."""
+    root, src = _folder(spark, "refresh"), roles(spark, d)
+    with contextlib.redirect_stdout(io.StringIO()):
+        report = R.run_all(spark, src, ORDERS_AS_OF, root, events_as_of=EVENTS_AS_OF, run_id="r1")
+    tables, parts = dict(V.MART_TABLES, MASTER=V.MASTER_TABLE), []
+    for sid, table in tables.items():
+        df = PB.read_mart(spark, root, table, order_by=[])
+        parts.append(df.agg(F.count(F.lit(1)).alias("published_rows")).select(
+            F.lit(sid).alias("scenario"), "published_rows", F.lit(not R.contract_violations(sid, df)).alias("keeps_contract")))
+    read = reduce(DataFrame.unionByName, parts)
+    return report.join(read, "scenario").withColumn("position", scenario_order())
+
+
+register("refresh_published", f"""SELECT scenario, "rows", "rows" AS published_rows, TRUE AS keeps_contract,
+  CAST(CASE scenario WHEN 'MASTER' THEN 16 ELSE CAST(scenario[2:] AS INTEGER) - 1 END AS INTEGER) AS position
+FROM ({Q.mart_counts_sql(Q_S10_WINDOW)})""")(_refreshed)
+
+
+def _exported(spark, d):
+    """S6 written as a dated CSV and read again."""
+    mart = S.scn_06(roles(spark, d), EVENTS_AS_OF)
+    path = PB.export_csv(mart, _folder(spark, "export"), "S6_schedule_dropoff", EVENTS_AS_OF,
+                         S.order_columns(S.DEFAULT_ORDER["S6"]))
+    return spark.read.schema(mart.schema).option("header", True).csv(path)
+
+
+register("csv_export", Q.SCENARIO_SQL["S6"])(_exported)
+
+
+def _dry_runs(spark, d):
+    """The tables in each scenario's physical plan, which is not run, with
+    their rows."""
+    src, found = roles(spark, d), []
+    for sid, build in R.default_builders(ORDERS_AS_OF, EVENTS_AS_OF).items():
+        found += [(sid, t) for t in sorted(set(re.findall(r"/(\w+)\.parquet", PB.dry_run(build(src)))))]
+    tables = sorted({t for _, t in found})
+    counts = reduce(DataFrame.unionByName, [
+        read_table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("source"), "rows") for t in tables])
+    return spark.createDataFrame(found, "mart string, source string").join(counts, "source")
+
+
+register("dry_run_tables", LINEAGE_SQL + " WHERE reads.mart <> 'MASTER'")(_dry_runs)
+
+register("staging_soft_deletes", """SELECT customerid, assigneduser, dateassigned, registered, _fivetran_deleted
+FROM license_key WHERE _fivetran_deleted = FALSE""")(
+    lambda spark, d: STG.stage(roles(spark, d).license_key, names={"CustomerID": "customerid"})
+    .select("customerid", "assigneduser", "dateassigned", "registered", "_fivetran_deleted"))

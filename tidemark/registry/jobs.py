@@ -163,7 +163,7 @@ def _lineage_rows(spark, d):
     return lin.select("mart", F.regexp_extract("name", r"([^/]+)\.parquet$", 1).alias("source")).join(counts, "source")
 
 
-register("lineage_source_rows", """WITH reads(mart, source) AS (VALUES
+LINEAGE_SQL = """WITH reads(mart, source) AS (VALUES
   ('S1', 'customer'), ('S1', 'orders'), ('S2', 'customer'), ('S2', 'lineitem'), ('S2', 'orders'),
   ('S3', 'events'), ('S3', 'orders'), ('S4', 'customer'), ('S4', 'events'), ('S4', 'lineitem'), ('S4', 'orders'),
   ('S5', 'customer'), ('S5', 'events'), ('S5', 'lineitem'), ('S5', 'orders'), ('S6', 'events'), ('S7', 'events'),
@@ -175,7 +175,8 @@ register("lineage_source_rows", """WITH reads(mart, source) AS (VALUES
 n AS (SELECT 'customer' AS source, COUNT(*) AS "rows" FROM customer UNION ALL SELECT 'events', COUNT(*) FROM events
   UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'nation', COUNT(*) FROM nation
   UNION ALL SELECT 'orders', COUNT(*) FROM orders)
-SELECT reads.mart, reads.source, n."rows" FROM reads JOIN n ON n.source = reads.source""")(_lineage_rows)
+SELECT reads.mart, reads.source, n."rows" FROM reads JOIN n ON n.source = reads.source"""
+register("lineage_source_rows", LINEAGE_SQL)(_lineage_rows)
 
 
 def _lineage_columns(spark, d):
@@ -497,7 +498,8 @@ FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1999-
 
 _ARR = """arr_daily AS (
   SELECT '001' || lpad(CAST(o_custkey AS VARCHAR), 15, '0') AS account_id,
-    CAST(o_orderdate AS DATE) AS snapshot_date, o_orderkey AS snapshot_id, o_totalprice AS arr,
+    CAST(o_orderdate AS DATE) AS snapshot_date, o_orderkey AS snapshot_id,
+    CAST(o_totalprice AS DECIMAL(18, 2)) AS arr,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'Test' ELSE 'Customer' END AS customer_type
   FROM orders),
 mes AS (
@@ -513,7 +515,7 @@ dim AS ({_dim_sql()}),
 bym AS (
   SELECT account_id, month_end, arr AS ending_arr,
     CASE WHEN LAG(month_end) OVER w = last_day(CAST(month_end - INTERVAL 1 MONTH AS DATE))
-         THEN LAG(arr) OVER w ELSE 0.0 END AS starting_arr
+         THEN LAG(arr) OVER w ELSE CAST(0 AS DECIMAL(18, 2)) END AS starting_arr
   FROM mes WINDOW w AS (PARTITION BY account_id ORDER BY month_end))"""
 
 
@@ -521,21 +523,28 @@ def _by_month(spark, d):
     return CP.arr_by_account_month(arr_daily(spark, d), _orders_dim(spark, d))
 
 
-register("month_end_snapshot", f"WITH {_ARR}\nSELECT * FROM mes")(
-    lambda spark, d: CP.month_end_snapshot(arr_daily(spark, d)))
+def _as_double(df, *columns):
+    """Exact sums leave a query as doubles, as the other figures."""
+    return df.withColumns({x: c(x).cast("double") for x in columns})
+
+
+register("month_end_snapshot", f"""WITH {_ARR}
+SELECT account_id, month_end, snapshot_date, CAST(arr AS DOUBLE) AS arr FROM mes""")(
+    lambda spark, d: _as_double(CP.month_end_snapshot(arr_daily(spark, d)), "arr"))
 
 register("arr_by_account_month", f"""WITH {_BY_MONTH}
 SELECT b.account_id, b.month_end, d.fiscal_year, d.fiscal_quarter, d.fiscal_month,
-  CAST(b.starting_arr AS DOUBLE) AS starting_arr, b.ending_arr
-FROM bym b LEFT JOIN dim d ON d.date_day = b.month_end AND d.is_month_end""")(_by_month)
+  CAST(b.starting_arr AS DOUBLE) AS starting_arr, CAST(b.ending_arr AS DOUBLE) AS ending_arr
+FROM bym b LEFT JOIN dim d ON d.date_day = b.month_end AND d.is_month_end""")(
+    lambda spark, d: _as_double(_by_month(spark, d), "starting_arr", "ending_arr"))
 
 register("gross_retention", f"""WITH {_BY_MONTH}
-SELECT month_end, COUNT(*) AS cohort_accounts, ROUND(SUM(starting_arr), 2) AS arr_cohort,
-  ROUND(SUM(LEAST(ending_arr, starting_arr)), 2) AS retained_arr,
-  ROUND(ROUND(SUM(LEAST(ending_arr, starting_arr)), 2) * 100.0 / NULLIF(ROUND(SUM(starting_arr), 2), 0.0), 1)
+SELECT month_end, COUNT(*) AS cohort_accounts, CAST(SUM(starting_arr) AS DOUBLE) AS arr_cohort,
+  CAST(SUM(LEAST(ending_arr, starting_arr)) AS DOUBLE) AS retained_arr,
+  ROUND(CAST(SUM(LEAST(ending_arr, starting_arr)) AS DOUBLE) * 100.0 / CAST(SUM(starting_arr) AS DOUBLE), 1)
     AS gross_retention_pct
 FROM bym WHERE starting_arr > 0 GROUP BY month_end""")(
-    lambda spark, d: CP.gross_retention(_by_month(spark, d)))
+    lambda spark, d: _as_double(CP.gross_retention(_by_month(spark, d)), "arr_cohort", "retained_arr"))
 
 register("active_at_month_end", """WITH span AS (
   SELECT o_custkey, CAST(MIN(o_orderdate) AS DATE) AS f, CAST(MAX(o_orderdate) AS DATE) AS l

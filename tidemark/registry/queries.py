@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import scenarios as S
 from tidemark.plans.refresh import default_builders, write_marts, write_profiles
+from tidemark.publish import files
 from tidemark.registry import oracle as Q
 from tidemark.session import checkpoint_dir
 from tidemark.sources.testmap import EVENTS_AS_OF as EV, ORDERS_AS_OF as OR, roles
@@ -41,10 +42,13 @@ _BUILDERS = default_builders(OR, EV)
 def scenario_frames(spark, src) -> dict[str, DataFrame]:
     """All sixteen marts for the test mapping, keyed S1..S16, built the way a
     refresh builds them: each log reduced once to a profile, each mart written
-    once, in a fresh folder of the shared store, and read back."""
+    once, in a fresh folder of the shared store, and read back. Runs jobs; only
+    the marts stay."""
     out = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-marts-{uuid.uuid4().hex}"
     tel = write_profiles(spark, src, f"{out}/_profiles")
-    return write_marts(spark, src, default_builders(OR, EV, tel=tel), out)[0]
+    marts = write_marts(spark, src, default_builders(OR, EV, tel=tel), out)[0]
+    files.delete(spark, f"{out}/_profiles")
+    return marts
 
 
 def scenario_sql(sid: str) -> str:
