@@ -68,3 +68,19 @@ def test_hot_ids_are_dealt_over_groups(make_docs, monkeypatch):
     for r in got:
         bins[r.bin] += r.size
     assert max(bins.values()) <= 100 and len({r.bin for r in got if r.doc_id == 7777}) == 1000
+
+
+def test_a_group_of_many_pieces_is_packed_as_one(make_docs, monkeypatch):
+    """However many pieces are held at a time, small ones find the open bins of
+    large ones: as if the group were packed in one go."""
+    from tidemark.llm import packing
+    pieces = [(size, f"s{k % 7}" if k % 3 else None, f"c{k % 11}" if k % 5 else None)
+              for k, size in enumerate(sorted([7, 3, 9, 1, 4, 8, 2, 6] * 40, reverse=True))]
+    whole = packing.BestFit(10)
+    one = [whole.add(*p) for p in pieces]
+    assert [n for n, _ in one] == packing.best_fit(pieces, 10)
+    assert set(whole.held) == {n for _, n in whole.open}  # full bins are forgotten
+    filled = {}
+    for n, place in one:
+        assert place == filled.get(n, 0)
+        filled[n] = place + 1

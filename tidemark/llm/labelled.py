@@ -20,7 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id
 
     Of several labels of one id the largest counts; null labels and ids teach
     nothing. At most ``rows`` ids and labels are broadcast. A repeated id can
-    bring several texts. Written to the shared store, since it is read again.
+    bring several texts. Rows are dealt in turn, so that equal texts spread, and
+    written to the shared store, since they are read again.
     """
     known = (labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label")))
@@ -28,4 +29,4 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return written(texts.join(F.broadcast(chosen), "_id")
                    .select("text", F.col("label").cast("int").alias("label"))
-                   .repartition(max(1, math.ceil(rows / ROWS_PER_TASK)), F.xxhash64("text")), "sample")
+                   .repartition(max(1, math.ceil(rows / ROWS_PER_TASK))), "sample")

@@ -25,37 +25,52 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD_PATTERN, ship, with_id
 
 CAPACITY = 2_048
-# Documents in a group on average, pieces that a worker packs together at most
-# (a group swollen by long documents is packed in several goes), and equal rows
-# that go to one group together.
+# Documents in a group on average, pieces of a group that are held at a time, and
+# equal rows that go to one group together.
 GROUP_DOCS, BLOCK_PIECES, LOT = 2_048, 8_192, 16
 
 
-def best_fit(pieces: Iterable[tuple[int, object, object]], capacity: int) -> list[int]:
-    """Bin number of each (size, source, cluster), in the order given. Null
-    sources and clusters conflict with nothing."""
-    bits: dict[tuple, int] = {}
-    masks: list[int] = []  # per bin: what it holds, sources and clusters
-    open_bins: list[tuple[int, int]] = []  # (residual, bin), ordered
-    out = []
-    for size, source, cluster in pieces:
+class BestFit:
+    """Bins of one group, filled piece by piece. A full bin is forgotten: only
+    open ones are held."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.bits: dict[tuple, int] = {}  # source or cluster -> its bit
+        self.held: dict[int, list[int]] = {}  # open bin -> bitmap of what it holds, pieces
+        self.open: list[tuple[int, int]] = []  # (residual, bin), ordered
+        self.bins = 0
+
+    def add(self, size: int, source, cluster) -> tuple[int, int]:
+        """Bin of a piece and its place there. Null sources and clusters
+        conflict with nothing."""
         mask = 0
         for key in (("source", source), ("cluster", cluster)):
             if key[1] is not None:
-                mask |= 1 << bits.setdefault(key, len(bits))
-        at = bisect_left(open_bins, (size, -1))
-        while at < len(open_bins) and masks[open_bins[at][1]] & mask:
+                mask |= 1 << self.bits.setdefault(key, len(self.bits))
+        at = bisect_left(self.open, (size, -1))
+        while at < len(self.open) and self.held[self.open[at][1]][0] & mask:
             at += 1
-        if at < len(open_bins):
-            residual, number = open_bins.pop(at)
+        if at < len(self.open):
+            residual, number = self.open.pop(at)
         else:
-            residual, number = capacity, len(masks)
-            masks.append(0)
-        masks[number] |= mask
+            residual, number = self.capacity, self.bins
+            self.held[number] = [0, 0]
+            self.bins += 1
+        own = self.held[number]
+        place = own[1]
         if residual > size:
-            insort(open_bins, (residual - size, number))
-        out.append(number)
-    return out
+            own[0], own[1] = own[0] | mask, place + 1
+            insort(self.open, (residual - size, number))
+        else:
+            del self.held[number]
+        return number, place
+
+
+def best_fit(pieces: Iterable[tuple[int, object, object]], capacity: int) -> list[int]:
+    """Bin number of each (size, source, cluster), in the order given."""
+    bins = BestFit(capacity)
+    return [bins.add(*p)[0] for p in pieces]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
@@ -93,7 +108,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
             yield from zip(*(batch.column(n).to_pylist() for n in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, bins = None, 0
+        kind = None
 
         def typed(batches):
             nonlocal kind
@@ -102,21 +117,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
                 yield batch
 
         for group, own in groupby(pieces_of(typed(batches)), key=lambda r: r[4]):
-            bins = 0
+            bins = BestFit(capacity)
             while block := list(islice(own, BLOCK_PIECES)):
-                numbers = best_fit([(r[3], r[5], r[6]) for r in block], capacity)
-                filled: dict[int, int] = {}
-                place = []
-                for b in numbers:
-                    place.append(filled.get(b, 0))
-                    filled[b] = place[-1] + 1
+                numbers, place = zip(*(bins.add(r[3], r[5], r[6]) for r in block))
                 ids, piece, pieces, size, *_ = zip(*block)
                 longs = [piece, pieces, [p * capacity for p in piece], size,
-                         [(group << 32) + bins + b for b in numbers], place]
+                         [(group << 32) + b for b in numbers], place]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, kind), *(pa.array(x, pa.int64()) for x in longs)],
                     ["_id", "piece", "pieces", "first_word", "size", "bin", "place"])
-                bins += len(filled)
 
     # The copies of a lot part only where they are packed.
     return (rows.repartition("group")

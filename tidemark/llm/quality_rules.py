@@ -106,28 +106,45 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id",
     Greedy: the next rule is the one that rejects most of the texts still
     standing per second that it adds, given the statistics already computed.
     The sample is the first share of the ids' hashes, ``sample_rows`` rows at
-    most; an empty sample leaves the order as given.
+    most; it is measured where it lies, and the driver gets the seconds per
+    statistic and the number of texts per set of rules that reject them. An
+    empty sample leaves the order as given.
     """
+    ship(docs.sparkSession)
     share = hash_share(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
                                    F.col(id_col).alias("i")), F.col("i"), sample_rows)
-    texts = [r.t for r in share.select("t").limit(sample_rows).collect()]
+    names = list(dict.fromkeys(n for r in rules for n in r.uses))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Seconds per statistic, and texts by the set of rules that reject them."""
+        seconds, texts = Counter(), Counter()
+        for batch in batches:
+            for text in batch.column("t"):
+                m = Measured(text.as_py())
+                for name in names:
+                    began = time.process_time()
+                    m[name]
+                    seconds[name] += time.process_time() - began
+                texts[sum(1 << k for k, r in enumerate(rules) if r.rejects(*(m[n] for n in r.uses)))] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*seconds, *[None] * len(texts)], pa.string()), pa.array([*[None] * len(seconds), *texts], pa.int64()),
+             pa.array([*seconds.values(), *map(float, texts.values())], pa.float64())], ["statistic", "rejecting", "n"])
+
+    found = (share.select("t").limit(sample_rows).mapInArrow(run, "statistic string, rejecting long, n double")
+             .groupBy("statistic", "rejecting").agg(F.sum("n").alias("n")).collect())
+    cost = {r.statistic: r.n + 1e-6 for r in found if r.statistic is not None}
+    texts = {r.rejecting: int(r.n) for r in found if r.statistic is None}  # set of rules -> texts
     if not texts:
         return list(rules)
-    cost, forms = {}, [Measured(t) for t in texts]
-    for name in dict.fromkeys(n for r in rules for n in r.uses):
-        began = time.process_time()
-        for m in forms:
-            m[name]
-        cost[name] = time.process_time() - began + 1e-6
-    rejected = {r.name: {i for i, m in enumerate(forms) if r.rejects(*(m[n] for n in r.uses))} for r in rules}
-    left, known, standing, order = list(rules), set(), set(range(len(forms))), []
+    bit = {r.name: 1 << k for k, r in enumerate(rules)}
+    left, known, order = list(rules), set(), []
     while left:
-        best = max(left, key=lambda r: len(rejected[r.name] & standing)
+        best = max(left, key=lambda r: sum(n for s, n in texts.items() if s & bit[r.name])
                    / (1e-6 + sum(cost[n] for n in r.uses if n not in known)))
         order.append(best)
         left.remove(best)
         known.update(best.uses)
-        standing -= rejected[best.name]
+        texts = {s: n for s, n in texts.items() if not s & bit[best.name]}
     return order
 
 

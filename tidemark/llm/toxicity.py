@@ -38,7 +38,8 @@ IDENTITY_TERMS = (
 )
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
-# Features kept, the positive texts that each needs, and counterfactual pairs used.
+# Features kept, the positive texts that each needs, and counterfactual pairs
+# that a fit takes at most.
 FEATURES, LEAST_TEXTS, PAIRS = 1_024, 5, 20_000
 BLOCK = 1_000_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -127,7 +128,7 @@ def _counts(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in best], np.int64))
 
 
-def _rows(sample: DataFrame, buckets: np.ndarray, terms) -> list:
+def _rows(sample: DataFrame, buckets: np.ndarray, terms, most_pairs: int) -> list:
     """Per text: label, features (places in ``buckets``); per counterfactual
     pair: label null, features of the sentence, of its swapped form."""
     def places(text: str) -> np.ndarray:
@@ -157,16 +158,17 @@ def _rows(sample: DataFrame, buckets: np.ndarray, terms) -> list:
 
     rows = sample.mapInArrow(run, "label int, one array<long>, other array<long>")
     texts = rows.where("label IS NOT NULL").collect()
-    pairs = rows.where("label IS NULL AND one != other").orderBy(F.xxhash64("one", "other")).limit(PAIRS).collect()
+    pairs = rows.where("label IS NULL AND one != other").orderBy(F.xxhash64("one", "other")).limit(most_pairs).collect()
     return [*texts, *pairs]
 
 
 def fit(sample: DataFrame, penalty: float = 10.0, ridge: float = 1e-5, steps: int = 400,
-        terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
+        terms: Sequence[Sequence[str]] = IDENTITY_TERMS, most_pairs: int = PAIRS) -> Model:
     """Fit on a bounded sample with columns text, label (``labelled.sample``).
 
-    The driver receives the kept features of each sampled text and of at most
-    PAIRS counterfactual pairs. ``penalty`` weighs the mean squared difference
+    The driver receives the kept features of each sampled text and of the
+    counterfactual pairs of its labelled rows: of ``most_pairs`` at most, taken
+    by a hash of the pair, which bounds the fit as the sample's rows do. ``penalty`` weighs the mean squared difference
     of the two scores of a pair. Without texts of both labels the model is
     constant: the share of label 1 (one half without any text).
     """
@@ -176,7 +178,7 @@ def fit(sample: DataFrame, penalty: float = 10.0, ridge: float = 1e-5, steps: in
         n, y = sample.selectExpr("count(*)", "coalesce(sum(int(label > 0)), 0)").first()
         rate = (y + 0.5) / (n + 1)
         return Model(buckets, np.empty(0), float(np.log(rate / (1 - rate))))
-    rows = _rows(sample, buckets, terms)
+    rows = _rows(sample, buckets, terms, most_pairs)
     texts, pairs = [r for r in rows if r[0] is not None], [r for r in rows if r[0] is None]
 
     def sparse(sets):
