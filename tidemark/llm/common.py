@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.publish import files
 from tidemark.session import checkpoint_dir
 
 # ASCII white space that separates words.
@@ -66,6 +67,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``written`` frame that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files.delete(df.sparkSession, folder)
+
+
 def hash_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``: those whose hash of ``key`` lies in the
     first ``rows / count`` of its range. Repeatable, and no task or driver
