@@ -1,10 +1,8 @@
-"""Components against a plain search, with stars, chains and hot nodes."""
+"""Components against a plain search, with stars and chains."""
 
 import os
 import random
 
-import pytest
-
 from tidemark.llm import components as C
 from tidemark.session import checkpoint_dir
 
@@ -22,9 +20,7 @@ def brute(edges):
         label = new
 
 
-@pytest.mark.parametrize("least_hot", [3, 1_000])
-def test_as_plain_search(spark, monkeypatch, least_hot):
-    monkeypatch.setattr(C, "LEAST_HOT", least_hot)
+def test_as_plain_search(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]
     edges += [(1_000, 1_001 + k) for k in range(400)] + [(3_000 - k, 2_000) for k in range(300)]  # stars either way

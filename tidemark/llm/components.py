@@ -2,11 +2,10 @@
 
 Alternates two rewritings until nothing changes: every node links its larger
 neighbours to the smallest node around it, then its smaller neighbours. Both
-need only minima per node (combined before the shuffle) and one join. Nodes
-with very many edges, at most one in HOT_SHARE edges, get their minimum from a
-broadcast; so no task meets all edges of such a node. Every round is written to
-the shared store, so its lineage does not grow and a lost executor costs one
-round at most; the round before it is removed.
+need only minima per node (combined before the shuffle) and one join, which
+adaptive execution may split for a node with very many edges. Every round is
+written to the shared store, so its lineage does not grow and a lost executor
+costs one round at most; the round before it is removed.
 """
 
 from __future__ import annotations
@@ -17,24 +16,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, written
 
 
-# A node is hot from this share of all edges on (and LEAST_HOT edges), so there
-# are at most HOT_SHARE hot nodes, twice that as every edge has two ends.
-HOT_SHARE, LEAST_HOT = 500, 1_000
-
-
-def _linked(edges: DataFrame, larger: bool, hot: int) -> DataFrame:
+def _linked(edges: DataFrame, larger: bool) -> DataFrame:
     """Edges (v, m): m is the smallest of u and its neighbours. Larger: for
     neighbours v > u; smaller: of each edge's larger end u, for v < u and u."""
     ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))  # a > b
     around = ends.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if larger else ends
-    least = (around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-             .select("u", F.least("u", "m").alias("m"), "n"))
-    stars = F.broadcast(least.where(F.col("n") >= hot).select("u", "m"))  # 2 * HOT_SHARE rows at most
-    rows = around.where("v > u") if larger else ends
-    out = (rows.join(stars.drop("m"), "u", "left_anti").join(least.where(F.col("n") < hot).drop("n"), "u")
-           .unionByName(rows.join(stars, "u")).select("v", "m"))
-    if not larger:
-        out = out.unionByName(least.select(F.col("u").alias("v"), "m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if larger:
+        out = around.where("v > u").join(least, "u").select("v", "m")
+    else:
+        out = ends.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     return out.where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -46,11 +37,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     state = None
     while True:
+        before, now = now, written(_linked(_linked(now, True), False), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == state:
             break
-        state, before, hot = seen, now, max(LEAST_HOT, seen[0] // HOT_SHARE)
-        now = written(_linked(_linked(now, True, hot), False, hot), "edges")
-        discard(before)
+        state = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
