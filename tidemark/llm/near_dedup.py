@@ -5,17 +5,20 @@ every shingle is an exponential variable; the register keeps the smallest,
 rounded to an exponent of b (so the registers of a union are the larger ones
 of its parts, and two registers agree about as often as the Jaccard
 similarity says). Bands of registers give buckets; documents that share a
-bucket are candidates. Within a cluster of candidates, register comparisons
-give a joint likelihood whose maximum estimates the similarity; pairs that it
-leaves open are confirmed by intersecting full sets.
+bucket are candidates. Register comparisons give a joint likelihood whose
+maximum estimates the similarity; candidates that it leaves open are
+confirmed by intersecting full sets.
 
 Equal sets are one class from the start, so exact copies cost one row per
-task. Buckets send each member to its smallest member only; candidate
-clusters are the components of these stars. A cluster is compared in blocks
-of bounded size, block by block in parallel; inside a block pair every two
-classes that are not connected yet are judged, and only links that connect
-something new are emitted. No pair of similarity t is lost but with
-probability (1 - t^ROWS)^BANDS: below 1e-6 at 0.8 and 1e-10 at 0.85.
+task. A class lives in a block of bounded size with others that share a bucket
+with the same smallest class, which visits every block of its own. First each
+block is judged in itself: any two classes that are not connected yet and that
+registers do not rule out; only links that connect something new are emitted.
+Then classes of different blocks meet where they share a bucket and no link
+connects them so far: registers alone go to the meeting, and texts only of
+classes that some other there may be linked with. A bucket whose classes are
+connected, however many, meets no more. No pair of similarity t is lost but
+with probability (1 - t^ROWS)^BANDS: below 1e-6 at 0.8 and 1e-10 at 0.85.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import ship, with_id, written
+from tidemark.llm.common import discard, ship, with_id, written
 from tidemark.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -38,8 +41,8 @@ REGISTERS = BANDS * ROWS
 # Register scale: base, rate of the exponentials, largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
 MULTIPLIERS = np.random.default_rng(6).integers(0, 2 ** 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
-# Bytes of shingle hashes in a block of a cluster, and of text that are scanned
-# for words at a time.
+# Bytes of shingle hashes and registers in a block of classes, and of text that
+# are scanned for words at a time.
 BLOCK_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
 # Random values of the bytes (A-Z have those of a-z) and their odd base.
 BYTE_VALUES = np.random.default_rng(7).integers(0, 2 ** 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,32 +170,84 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return rows.mapInArrow(run, with_id(rows, "n long, set_hash binary, registers binary"))
 
 
-def _links(kind: str, width: int, percent: int):
-    """mapInArrow function over rows sorted by cluster, one, two: verified
-    links (a, b) that connect what was not connected in that block pair."""
+def _open(i: int, rest: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the classes ``rest`` that sizes and registers (7 standard
+    errors below the threshold) do not rule out as linked with class i."""
     spread = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    least, most = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+    rest = rest[100 * least >= percent * most]
+    if not len(rest):
+        return rest
+    return rest[estimated_at_least(sketches[i], sizes[i], sketches[rest], sizes[rest], percent / 100 - 7 * spread)]
+
+
+def _numbered(values: list) -> np.ndarray:
+    """Equal values get equal numbers."""
+    known: dict = {}
+    return np.array([known.setdefault(v, len(known)) for v in values])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of each meeting; the first two names are those of its blocks, and
+    rows come sorted by them."""
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield from zip(*(part.column(c).to_pylist() for c in names))
+
+    for _, group in groupby(rows(), key=lambda r: r[:2]):
+        yield list(group)
+
+
+def _likely(percent: int):
+    """mapInArrow function over the registers of meetings: the classes that
+    some class of the other block may be linked with."""
+    names = ("one", "two", "block", "set_hash", "n", "registers", "label")
+
+    def judge(rows: list[tuple]) -> list[tuple]:
+        one, two, blocks, classes, sizes, sketches, labels = zip(*rows)
+        sizes, sketches = np.array(sizes), np.stack([np.frombuffer(x, np.uint16) for x in sketches])
+        group, blocks, some = _numbered(labels), np.array(blocks), np.zeros(len(rows), bool)
+        left, right = np.flatnonzero(blocks == one[0]), np.flatnonzero(blocks == two[0])
+        for i in left:
+            rest = _open(i, right[group[right] != group[i]], sizes, sketches, percent)
+            some[rest] = True
+            some[i] |= len(rest) > 0
+        return [(one[0], two[0], classes[i]) for i in np.flatnonzero(some)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _meetings(batches, names):
+            if found := judge(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))],
+                    ["one", "two", "set_hash"])
+    return run
+
+
+def _links(kind: pa.DataType, width: int, percent: int):
+    """mapInArrow function over the texts of meetings: verified links (a, b)
+    that connect what neither labels nor other links there connect. A block
+    that meets itself is judged whole."""
+    names = ("one", "two", "block", "set_hash", "_id", "n", "registers", "label", "text")
 
     def judge(rows: list[tuple]) -> list[tuple]:
         entries = {}
-        for _, one, two, block, node, n, whole, sketch, text in rows:
+        for _, _, block, whole, node, n, sketch, label, text in rows:
             s = shingle_set(text, width)
             if len(s) == n and xxhash.xxh3_128_digest(s.tobytes()) == whole:  # else another text of this id
-                entries[whole] = (node, block, s, np.frombuffer(sketch, np.uint16))
-        one, two = rows[0][1], rows[0][2]
-        nodes, blocks, sets, sketches = map(list, zip(*entries.values())) if entries else ([], [], [], [])
-        if len(nodes) < 2:
+                entries[whole] = (node, block, label, s, np.frombuffer(sketch, np.uint16))
+        if len(entries) < 2:
             return []
+        within = rows[0][0] == rows[0][1]
+        nodes, blocks, labels, sets, sketches = map(list, zip(*entries.values()))
         sizes, sketches, blocks = np.array([len(s) for s in sets]), np.stack(sketches), np.array(blocks)
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         own = np.split(flat, np.cumsum(sizes)[:-1])
-        mark, group, out = np.zeros(flat.max() + 1, np.int64), np.arange(len(nodes)), []
+        mark, group, out = np.zeros(flat.max() + 1, np.int64), _numbered(labels), []
         for i in np.argsort(-sizes, kind="stable"):
-            rest = (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            rest &= (blocks != blocks[i]) if one != two else (np.arange(len(nodes)) != i)
-            rest = np.flatnonzero(rest)
-            if not len(rest):
-                continue
-            rest = rest[estimated_at_least(sketches[i], sizes[i], sketches[rest], sizes[rest], percent / 100 - 7 * spread)]
+            rest = np.flatnonzero((group != group[i]) & (within | (blocks != blocks[i])))
+            rest = _open(i, rest, sizes, sketches, percent)
             if not len(rest):
                 continue
             mark[own[i]] = 1
@@ -205,17 +260,10 @@ def _links(kind: str, width: int, percent: int):
                     group[group == group[j]] = group[i]
         return out
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        names = ("cluster", "one", "two", "block", "_id", "n", "set_hash", "registers", "text")
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield from zip(*(part.column(c).to_pylist() for c in names))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        for _, rows in groupby(rows_of(batches), key=lambda r: r[:3]):
-            found += judge(list(rows))
+        for rows in _meetings(batches, names):
+            found += judge(rows)
             if len(found) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*found)], ["a", "b"])
                 found = []
@@ -224,6 +272,49 @@ def _links(kind: str, width: int, percent: int):
     return run
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """Columns key, set_hash, hub (smallest class: _id, set_hash) of buckets
+    with more than one class."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)])
+    buckets = classes.select("_id", "set_hash", F.explode(keys).alias("key"))
+    hubs = (buckets.groupBy("key").agg(F.min(F.struct("_id", "set_hash")).alias("hub"), F.count("*").alias("members"))
+            .where("members > 1").select("key", "hub"))
+    return buckets.join(hubs, "key").select("key", "set_hash", "hub")
+
+
+def placed(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The classes that share a bucket, each in a block: those of one smallest
+    hub (home) in as many parts as their bytes ask for."""
+    members = classes.join(shared.groupBy("set_hash").agg(F.min("hub").alias("home")), "set_hash")
+    parts = (members.groupBy("home").agg(F.sum(8 * F.col("n") + 2 * REGISTERS).alias("bytes"))
+             .select("home", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("set_hash"), F.col("parts")).cast("int")
+    return members.join(parts, "home").select("set_hash", "_id", "n", "registers", "home", "parts",
+                                              F.xxhash64("home", part).alias("block"))
+
+
+def own_meetings(members: DataFrame) -> DataFrame:
+    """Columns one, two, set_hash: every block with itself, and with its hub."""
+    hubs = (members.select("home", "parts").distinct()
+            .select("home", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+            .select(F.col("home.set_hash").alias("set_hash"), F.xxhash64("home", "part").alias("block")))
+    return (members.select("set_hash", "block").unionByName(hubs).distinct()
+            .select(F.col("block").alias("one"), F.col("block").alias("two"), "set_hash"))
+
+
+def other_meetings(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Columns one, two, set_hash: a class meets the other blocks that share a
+    bucket with it and hold a class of another label there."""
+    at = shared.select("key", "set_hash").join(members.select("set_hash", "block", "label"), "set_hash")
+    blocks = at.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    unsettled = (blocks.groupBy("key").agg(F.count("*").alias("blocks"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                 .where("blocks > 1 AND lo != hi").select("key"))
+    others = blocks.join(unsettled, "key", "left_semi").withColumnRenamed("block", "other")
+    return (at.join(others, "key").where("block != other AND NOT (lo = label AND hi = label)")
+            .select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_hash")
+            .distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
@@ -237,31 +328,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document and marked alike; several texts under one id link it by each of
     them. An empty table gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
     signed = written(signatures(docs, id_col, text_col, width), "signatures")
     linkable = signed.where("n > 0 AND _id IS NOT NULL")
     classes = written(linkable.groupBy("set_hash").agg(F.min(F.struct("_id", "n", "registers")).alias("least"))
                       .select("set_hash", "least.*"), "classes")
+    shared = written(shared_buckets(classes), "buckets")
+    members = written(placed(classes, shared), "members")
 
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)])
-    buckets = classes.select("_id", F.explode(keys).alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    clusters = components(buckets.join(hubs.select("key", "hub"), "key"), "hub", "_id")
-
-    members = classes.join(clusters.select(F.col("node").alias("_id"), F.col("root").alias("cluster")), "_id")
-    parts = (members.groupBy("cluster").agg(F.sum(8 * F.col("n")).alias("bytes"))
-             .select("cluster", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("parts")))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Block k meets every block once: as the first of a pair or the second.
-    placed = (members.join(parts, "cluster").join(texts, "_id")
-              .withColumn("block", F.pmod(F.xxhash64("set_hash"), F.col("parts")).cast("int"))
-              .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-              .select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-                      "block", "_id", "n", "set_hash", "registers", "text"))
-    kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType
-    links = (placed.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
-             .mapInArrow(_links(to_arrow_type(kind), width, percent), f"a {kind.simpleString()}, b {kind.simpleString()}"))
+    kind = members.schema["_id"].dataType
+
+    def confirmed(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
+        rows = meetings.join(labelled, "set_hash").join(texts, "_id").select(
+            "one", "two", "block", "set_hash", "_id", "n", "registers", "label", "text")
+        return (rows.repartition("one", "two").sortWithinPartitions("one", "two")
+                .mapInArrow(_links(to_arrow_type(kind), width, percent), f"a {kind.simpleString()}, b {kind.simpleString()}"))
+
+    label = members.drop("home", "parts")
+    inner = components(confirmed(own_meetings(members), label.withColumn("label", F.col("_id"))), "a", "b")
+    label = written(label.join(inner.withColumnRenamed("node", "_id"), "_id", "left")
+                    .withColumn("label", F.coalesce("root", "_id")).drop("root"), "labels")
+    discard(members)
+    likely = written(other_meetings(label, shared).join(label.drop("_id"), "set_hash")
+                     .select("one", "two", "block", "set_hash", "n", "registers", "label")
+                     .repartition("one", "two").sortWithinPartitions("one", "two")
+                     .mapInArrow(_likely(percent), "one long, two long, set_hash binary"), "likely")
+    links = inner.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(likely, label))
     roots = components(links, "a", "b")
+    for read in (inner, shared, label, likely):
+        discard(read)
 
     labelled = classes.select("set_hash", "_id").join(
         roots.select(F.col("node").alias("_id"), "root"), "_id", "left").select(
