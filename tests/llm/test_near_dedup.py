@@ -80,29 +80,29 @@ def test_chains_over_blocks(make_docs, monkeypatch, shift):
 def test_settled_buckets_meet_no_more(spark):
     """A bucket of 100 connected classes in ten blocks asks for no meeting;
     with a stranger among them each meets the stranger's block only."""
-    rows = [(bytes([k]), k // 10, 0) for k in range(100)]
-    shared = spark.createDataFrame([(1, bytes([k])) for k in range(101)], "key long, set_hash binary")
+    rows = [(k, k // 10, 0) for k in range(100)]
+    shared = spark.createDataFrame([(1, k) for k in range(101)], "key long, number long")
 
     def met(members):
-        frame = spark.createDataFrame(members, "set_hash binary, block long, label long")
-        return sorted((r.one, r.two, bytes(r.set_hash)) for r in nd.other_meetings(frame, shared).collect())
+        frame = spark.createDataFrame(members, "number long, block long, label long")
+        return sorted(map(tuple, nd.other_meetings(frame, shared).select("one", "two", "number").collect()))
 
     assert met(rows) == []
-    got = met([*rows, (bytes([100]), 10, 100)])
-    assert got == sorted([(k // 10, 10, bytes([k])) for k in range(100)] + [(b, 10, bytes([100])) for b in range(10)])
-    assert met([*rows, (bytes([100]), 9, 100)]) == sorted(
-        [(k // 10, 9, bytes([k])) for k in range(90)] + [(b, 9, bytes([100])) for b in range(9)])
+    assert met([*rows, (100, 10, 100)]) == sorted(
+        [(k // 10, 10, k) for k in range(100)] + [(b, 10, 100) for b in range(10)])
+    assert met([*rows, (100, 9, 100)]) == sorted(
+        [(k // 10, 9, k) for k in range(90)] + [(b, 9, 100) for b in range(9)])
 
 
 def test_hubs_visit_their_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_BYTES", 5 * 2 * nd.REGISTERS)
     sketch = nd.registers(np.arange(9, dtype=np.uint64)).tobytes()
-    classes = spark.createDataFrame([(bytes([k]), k, 1, sketch) for k in range(40)],
-                                    "set_hash binary, _id long, n long, registers binary")
+    classes = spark.createDataFrame([(k, bytes([k]), k, 1, sketch) for k in range(40)],
+                                    "number long, set_hash binary, _id long, n long, registers binary")
     members = nd.placed(classes, nd.shared_buckets(classes))
     blocks = members.groupBy("block").count().collect()
     assert len(blocks) > 5 and sum(r["count"] for r in blocks) == 40
-    met = nd.own_meetings(members).where(F.col("set_hash") == F.lit(bytes([0])))
+    met = nd.own_meetings(members).where(F.col("number") == 0)
     assert {r.one for r in met.collect()} >= {r.block for r in blocks}
 
 
@@ -113,13 +113,13 @@ def test_registers_rule_out_before_texts_move():
     sets = [a[:900], a[20:920], a[:600], a[300:900]]
 
     def likely(labels):
-        rows = [(0, 1, int(k > 0), bytes([k]), len(s), nd.registers(s).tobytes(), label)
+        rows = [(0, 1, int(k > 0), k, len(s), nd.registers(s).tobytes(), label)
                 for k, (s, label) in enumerate(zip(sets, labels))]
-        names = ["one", "two", "block", "set_hash", "n", "registers", "label"]
+        names = ["one", "two", "block", "number", "n", "registers", "label"]
         batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-        return [x for out in nd._likely(85)(iter([batch])) for x in out.column("set_hash").to_pylist()]
+        return [x for out in nd._likely(85)(iter([batch])) for x in out.column("number").to_pylist()]
 
-    assert likely([0, 1, 2, 3]) == [b"\x00", b"\x01"]
+    assert likely([0, 1, 2, 3]) == [0, 1]
     assert likely([0, 0, 2, 3]) == []
 
 

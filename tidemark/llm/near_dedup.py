@@ -44,6 +44,8 @@ MULTIPLIERS = np.random.default_rng(6).integers(0, 2 ** 63, REGISTERS, np.uint64
 # Bytes of shingle hashes and registers in a block of classes, and of text that
 # are scanned for words at a time.
 BLOCK_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
+# Lots in which the classes of one home learn its number of parts.
+LOTS = 16
 # Random values of the bytes (A-Z have those of a-z) and their odd base.
 BYTE_VALUES = np.random.default_rng(7).integers(0, 2 ** 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_BASE, BYTE_VALUES = BYTE_VALUES[256], BYTE_VALUES[:256]
@@ -203,10 +205,10 @@ def _meetings(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
 def _likely(percent: int):
     """mapInArrow function over the registers of meetings: the classes that
     some class of the other block may be linked with."""
-    names = ("one", "two", "block", "set_hash", "n", "registers", "label")
+    names = ("one", "two", "block", "number", "n", "registers", "label")
 
     def judge(rows: list[tuple]) -> list[tuple]:
-        one, two, blocks, classes, sizes, sketches, labels = zip(*rows)
+        one, two, blocks, numbers, sizes, sketches, labels = zip(*rows)
         sizes, sketches = np.array(sizes), np.stack([np.frombuffer(x, np.uint16) for x in sketches])
         group, blocks, some = _numbered(labels), np.array(blocks), np.zeros(len(rows), bool)
         left, right = np.flatnonzero(blocks == one[0]), np.flatnonzero(blocks == two[0])
@@ -214,14 +216,12 @@ def _likely(percent: int):
             rest = _open(i, right[group[right] != group[i]], sizes, sketches, percent)
             some[rest] = True
             some[i] |= len(rest) > 0
-        return [(one[0], two[0], classes[i]) for i in np.flatnonzero(some)]
+        return [(one[0], two[0], numbers[i]) for i in np.flatnonzero(some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _meetings(batches, names):
             if found := judge(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))],
-                    ["one", "two", "set_hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["one", "two", "number"])
     return run
 
 
@@ -273,45 +273,48 @@ def _links(kind: pa.DataType, width: int, percent: int):
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """Columns key, set_hash, hub (smallest class: _id, set_hash) of buckets
-    with more than one class."""
+    """Columns key, number, hub (smallest number) of buckets with more than
+    one class."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)])
-    buckets = classes.select("_id", "set_hash", F.explode(keys).alias("key"))
-    hubs = (buckets.groupBy("key").agg(F.min(F.struct("_id", "set_hash")).alias("hub"), F.count("*").alias("members"))
+    buckets = classes.select("number", F.explode(keys).alias("key"))
+    hubs = (buckets.groupBy("key").agg(F.min("number").alias("hub"), F.count("*").alias("members"))
             .where("members > 1").select("key", "hub"))
-    return buckets.join(hubs, "key").select("key", "set_hash", "hub")
+    return buckets.join(hubs, "key")
 
 
 def placed(classes: DataFrame, shared: DataFrame) -> DataFrame:
     """The classes that share a bucket, each in a block: those of one smallest
-    hub (home) in as many parts as their bytes ask for."""
-    members = classes.join(shared.groupBy("set_hash").agg(F.min("hub").alias("home")), "set_hash")
-    parts = (members.groupBy("home").agg(F.sum(8 * F.col("n") + 2 * REGISTERS).alias("bytes"))
-             .select("home", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("set_hash"), F.col("parts")).cast("int")
-    return members.join(parts, "home").select("set_hash", "_id", "n", "registers", "home", "parts",
-                                              F.xxhash64("home", part).alias("block"))
+    hub (home) in as many parts as their bytes ask for. A home of many parts
+    meets its classes in lots, so that no task gets them all."""
+    members = (classes.join(shared.groupBy("number").agg(F.min("hub").alias("home")), "number")
+               .withColumn("lot", F.pmod(F.xxhash64("number"), F.lit(LOTS))))
+    large = (members.groupBy("home").agg(F.ceil(F.sum(8 * F.col("n") + 2 * REGISTERS) / BLOCK_BYTES).cast("int").alias("parts"))
+             .where("parts > 1").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long")))))
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("number", "home"), parts).cast("int")
+    return members.join(large, ["home", "lot"], "left").select(
+        "number", "set_hash", "_id", "n", "registers", "home", parts.alias("parts"), F.xxhash64("home", part).alias("block"))
 
 
 def own_meetings(members: DataFrame) -> DataFrame:
-    """Columns one, two, set_hash: every block with itself, and with its hub."""
+    """Columns one, two, number: every block with itself, and with its hub."""
     hubs = (members.select("home", "parts").distinct()
             .select("home", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-            .select(F.col("home.set_hash").alias("set_hash"), F.xxhash64("home", "part").alias("block")))
-    return (members.select("set_hash", "block").unionByName(hubs).distinct()
-            .select(F.col("block").alias("one"), F.col("block").alias("two"), "set_hash"))
+            .select(F.col("home").alias("number"), F.xxhash64("home", "part").alias("block")))
+    return (members.select("number", "block").unionByName(hubs).distinct()
+            .select(F.col("block").alias("one"), F.col("block").alias("two"), "number"))
 
 
 def other_meetings(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """Columns one, two, set_hash: a class meets the other blocks that share a
+    """Columns one, two, number: a class meets the other blocks that share a
     bucket with it and hold a class of another label there."""
-    at = shared.select("key", "set_hash").join(members.select("set_hash", "block", "label"), "set_hash")
+    at = shared.select("key", "number").join(members.select("number", "block", "label"), "number")
     blocks = at.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     unsettled = (blocks.groupBy("key").agg(F.count("*").alias("blocks"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
                  .where("blocks > 1 AND lo != hi").select("key"))
     others = blocks.join(unsettled, "key", "left_semi").withColumnRenamed("block", "other")
     return (at.join(others, "key").where("block != other AND NOT (lo = label AND hi = label)")
-            .select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_hash")
+            .select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "number")
             .distinct())
 
 
@@ -331,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(signatures(docs, id_col, text_col, width), "signatures")
     linkable = signed.where("n > 0 AND _id IS NOT NULL")
     classes = written(linkable.groupBy("set_hash").agg(F.min(F.struct("_id", "n", "registers")).alias("least"))
-                      .select("set_hash", "least.*"), "classes")
+                      .select("set_hash", "least.*", F.monotonically_increasing_id().alias("number")), "classes")
     shared = written(shared_buckets(classes), "buckets")
     members = written(placed(classes, shared), "members")
 
@@ -339,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = members.schema["_id"].dataType
 
     def confirmed(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
-        rows = meetings.join(labelled, "set_hash").join(texts, "_id").select(
+        rows = meetings.join(labelled, "number").join(texts, "_id").select(
             "one", "two", "block", "set_hash", "_id", "n", "registers", "label", "text")
         return (rows.repartition("one", "two").sortWithinPartitions("one", "two")
                 .mapInArrow(_links(to_arrow_type(kind), width, percent), f"a {kind.simpleString()}, b {kind.simpleString()}"))
@@ -349,10 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = written(label.join(inner.withColumnRenamed("node", "_id"), "_id", "left")
                     .withColumn("label", F.coalesce("root", "_id")).drop("root"), "labels")
     discard(members)
-    likely = written(other_meetings(label, shared).join(label.drop("_id"), "set_hash")
-                     .select("one", "two", "block", "set_hash", "n", "registers", "label")
+    likely = written(other_meetings(label, shared).join(label.drop("_id", "set_hash"), "number")
+                     .select("one", "two", "block", "number", "n", "registers", "label")
                      .repartition("one", "two").sortWithinPartitions("one", "two")
-                     .mapInArrow(_likely(percent), "one long, two long, set_hash binary"), "likely")
+                     .mapInArrow(_likely(percent), "one long, two long, number long"), "likely")
     links = inner.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(likely, label))
     roots = components(links, "a", "b")
     for read in (inner, shared, label, likely):
