@@ -29,20 +29,19 @@ def _linked(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Columns node, root (smallest node of its component) of all nodes that
     have an edge to another node. Null ends and loops are dropped; repeated
     edges and either direction are fine."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y")
     now = written(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
-    state, before = _digest(now), None
-    while state != before:
-        last, now = now, written(_linked(_linked(now, True), False), "edges")
-        discard(last)
-        state, before = _digest(now), state
+    state = None
+    while True:
+        before, now = now, written(_linked(_linked(now, True), False), "edges")
+        discard(before)
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if seen == state:
+            break
+        state = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
