@@ -96,6 +96,39 @@ def test_a_page_reads_a_bounded_number_of_files(spark, mart, monkeypatch):
     assert len(PG.files_after(spark, path, ORDER)) >= 17
 
 
+def test_all_pages_at_once(spark, mart):
+    """From the first page or from a key on."""
+    path, rows = mart
+    for at in (None, 0, 59, 130, 777, 999):
+        want = rows if at is None else rows[at + 1:]
+        got = PG.pages_after(spark, path, ORDER, 130, None if at is None else rows[at][:3]).collect()
+        got = sorted((tuple(r) for r in got), key=lambda r: r[:2])
+        assert got == [(k // 130, k % 130, *r) for k, r in enumerate(want)]
+
+
+def test_pages_keep_equal_rows(spark, scratch):
+    PG.write_sorted(spark.range(40).selectExpr("id % 4 AS a", "'x' AS b", "cast(id % 4 AS int) AS id"), f"{scratch}/t", ORDER,
+                    rows_per_file=3)
+    got = PG.pages_after(spark, f"{scratch}/t", ORDER, 7).collect()
+    assert sorted((r.page, r.place) for r in got) == [(k // 7, k % 7) for k in range(40)]
+    assert [r.a for r in sorted(got, key=lambda r: r[:2])] == sorted(k % 4 for k in range(40))
+
+
+def test_the_paging_query_runs_as_many_jobs_for_many_pages_as_for_few(spark, monkeypatch):
+    from tidemark.registry import QUERIES, incremental
+    sc, jobs = spark.sparkContext, []
+    for size in (400, 3):
+        monkeypatch.setattr(incremental, "_PAGE", size)
+        sc.setJobGroup(f"pages-{size}", "pages")
+        try:
+            rows = QUERIES["keyset_pages"](spark, SF001).collect()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"pages-{size}")))
+        assert sorted(r[:2] for r in rows) == [(k // size, k % size) for k in range(len(rows))]
+    assert len(rows) > 9 and jobs[0] == jobs[1]
+
+
 RAW = "k string, t string, n string"
 
 

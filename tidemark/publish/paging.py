@@ -5,14 +5,15 @@ rows and its last key. The page after a key starts in the first file whose last
 key lies behind it, so a page reads the files that hold it, whether it is the
 first or the millionth, and nothing is sorted but the rows of these files.
 NULLs sort high, as in the marts' default orders. The order must tell rows
-apart: end it with the mart's key.
+apart: end it with the mart's key. ``pages_after`` gives all pages behind a key at
+once: from the index it is known which rows of the mart a file holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -64,8 +65,9 @@ def page_after(spark: SparkSession, path: str, order: Order, limit: int, after:
     order's columns in the last row of the page before; None: the first page).
     With ``filters`` as many further files are read as the page needs."""
     from tidemark.plans.scenarios import order_columns
-    schema = spark.read.parquet(path).schema
     left, found, step = files_after(spark, path, order, after), [], 0
+    # Of one file: a page costs the same however many files the mart has.
+    schema = spark.read.parquet(left[0].file).schema if left else None
     while left and len(found) < limit:
         rows, take = 0, []
         # The first file may hold only one row behind the key.
@@ -82,5 +84,31 @@ def page_after(spark: SparkSession, path: str, order: Order, limit: int, after:
     return found
 
 
+def pages_after(spark: SparkSession, path: str, order: Order, limit: int, after: Sequence | None = None) -> DataFrame:
+    """All pages of ``limit`` rows that follow the key ``after``, at once: the
+    rows with their ``page`` and their ``place`` in it, both from 0, as
+    ``page_after`` gives them one page after the other. A row's number is the
+    rows of the files before its own plus its place there, so the files are
+    read side by side, each once; nothing is sorted or passes the driver."""
+    index = spark.read.parquet(f"{path}/_index").select("file", "task", "number", "rows", "last")
+    before = lambda by: F.coalesce(F.sum("rows").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = (index.groupBy(c("task").alias("_task")).agg(F.sum("rows").alias("rows"))  # a row per task of the write
+             .select("_task", before(Window.orderBy("_task")).alias("_tasks_before")))
+    starts = (index.join(tasks, c("task") == c("_task"))
+              .withColumn("_start", c("_tasks_before") + before(Window.partitionBy("task").orderBy("number"))))
+    rows = spark.read.parquet(path)
+    names, skipped = rows.columns, 0
+    rows = rows.select(*names, c("_metadata.file_path").alias("_path"), c("_metadata.row_index").alias("_row"))
+    if after is not None:
+        starts = starts.filter(behind(order, after, [c(f"last.{n}") for n, _ in order]))
+        rows = rows.filter(behind(order, after))
+        if first := files_after(spark, path, order, after)[:1]:  # only this file has rows on both sides of the key
+            skipped = (starts.agg(F.min("_start")).first()[0]
+                       + first[0].rows - spark.read.parquet(first[0].file).filter(behind(order, after)).count())
+    number = c("_start") + c("_row") - F.lit(skipped)
+    return (rows.join(starts.select(c("file").alias("_file"), "_start"), c("_path") == c("_file"))
+            .select(F.floor(number / limit).cast("int").alias("page"), (number % limit).cast("int").alias("place"), *names))
+
+
 def key_of(row: Row, order: Order) -> tuple:
     return tuple(row[n] for n, _ in order)

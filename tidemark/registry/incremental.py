@@ -226,15 +226,11 @@ _PAGE, _ORDER = 400, [("days_to_renewal", "asc"), ("arr", "desc"), ("sfdc_accoun
 
 
 def _pages(spark, d):
-    """S14 published sorted and read page after page by key."""
+    """S14 published sorted and read by key, every page from the first on."""
     path = f"{_folder(spark, 'pages')}/s14"
     mart = S.scn_14(roles(spark, d), ORDERS_AS_OF)
     PG.write_sorted(mart, path, _ORDER, rows_per_file=150)
-    rows, key, number = [], None, 0
-    while page := PG.page_after(spark, path, _ORDER, _PAGE, key):
-        rows += [(number, k, r["sfdc_account_id"], r["days_to_renewal"]) for k, r in enumerate(page)]
-        key, number = PG.key_of(page[-1], _ORDER), number + 1
-    return spark.createDataFrame(rows, "page int, place int, sfdc_account_id string, days_to_renewal int")
+    return PG.pages_after(spark, path, _ORDER, _PAGE).select("page", "place", "sfdc_account_id", "days_to_renewal")
 
 
 register("keyset_pages", f"""WITH s14 AS ({Q.SCENARIO_SQL['S14'].strip()}),
