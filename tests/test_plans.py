@@ -116,3 +116,58 @@ def test_s10_window_reaches_scan(spark, tmp_path):
     p = plan(S.scn_10(src.with_(license_usage=spark.read.parquet(path)), ORDERS_AS_OF, window_days=180))
     scan = [ln for ln in p.splitlines() if "PushedFilters" in ln and "lastvalidateddate" in ln]
     assert scan and "GreaterThanOrEqual(lastvalidateddate" in scan[0]
+
+
+@pytest.fixture(scope="module")
+def profiled(spark, tmp_path_factory):
+    """Staged roles and the profiles written from them."""
+    from tidemark.plans import refresh as R
+    from tidemark.sources.staging import materialize_sources
+    root = str(tmp_path_factory.mktemp("profiled"))
+    staged = materialize_sources(spark, roles(spark, SF001), f"{root}/st")
+    return staged, R.write_profiles(spark, staged, f"{root}/prof")
+
+
+def test_keys_and_usage_per_customer_are_read_from_profiles(profiled):
+    """No mart's plan reads the license keys; S4 and S5 share one reduction of
+    the usage to a row per customer."""
+    from tidemark.plans import refresh as R
+    staged, tel = profiled
+    builders = R.default_builders(ORDERS_AS_OF, EVENTS_AS_OF, tel=tel)
+    for build in builders.values():
+        assert "/st/license_key" not in dry_run(build(staged), "simple")
+    for sid in ("S4", "S5"):
+        p = dry_run(builders[sid](staged), "simple")
+        assert "/prof/use]" in p and "/prof/usage]" not in p
+
+
+def test_marts_of_profiles_are_those_of_the_logs(profiled):
+    from tidemark.plans import refresh as R
+    staged, tel = profiled
+    shared, plain = (R.default_builders(ORDERS_AS_OF, EVENTS_AS_OF, tel=t) for t in (tel, None))
+    for sid in ("S2", "S3", "S4", "S5", "S11", "S14", "S16"):
+        a, b = shared[sid](staged), plain[sid](staged)
+        assert a.schema.simpleString() == b.schema.simpleString()
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_event_days_are_parsed_once_per_event(src):
+    from tidemark.plans.telemetry import il_profile, rc_profile
+    for df in (rc_profile(src.rc_events), il_profile(src.il_events)):
+        assert all("try_to_date" not in ln and "RLIKE" not in ln and "gettimestamp" not in ln
+                   for ln in dry_run(df, "simple").splitlines() if "Aggregate" in ln)
+
+
+def test_telemetry_marts_pass_the_bridge_in_one_join(spark, src):
+    from tidemark.operators.bridge import telemetry_bridge
+    from tidemark.plans.master import membership_rows, memberships
+    bridge = telemetry_bridge(src)
+    keys = spark.createDataFrame([("platform:1",), ("platform:2",), ("platform:2",), (None,), ("platform:no",)],
+                                 "telemetry_account_id string")
+    ids = spark.createDataFrame([("a",), ("a",), (None,)], "sfdc_account_id string")
+    joins = lambda df: sum("Join" in ln for ln in dry_run(df, "simple").splitlines())
+    frames = {"S1": ids, "S3": keys, "S6": keys, "S7": keys}
+    assert joins(membership_rows(frames, bridge)) == joins(bridge) + 1
+    reached = {r.sfdc_account_id for r in bridge.collect() if r.telemetry_account_id in ("platform:1", "platform:2")}
+    assert reached and {tuple(r) for r in memberships(frames, bridge).collect()} == {
+        ("a", "S1"), *((x, s) for x in reached for s in ("S3", "S6", "S7"))}

@@ -21,7 +21,7 @@ from tidemark.operators.bridge import telemetry_bridge
 from tidemark.operators.quality import assertions, contract_check
 from tidemark.plans import master as M
 from tidemark.plans import scenarios as S
-from tidemark.plans.telemetry import Telemetry, profile_name, telemetry_profiles
+from tidemark.plans.telemetry import Telemetry, customer_use, profile_name, telemetry_profiles
 from tidemark.publish.lineage import ROWS, Lineage, column_rows, differences, read as read_lineage, tagged
 from tidemark.publish.publish import announce, lineage, observed_write, write_mart
 from tidemark.publish.versions import NONE, latest
@@ -56,20 +56,21 @@ def default_builders(as_of, events_as_of=None, usage_ref=None, tel: Telemetry |
     every scenario reads the shared profiles instead of the logs."""
     ev = events_as_of or as_of
     return {
-        "S1": lambda s: S.scn_01(s, as_of), "S2": lambda s: S.scn_02(s, as_of),
+        "S1": lambda s: S.scn_01(s, as_of), "S2": lambda s: S.scn_02(s, as_of, tel=tel),
         "S3": lambda s: S.scn_03(s, tel=tel), "S4": lambda s: S.scn_04(s, as_of, tel=tel),
         "S5": lambda s: S.scn_05(s, tel=tel), "S6": lambda s: S.scn_06(s, ev, tel=tel),
         "S7": lambda s: S.scn_07(s, ev, tel=tel), "S8": lambda s: S.scn_08(s, tel=tel),
         "S9": lambda s: S.scn_09(s, ev, tel=tel),
         "S10": lambda s: S.scn_10(s, usage_ref, tel=tel),
-        "S11": lambda s: S.scn_11(s, as_of), "S12": lambda s: S.scn_12(s, as_of, tel=tel),
+        "S11": lambda s: S.scn_11(s, as_of, tel=tel), "S12": lambda s: S.scn_12(s, as_of, tel=tel),
         "S13": lambda s: S.scn_13(s, ev, tel=tel), "S14": lambda s: S.scn_14(s, as_of, tel=tel),
         "S15": lambda s: S.scn_15(s, as_of, tel=tel), "S16": lambda s: S.scn_16(s, tel=tel),
     }
 
 
 # The log behind each profile.
-PROFILED = {"rc": "rc_events", "il": "il_events", "usage": "license_usage", "login": "login"}
+PROFILED = {"rc": "rc_events", "il": "il_events", "usage": "license_usage", "login": "login",
+            "use": "license_usage", "keys": "license_key"}
 
 
 def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str | None = None,
@@ -83,15 +84,18 @@ def write_profiles(spark: SparkSession, src: Sources, out_dir: str, rollup: str
         prof = replace(prof, **state_profiles(spark, state))
     def write(name: str) -> None:
         df, log = getattr(prof, name), PROFILED[name]
-        write_mart(df, f"{out_dir}/{name}")
+        # Usage per customer comes from the usage per day as written, not from the log.
+        write_mart(customer_use(spark.read.parquet(f"{out_dir}/usage")) if name == "use" else df, f"{out_dir}/{name}")
         if found is not None:
             own = read_lineage(df)
             if not own.sources:  # a rollup or state stands for its log
                 own = Lineage({log}, {x: {(log, ROWS)} for x in [ROWS, *df.columns]})
             found[profile_name(name)] = own
+        if name == "usage":
+            write("use")
 
     with ThreadPoolExecutor(max_workers=len(PROFILED)) as pool:
-        list(pool.map(write, PROFILED))
+        list(pool.map(write, [n for n in PROFILED if n != "use"]))
     return Telemetry(**{n: spark.read.parquet(f"{out_dir}/{n}") for n in PROFILED})
 
 

@@ -18,7 +18,8 @@ Shape rules, applied throughout:
   size; usage is reduced to a row per seat before it meets its customer;
 * building a plan runs no job;
 * with ``tel=`` (profiles of the logs, ``plans.telemetry``) the event, usage
-  and login logs are not read at all — a full refresh reads each log once.
+  and login logs and the license keys are not read at all — a full refresh
+  reads each log once.
 """
 
 from __future__ import annotations
@@ -102,6 +103,21 @@ def _usage(src: Sources, tel: Telemetry | None) -> tuple[DataFrame, str]:
     return src.license_usage, "lastvalidateddate"
 
 
+def _customer_use(src: Sources, tel: Telemetry | None) -> DataFrame:
+    """Per customer: first_use, last_use, active_days."""
+    if tel is not None and tel.use is not None:
+        return tel.use
+    usage, last_ts = _usage(src, tel)
+    return active_rollup(usage, "customerid", "lastvalidateddate", last_ts=last_ts)
+
+
+def _open_keys(src: Sources, tel: Telemetry | None) -> DataFrame:
+    """Keys that are registered and not deactivated."""
+    if tel is not None and tel.keys is not None:
+        return tel.keys
+    return src.license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull())
+
+
 def _usage_since(src: Sources, tel: Telemetry | None, as_of, days: int) -> tuple[DataFrame, str]:
     usage, last_ts = _usage(src, tel)
     if last_ts == "lastvalidateddate":
@@ -159,11 +175,10 @@ def scn_01(src: Sources, as_of, min_days: int = 1, status: str = V.CONTRACT_ACTI
         c("stage_c").alias("onboarding_stage"), c("status_c").alias("onboarding_status"))
 
 
-def scn_02(src: Sources, as_of, min_days: int = 2) -> DataFrame:
+def scn_02(src: Sources, as_of, min_days: int = 2, tel: Telemetry | None = None) -> DataFrame:
     """S2 license key provisioned, never used. Grain: license key."""
-    k = src.license_key.filter((c("registered") == F.lit(True)) & c("lastvalidateddate").isNull()
-                               & c("deactivated").isNull()
-                               & older_than("dateassigned", as_of, min_days) & not_deleted())
+    k = _open_keys(src, tel).filter(c("lastvalidateddate").isNull()
+                                    & older_than("dateassigned", as_of, min_days) & not_deleted())
     cu = _live_customers(src).select("customerid", "customername", "salesforceid")
     j = k.join(cu, "customerid").join(_account_dims(src), c("salesforceid") == c("_aid"), "left")
     return j.select(
@@ -178,9 +193,11 @@ def scn_03(src: Sources, home_event: str = V.RC_HOME, tel: Telemetry | None = No
     """S3 logs in but never reached the RC home page. Grain: telemetry account.
     ``require_active_license_days`` (with ``as_of``) applies the description's
     validated-license condition."""
-    log = tel.login if tel is not None and tel.login is not None else src.login
-    logins = log.groupBy("account_id").agg(F.max("date").alias("last_login_date"),
-                                                 F.count_distinct("date").alias("total_login_days"))
+    if tel is not None and tel.login is not None:  # a row per account and day
+        log, days = tel.login, F.count("date")
+    else:
+        log, days = src.login, F.count_distinct("date")
+    logins = log.groupBy("account_id").agg(F.max("date").alias("last_login_date"), days.alias("total_login_days"))
     if tel is not None and home_event == V.RC_HOME:
         did = tel.rc.filter(c("rc_home") == 1).select(c("account_id").alias("_did"))
         out = logins.join(did, c("account_id") == c("_did"), "left_anti")
@@ -204,8 +221,7 @@ def _rc_flags(src: Sources, flags: dict[str, str], key_alias: str = "_rk",
 
 def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None) -> DataFrame:
     """S4 first product use > N days ago, upload page never reached. Grain: licensing customer."""
-    usage, last_ts = _usage(src, tel)
-    use = active_rollup(usage, "customerid", "lastvalidateddate", last_ts=last_ts).select(
+    use = _customer_use(src, tel).select(
         "customerid", c("first_use").alias("first_product_use"), c("last_use").alias("last_product_use"))
     use = use.filter(older_than("first_product_use", as_of, min_days))
     rc = _rc_flags(src, {"clicked_upload": V.RC_UPLOAD_CLICKED,
@@ -228,8 +244,7 @@ def scn_04(src: Sources, as_of, min_days: int = 3, tel: Telemetry | None = None)
 
 def scn_05(src: Sources, min_active_days: int = 30, tel: Telemetry | None = None) -> DataFrame:
     """S5 ≥ N active days, none of three secondary features used. Grain: licensing customer."""
-    usage, last_ts = _usage(src, tel)
-    use = active_rollup(usage, "customerid", "lastvalidateddate", last_ts=last_ts).select(
+    use = _customer_use(src, tel).select(
         "customerid", "active_days", F.datediff("last_use", "first_use").alias("active_span_days"))
     use = use.filter(c("active_days") >= min_active_days)
     rc = _rc_flags(src, {"used_lineos": V.RC_LINEOS, "used_view_all": V.RC_VIEW_ALL,
@@ -367,14 +382,12 @@ def _renewing_accounts(src: Sources, as_of, renewal_days: int,
 
 
 def scn_11(src: Sources, as_of, idle_days: int = 30, renewal_days: int = 120,
-           min_pct: float = 30) -> DataFrame:
+           min_pct: float = 30, tel: Telemetry | None = None) -> DataFrame:
     """S11 dormant licensed seats before renewal. Grain: (customer name, CRM account)."""
     acct = _renewing_accounts(src, as_of, renewal_days)
     cust = semi(_live_customers(src), key_set(acct, "id"), "salesforceid").select(
         "customerid", "customername", "salesforceid")
-    keys = (src.license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull()
-                                   & not_deleted())
-            .join(cust, "customerid"))
+    keys = _open_keys(src, tel).filter(not_deleted()).join(cust, "customerid")
     seats = dormancy(keys, ["customername", "salesforceid"], "assigneduser", "lastvalidateddate",
                      as_of, idle_days)
     seats = seats.withColumn("dormancy_pct", pct("dormant", "total")).filter(c("dormancy_pct") > min_pct)
@@ -483,8 +496,7 @@ def scn_14(src: Sources, as_of, renewal_days: int = 120, login_days: int = 90,
     users = (seats.select("customerid", "assigneduser").distinct().join(cust, "customerid")
              .groupBy(c("salesforceid").alias("_uk"))
              .agg(F.count_distinct("assigneduser").alias("active_licensed_users_30d")))
-    keys = (src.license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull())
-            .join(cust, "customerid"))
+    keys = _open_keys(src, tel).join(cust, "customerid")
     dormant = (dormancy(keys, "salesforceid", "assigneduser", "lastvalidateddate", as_of, idle_days)
                .select(c("salesforceid").alias("_dk"), c("dormant").alias("dormant_seats")))
     j = (acct.join(login, c("_tk") == c("_lk"), "left")
@@ -562,7 +574,9 @@ def scn_16(src: Sources, product_line: str = V.PRODUCT_LINE,
               .select(c("account_id").alias("_rk"), F.lit(1).alias("ever_uploaded_report")))
     cust = semi(src.license_customer, ids, "salesforceid").select("customerid", "salesforceid")
     usage, last_ts = _usage(src, tel)
-    seats = usage.groupBy("customerid", "assigneduser").agg(F.max(last_ts).alias("last_ts"))
+    # A profile's rows are a seat's days already and meet their customer as they are.
+    seats = (usage.groupBy("customerid", "assigneduser").agg(F.max(last_ts).alias("last_ts"))
+             if last_ts != "last_ts" else usage.select("customerid", "assigneduser", "last_ts"))
     use = (seats.join(cust, "customerid")
            .groupBy(c("salesforceid").alias("_uk"))
            .agg(F.max("last_ts").alias("last_license_use_date"),

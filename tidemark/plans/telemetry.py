@@ -2,11 +2,13 @@
 
 A refresh that builds every scenario would otherwise scan the RC log for
 S3–S7 and S16, the IL log for S7–S9 and S12–S14, S16, the usage log for S4, S5,
-S10 and S14–S16 and the logins for S3, S12 and S14. ``telemetry_profiles``
-reduces the event logs to one row per account holding every milestone any
-scenario needs, usage to one row per seat and day, and logins to one row per
-account and day (all ``as_of``-independent); ``refresh.run_all`` writes them to
-the shared output folder and every scenario reads them (``tel=`` argument).
+S10 and S14–S16, the logins for S3, S12 and S14 and the license keys for S2, S11
+and S14. ``telemetry_profiles`` reduces the event logs to one row per account
+holding every milestone any scenario needs, usage to one row per seat and day
+and from there to one per customer, logins to one row per account and day, and
+the keys to those in use (all ``as_of``-independent); ``refresh.run_all`` writes
+them to the shared output folder and every scenario reads them (``tel=``
+argument).
 
 RC is grouped first by (account, event name) — for the distinct event-name
 count — and IL first by (account, session) — for the distinct session
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocabulary as V
-from tidemark.operators.kernels import (Spec, count_if, distinct, event_date, ever, first, last, milestones, named,
+from tidemark.operators.kernels import (Spec, active_rollup, count_if, distinct, event_date, ever, first, last, milestones, named,
                                         usage_days)
 from tidemark.publish.lineage import tagged
 from tidemark.sources.registry import Sources
@@ -37,7 +39,8 @@ class Telemetry:
     il: DataFrame   # one row per IL account_id
     usage: DataFrame | None = None   # one row per customer, user and day (``kernels.usage_days``)
     login: DataFrame | None = None   # one row per account and day
-
+    use: DataFrame | None = None     # one row per customer (``customer_use``)
+    keys: DataFrame | None = None    # the keys in use (``open_keys``)
 
     def tagged(self) -> "Telemetry":
         """The same frames, named so that lineage can be read from plans."""
@@ -100,20 +103,42 @@ def il_specs(day: Column | None = None, weight: Column | None = None) -> dict[st
 PROFILES = {"RC": (rc_specs, "tracked_event_name"), "IL": (il_specs, "session_id")}
 
 
+def _with_day(events: DataFrame, day: Column | None) -> tuple[DataFrame, Column]:
+    """Events with their parsed day as a column: the text is read once per
+    event, not once per measure."""
+    return (events, day) if day is not None else (events.withColumn("_day", event_date()), c("_day"))
+
+
 def rc_profile(rc_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    rc_events, day = _with_day(rc_events, day)
     return milestones(rc_events, "account_id", rc_specs(day, weight), PROFILES["RC"][1])
 
 
 def il_profile(il_events: DataFrame, day: Column | None = None, weight: Column | None = None) -> DataFrame:
+    il_events, day = _with_day(il_events, day)
     return milestones(il_events, "account_id", il_specs(day, weight), PROFILES["IL"][1])
 
 
+def customer_use(usage: DataFrame) -> DataFrame:
+    """The usage profile per customer: first and last use, days with any."""
+    return active_rollup(usage, "customerid", "lastvalidateddate", last_ts="last_ts")
+
+
+def open_keys(license_key: DataFrame) -> DataFrame:
+    """Keys that are registered and not deactivated, the only ones that any
+    scenario asks for."""
+    return (license_key.filter((c("registered") == F.lit(True)) & c("deactivated").isNull())
+            .select("customerid", "assigneduser", "customeremail", "dateassigned", "lastvalidateddate",
+                    "_fivetran_deleted"))
+
+
 def telemetry_profiles(src: Sources, rollup: DataFrame | None = None) -> Telemetry:
     """Profiles of the logs of ``src``; with ``rollup`` (``read_rollup``) the
     event profiles come from it and the event logs are not read."""
     usage, login = usage_days(src.license_usage), src.login.select("account_id", "date").distinct()
+    rest = usage, login, customer_use(usage), open_keys(src.license_key)
     if rollup is None:
-        return Telemetry(rc_profile(src.rc_events), il_profile(src.il_events), usage, login)
+        return Telemetry(rc_profile(src.rc_events), il_profile(src.il_events), *rest)
     day, n = c("event_date"), c("events")
     return Telemetry(rc_profile(rollup.filter(c("surface") == "RC"), day, n),
-                     il_profile(rollup.filter(c("surface") == "IL"), day, n), usage, login)
+                     il_profile(rollup.filter(c("surface") == "IL"), day, n), *rest)
