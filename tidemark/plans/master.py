@@ -39,20 +39,19 @@ def latest_contract(src: Sources, status: str = V.CONTRACT_ACTIVATED) -> DataFra
 
 def membership_rows(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
     """(sfdc_account_id, scenario) per mart row, duplicates kept — enough for
-    flag aggregation, which is duplicate-insensitive (one shuffle less)."""
-    parts = []
+    flag aggregation, which is duplicate-insensitive (one shuffle less). All
+    telemetry-grain marts pass the bridge together, in one join."""
     b = bridge.select(c("telemetry_account_id").alias("_tk"), c("sfdc_account_id").alias("_sid"))
-    for sid, df in frames.items():
-        if sid in V.TELEMETRY_GRAIN:
-            ids = (df.select("telemetry_account_id").join(b, c("telemetry_account_id") == c("_tk"))
-                   .select(c("_sid").alias("sfdc_account_id")))
-        else:
-            ids = df.select("sfdc_account_id")
-        parts.append(ids.filter(c("sfdc_account_id").isNotNull())
-                     .select("sfdc_account_id", F.lit(sid).alias("scenario")))
+    parts = [df.select("sfdc_account_id", F.lit(sid).alias("scenario"))
+             for sid, df in frames.items() if sid not in V.TELEMETRY_GRAIN]
+    tele = [df.select("telemetry_account_id", F.lit(sid).alias("scenario"))
+            for sid, df in frames.items() if sid in V.TELEMETRY_GRAIN]
+    if tele:
+        parts.append(reduce(DataFrame.unionByName, tele).join(b, c("telemetry_account_id") == c("_tk"))
+                     .select(c("_sid").alias("sfdc_account_id"), "scenario"))
     if not parts:
         return bridge.sparkSession.createDataFrame([], "sfdc_account_id string, scenario string")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).filter(c("sfdc_account_id").isNotNull())
 
 
 def memberships(frames: dict[str, DataFrame], bridge: DataFrame) -> DataFrame:
